@@ -23,14 +23,3 @@ def cosine(a: Column, b: Column) -> Column:
 def unit(a: Column) -> Column:
     size = norm(a)
     return F.when(size > 0, F.transform(a.cast("array<double>"), lambda x: x / size)).otherwise(a.cast("array<double>"))
-
-
-def thousandths(score: Column) -> Column:
-    """A score rounded to three places, exact, so that sums do not depend on order."""
-    return F.round(score, 3).cast("decimal(9,3)")
-
-
-def exact_mean(scores: Column, digits: int = 3) -> Column:
-    """Mean of exact thousandths, rounded half up."""
-    total = F.sum(scores).cast("double")
-    return F.round(total / F.count(scores), digits)

@@ -14,6 +14,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_LIMIT = 128 << 20
@@ -35,21 +36,32 @@ def text_bytes(*texts: Column) -> Column:
     return total
 
 
+Apply = Callable[[pd.DataFrame, object], pd.DataFrame]
+
+
 def map_with_catalogue(
     large: DataFrame,
     catalogue: DataFrame,
     prepare: Callable[[pd.DataFrame], object],
-    apply: Callable[[pd.DataFrame, object], pd.DataFrame],
+    apply: Apply,
     schema: str,
     row_bytes: Column,
     slice_key: str,
     block_key: list[str],
     limit: int = BROADCAST_LIMIT,
+    partial: Apply | None = None,
+    partial_schema: str | None = None,
 ) -> tuple[DataFrame, bool]:
-    """Rows of ``apply(batch, prepare(catalogue))`` and whether each batch saw it whole."""
-    size = measured_size(catalogue, row_bytes)
+    """Rows of ``apply(batch, prepare(catalogue))`` and whether each batch saw it whole.
+
+    When it did not, the rows are those of ``partial`` (default: of ``apply``)
+    per block, for the caller to merge.
+    """
+    kept = catalogue.persist(StorageLevel.MEMORY_AND_DISK)  # measured and read: derive it once
+    size = measured_size(kept, row_bytes)
     if size <= limit:
-        shared = large.sparkSession.sparkContext.broadcast(catalogue.toArrow().to_pandas())
+        shared = large.sparkSession.sparkContext.broadcast(kept.toArrow().to_pandas())
+        kept.unpersist()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prepared = prepare(shared.value)
@@ -58,19 +70,15 @@ def map_with_catalogue(
 
         return large.mapInPandas(run, schema), True
 
+    work = partial or apply
     blocks = math.ceil(2 * size / limit)
     slices = max(1, math.ceil(large.count() / SLICE_ROWS))
-    left = large.withColumn("_slice", F.pmod(F.xxhash64(slice_key), F.lit(slices))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")
-    )
-    right = catalogue.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(blocks))).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long")
-    )
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = large.withColumn("_slice", F.pmod(F.xxhash64(slice_key), F.lit(slices))).withColumn("_block", every(blocks))
+    right = kept.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(blocks))).withColumn("_slice", every(slices))
 
     def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        # an empty side yields an empty batch of the right columns
-        block = block.drop(columns=["_block", "_slice"])
-        return apply(batch.drop(columns=["_block", "_slice"]), prepare(block))
+        return work(batch.drop(columns=["_block", "_slice"]), prepare(block.drop(columns=["_block", "_slice"])))
 
     pairs = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
-    return pairs.applyInPandas(meet, schema), False
+    return pairs.applyInPandas(meet, partial_schema or schema), False

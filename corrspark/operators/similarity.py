@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corrspark import lexicon
 from corrspark.functions.vectors import cosine
-from corrspark.operators.blocks import BROADCAST_LIMIT, map_with_catalogue, measured_size, vector_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, map_with_catalogue, vector_bytes
 
 # The pattern fields that are scored.
 FIELDS = ("name", "description", "prerequisites", "resources_required", "mitigations", "skills_required")
@@ -185,8 +185,6 @@ def score_patterns(
     columns = [c for c in (key, vector, hits, wanted) if c]
     needed = queries.select(*columns).filter(F.col(vector).isNotNull())
     key_type = queries.schema[key].dataType.simpleString()
-    entries = catalogue.select("capec_id", "kind", "slot", "vector")
-    block_key = ["capec_id", "slot"]
 
     def fused(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
         total, steps = cat.partial(batch[vector], round_fields)
@@ -201,10 +199,10 @@ def score_patterns(
     def partials(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
         n, p = len(batch), len(cat.patterns)
         if not n or not p:
-            return pd.DataFrame({c: [] for c in ("k", "capec_id", "total", "n_fields", "steps", "n_steps")})
+            return pd.DataFrame({c: [] for c in (key, "capec_id", "total", "n_fields", "steps", "n_steps")})
         total, steps = cat.partial(batch[vector], round_fields)
         return pd.DataFrame({
-            "k": np.repeat(batch[key].to_numpy(), p),
+            key: np.repeat(batch[key].to_numpy(), p),
             "capec_id": np.tile(np.asarray(cat.patterns, dtype=object), n),
             "total": total.ravel(),
             "n_fields": np.tile(cat.n_fields, n),
@@ -212,18 +210,13 @@ def score_patterns(
             "n_steps": np.tile(cat.n_steps, n),
         })
 
-    schema = f"{key} {key_type}, model string, capec_id string, final_score double, rank int"
-    size = vector_bytes(F.col("vector"))
-    if measured_size(entries, size) <= limit:
-        rows, _ = map_with_catalogue(needed, entries, Catalogue, fused, schema, size, key, block_key, limit)
-        return rows
-
-    parts, _ = map_with_catalogue(
-        needed.select(key, vector), entries, Catalogue, partials,
-        f"k {key_type}, capec_id string, total double, n_fields long, steps double, n_steps long",
-        size, key, block_key, limit,
+    rows, whole = map_with_catalogue(
+        needed, catalogue.select("capec_id", "kind", "slot", "vector"), Catalogue, fused,
+        f"{key} {key_type}, model string, capec_id string, final_score double, rank int",
+        vector_bytes(F.col("vector")), key, ["capec_id", "slot"], limit,
+        partials, f"{key} {key_type}, capec_id string, total double, n_fields long, steps double, n_steps long",
     )
-    return _merge_partials(parts, needed, key, model, hits, top, wanted, flow_weight)
+    return rows if whole else _merge_partials(rows, needed, key, model, hits, top, wanted, flow_weight)
 
 
 def _hit_matrix(hits, patterns: list[str]) -> np.ndarray:
@@ -259,14 +252,14 @@ def _emit(batch, patterns, final, ranks, model, key, top, wanted) -> pd.DataFram
 
 def _merge_partials(parts, queries, key, model, hits, top, wanted, flow_weight) -> DataFrame:
     """The same result out of per-block sums; one query's group is one catalogue long."""
-    sums = parts.groupBy(F.col("k").alias(key), "capec_id").agg(
+    sums = parts.groupBy(key, "capec_id").agg(
         *[F.sum(c).alias(c) for c in ("total", "n_fields", "steps", "n_steps")]
     )
     flow = F.when(F.col("n_steps") > 0, F.col("steps") / F.col("n_steps")).otherwise(0.0)
     flow = F.round(flow, 3) if flow_weight > 1 else flow
     weight = F.when(F.col("_flow") != 0, flow_weight).otherwise(0)
-    mean = (F.col("total") / 1000 + F.col("_flow") * weight) / F.nullif(F.col("n_fields") + weight, F.lit(0))
-    scored = sums.withColumn("_flow", flow).withColumn("final_score", F.round(F.coalesce(mean, F.lit(0.0)), 3))
+    mean = (F.col("total") + F.col("_flow") * weight * 1000) / F.nullif(F.col("n_fields") + weight, F.lit(0))
+    scored = sums.withColumn("_flow", flow).withColumn("final_score", F.round(F.coalesce(mean, F.lit(0.0))) / 1000)
     ranked = rank_patterns(scored.withColumn("model", F.lit(model)), [key, "model"]).select(key, "model", "capec_id", "final_score", "rank")
     if hits:
         scores = queries.select(key, F.explode(hits).alias("h")).select(key, "h.capec_id", F.col("h.score").alias("keyword_score"))
@@ -339,9 +332,8 @@ def flow_scores(step_scores: DataFrame, keys: list[str], step: str, score: str,
 
 def final_scores(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
     """Mean of all present scores, each exact to a thousandth."""
-    exact = F.round(score, 3).cast("decimal(9,3)")
-    total = F.sum(exact).cast("double")
-    return scores.groupBy(*keys).agg(F.round(total / F.count(score), 3).alias("final_score"))
+    thousandths = F.sum(F.round(F.col(score) * 1000).cast("long"))
+    return scores.groupBy(*keys).agg((F.round(thousandths / F.count(score)) / 1000).alias("final_score"))
 
 
 def model_list(models: list[str]) -> list[str]:

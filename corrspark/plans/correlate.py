@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, functions as F
 
 from corrspark.operators import clean, keyword, links, similarity, tasks
-
-Encode = Callable[[DataFrame], DataFrame]
+from corrspark.plans.encode import Encode
 
 
 def pattern_texts(patterns: DataFrame, steps: DataFrame | None = None, fields=similarity.FIELDS, compat: bool = False) -> DataFrame:
@@ -38,8 +35,7 @@ def correlate(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, errors) of a task.
 
-    ``encoders`` maps a model name to a function from (text) rows to (text,
-    vector) rows. Ids that cannot be cleaned are returned as errors and do not
+    ``encoders`` maps a model name to an encoder (see plans.encode). Ids that cannot be cleaned are returned as errors and do not
     stop the rest. Results are rows of task, id, model, pattern, score and rank,
     for each model and its keyword variant.
     """
@@ -50,10 +46,8 @@ def correlate(
     parts = pattern_texts(active, steps, fields, compat)
     results = None
     for model, encode in encoders.items():
-        query_vectors = hits.join(encode(good.select("text").distinct()), "text")
-        known = encode(parts.select("text").filter(F.col("text").isNotNull()).distinct())
-        catalogue = parts.join(known, "text", "left")
-        rows = similarity.score_patterns(query_vectors, catalogue, model=model, hits="hits", top=top, flow_weight=flow_weight)
+        queries, catalogue = encode(hits), encode(parts)
+        rows = similarity.score_patterns(queries, catalogue, model=model, hits="hits", top=top, flow_weight=flow_weight)
         results = rows if results is None else results.unionByName(rows)
     errors = cleaned.filter(F.col("error").isNotNull()).select("cve_id", "error")
     return results.select(F.lit(task_id).alias("task_id"), "*"), errors.select(F.lit(task_id).alias("task_id"), "*")

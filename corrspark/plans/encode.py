@@ -1,8 +1,8 @@
 """Texts to vectors.
 
-Each distinct text is encoded once, whatever the number of rows that share it.
-An encoder is either a table of stored vectors, a callable over a list of
-texts, or the built-in hashed TF-IDF.
+An encoder is a function from rows with a ``text`` column to the same rows with a
+``vector`` column: stored vectors, a model loaded once per task, or the built-in
+hashed TF-IDF. All but the first are maps without a shuffle.
 """
 
 from __future__ import annotations
@@ -11,55 +11,67 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-Encoder = Callable[[list[str]], np.ndarray]
+Encode = Callable[[DataFrame], DataFrame]
+Model = Callable[[list[str]], np.ndarray]
 
 
-def distinct_texts(*frames: DataFrame) -> DataFrame:
-    """(text_hash, text): the distinct non-empty texts of frames with ``text``."""
-    union = None
-    for frame in frames:
-        part = frame.select("text").filter(F.col("text") != "")
-        union = part if union is None else union.unionByName(part)
-    return union.distinct().select(F.xxhash64("text").alias("text_hash"), "text")
+def stored(vectors: DataFrame) -> Encode:
+    """Vectors from a table of (text, vector)."""
+    return lambda rows: rows.join(vectors.select("text", "vector"), "text", "left")
 
 
-def encode_with(texts: DataFrame, load: Callable[[], Encoder], batch_size: int = 64) -> DataFrame:
-    """(text, vector): ``load`` builds the encoder once per task."""
+def encode_with(load: Callable[[], Model], batch_size: int = 64) -> Encode:
+    """``load`` builds the model once per task; equal texts of a batch are encoded once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = load()
+        model = load()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch["text"].iloc[start : start + batch_size].tolist()
-                vectors = np.asarray(encoder(part), dtype=np.float32)
-                yield pd.DataFrame({"text": part, "vector": list(vectors)})
+            known = batch["text"].dropna().unique().tolist()
+            vectors: dict[str, np.ndarray] = {}
+            for start in range(0, len(known), batch_size):
+                part = known[start : start + batch_size]
+                vectors.update(zip(part, np.asarray(model(part), dtype=np.float32)))
+            yield batch.assign(vector=pd.Series([vectors.get(t) for t in batch["text"]], index=batch.index, dtype=object))
 
-    return texts.select("text").mapInPandas(run, "text string, vector array<float>")
+    def apply(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))]))
 
+    return apply
 
-def encode_hashed(texts: DataFrame, dim: int = 256) -> DataFrame:
-    """(text, vector): hashed TF-IDF, the same on every run and partitioning.
 
-    Counts per text and bucket, document frequencies per bucket (at most ``dim``
-    rows, so the join side is bounded), then the vectors.
+def encode_once(encode: Encode) -> Encode:
+    """Encode each distinct text once and join the vectors back.
+
+    Worth its shuffle when the model is slow and texts repeat across the table.
+    """
+
+    def apply(rows: DataFrame) -> DataFrame:
+        distinct = rows.select("text").filter(F.col("text").isNotNull()).distinct()
+        return stored(encode(distinct))(rows)
+
+    return apply
+
+
+def encode_hashed(dim: int = 256) -> Encode:
+    """Hashed TF-IDF over the words of the rows, the same on every run.
+
+    Document frequencies are those of the first rows encoded, so that queries and
+    patterns share one weighting; fitting them is one aggregate of ``dim`` counts.
     """
-    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    tokens = texts.select("text", token.alias("w")).select("text", F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int").alias("b"))
-    tf = tokens.groupBy("text", "b").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("b").agg(F.count(F.lit(1)).alias("df"))
-    n = texts.agg(F.count(F.lit(1)).alias("n"))
-    idf = df.withColumn("_one", F.lit(1)).join(n.withColumn("_one", F.lit(1)), "_one").select(
-        "b", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")
-    )
-    weighted = tf.join(F.broadcast(idf), "b").select("text", "b", (F.col("tf") * F.col("idf")).alias("w"))
-    entries = weighted.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
-    slots = F.sequence(F.lit(0), F.lit(dim - 1))
-    vector = F.transform(slots, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
-    return entries.select("text", vector.alias("vector"))
-
-
-def attach(rows: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Rows with the vector of their text."""
-    return rows.join(vectors, "text")
+    fitted: list = []
+
+    def apply(rows: DataFrame) -> DataFrame:
+        words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+        counts = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(rows.withColumn("_words", words))
+        if not fitted:
+            fitted.append(IDF(inputCol="_tf", outputCol="_tfidf").fit(counts))
+        weighted = fitted[0].transform(counts)
+        vector = F.when(F.col("text").isNotNull(), vector_to_array("_tfidf", "float32"))
+        return weighted.withColumn("vector", vector).drop("_words", "_tf", "_tfidf")
+
+    return apply

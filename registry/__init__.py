@@ -1,4 +1,4 @@
 """All named queries; importing a module registers its queries."""
 
-from registry import texts  # noqa: F401
+from registry import quality, scores, texts  # noqa: F401
 from registry.base import ORACLES, QUERIES  # noqa: F401
