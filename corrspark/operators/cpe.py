@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -84,10 +85,12 @@ def product_of(uri: Column) -> Column:
 # --- matching --------------------------------------------------------------
 
 
+@lru_cache(W.CACHE_WORDS)
 def exact_pattern(term: str) -> re.Pattern:
     return re.compile(rf"\b{re.escape(term.lower())}\b", re.IGNORECASE)
 
 
+@lru_cache(W.CACHE_WORDS)
 def partial_patterns(vendor: str, product: str) -> list[re.Pattern]:
     """Near spellings of a product name.
 
@@ -105,18 +108,17 @@ def partial_patterns(vendor: str, product: str) -> list[re.Pattern]:
     return [re.compile(s, re.IGNORECASE) for s in shapes]
 
 
-def split_patterns(word: str) -> list[re.Pattern]:
-    """A word broken by blanks into two or three parts."""
-    if " " in word:
-        return []
-    cuts = [(i,) for i in range(1, len(word))] + [(i, j) for i in range(1, len(word)) for j in range(i + 1, len(word))]
-    cuts.sort(key=lambda c: (c[0], len(c), c))
-    broken = [[re.escape(word[a:b]) for a, b in zip((0, *c), (*c, len(word)))] for c in cuts]
-    return [re.compile(rf"\b{gap_join(p)}\b", re.IGNORECASE) for p in broken]
+@lru_cache(W.CACHE_WORDS)
+def spread_pattern(word: str) -> re.Pattern:
+    """A word whose letters may be set apart by blanks."""
+    return re.compile(r"\b" + r"\s*".join(map(re.escape, word)) + r"\b", re.IGNORECASE)
 
 
-def gap_join(parts: list[str]) -> str:
-    return r"\s+".join(parts)
+def replace_split(text: str, word: str, replacement: str) -> str:
+    """Replace a word that blanks break into two or three parts."""
+    if len(word) < 2 or " " in word:
+        return text
+    return spread_pattern(word).sub(lambda m: replacement if len(m.group().split()) in (2, 3) else m.group(), text)
 
 
 def spans(pattern: re.Pattern, text: str) -> list[tuple[str, int, int]]:
@@ -186,7 +188,7 @@ def fuzzy_span_matches(text: Column, term: Column, threshold: int = 70) -> Colum
 def replace_split_word(text: Column, word: Column, replacement: str) -> Column:
     @F.pandas_udf("string")
     def run(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _replace_split(t, w, replacement) for t, w in zip(texts, wanted)], dtype=object)
+        return pd.Series([None if t is None else replace_split(t, w, replacement) for t, w in zip(texts, wanted)], dtype=object)
 
     return run(text, word)
 
@@ -219,12 +221,6 @@ def fuzzy_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
 # --- masking ---------------------------------------------------------------
 
 
-def _replace_split(text: str, word: str, replacement: str) -> str:
-    for pattern in split_patterns(word):
-        text = pattern.sub(lambda _: replacement, text)
-    return text
-
-
 def _replace_spans(text: str, found: list[tuple[str, int, int]], replacement: str) -> str:
     for _, start, length in sorted(found, key=lambda s: -s[1]):
         text = text[:start] + replacement + text[start + length :]
@@ -266,8 +262,8 @@ def mask_text(text: str, uris: list[str]) -> str:
         text = _replace_spans(text, fuzzy_words(product, text), label)
         for pattern in partial_patterns("", product):
             text = pattern.sub(mask, text)
-        text = _replace_split(text, vendor, "")
-        text = _replace_split(text, product, label)
+        text = replace_split(text, vendor, "")
+        text = replace_split(text, product, label)
         for target in details["target_sw"]:
             text = text.replace(target.lower(), "software")
         for field in DETAIL_FIELDS:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corrspark.operators import clean, keyword, links, similarity, tasks
 from corrspark.plans.encode import Encode
+from corrspark.session import materialise
 
 
 def pattern_texts(patterns: DataFrame, steps: DataFrame | None = None, fields=similarity.FIELDS, compat: bool = False) -> DataFrame:
@@ -43,11 +44,13 @@ def correlate(
     cleaned = clean.clean_requested(requests, cves, options)
     good = cleaned.filter(F.col("error").isNull()).select("cve_id", "text")
     hits = keyword.keyword_hits(good, pattern_keywords(active), keep=("text",), compat=compat)
+    if len(encoders) > 1:  # every model reads the cleaned texts and their hits
+        hits = materialise(hits, "hits")
     parts = pattern_texts(active, steps, fields, compat)
     results = None
     for model, encode in encoders.items():
-        queries, catalogue = encode(hits), encode(parts)
-        rows = similarity.score_patterns(queries, catalogue, model=model, hits="hits", top=top, flow_weight=flow_weight)
+        catalogue = encode(parts)  # first: an encoder that fits itself fits on the patterns
+        rows = similarity.score_patterns(encode(hits), catalogue, model=model, hits="hits", top=top, flow_weight=flow_weight)
         results = rows if results is None else results.unionByName(rows)
     errors = cleaned.filter(F.col("error").isNotNull()).select("cve_id", "error")
     return results.select(F.lit(task_id).alias("task_id"), "*"), errors.select(F.lit(task_id).alias("task_id"), "*")

@@ -15,8 +15,8 @@ GENERIC_HOST = "Generic"
 
 def ids_from_text(df: DataFrame, col: str) -> DataFrame:
     """Distinct well-formed ids out of comma-separated text."""
-    part = strip(F.explode(F.split(F.col(col), ",")))
-    return df.select(part.alias("cve_id")).filter(is_cve_id(F.col("cve_id"))).distinct()
+    parts = F.transform(F.split(F.col(col), ","), strip)
+    return df.select(F.explode(parts).alias("cve_id")).filter(is_cve_id(F.col("cve_id"))).distinct()
 
 
 def ids_from_cells(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
