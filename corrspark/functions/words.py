@@ -150,7 +150,7 @@ def stem(word: str) -> str:
 
 # Noun plurals that no suffix rule covers.
 IRREGULAR_NOUNS = {
-    "children": "child", "people": "people", "feet": "foot", "teeth": "tooth",
+    "men": "man", "children": "child", "people": "people", "feet": "foot", "teeth": "tooth",
     "mice": "mouse", "geese": "goose", "indices": "index", "vertices": "vertex",
     "matrices": "matrix", "criteria": "criterion", "analyses": "analysis", "data": "data",
     "phenomena": "phenomenon", "has": "ha", "was": "wa",

@@ -66,7 +66,9 @@ def map_with_catalogue(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prepared = prepare(shared.value)
             for batch in batches:
-                yield apply(batch, prepared)
+                out = apply(batch, prepared)
+                if len(out):
+                    yield out
 
         return large.mapInPandas(run, schema), True
 
@@ -78,7 +80,10 @@ def map_with_catalogue(
     right = kept.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(blocks))).withColumn("_slice", every(slices))
 
     def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return work(batch.drop(columns=["_block", "_slice"]), prepare(block.drop(columns=["_block", "_slice"])))
+        if not len(batch) or not len(block):
+            return pd.DataFrame()
+        out = work(batch.drop(columns=["_block", "_slice"]), prepare(block.drop(columns=["_block", "_slice"])))
+        return out if len(out) else pd.DataFrame()
 
     pairs = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
     return pairs.applyInPandas(meet, partial_schema or schema), False

@@ -198,8 +198,6 @@ def score_patterns(
 
     def partials(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
         n, p = len(batch), len(cat.patterns)
-        if not n or not p:
-            return pd.DataFrame({c: [] for c in (key, "capec_id", "total", "n_fields", "steps", "n_steps")})
         total, steps = cat.partial(batch[vector], round_fields)
         return pd.DataFrame({
             key: np.repeat(batch[key].to_numpy(), p),
@@ -302,8 +300,8 @@ def field_scores(
     key_type = queries.schema[key].dataType.simpleString()
 
     def rows(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
-        if not len(batch) or cat.field_units is None:
-            return pd.DataFrame({c: [] for c in (key, "capec_id", "field", "score")})
+        if cat.field_units is None:
+            return pd.DataFrame()
         scores = half_up(_units(batch[vector]) @ cat.field_units.T * 1000) / 1000
         n, m = scores.shape
         return pd.DataFrame({

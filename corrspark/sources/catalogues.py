@@ -31,7 +31,7 @@ def cwe_header(spark: SparkSession, path: str) -> DataFrame:
 
 def _texts(col: Column) -> Column:
     """Cleaned inner text of each item; a missing list is empty."""
-    return F.coalesce(F.transform(col, inner_text), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(col, lambda x: inner_text(x)), F.array().cast("array<string>"))
 
 
 def _plain(col: Column) -> Column:
