@@ -85,11 +85,11 @@ def chart_recall(ranks: DataFrame, k_max: int = 20, first_model: str | None = No
     bars = histogram(ranks)
     sizes = bars.groupBy("model").agg(F.sum("n").alias("total"))
     chosen = sizes.filter(F.col("model") == first_model) if first_model else sizes
-    base = chosen.agg(F.min_by("total", "model").alias("total")).withColumn("_one", F.lit(1))
+    total = chosen.agg(F.min_by("total", "model")).scalar()
     inside = bars.filter(F.col("rank") <= k_max).withColumn("k", F.explode(F.sequence(F.greatest(F.col("rank").cast("int"), F.lit(1)), F.lit(k_max))))
     hits = inside.groupBy("model", "k").agg(F.sum("n").alias("hits"))
-    grid = sizes.select("model", F.lit(1).alias("_one"), F.explode(F.sequence(F.lit(1), F.lit(k_max))).alias("k"))
-    rows = grid.join(F.broadcast(base), "_one").join(hits, ["model", "k"], "left")
+    grid = sizes.select("model", F.explode(F.sequence(F.lit(1), F.lit(k_max))).alias("k"))
+    rows = grid.join(hits, ["model", "k"], "left").withColumn("total", total)
     return rows.select("model", "k", F.coalesce(_share(F.coalesce("hits", F.lit(0)), F.col("total")), F.lit(0.0)).alias("recall"))
 
 
@@ -139,10 +139,9 @@ def ordered_report(report: DataFrame, key: str = "cve_id") -> DataFrame:
 
 def report_totals(report: DataFrame, truth: DataFrame, key: str = "cve_id") -> DataFrame:
     """One row: queries in the truth, queries matched, pairs reported."""
-    listed = truth.select(key).distinct().agg(F.count(F.lit(1)).alias("truth_queries"))
+    listed = truth.agg(F.count_distinct(key)).scalar()
     seen = report.agg(F.count_distinct(key).alias("matched_queries"), F.count(F.lit(1)).alias("pairs"))
-    one = F.lit(1).alias("_one")
-    return listed.select("*", one).join(seen.select("*", one), "_one").drop("_one")
+    return seen.select(listed.alias("truth_queries"), "matched_queries", "pairs")
 
 
 def report_stats(report: DataFrame, models: list[str], cuts: tuple[int, ...] = CUTS) -> DataFrame:

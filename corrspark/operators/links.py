@@ -48,13 +48,12 @@ def related_patterns(mentions: DataFrame, patterns: DataFrame) -> DataFrame:
 def search(table: DataFrame, key: str, query: str) -> DataFrame:
     """The exact match, or else every row whose key starts with the query.
 
-    One scan: the prefix filter (pushed to the source) covers both cases, and
-    the flag is a one-row aggregate, so no count reaches the driver.
+    The prefix filter, pushed to the source, covers both cases; whether an exact
+    match exists is a scalar subquery, so no count reaches the driver.
     """
     found = table.filter(F.startswith(F.col(key), F.lit(query)))
-    exact = found.agg(F.coalesce(F.bool_or(F.col(key) == query), F.lit(False)).alias("_exact"))
-    flagged = found.withColumn("_one", F.lit(1)).join(F.broadcast(exact.withColumn("_one", F.lit(1))), "_one")
-    return flagged.filter(~F.col("_exact") | (F.col(key) == query)).select(*table.columns)
+    exact = found.agg(F.coalesce(F.bool_or(F.col(key) == query), F.lit(False))).scalar()
+    return found.filter((F.col(key) == query) | ~exact)
 
 
 def suggestions(table: DataFrame, key: str, query: str, detail: Column | None = None, limit: int = 10) -> DataFrame:

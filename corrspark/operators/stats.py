@@ -115,10 +115,8 @@ def pattern_totals(patterns: DataFrame, steps: DataFrame) -> DataFrame:
         F.count_if(flow).alias("with_flow"),
         (F.count_if(~dead) - F.count_if(flow)).alias("without_flow"),
         F.count_if(~dead & ~flow).alias("valid_without_flow"),
-        F.lit(1).alias("_one"),
     )
-    n_steps = steps.agg(F.count(F.lit(1)).alias("steps"), F.lit(1).alias("_one"))
-    return counts.join(n_steps, "_one").drop("_one")
+    return counts.withColumn("steps", steps.agg(F.count(F.lit(1))).scalar())
 
 
 def steps_per_flow(flows: DataFrame, steps: DataFrame, key: str = "capec_id") -> DataFrame:

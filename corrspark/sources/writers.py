@@ -69,13 +69,11 @@ def is_fresh(stamp: Column, last_update: Column) -> Column:
 def statistics(spark: SparkSession, path: str, name: str, control: DataFrame, entity: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Stored statistics while fresh, else built and stored again."""
     target = f"{path.rstrip('/')}/{name}"
-    last = control.filter(F.col("name") == entity).agg(F.max("last_update").alias("last"))
+    last = control.filter(F.col("name") == entity).agg(F.max("last_update")).scalar()
     try:
         stored = spark.read.json(target)
         stamp = stored.agg(F.max(F.to_timestamp("timestamp")).alias("stamp"))
-        one = F.lit(1).alias("_one")
-        state = stamp.select("*", one).join(last.select("*", one), "_one")
-        if state.select(is_fresh(F.col("stamp"), F.col("last")).alias("ok")).first()["ok"]:
+        if stamp.select(is_fresh(F.col("stamp"), last).alias("ok")).first()["ok"]:
             return stored
     except AnalysisException:
         pass

@@ -233,9 +233,9 @@ SELECT s.event_type, s.stamp >= l.last AS fresh FROM (SELECT event_type, max(ts)
 """)
 def statistics_freshness(spark, folder):
     rows = table(spark, folder, "events")
-    last = rows.filter(F.col("event_type") == "click").agg(F.max("ts").alias("last")).withColumn("one", F.lit(1))
-    stamps = rows.groupBy("event_type").agg(F.max("ts").alias("stamp")).withColumn("one", F.lit(1))
-    return stamps.join(last, "one").select("event_type", writers.is_fresh(F.col("stamp"), F.col("last")).alias("fresh"))
+    last = rows.filter(F.col("event_type") == "click").agg(F.max("ts")).scalar()
+    stamps = rows.groupBy("event_type").agg(F.max("ts").alias("stamp"))
+    return stamps.select("event_type", writers.is_fresh(F.col("stamp"), last).alias("fresh"))
 
 
 # --- links and lookups -----------------------------------------------------

@@ -117,9 +117,12 @@ def hybrid_rank(spark, folder):
     return ranked(spark, folder)
 
 
-@query("hybrid_rank_joined", f"WITH {RANKED} SELECT * FROM ranked")
+_JOINED = RANKED.replace("WHEN h.label IS NULL THEN -10", "WHEN b.cve_id NOT IN (SELECT doc_id FROM documents) THEN 0 WHEN h.label IS NULL THEN -10")
+
+
+@query("hybrid_rank_joined", f"WITH {_JOINED} SELECT * FROM ranked")
 def hybrid_rank_joined(spark, folder):
-    """The hybrid as a join of two score tables."""
+    """The hybrid as a join of two score tables; a vector without text scores zero."""
     base = similarity.score_patterns(queries_of(spark, folder), catalogue(spark, folder))
     scores = keyword.keyword_scores(texts(spark, folder), keywords(spark, folder), stages=("exact",), acronyms={})
     return similarity.fuse_keyword(base, scores, ["cve_id"])
