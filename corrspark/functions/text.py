@@ -114,8 +114,19 @@ def genitive(col: Column) -> Column:
 # --- software specific steps -----------------------------------------------
 
 
+def version_pattern() -> str:
+    """The version phrases as one alternation.
+
+    Nearly all start at a word boundary, so the boundary and the letters that can
+    follow it are tested once per position instead of once per phrase.
+    """
+    bounded = [p[2:] for p in lexicon.VERSION_PHRASES if p.startswith(r"\b")]
+    others = [p for p in lexicon.VERSION_PHRASES if not p.startswith(r"\b")]
+    return rf"(?i)(?:\b(?=[{lexicon.VERSION_STARTS}])(?:{'|'.join(bounded)})|{'|'.join(others)})"
+
+
 def remove_versions(col: Column) -> Column:
-    col = sub(col, "(?i)(" + "|".join(lexicon.VERSION_PHRASES) + ")")
+    col = sub(col, version_pattern())
     col = sub(col, r"\s*,\s*", ", ")
     return sub(collapse_runs(col), r"\s*,\s*$")
 

@@ -77,12 +77,14 @@ class Finder:
 class Normaliser:
     """Text to its compared form: (lower-cased text, content stems)."""
 
-    def __init__(self, stopwords, acronyms, lemma, stem):
+    def __init__(self, stopwords, acronyms, lemma, stem, stems: bool = True):
         self.stop, self.acronyms = frozenset(stopwords), Acronyms(acronyms)
-        self.lemma, self.stem = lemma, stem
+        self.lemma, self.stem, self.stems = lemma, stem, stems
 
     def __call__(self, uniform: str) -> tuple[str, list[str]]:
         text = self.acronyms(uniform)
+        if not self.stems:
+            return text.lower(), []
         kept = " ".join(w for w in text.split() if w.lower() not in self.stop)
         lemmas = W.tokens(kept) if self.lemma is None else [self.lemma(t) for t in W.tokens(kept)]
         return text.lower(), [t.lower() if self.stem is None else self.stem(t) for t in lemmas]
@@ -185,7 +187,7 @@ STAGES = ("exact", "stemmed", "partial")
 
 
 def _options(stages, stopwords, acronyms, lemma, stem, compat):
-    normalise = Normaliser(stopwords, acronyms, lemma, stem)
+    normalise = Normaliser(stopwords, acronyms, lemma, stem, stems=set(stages) != {"exact"} or compat)
     return lambda rows: KeywordIndex(rows, normalise, stages, compat)
 
 

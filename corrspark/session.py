@@ -25,6 +25,16 @@ def build_session(app: str = "corrspark", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a part of a scan that comes in fewer splits than cores.
+
+    Only small or unsplittable files are moved, by a hash of the key; a table in
+    many splits, as any large one is, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corrspark.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,3 +28,12 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts, on all cores: cleaning and matching them is the work."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
+def line_items(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "lineitem"), "l_orderkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrspark.operators import cpe
-from registry.base import query, table
+from registry.base import documents, line_items, query, table
 
 _part = "CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'h' WHEN 'R' THEN 'o' END"
 _uri = (
@@ -19,7 +19,7 @@ parts AS (SELECT *, string_split(uri, ':') AS p FROM uris)"""
 
 
 def uris(spark, folder):
-    rows = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = line_items(spark, folder).join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select("l_orderkey", "l_linenumber", F.expr(_uri).alias("uri"), F.expr("l_orderkey * 10 + l_linenumber").alias("pos"))
 
@@ -66,7 +66,7 @@ SELECT doc_id, len([w FOR w IN words IF w = words[1]]) AS n FROM t
 def cpe_exact_matches(spark, folder):
     """Occurrences of each document's first word."""
     word = F.get(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), F.lit(0))
-    rows = table(spark, folder, "documents").withColumn("word", word)
+    rows = documents(spark, folder).withColumn("word", word)
     return rows.select("doc_id", F.size(cpe.exact_matches(F.col("text"), F.coalesce("word", F.lit("\x01")))).alias("n"))
 
 
@@ -74,7 +74,7 @@ _sentence = "'A flaw in ' || s_name || ' ' || split_part(p_name, ' ', 1) || ' '
 
 
 def sentences(spark, folder):
-    rows = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = line_items(spark, folder).join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select("l_orderkey", "l_linenumber", "s_name", "p_name", F.expr(_sentence).alias("text"), F.expr(_uri).alias("uri"))
 
@@ -93,7 +93,7 @@ def cpe_partial_matches(spark, folder):
 @query("cpe_fuzzy_terms")
 def cpe_fuzzy_terms(spark, folder):
     words = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
-    return cpe.fuzzy_terms(table(spark, folder, "documents"), "doc_id", "text", words, "word")
+    return cpe.fuzzy_terms(documents(spark, folder), "doc_id", "text", words, "word")
 
 
 @query("cpe_fuzzy_matches")

@@ -8,7 +8,7 @@ from corrspark.functions.vectors import norm
 from corrspark.operators import keyword, similarity, tasks
 from corrspark.plans import correlate, encode
 from registry import sql_text as S
-from registry.base import query, table
+from registry.base import documents, query, table
 
 MODELS = ["vector", "vector_keyword"]
 
@@ -56,7 +56,7 @@ def keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("cve_id"), "text")
+    return documents(spark, folder).select(F.col("doc_id").alias("cve_id"), "text")
 
 
 def ranked(spark: SparkSession, folder: str, top: int | None = None) -> DataFrame:
@@ -306,7 +306,7 @@ def encode_hashed(spark, folder):
 @query("text_correlation")
 def text_correlation(spark, folder):
     """The whole plan on texts: clean, keywords, vectors, fusion, ranks."""
-    cves = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    cves = documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
     requests = table(spark, folder, "documents").select(F.col("doc_id").alias("cve_id"))
     items = table(spark, folder, "benchmark")
     nothing = F.lit("")

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corrspark.functions import text as T
 from corrspark.operators import clean
 from registry import sql_text as S
-from registry.base import query, table
+from registry.base import documents, query, table
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return documents(spark, folder).select("doc_id", "text")
 
 
 def register_step(name: str, step, sql) -> None:
@@ -257,5 +257,5 @@ def clean_requested(spark, folder):
         table(spark, folder, "orders").select(F.col("o_orderkey").alias("cve_id"))
     )
     text = F.when(F.col("lang") == "en", F.col("text")).otherwise("")
-    cves = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), text.alias("description"))
+    cves = documents(spark, folder).select(F.col("doc_id").alias("id"), text.alias("description"))
     return clean.clean_requested(ids, cves)
