@@ -56,7 +56,8 @@ def lowercase(col: Column) -> Column:
 
 def remove_puncts(col: Column) -> Column:
     bare = F.translate(col, ";,", "")
-    return collapse_all(sub(bare, r"(?<=\w)\.(?=\s+[A-Z])"))
+    # the dot comes first in dot patterns: what surrounds it is only looked at there
+    return collapse_all(sub(bare, r"\.(?<=\w\.)(?=\s+[A-Z])"))
 
 
 def remove_space_newline(col: Column) -> Column:
@@ -74,7 +75,7 @@ def remove_digits(col: Column) -> Column:
 def remove_punctuation(col: Column, preserve_file_extensions: bool = True) -> Column:
     doomed = string.punctuation.replace("-", "").replace("/", "")
     if preserve_file_extensions:
-        col = sub(col, r"(?<!\w)\.(?!\w)")
+        col = sub(col, r"\.(?<!\w\.)(?!\w)")
         doomed = doomed.replace(".", "")
     # translate() maps the first two characters to blanks and drops the others
     return F.translate(col, "-/" + doomed, "  ")
@@ -234,8 +235,8 @@ def inner_text(col: Column, tags: str = "xhtml:[^>]*") -> Column:
 
 def uniform_string(col: Column) -> Column:
     """Canonical spelling used on both sides of a keyword comparison."""
-    col = sub(col, r"(?<!\w)\.(?!\w{2,4})", " ")
-    col = sub(col, r"(?<!\d)\.(?!\d)", " ")
+    col = sub(col, r"\.(?<!\w\.)(?!\w{2,4})", " ")
+    col = sub(col, r"\.(?<!\d\.)(?!\d)", " ")
     return collapse_all(F.lower(F.translate(col, "_-/(),;", "       ")))
 
 

@@ -51,13 +51,13 @@ def aggregate_uris(df: DataFrame, uri: str, keys: tuple[str, ...] = (), pos: str
     order = F.col(pos).cast("long") if pos else F.lit(0).cast("long")
     group = [*keys, "part", "vendor", "product"]
     details = F.array(*[F.struct(F.lit(f).alias("f"), field(f).alias("v")) for f in DETAIL_FIELDS])
+    details = F.filter(details, lambda d: ~d["v"].isin("*", "-"))
     long_rows = rows.select(
-        *keys, *[field(f).alias(f) for f in ("part", "vendor", "product")], order.alias("_o"), F.explode(details).alias("d")
+        *keys, *[field(f).alias(f) for f in ("part", "vendor", "product")], order.alias("_o"), F.explode_outer(details).alias("d")
     )
     first = long_rows.groupBy(*group, F.col("d.f").alias("f"), F.col("d.v").alias("v")).agg(F.min("_o").alias("_o"))
-    value = F.when(~F.col("v").isin("*", "-"), F.struct("_o", "v"))
     lists = [
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, value))), lambda s: s["v"]).alias(f"{f}s")
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct("_o", "v")))), lambda s: s["v"]).alias(f"{f}s")
         for f in DETAIL_FIELDS
     ]
     return first.groupBy(*group).agg(F.min("_o").alias("first_pos"), *lists)
