@@ -16,6 +16,16 @@ CACHE_WORDS = 1 << 18
 TOKEN = re.compile(r"\w+(?:[.\-]\w+)*|[^\w\s]")
 VOWELS = frozenset("aeiou")
 
+
+def _by_last(table) -> dict[str, list]:
+    """Suffix rules by last letter, in table order: most words try few of them."""
+    out: dict[str, list] = {}
+    for rule in table:
+        suffix = rule if isinstance(rule, str) else rule[0]
+        out.setdefault(suffix[-1], []).append(rule)
+    return out
+
+
 # Words the stemmer does not derive by rule.
 IRREGULAR_STEMS = {
     "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
@@ -40,6 +50,7 @@ STEP4 = (
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
     "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
+STEP2, STEP3, STEP4 = _by_last(STEP2), _by_last(STEP3), _by_last(STEP4)
 
 
 def _shape(word: str) -> str:
@@ -99,7 +110,7 @@ def _past(w: str) -> str:
 
 
 def _swap(w: str, table, least: int = 0) -> str:
-    for suffix, new in table:
+    for suffix, new in table.get(w[-1:], ()):
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             return stem + new if _measure(stem) > least else w
@@ -115,7 +126,7 @@ def _derive(w: str) -> str:
 
 
 def _drop(w: str) -> str:
-    for suffix in STEP4:
+    for suffix in STEP4.get(w[-1:], ()):
         if w.endswith(suffix) and not (suffix == "ent" and w.endswith("ment")):
             stem = w[: -len(suffix)]
             fits = _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t"))

@@ -56,11 +56,10 @@ def aggregate_uris(df: DataFrame, uri: str, keys: tuple[str, ...] = (), pos: str
         *keys, *[field(f).alias(f) for f in ("part", "vendor", "product")], order.alias("_o"), F.explode_outer(details).alias("d")
     )
     first = long_rows.groupBy(*group, F.col("d.f").alias("f"), F.col("d.v").alias("v")).agg(F.min("_o").alias("_o"))
-    lists = [
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("f") == f, F.struct("_o", "v")))), lambda s: s["v"]).alias(f"{f}s")
-        for f in DETAIL_FIELDS
-    ]
-    return first.groupBy(*group).agg(F.min("_o").alias("first_pos"), *lists)
+    entries = F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "_o", "v")))).alias("_e")
+    gathered = first.groupBy(*group).agg(F.min("_o").alias("first_pos"), entries)
+    of_field = lambda f: F.transform(F.filter("_e", lambda e: e["f"] == f), lambda e: e["v"])
+    return gathered.select(*group, "first_pos", *[of_field(f).alias(f"{f}s") for f in DETAIL_FIELDS])
 
 
 def part_label(part: Column) -> Column:

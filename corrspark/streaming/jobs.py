@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
-from corrspark.operators.upsert import last_per_key, upsert
+from corrspark.operators.upsert import last_per_key
 from corrspark.session import scratch_dir
 from corrspark.sources.writers import read_snapshot, write_snapshot
 
@@ -15,27 +17,49 @@ from corrspark.sources.writers import read_snapshot, write_snapshot
 def upsert_stream(
     stream: DataFrame, root: str, keys: list[str], order: list[str], checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Apply each micro-batch to a snapshot table; the greatest order per key wins.
+    """Add each micro-batch to the log of a table; see ``current`` for its rows.
 
-    The order columns are stored, so an earlier row that arrives late does not
-    replace a later one, and a replayed batch changes nothing.
+    A batch costs what it holds, not what the table holds: it is reduced to one
+    row per key and written to a folder named by the run and the batch, so a
+    replayed batch overwrites itself.
     """
-    columns = stream.columns
+    mark = checkpoint or scratch_dir(stream.sparkSession, "upsert")
+    run = hashlib.sha1(mark.encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = read_snapshot(spark, root)
-        rows = batch if old is None else old.select(*columns).unionByName(batch)
-        write_snapshot(last_per_key(rows, keys, order), root)
+        path = f"{root.rstrip('/')}/log/run={run}/batch={batch_id}"
+        last_per_key(batch, keys, order).write.mode("overwrite").parquet(path)
 
     return (
         stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint or scratch_dir(stream.sparkSession, "upsert"))
+        .option("checkpointLocation", mark)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def current(spark: SparkSession, root: str, keys: list[str], order: list[str]) -> DataFrame | None:
+    """The rows of a streamed table: the last of its snapshot and its log per key.
+
+    The order columns decide, not arrival: a row that arrives late does not
+    replace a later one, and a repeated row changes nothing.
+    """
+    base = read_snapshot(spark, root)
+    try:
+        log = spark.read.parquet(f"{root.rstrip('/')}/log").drop("run", "batch")
+    except AnalysisException:
+        return base
+    return last_per_key(log if base is None else base.unionByName(log), keys, order)
+
+
+def compact(spark: SparkSession, root: str, new_root: str, keys: list[str], order: list[str]) -> str:
+    """Write the current rows as the snapshot of a new table root.
+
+    The stream is then started on the new root with its old checkpoint.
+    """
+    return write_snapshot(current(spark, root, keys, order), new_root)
+
+
 def feed_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json") -> DataFrame:
     """Feed files as they land, each picked up once."""
     reader = spark.readStream.schema(schema).format(fmt)
@@ -70,9 +94,3 @@ def request_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def snapshot_of(df: DataFrame, root: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Batch twin of upsert_stream, used to check that both agree."""
-    old = read_snapshot(df.sparkSession, root)
-    return last_per_key(df, keys, order) if old is None else upsert(old, df, keys, order)

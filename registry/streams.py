@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrspark.session import scratch_dir
-from corrspark.sources.writers import read_snapshot
 from corrspark.streaming import jobs
 from registry.base import query, table
 
@@ -22,7 +21,7 @@ def stream_upsert(spark, folder):
     rows = stream(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
     root = scratch_dir(spark, "snapshot")
     jobs.upsert_stream(rows, root, ["user_id"], ["event_id"]).awaitTermination()
-    return read_snapshot(spark, root)
+    return jobs.current(spark, root, ["user_id"], ["event_id"])
 
 
 @query("stream_requests", "SELECT DISTINCT event_type AS task_id, user_id AS cve_id, c_name FROM events JOIN customer ON c_custkey = user_id")

@@ -113,13 +113,21 @@ def test_stream_equals_batch(spark, tmp_path, rows):
         spark.createDataFrame(data[part * 50 : part * 50 + 50], "k int, o int, v string").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("k int, o int, v string").option("maxFilesPerTrigger", 1).parquet(source)
     root, mark = str(tmp_path / "out"), str(tmp_path / "mark")
-    jobs.upsert_stream(stream, root, ["k"], ["o"], mark).awaitTermination()
-    batch = upsert.last_per_key(spark.read.parquet(source), ["k"], ["o"])
-    assert rows(writers.read_snapshot(spark, root)) == rows(batch)
+    keys, order = ["k"], ["o"]
+    jobs.upsert_stream(stream, root, keys, order, mark).awaitTermination()
+    want = rows(upsert.last_per_key(spark.read.parquet(source), keys, order))
+    assert rows(jobs.current(spark, root, keys, order)) == want
     # a second run finds nothing new, and a replay of all rows changes nothing
-    jobs.upsert_stream(stream, root, ["k"], ["o"], mark).awaitTermination()
-    jobs.upsert_stream(stream, root, ["k"], ["o"], str(tmp_path / "again")).awaitTermination()
-    assert rows(writers.read_snapshot(spark, root)) == rows(batch)
+    jobs.upsert_stream(stream, root, keys, order, mark).awaitTermination()
+    jobs.upsert_stream(stream, root, keys, order, str(tmp_path / "again")).awaitTermination()
+    assert rows(jobs.current(spark, root, keys, order)) == want
+    # compacted, the table goes on from its snapshot
+    fresh = str(tmp_path / "compacted")
+    jobs.compact(spark, root, fresh, keys, order)
+    assert rows(jobs.current(spark, fresh, keys, order)) == want
+    spark.createDataFrame([(3, 999, "new"), (4, -1, "late")], "k int, o int, v string").write.mode("append").parquet(source)
+    jobs.upsert_stream(stream, fresh, keys, order, mark).awaitTermination()
+    assert rows(jobs.current(spark, fresh, keys, order)) == sorted([r for r in want if r[0] != 3] + [(3, 999, "new")])
 
 
 def test_request_stream_answers_once(spark, tmp_path, rows):
