@@ -20,11 +20,15 @@ def cve_year(col: Column) -> Column:
     return F.split_part(col, F.lit("-"), F.lit(2)).try_cast("int")
 
 
+def cve_key(col: Column) -> tuple[Column, Column]:
+    """(year, number) of an id; null when it does not parse."""
+    pattern = r"^CVE-(\d{4})-(\d+)"
+    return F.regexp_extract(col, pattern, 1).try_cast("int"), F.regexp_extract(col, pattern, 2).try_cast("long")
+
+
 def cve_sort_key(col: Column) -> list[Column]:
     """Year then number; ids that do not parse sort last."""
-    year = F.regexp_extract(col, r"^CVE-(\d{4})-(\d+)", 1).try_cast("int")
-    number = F.regexp_extract(col, r"^CVE-(\d{4})-(\d+)", 2).try_cast("long")
-    return [year.asc_nulls_last(), number.asc_nulls_last()]
+    return [part.asc_nulls_last() for part in cve_key(col)]
 
 
 def capec_number(col: Column) -> Column:

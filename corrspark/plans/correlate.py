@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corrspark.operators import clean, keyword, links, similarity, tasks
 from corrspark.plans.encode import Encode
 from corrspark.session import materialise
+from corrspark.sources.writers import write_results
 
 
 def pattern_texts(patterns: DataFrame, steps: DataFrame | None = None, fields=similarity.FIELDS, compat: bool = False) -> DataFrame:
@@ -56,6 +57,28 @@ def correlate(
     return results.select(F.lit(task_id).alias("task_id"), "*"), errors.select(F.lit(task_id).alias("task_id"), "*")
 
 
+def run_task(
+    path: str,
+    requests: DataFrame,
+    cves: DataFrame,
+    patterns: DataFrame,
+    encoders: dict[str, Encode],
+    **options,
+) -> dict[str, str]:
+    """Correlate and append to the results, one job per model.
+
+    A model whose job fails is reported by name and does not stop the others.
+    """
+    failed = {}
+    for model, encode in encoders.items():
+        try:
+            results, _ = correlate(requests, cves, patterns, {model: encode}, **options)
+            write_results(results, path)
+        except Exception as error:  # whatever the encoder raised, the next model still runs
+            failed[model] = str(error)
+    return failed
+
+
 def correlations(results: DataFrame) -> DataFrame:
     """(task_id, cve_id, status): one row per correlated id."""
     return results.select("task_id", "cve_id").distinct().withColumn("status", F.lit("complete"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrspark import lexicon, schemas
 from corrspark.functions.records import is_cve_id
@@ -36,11 +36,9 @@ def read_host_sheets(spark: SparkSession, path: str) -> DataFrame:
     single sheet belongs to the generic host.
     """
     sheets = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(
-        "value",
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("name"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n_sheets"),
+        "value", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("name")
     )
-    host = F.when(F.col("n_sheets") > 1, F.col("name")).otherwise(GENERIC_HOST)
+    host = F.when(sheets.agg(F.count(F.lit(1))).scalar() > 1, F.col("name")).otherwise(GENERIC_HOST)
     lines = F.split("value", r"\r?\n")
     body = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
     cells = F.flatten(F.transform(body, lambda line: F.split(F.translate(line, '"', ""), ",")))
@@ -91,3 +89,8 @@ def acronym_table(spark: SparkSession, path: str | None = None) -> DataFrame:
         entries = json.loads(text)["acronyms"]
     rows = [(i, a, list(e)) for i, (a, e) in enumerate(entries.items())]
     return spark.createDataFrame(rows, "pos int, acronym string, expansions array<string>")
+
+
+def acronym_map(table: DataFrame) -> dict[str, list[str]]:
+    """The acronym list as the keyword operators take it; a list of this kind is short."""
+    return {r["acronym"]: list(r["expansions"]) for r in table.orderBy("pos").collect()}

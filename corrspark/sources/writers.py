@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 CURRENT = "_current"
@@ -19,18 +21,22 @@ def write_snapshot(df: DataFrame, root: str, partition_by: tuple[str, ...] = ())
     """
     path = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    pointer = df.sparkSession.createDataFrame([(path,)], "path string")
-    pointer.coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{CURRENT}")
+    pointer = json.dumps({"path": path, "schema": df.schema.jsonValue()})
+    df.sparkSession.createDataFrame([(pointer,)], "pointer string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/{CURRENT}")
     return path
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame | None:
-    """The current version of a table, or an empty one, or None without schema."""
+    """The current version of a table, or an empty one, or None without schema.
+
+    The schema is read from the pointer, so no file footer is opened for it.
+    """
     try:
-        path = spark.read.text(f"{root.rstrip('/')}/{CURRENT}").first()["value"]
+        pointer = json.loads(spark.read.text(f"{root.rstrip('/')}/{CURRENT}").first()["value"])
     except AnalysisException:
         return None if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
+    fields = StructType.fromJson(pointer["schema"])
+    return spark.read.schema(fields).parquet(pointer["path"]).select(*fields.names)
 
 
 def write_results(results: DataFrame, path: str, mode: str = "append") -> None:

@@ -349,16 +349,14 @@ def record_labels(spark, folder):
 
 
 @query("id_order", f"""
-WITH x AS (SELECT {_ids} AS id, year(o_orderdate) AS y, o_orderkey AS k FROM orders UNION ALL SELECT o_orderpriority || o_orderkey, NULL, NULL FROM orders)
-SELECT id, row_number() OVER (ORDER BY y NULLS LAST, k NULLS LAST, id) AS place FROM x
+SELECT {_ids} AS id, CAST(year(o_orderdate) AS INT) AS year, o_orderkey AS number FROM orders UNION ALL SELECT o_orderpriority || o_orderkey, NULL, NULL FROM orders
 """)
 def id_order(spark, folder):
-    """Ids by year and number, malformed ones last."""
+    """Ids with their sort key, in its order: malformed ids last."""
     orders = table(spark, folder, "orders")
     rows = orders.select(F.expr(_ids).alias("id")).unionByName(orders.select(F.concat("o_orderpriority", "o_orderkey").alias("id")))
-    from pyspark.sql import Window
-
-    return rows.select("id", F.row_number().over(Window.orderBy(*R.cve_sort_key(F.col("id")), "id")).alias("place"))
+    year, number = R.cve_key(F.col("id"))
+    return rows.orderBy(*R.cve_sort_key(F.col("id")), "id").select("id", year.alias("year"), number.alias("number"))
 
 
 @query("rank_colours", """

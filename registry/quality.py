@@ -15,7 +15,8 @@ def truth(spark, folder):
 
 
 def ranks(spark, folder):
-    return evaluate.truth_ranks(ranked(spark, folder), truth(spark, folder))
+    """Rank of each vector's own label; nothing else leaves the scoring tasks."""
+    return ranked(spark, folder, true_only=True)
 
 
 TRUE_RANKS = RANKED + """,
@@ -34,6 +35,12 @@ metrics AS (
          round(gain / n, 3) AS ndcg FROM prec)"""
 
 
+@query("truth_ranks", f"WITH {TRUE_RANKS} SELECT * FROM ranks")
+def truth_ranks(spark, folder):
+    """The same ranks by a join of stored results with a ground truth."""
+    return evaluate.truth_ranks(ranked(spark, folder), truth(spark, folder))
+
+
 @query("rank_metrics", f"WITH {AT_K} SELECT * FROM metrics")
 def rank_metrics(spark, folder):
     return evaluate.metrics_at_k(ranks(spark, folder))

@@ -46,7 +46,8 @@ def patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries_of(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("cve_id"), F.col("embedding").alias("vector"))
+    truth = F.array(F.concat(F.lit("CAPEC-"), "label")).alias("truth")
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("cve_id"), F.col("embedding").alias("vector"), truth)
 
 
 def keywords(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,11 +60,18 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select(F.col("doc_id").alias("cve_id"), "text")
 
 
-def ranked(spark: SparkSession, folder: str, top: int | None = None) -> DataFrame:
-    """Ranks under the vector model and its keyword variant, as one map."""
-    hits = keyword.keyword_hits(texts(spark, folder), keywords(spark, folder), stages=("exact",), acronyms={})
-    rows = queries_of(spark, folder).join(hits, "cve_id", "left")
-    return similarity.score_patterns(rows, catalogue(spark, folder), hits="hits", top=top)
+def ranked(spark: SparkSession, folder: str, top: int | None = None, true_only: bool = False) -> DataFrame:
+    """Ranks under the vector model and its keyword variant, as one map.
+
+    Only texts that have a vector are searched for keywords. ``true_only`` keeps
+    the rank of each vector's own label.
+    """
+    rows = queries_of(spark, folder)
+    asked = texts(spark, folder).join(rows.select("cve_id"), "cve_id", "left_semi")
+    hits = keyword.keyword_hits(asked, keywords(spark, folder), stages=("exact",), acronyms={})
+    rows = rows.join(hits, "cve_id", "left")
+    wanted = "truth" if true_only else None
+    return similarity.score_patterns(rows, catalogue(spark, folder), hits="hits", top=top, wanted=wanted)
 
 
 # --- SQL building blocks ---------------------------------------------------

@@ -156,7 +156,10 @@ def test_inputs(spark, tmp_path, rows):
     assert rows(inputs.read_truth(spark, str(truth))) == [("a", "y"), ("a", "z")]
     asked = inputs.requests(spark.createDataFrame([("a",), ("a",)], "cve_id string"), "t")
     assert rows(asked) == [("t", "a", "Generic")]
-    assert inputs.acronym_table(spark).count() == 50
+    assert len(inputs.acronym_map(inputs.acronym_table(spark))) == 50
+    listed = tmp_path / "acronyms.json"
+    listed.write_text(json.dumps({"acronyms": {"B": ["bee"], "A": ["ay", "ey"]}}))
+    assert inputs.acronym_map(inputs.acronym_table(spark, str(listed))) == {"B": ["bee"], "A": ["ay", "ey"]}
     assert spark.createDataFrame([("CVE-2020-0001, x,CVE-1-2",)], "t string").transform(lambda d: inputs.ids_from_text(d, "t")).count() == 1
 
 
@@ -185,6 +188,17 @@ def test_whole_correlation(spark, feed_dir, capecs, tmp_path):
     assert spark.read.parquet(out).count() == len(got)
     document = writers.similarity_document(results, ["task_id", "cve_id"]).filter("cve_id = 'CVE-2020-0001'").first()["similarity_scores"]
     assert [p["rank"] for p in document["letters"]] == [1, 2, 3]
+    def broken():
+        raise RuntimeError("no model")
+
+    again = str(tmp_path / "again")
+    failed = correlate.run_task(again, asked, cves, basic, {"bad": encode.encode_with(broken), "letters": encoders["letters"]}, steps=steps, task_id="t")
+    assert list(failed) == ["bad"] and spark.read.parquet(again).count() == 2 * 3 * 2
+    writers.drop_task(str(tmp_path / "kept"), results, spark.createDataFrame([("t",)], "task_id string"))
+    kept = writers.read_snapshot(spark, str(tmp_path / "kept"))
+    assert kept.count() == 0 and kept.columns == results.columns
+    writers.write_report(tasks.top_patterns(asked, results, 1, ["letters"]), str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).columns == ["cve_id", "Rank_1", "Score_1", "host", "model"]
     wide = tasks.top_patterns(asked, results, 2, ["letters"]).first()
     assert wide["host"] == "Generic" and wide["Rank_1"] is not None
     with pytest.raises(ValueError):
