@@ -18,7 +18,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_LIMIT = 128 << 20
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_096
+# result cells worked out at a time: bounds the memory of a task, whatever the catalogue
+CELLS = 1 << 22
 
 
 def measured_size(catalogue: DataFrame, row_bytes: Column) -> int:
@@ -39,6 +41,16 @@ def text_bytes(*texts: Column) -> Column:
 Apply = Callable[[pd.DataFrame, object], pd.DataFrame]
 
 
+def _in_pieces(batch: pd.DataFrame, prepared: object, apply: Apply, cells: int) -> Iterator[pd.DataFrame]:
+    """Results of a batch, taken in pieces whose rows times the catalogue's width fit."""
+    width = prepared.width if hasattr(prepared, "width") else len(prepared)
+    step = max(1, cells // max(1, width))
+    for start in range(0, len(batch), step):
+        out = apply(batch.iloc[start : start + step], prepared)
+        if len(out):
+            yield out
+
+
 def map_with_catalogue(
     large: DataFrame,
     catalogue: DataFrame,
@@ -55,8 +67,10 @@ def map_with_catalogue(
     """Rows of ``apply(batch, prepare(catalogue))`` and whether each batch saw it whole.
 
     When it did not, the rows are those of ``partial`` (default: of ``apply``)
-    per block, for the caller to merge.
+    per block, for the caller to merge. What ``prepare`` gives has a ``width`` (or
+    a length): the result cells per row of the large table.
     """
+    cells = CELLS
     kept = catalogue.persist(StorageLevel.MEMORY_AND_DISK)  # measured and read: derive it once
     size = measured_size(kept, row_bytes)
     if size <= limit:
@@ -66,9 +80,7 @@ def map_with_catalogue(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             prepared = prepare(shared.value)
             for batch in batches:
-                out = apply(batch, prepared)
-                if len(out):
-                    yield out
+                yield from _in_pieces(batch, prepared, apply, cells)
 
         return large.mapInPandas(run, schema), True
 
@@ -82,8 +94,9 @@ def map_with_catalogue(
     def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(batch) or not len(block):
             return pd.DataFrame()
-        out = work(batch.drop(columns=["_block", "_slice"]), prepare(block.drop(columns=["_block", "_slice"])))
-        return out if len(out) else pd.DataFrame()
+        prepared = prepare(block.drop(columns=["_block", "_slice"]))
+        out = list(_in_pieces(batch.drop(columns=["_block", "_slice"]), prepared, work, cells))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
 
     pairs = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
     return pairs.applyInPandas(meet, partial_schema or schema), False

@@ -96,6 +96,7 @@ class KeywordIndex:
     def __init__(self, rows: pd.DataFrame, normalise: Normaliser, stages: tuple[str, ...], compat: bool):
         self.normalise, self.stages = normalise, stages
         self.patterns = sorted(rows["capec_id"].unique())
+        self.width = len(self.patterns)
         place = {p: i for i, p in enumerate(self.patterns)}
         self.owner = rows["capec_id"].map(place).to_numpy()
         forms = [normalise(u) for u in rows["uniform"]]

@@ -106,6 +106,7 @@ class Catalogue:
         self.patterns = pattern_order(rows["capec_id"].unique())
         place = {p: i for i, p in enumerate(self.patterns)}
         rows = rows.assign(_p=rows["capec_id"].map(place))
+        self.width = len(rows)
         self.fields = rows[rows["kind"] == "field"].sort_values(["_p", "slot"])
         flow = rows[rows["kind"] == "flow"].sort_values(["_p", "slot"])
         self.field_units = _units(self.fields["vector"]) if len(self.fields) else None

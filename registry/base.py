@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrspark.session import spread
+from corrspark.session import ship_package, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,7 +19,13 @@ def query(name: str, sql: str | None = None):
     def add(run: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = run
+
+        @functools.wraps(run)
+        def shipped(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
+            return run(spark, folder)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return run

@@ -9,7 +9,7 @@ from corrspark.functions import records as R
 from corrspark.operators import control, links, sample, tasks, upsert
 from corrspark.sources import cve, inputs, writers
 from registry.base import query, table
-from registry.scores import MODELS, RANKED, patterns, ranked
+from registry.scores import RANKED, patterns, ranked
 
 # --- feed items out of the tables ------------------------------------------
 

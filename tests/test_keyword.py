@@ -94,7 +94,6 @@ CASES = [
 def test_rules(normal, kw, text, want):
     import pandas as pd
 
-    from corrspark.functions.text import uniform_string  # noqa: F401  (the pass expects uniform text)
 
     uni = lambda s: " ".join(s.lower().replace("(", " ").replace(")", " ").split())
     rows = pd.DataFrame({"capec_id": ["p"], "uniform": [uni(kw)]})

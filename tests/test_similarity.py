@@ -93,6 +93,14 @@ def test_hits_top_and_wanted(spark, limit):
     assert sorted(map(tuple, some)) == sorted(tuple(r) for r in whole if r["capec_id"] == "CAPEC-5" and r["model"] == "vector")
 
 
+def test_pieces_of_a_batch_agree(spark, monkeypatch):
+    q, c = frames(spark, *data(4))
+    whole = sorted(map(tuple, similarity.score_patterns(q, c).collect()))
+    monkeypatch.setattr("corrspark.operators.blocks.CELLS", 50)
+    for limit in (1 << 27, 300):
+        assert sorted(map(tuple, similarity.score_patterns(q, c, limit=limit).collect())) == whole
+
+
 def test_column_cosine_agrees_with_blocks(spark):
     queries, cat = data(3)
     cat = [c for c in cat if c[1] == "field"]
