@@ -253,14 +253,20 @@ def mask_text(text: str, uris: list[str]) -> str:
         vendor, product = (x.replace("_", " ").strip().lower() for x in (vendor, product))
         full = f"{vendor} {product}"
         mask = lambda _, label=label: label
-        text = exact_pattern(full).sub(mask, text)
-        for pattern in partial_patterns(vendor, product):
-            text = pattern.sub(mask, text)
+        # plain containment first: most patterns need not be compiled at all
+        if full in text:
+            text = exact_pattern(full).sub(mask, text)
+        if product in text and (vendor.split() or [""])[0] in text:
+            for pattern in partial_patterns(vendor, product):
+                text = pattern.sub(mask, text)
         text = _replace_spans(text, fuzzy_words(full, text), label)
-        text = exact_pattern(product).sub(mask, text)
+        if product in text:
+            text = exact_pattern(product).sub(mask, text)
         text = _replace_spans(text, fuzzy_words(product, text), label)
-        for pattern in partial_patterns("", product):
-            text = pattern.sub(mask, text)
+        names = product.split()
+        if sum(name in text for name in names) >= len(names) - 1:
+            for pattern in partial_patterns("", product):
+                text = pattern.sub(mask, text)
         text = replace_split(text, vendor, "")
         text = replace_split(text, product, label)
         for target in details["target_sw"]:
@@ -269,7 +275,7 @@ def mask_text(text: str, uris: list[str]) -> str:
             for value in details[field] if field != "target_sw" else ():
                 if value not in (vendor, product):
                     text = text.replace(value.lower(), "")
-        if exact_pattern(vendor).search(text):
+        if vendor in text and exact_pattern(vendor).search(text):
             text = " ".join(exact_pattern(vendor).sub("", text).split())
     text = " ".join(text.split())
     repeat, before = re.compile(rf"(?i)(\b{re.escape(label)}\b)[\s,.;:]*\1+"), None
