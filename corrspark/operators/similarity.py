@@ -79,8 +79,8 @@ def step_texts(steps: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def half_up(x: np.ndarray) -> np.ndarray:
-    """Round to whole numbers, halves away from zero."""
-    return np.copysign(np.floor(np.abs(x) + 0.5), x)
+    """Round to whole numbers, halves away from zero (and no negative zero)."""
+    return np.copysign(np.floor(np.abs(x) + 0.5), x) + 0.0
 
 
 def pattern_order(ids) -> list[str]:

@@ -237,7 +237,7 @@ def keyword_exact(spark, folder):
 
 
 @query("keyword_max", f"""
-WITH {HITS} SELECT d.doc_id AS cve_id, 'CAPEC-' || p.label AS capec_id, CASE WHEN h.label IS NULL THEN -0.01 ELSE 0.3 END AS keyword_score
+WITH {HITS} SELECT d.doc_id AS cve_id, 'CAPEC-' || p.label AS capec_id, CASE WHEN h.label IS NULL THEN -0.01::DOUBLE ELSE 0.3::DOUBLE END AS keyword_score
 FROM documents d CROSS JOIN (SELECT DISTINCT label FROM item_forms) p LEFT JOIN hits h ON h.cve_id = d.doc_id AND h.label = p.label
 """)
 def keyword_max(spark, folder):
