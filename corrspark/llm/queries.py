@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrspark.llm import chat_format, mixing, quality_rules, sharding
+from corrspark.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    lm_score,
+    mixing,
+    near_dedup,
+    quality_rules,
+    sharding,
+    url_filter,
+)
 from corrspark.llm.common import table
 from corrspark.session import ship_package
 
@@ -27,15 +37,48 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digest(chat_format.format_turns(given.unionByName(probe)))
 
 
+def op4_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return lm_score.score(table(spark, folder, "documents"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.interleave(table(spark, folder, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, folder, "pages"))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    docs = table(spark, folder, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_chat_format, op5_sharding, op8_mixing)
+    f.__name__: f for f in (
+        op2_quality_rules, op3_chat_format, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_mixing, op9_near_dedup, op10_decontaminate,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.SQL,
+    "op3_chat_format": chat_format.SQL,
+    "op6_url_filter": url_filter.SQL,
+    "op8_mixing": mixing.SQL,
+    "op10_decontaminate": decontaminate.SQL,
 }
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op3_chat_format": chat_format.SQL, "op8_mixing": mixing.SQL}
