@@ -16,12 +16,18 @@ from corrspark.llm import (
     near_dedup,
     quality_rules,
     sharding,
+    suffix_dedup,
     url_filter,
 )
 from corrspark.llm.common import table
 from corrspark.session import ship_package
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
@@ -72,7 +78,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_quality_rules, op3_chat_format, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_mixing, op9_near_dedup, op10_decontaminate,
+        op1_suffix_dedup, op2_quality_rules, op3_chat_format, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_mixing, op9_near_dedup, op10_decontaminate,
     )
 }
 ORACLES: dict[str, str] = {
