@@ -81,6 +81,9 @@ def suffix_automaton(data: bytes, symbols: int) -> array:
                     at = link[at]
                 link[target] = link[state] = copy
         last = state
+    unknown = len(following)  # reached by symbol 0 from the root only, and left by no symbol: a phrase of its own
+    following[0][0] = unknown
+    following.append({})
     table = array("i", bytes(4 * symbols * len(following)))
     for state, steps in enumerate(following):
         for c, to in steps.items():
