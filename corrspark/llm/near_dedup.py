@@ -5,14 +5,18 @@ second one, shifted by one point per coordinate, ranks the points; a coordinate
 the smallest rank. Coordinates are banded; texts that share a band are compared on
 their full sets, and only confirmed links count.
 
-No pairs within a group are listed: texts with equal sets are one class from the
-start, and in every band the members are compared with one pivot at a time, in
-rounds; members already connected to the pivot are left out. What is still unsettled
-after the rounds (few rows, since most members have joined a component) is compared
-completely, so no link between candidates is lost.
+No pairs within a group are listed. Texts with equal sets are one class from the
+start. In every band the members are compared with ``PIVOTS`` of them only: first
+the one that shares most bands with others (in a group of edited copies, the text
+that is closest to all), then others by a hash. Links make components. What a band
+still holds of different components is settled by counting. Shingles that only one
+of these texts holds can't be shared, which bounds the overlap of a text with any
+other; and of two similar texts, the rarest shingles (as many as may be lacking, and
+one) have one in common. Only pairs that both rules allow are compared; no link
+between candidates is lost.
 
 Banding misses a pair of similarity 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS,
-below 1e-7.
+about 1e-7.
 
 Edge cases: a text without words has an empty set and is linked with nothing; rows
 that share an id are all linked to what any of them is linked to; null ids form a
@@ -26,13 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrspark.llm.shingles import groups, hash_words, mix64, shingle_sets
 from corrspark.session import materialise
 
-WIDTH, PERCENT, BANDS, ROWS, PIVOT_ROUNDS = 4, 80, 32, 4, 4
+WIDTH, PERCENT, BANDS, ROWS, PIVOTS = 4, 80, 40, 5, 2
 
 
 def circulant_signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
@@ -95,11 +99,10 @@ def _sketch(width: int, bands: int, rows: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in groups(batch.column(1)):
-                sets = [s for s in shingle_sets(hash_words(data, offsets), width) if len(s)]
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            for rows, data, offsets in groups(batch.column(1)):
+                sets = shingle_sets(hash_words(data, offsets), width)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_key", "shingles"])
+                    [batch.column(0)[rows], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
@@ -121,74 +124,104 @@ def components(edges: DataFrame) -> DataFrame:
             joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
         return moved.where(F.col("u") != F.col("v")).distinct()
 
-    current = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    current = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
-        after = materialise(star(star(current, True), False), "edges")
-        if after.exceptAll(current).isEmpty():
+        current = materialise(star(star(current, True), False), "edges")
+        ends = current.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(current.select("v", F.lit(0), F.lit(1)))
+        # done when all are stars: every node is either a root or has just one
+        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
             break
-        current = after
-    roots = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``u, v`` whose full sets are similar enough."""
-    left = sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("b"))
-    # sets too unlike in size can't reach the similarity
-    sized = pairs.join(left, "u").join(right, "v").where(
-        (100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b"))))
-    both = sized.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
+    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
     return both.where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("u", "v")
 
 
+def _pairs(asked: DataFrame) -> DataFrame:
+    """Distinct unordered pairs of different ``x, y``."""
+    return asked.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def _unsettled(labelled: DataFrame) -> DataFrame:
+    """Rows of bands that hold members of several components."""
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).where("low <> high")
+    return labelled.join(mixed.select("band", "least"), "band")
+
+
+def _allowed(labelled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components whose overlap may be large enough.
+
+    An overlap is large enough if (100 + percent) * both >= percent * (n + m). A text
+    shares at most the shingles that some other unsettled text holds too, so most
+    texts can't reach any other in their bands, and leave. The others meet by the
+    shingles that come first when all are ordered from rare to frequent.
+    """
+    rest = materialise(_unsettled(labelled), "rest")
+    held = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    counts = materialise(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node")), "shingles")
+    lone = counts.where("texts = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+    bounded = rest.join(lone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    able = bounded.where((100 + percent) * (F.col("n") - F.col("lone")) >= percent * (F.col("n") + F.col("least"))).drop("least")
+    needed = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent))
+    texts = materialise(
+        _unsettled(able).groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("lone").alias("lone"), F.min("least").alias("least"))
+        .select("node", "root", "n", (F.col("n") - needed + 1 - F.col("lone")).alias("first")), "able")
+    rarity = Window.partitionBy("node").orderBy("texts", "shingle")
+    leading = (
+        held.join(texts, "node").join(counts.where("texts > 1").select("shingle", "texts"), "shingle")
+        .withColumn("_at", F.row_number().over(rarity)).where("_at <= first").select("shingle", "node", "root", "n")
+    )
+    leading = materialise(leading, "leading")
+    crossing = leading.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    left = leading.join(crossing, "shingle")
+    right = left.select("shingle", *(F.col(c).alias(f"_{c}") for c in ("node", "root", "n")))
+    alike = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
+    return _pairs(left.join(right, "shingle").where((F.col("node") < F.col("_node")) & (F.col("root") != F.col("_root")) & alike).select(F.col("node").alias("x"), F.col("_node").alias("y")))
+
+
 def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivot_rounds: int = PIVOT_ROUNDS
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     sketches = materialise(texts.mapInArrow(_sketch(width, bands, rows), _SKETCH), "sketches")
     filled = sketches.where(F.col("set_key").isNotNull())
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("low_id"), F.first("bands").alias("bands"))
-    members = classes.select("set_key", "low_id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    buckets = materialise(members.join(shared, "band").select("band", "set_key", "low_id"), "buckets")
-    wanted = buckets.select(F.col("low_id").alias("doc_id")).distinct()
+    # a class of equal sets is named by its smallest id; rows without an id take no part
+    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    members = classes.where(F.col("node").isNotNull()).select("node", "n", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowd = materialise(members.join(shared, "band"), "crowd")
+    popular = crowd.groupBy("node").agg(F.sum("size").alias("popular"))
+    buckets = materialise(crowd.join(popular, "node").select("band", "node", "n", "popular"), "buckets")
     sets = materialise(
-        texts.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "set_key binary, shingles array<long>").dropDuplicates(["set_key"]), "sets")
-
-    links = compared = roots = None
-    for round_no in range(pivot_rounds + 1):
-        labelled = buckets.select("band", "set_key") if roots is None else buckets.select("band", "set_key").join(roots, F.col("set_key") == F.col("node"), "left")
-        labelled = labelled.select("band", "set_key", F.coalesce(F.col("root") if roots is not None else F.lit(None), F.col("set_key")).alias("root"))
-        turn = F.xxhash64(F.lit(round_no), F.col("set_key"))
-        open_bands = labelled.groupBy("band").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("set_key", "root"), turn).alias("pivot")
-        ).where("low <> high").select("band", "pivot")
-        if round_no < pivot_rounds:
-            asked = labelled.join(open_bands, "band").where(F.col("root") != F.col("pivot.root")).select(F.col("pivot.set_key").alias("x"), F.col("set_key").alias("y"))
-        else:
-            rest = labelled.join(open_bands.select("band"), "band")
-            other = rest.select("band", F.col("set_key").alias("y"), F.col("root").alias("other"))
-            asked = rest.join(other, "band").where((F.col("set_key") < F.col("y")) & (F.col("root") != F.col("other"))).select(F.col("set_key").alias("x"), "y")
-        asked = asked.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
-        if compared is not None:
-            asked = asked.join(compared, ["u", "v"], "left_anti")
-        asked = materialise(asked, "asked")
-        if asked.isEmpty():
-            break
-        compared = asked if compared is None else compared.union(asked)
-        found = _links(asked, sets, percent)
-        links = materialise(found if links is None else links.union(found), "links")
-        roots = components(links)
-    named = classes.select("set_key", "low_id")
-    if roots is not None:
-        placed = named.join(roots, F.col("set_key") == F.col("node")).select("set_key", "low_id", "root")
-        lows = placed.groupBy("root").agg(F.min("low_id").alias("component_id"))
-        linked = placed.join(lows, "root").select("set_key", "component_id")
-        named = named.join(linked, "set_key", "left").select("set_key", F.coalesce("component_id", "low_id").alias("component_id"))
+        texts.join(popular.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_full_sets(width), "node long, shingles array<long>"), "sets")
+
+    # orders that hold everywhere, so that bands with common members ask for the same pairs
+    orders = [F.struct("popular", "node"), *(F.struct(F.xxhash64(F.lit(k), F.col("node")).alias("h"), "node") for k in range(1, pivots))]
+    chosen = buckets.groupBy("band").agg(F.array(*(F.max_by(F.struct("node", "n"), o) for o in orders)).alias("pivots"))
+    to_pivots = buckets.join(chosen, "band").select("node", "n", F.explode("pivots").alias("pivot"))
+    alike = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")  # sets too unlike in size can't be similar
+    asked = materialise(_pairs(to_pivots.where(alike).select(F.col("node").alias("x"), F.col("pivot.node").alias("y"))), "asked")
+    links = materialise(_links(asked, sets, percent), "links")
+    roots = None if links.isEmpty() else components(links)
+    labelled = buckets.select("band", "node", "n")
+    if roots is None:
+        labelled = labelled.withColumn("root", F.col("node"))
     else:
-        named = named.select("set_key", F.col("low_id").alias("component_id"))
+        labelled = labelled.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    further = _allowed(labelled, sets, percent).join(asked, ["u", "v"], "left_anti")
+    found = materialise(_links(further, sets, percent), "links")
+    if not found.isEmpty():
+        roots = components(links.union(found))
+    named = classes.select("set_key", F.col("node").alias("component_id"))
+    if roots is not None:
+        linked = roots.select(F.col("node").alias("component_id"), "root")
+        named = named.join(linked, "component_id", "left").select("set_key", F.coalesce("root", "component_id").alias("component_id"))
     return sketches.join(named, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
