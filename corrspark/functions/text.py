@@ -8,6 +8,7 @@ classes. The order in which the steps run is fixed by
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column, functions as F
@@ -115,15 +116,23 @@ def genitive(col: Column) -> Column:
 # --- software specific steps -----------------------------------------------
 
 
+def first_character(phrase: str) -> str:
+    """The class of characters that a phrase can start with, in class syntax."""
+    start = re.match(r"(?:\(+\??:?)*(\\[d.]|[A-Za-z])", phrase)
+    if start is None or phrase[start.end() : start.end() + 1] in ("?", "*", "|"):
+        raise ValueError(f"the start of {phrase!r} is not one plain character")
+    return start[1].lower()
+
+
 def version_pattern() -> str:
     """The version phrases as one alternation.
 
-    Nearly all start at a word boundary, so the boundary and the letters that can
-    follow it are tested once per position instead of once per phrase.
+    Nearly all start at a word boundary, so the boundary and the characters that
+    can follow it are tested once per position instead of once per phrase.
     """
     bounded = [p[2:] for p in lexicon.VERSION_PHRASES if p.startswith(r"\b")]
     others = [p for p in lexicon.VERSION_PHRASES if not p.startswith(r"\b")]
-    return rf"(?i)(?:\b(?=[{lexicon.VERSION_STARTS}])(?:{'|'.join(bounded)})|{'|'.join(others)})"
+    return rf"(?i)(?:\b(?=[{''.join(sorted({first_character(p) for p in bounded}))}])(?:{'|'.join(bounded)})|{'|'.join(others)})"
 
 
 def remove_versions(col: Column) -> Column:

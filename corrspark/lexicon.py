@@ -117,9 +117,6 @@ VERSION_PHRASES = (
     r"\bCVE-\d{4}-\d{4,7}(, CVE-\d{4}-\d{4,7})*( and CVE-\d{4}-\d{4,7})?\b",
 )
 
-# The characters a version phrase can start with.
-VERSION_STARTS = r"\dbcefiprstuv."
-
 # Extensions whose file names are removed.
 FILE_EXTENSIONS = (
     "exe", "execute", "dll", "pdf", "docx", "txt", "jpg", "jpeg", "png", "gif",

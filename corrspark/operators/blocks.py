@@ -3,22 +3,25 @@
 A catalogue (patterns, keywords, product terms) is usually small. Its size is
 measured first. Up to ``limit`` bytes it is broadcast and the large table is
 mapped in place, without a shuffle. A larger catalogue is cut into blocks by a
-hash of its rows and the large table into slices; each (block, slice) pair meets
-in one bounded task. Both ways call the same function, so a caller that merges
-its rows per key gets the same result from either.
+hash of its key, each of them within the limit; the large table is numbered,
+written once and mapped over one broadcast block after the other. A key is never
+split, so a block knows all of a pattern; callers merge their rows per row number.
+Neither table is shuffled or copied, and equal or missing keys stay apart.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corrspark.session import materialise
+
 BROADCAST_LIMIT = 128 << 20
-SLICE_ROWS = 4_096
 # result cells worked out at a time: bounds the memory of a task, whatever the catalogue
 CELLS = 1 << 22
 
@@ -51,52 +54,57 @@ def _in_pieces(batch: pd.DataFrame, prepared: object, apply: Apply, cells: int)
             yield out
 
 
-def map_with_catalogue(
-    large: DataFrame,
-    catalogue: DataFrame,
-    prepare: Callable[[pd.DataFrame], object],
-    apply: Apply,
-    schema: str,
-    row_bytes: Column,
-    slice_key: str,
-    block_key: list[str],
-    limit: int = BROADCAST_LIMIT,
-    partial: Apply | None = None,
-    partial_schema: str | None = None,
-) -> tuple[DataFrame, bool]:
-    """Rows of ``apply(batch, prepare(catalogue))`` and whether each batch saw it whole.
-
-    When it did not, the rows are those of ``partial`` (default: of ``apply``)
-    per block, for the caller to merge. What ``prepare`` gives has a ``width`` (or
-    a length): the result cells per row of the large table.
-    """
-    cells = CELLS
+ROW = "_row"
+
+
+def catalogue_blocks(catalogue: DataFrame, row_bytes: Column, key: str, limit: int = BROADCAST_LIMIT) -> list[Broadcast]:
+    """The catalogue as broadcast frames of at most ``limit`` bytes; rows of a key stay together."""
+    context = catalogue.sparkSession.sparkContext
     kept = catalogue.persist(StorageLevel.MEMORY_AND_DISK)  # measured and read: derive it once
     size = measured_size(kept, row_bytes)
     if size <= limit:
-        shared = large.sparkSession.sparkContext.broadcast(kept.toArrow().to_pandas())
+        whole = context.broadcast(kept.toArrow().to_pandas())
         kept.unpersist()
+        return [whole]
+    blocks = math.ceil(2 * size / limit)
+    while True:
+        cut = kept.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+        largest = cut.groupBy("_block").agg(F.sum(row_bytes).alias("bytes"), F.countDistinct(key).alias("keys")).orderBy(F.desc("bytes")).first()
+        if largest["bytes"] <= limit:
+            break
+        if largest["keys"] == 1:
+            raise ValueError(f"one key of the catalogue takes {largest['bytes']} bytes; the limit is {limit}")
+        blocks *= 2
+    out = []
+    for block in range(blocks):
+        part = cut.filter(F.col("_block") == block).drop("_block").toArrow().to_pandas()
+        if len(part):
+            out.append(context.broadcast(part))
+    kept.unpersist()
+    return out
+
+
+def numbered(large: DataFrame) -> DataFrame:
+    """The rows with a number each, written once: every block reads the same ones."""
+    return materialise(large.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def map_block(large: DataFrame, block: Broadcast, prepare: Callable[[pd.DataFrame], object], apply: Apply, schema: str) -> DataFrame:
+    """Rows of ``apply(batch, prepare(block))``, batch by batch.
+
+    What ``prepare`` gives has a ``width`` (or a length): the result cells per row
+    of the large table.
+    """
+    cells = CELLS
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            prepared = prepare(shared.value)
-            for batch in batches:
-                yield from _in_pieces(batch, prepared, apply, cells)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prepared = prepare(block.value)
+        for batch in batches:
+            yield from _in_pieces(batch, prepared, apply, cells)
 
-        return large.mapInPandas(run, schema), True
+    return large.mapInPandas(run, schema)
 
-    work = partial or apply
-    blocks = math.ceil(2 * size / limit)
-    slices = max(1, math.ceil(large.count() / SLICE_ROWS))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = large.withColumn("_slice", F.pmod(F.xxhash64(slice_key), F.lit(slices))).withColumn("_block", every(blocks))
-    right = kept.withColumn("_block", F.pmod(F.xxhash64(*block_key), F.lit(blocks))).withColumn("_slice", every(slices))
-
-    def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if not len(batch) or not len(block):
-            return pd.DataFrame()
-        prepared = prepare(block.drop(columns=["_block", "_slice"]))
-        out = list(_in_pieces(batch.drop(columns=["_block", "_slice"]), prepared, work, cells))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
-
-    pairs = left.groupBy("_block", "_slice").cogroup(right.groupBy("_block", "_slice"))
-    return pairs.applyInPandas(meet, partial_schema or schema), False
+
+def map_blocks(large: DataFrame, blocks: list[Broadcast], prepare: Callable[[pd.DataFrame], object], apply: Apply, schema: str) -> DataFrame:
+    """The union of the rows of all blocks."""
+    return reduce(DataFrame.unionAll, [map_block(large, block, prepare, apply, schema) for block in blocks])

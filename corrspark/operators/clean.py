@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corrspark import lexicon
 from corrspark.functions import text as T
 from corrspark.functions import words as W
-from corrspark.operators.blocks import BROADCAST_LIMIT, measured_size, text_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, measured_size, numbered, text_bytes
 
 # Word repeats and file paths (patterns of the Python regex engine).
 REPEATS = re.compile(r"(?i)\b(\w+)\b[\s,.;:]*\1+")
@@ -113,21 +113,32 @@ def lemmatize_with_lexicon(
 ) -> DataFrame:
     """Lemmas from a (token, lemma) table; tokens it does not list stay.
 
-    A table below the limit is broadcast and looked up in place. A larger one is
-    joined on the tokens; texts are then put together again by position.
+    A token listed twice takes its smallest lemma; one without a lemma stays. A
+    table below the limit is broadcast and looked up in place. A larger one is
+    joined on the distinct tokens of slices of the texts, so a word that all texts
+    share comes once per slice. Both ways see the same tokens.
     """
-    if measured_size(table, text_bytes(F.col("token"), F.col("lemma"))) <= limit:
-        pairs = table.select("token", "lemma").toArrow().to_pydict()
-        shared = df.sparkSession.sparkContext.broadcast(dict(zip(pairs["token"], pairs["lemma"])))
-        return df.withColumn(out, lemmatize_text(F.col(col), lambda t: shared.value.get(t, t)))
+    listed = table.filter(F.col("token").isNotNull()).groupBy("token").agg(F.min("lemma").alias("lemma")).filter(F.col("lemma").isNotNull())
     token = F.regexp_extract_all(F.col(col), F.lit(r"(?U)\w+(?:[.\-]\w+)*|[^\w\s]"), F.lit(0))
-    tokens = df.select(key, F.posexplode(token).alias("pos", "token"))
-    lemmas = tokens.join(table.select("token", "lemma"), "token", "left")
+    if measured_size(listed, text_bytes(F.col("token"), F.col("lemma"))) <= limit:
+        pairs = listed.toArrow().to_pydict()
+        shared = df.sparkSession.sparkContext.broadcast(dict(zip(pairs["token"], pairs["lemma"])))
+
+        @F.pandas_udf("string")
+        def lookup(tokens: pd.Series) -> pd.Series:
+            lemma = shared.value
+            return tokens.map(lambda words: None if words is None else " ".join(lemma.get(w, w) for w in words))
+
+        return df.withColumn(out, lookup(token))
+    rows = numbered(df.withColumn("_tokens", token))
+    tokens = rows.select(ROW, F.posexplode("_tokens").alias("pos", "token")).withColumn("_slice", F.floor(F.col(ROW) / 1024))
+    found = tokens.select("_slice", "token").distinct().join(listed, "token")
+    lemmas = tokens.join(found, ["_slice", "token"], "left")
     entry = F.struct("pos", F.coalesce("lemma", "token").alias("lemma"))
-    texts = lemmas.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("t"))
-    joined = texts.select(key, F.array_join(F.transform("t", lambda e: e["lemma"]), " ").alias(out))
-    whole = df.join(joined, key, "left")
-    return whole.withColumn(out, F.when(F.col(col).isNotNull(), F.coalesce(out, F.lit(""))))
+    texts = lemmas.groupBy(ROW).agg(F.array_sort(F.collect_list(entry)).alias("t"))
+    joined = texts.select(ROW, F.array_join(F.transform("t", lambda e: e["lemma"]), " ").alias("_out"))
+    whole = rows.join(joined, ROW, "left").withColumn(out, F.when(F.col(col).isNotNull(), F.coalesce("_out", F.lit(""))))
+    return whole.select(*[c for c in df.columns if c != out], out)
 
 
 def clean_column(

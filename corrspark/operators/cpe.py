@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corrspark import lexicon
 from corrspark.functions import words as W
 from corrspark.functions.text import strip
-from corrspark.operators.blocks import BROADCAST_LIMIT, map_with_catalogue, text_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, catalogue_blocks, map_blocks, numbered, text_bytes
 
 PREFIX = "cpe:2.3:"
 # The fields of a CPE 2.3 URI after its prefix, in order.
@@ -210,11 +210,9 @@ def fuzzy_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
         ]
         return pd.DataFrame(hits, columns=["term", "word", "score", "n"])
 
-    rows, _ = map_with_catalogue(
-        counted, needles, lambda t: sorted(t["term"]), compare,
-        "term string, word string, score int, n long", text_bytes(F.col("term")), "word", ["term"], limit,
-    )
-    return rows
+    blocks = catalogue_blocks(needles, text_bytes(F.col("term")), "term", limit)
+    counted = counted if len(blocks) == 1 else numbered(counted)
+    return map_blocks(counted, blocks, lambda t: sorted(t["term"]), compare, "term string, word string, score int, n long")
 
 
 # --- masking ---------------------------------------------------------------

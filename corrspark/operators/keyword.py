@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from corrspark import lexicon
 from corrspark.functions import words as W
 from corrspark.functions.text import uniform_string
-from corrspark.operators.blocks import BROADCAST_LIMIT, map_with_catalogue, text_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, catalogue_blocks, map_block, map_blocks, numbered, text_bytes
 
 try:
     import ahocorasick
@@ -231,13 +231,13 @@ def keyword_hits(
         return batch.drop(columns=["_uniform"]).assign(hits=pd.Series(hits, index=batch.index, dtype=object))
 
     schema = f"{key} {types[key]}{extra}, hits array<struct<capec_id: string, score: double>>"
-    rows, whole = map_with_catalogue(left, right, prepare, find, schema, text_bytes(F.col("uniform")), key, ["capec_id", "uniform"], limit)
-    if whole:
-        return rows
-    best = rows.select(key, F.explode("hits").alias("h")).groupBy(key, F.col("h.capec_id")).agg(F.max("h.score").alias("score"))
-    merged = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("capec_id", "score"))).alias("hits"))
-    nothing = F.array().cast("array<struct<capec_id: string, score: double>>")
-    return texts.select(key, *keep).join(merged, key, "left").withColumn("hits", F.coalesce("hits", nothing))
+    blocks = catalogue_blocks(right, text_bytes(F.col("uniform")), "capec_id", limit)
+    if len(blocks) == 1:
+        return map_block(left, blocks[0], prepare, find, schema)
+    # every block gives one list per text; a text keeps its number, so equal keys stay apart
+    rows = map_blocks(numbered(left), blocks, prepare, find, f"{key} {types[key]}{extra}, {ROW} long, hits array<struct<capec_id: string, score: double>>")
+    first = [F.first(c).alias(c) for c in (key, *keep)]
+    return rows.groupBy(ROW).agg(*first, F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits")).drop(ROW)
 
 
 def keyword_scores(texts: DataFrame, keywords: DataFrame, key: str = "cve_id", text: str = "text", limit: int = BROADCAST_LIMIT, **options) -> DataFrame:
@@ -259,12 +259,9 @@ def keyword_scores(texts: DataFrame, keywords: DataFrame, key: str = "cve_id", t
             "keyword_score": scores.ravel(),
         })
 
-    rows, _ = map_with_catalogue(
-        hits, patterns, lambda p: sorted(p["capec_id"]), spread,
-        f"{key} {key_type}, capec_id string, keyword_score double",
-        text_bytes(F.col("capec_id")), key, ["capec_id"], limit,
-    )
-    return rows
+    blocks = catalogue_blocks(patterns, text_bytes(F.col("capec_id")), "capec_id", limit)
+    hits = hits if len(blocks) == 1 else numbered(hits)
+    return map_blocks(hits, blocks, lambda p: sorted(p["capec_id"]), spread, f"{key} {key_type}, capec_id string, keyword_score double")
 
 
 def exact_pairs(texts: DataFrame, keywords: DataFrame, key: str, text: str, limit: int = BROADCAST_LIMIT) -> DataFrame:

@@ -105,7 +105,9 @@ def number_steps(steps: DataFrame, key: str = "capec_id", step: str = "step", po
     before = Window.partitionBy(key, step).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = chunked.groupBy(key, step, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(key, step, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = chunked.withColumn("_i", F.row_number().over(within)).join(offsets, [key, step, "_chunk"])
+    # steps without a position form a chunk of their own, patterns without an id a pattern
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (key, step, "_chunk")]
+    numbered = chunked.withColumn("_i", F.row_number().over(within)).alias("s").join(offsets.alias("o"), same).select("s.*", "o._before")
     nth = F.col("_i") + F.col("_before")
     suffix = F.when(nth > 1, F.chr(F.lit(96) + nth)).otherwise("")
     return numbered.withColumn(step, F.concat(F.col(step), suffix)).select(*steps.columns)

@@ -8,18 +8,25 @@ step's two texts. Sums run over whole thousandths, so the result does not depend
 on the order in which rows arrive.
 
 With a catalogue below the broadcast limit the whole query is one map over the
-query table: products, means, keyword fusion and ranks, with no shuffle.
+query table: products, means, keyword fusion and ranks, with no shuffle. A larger
+one is taken in blocks of whole patterns: with ``top`` a block hands on its first
+rows, with ``wanted`` the number of better patterns, so pairs are never shuffled
+unless the full ranking is asked for. Both ways rank every query row by itself and
+give the same rows, also for equal and missing keys. Queries and fields without a
+vector are left out (see ``without_vector``).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corrspark import lexicon
 from corrspark.functions.vectors import cosine
-from corrspark.operators.blocks import BROADCAST_LIMIT, map_with_catalogue, vector_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, catalogue_blocks, map_block, map_blocks, numbered, vector_bytes
 
 # The pattern fields that are scored.
 FIELDS = ("name", "description", "prerequisites", "resources_required", "mitigations", "skills_required")
@@ -83,14 +90,14 @@ def half_up(x: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x) + 0.5), x) + 0.0
 
 
-def pattern_order(ids) -> list[str]:
-    """Tie order of patterns: by number, then by id."""
+def pattern_key(pid: str) -> tuple:
+    digits = str(pid).rsplit("-", 1)[-1]
+    return (0, int(digits), str(pid)) if digits.isdigit() else (1, 0, str(pid))
 
-    def key(pid: str):
-        digits = str(pid).rsplit("-", 1)[-1]
-        return (0, int(digits), str(pid)) if digits.isdigit() else (1, 0, str(pid))
 
-    return sorted(ids, key=key)
+def pattern_order(ids) -> list[str]:
+    """Tie order of patterns: by number, then by id."""
+    return sorted(ids, key=pattern_key)
 
 
 def _units(vectors) -> np.ndarray:
@@ -107,7 +114,8 @@ class Catalogue:
         place = {p: i for i, p in enumerate(self.patterns)}
         rows = rows.assign(_p=rows["capec_id"].map(place))
         self.width = len(rows)
-        self.fields = rows[rows["kind"] == "field"].sort_values(["_p", "slot"])
+        self.order = [pattern_key(p) for p in self.patterns]
+        self.fields = rows[(rows["kind"] == "field") & rows["vector"].notna()].sort_values(["_p", "slot"])
         flow = rows[rows["kind"] == "flow"].sort_values(["_p", "slot"])
         self.field_units = _units(self.fields["vector"]) if len(self.fields) else None
         self.n_fields = np.bincount(self.fields["_p"], minlength=len(self.patterns)) if len(self.fields) else np.zeros(len(self.patterns), int)
@@ -118,7 +126,7 @@ class Catalogue:
             self.step_pattern = flow["_p"].to_numpy()[self.step_start]
             # a step with a single text competes with a zero
             self.step_floor = np.where(step.size().to_numpy() < 2, 0.0, -np.inf)
-            dim = len(next(v for v in flow["vector"] if v is not None))
+            dim = next((len(v) for v in rows["vector"] if v is not None), 0)
             self.flow = _units([np.zeros(dim) if v is None else v for v in flow["vector"]])
         self.n_steps = np.bincount(self.step_pattern, minlength=len(self.patterns)) if self.flow is not None else np.zeros(len(self.patterns), int)
 
@@ -186,36 +194,73 @@ def score_patterns(
     columns = [c for c in (key, vector, hits, wanted) if c]
     needed = queries.select(*columns).filter(F.col(vector).isNotNull())
     key_type = queries.schema[key].dataType.simpleString()
+    entries = catalogue.select("capec_id", "kind", "slot", "vector")
+    blocks = catalogue_blocks(entries, vector_bytes(F.col("vector")), "capec_id", limit)
 
-    def fused(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
+    def scored(batch: pd.DataFrame, cat: Catalogue) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """Model, scores in thousandths, and the scores that break its ties."""
         total, steps = cat.partial(batch[vector], round_fields)
         final, _ = final_thousandths(total, cat.n_fields, steps, cat.n_steps, flow_weight)
-        ranks = rank_rows(final)
-        out = [_emit(batch, cat.patterns, final, ranks, model, key, top, wanted)]
+        out = [(model, final, final)]
         if hits:
-            boosted = final + _hit_matrix(batch[hits], cat.patterns)
-            out.append(_emit(batch, cat.patterns, boosted, rank_rows(boosted, ranks), f"{model}_keyword", key, top, wanted))
-        return pd.concat(out, ignore_index=True)
+            out.append((f"{model}_keyword", final + _hit_matrix(batch[hits], cat.patterns), final))
+        return out
+
+    if len(blocks) == 1:
+
+        def fused(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
+            out, base = [], None
+            for name, final, _ in scored(batch, cat):
+                ranks = rank_rows(final, base)
+                base = ranks if base is None else base
+                out.append(_emit(batch, cat.patterns, ranks, top, wanted, {
+                    key: batch[key], "model": name, "final_score": final / 1000, "rank": ranks.astype(np.int32)}))
+            return pd.concat(out, ignore_index=True)[[key, "model", "capec_id", "final_score", "rank"]]
+
+        return map_block(needed, blocks[0], Catalogue, fused, f"{key} {key_type}, model string, capec_id string, final_score double, rank int")
+
+    def part(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
+        """A block's rows that may be in the result: its first ones, or those wanted."""
+        out, first = [], None
+        for name, final, base in scored(batch, cat):
+            ranks = rank_rows(final, first)
+            first = ranks if first is None else first
+            out.append(_emit(batch, cat.patterns, ranks, None if wanted else top, wanted, {
+                ROW: batch[ROW], key: batch[key], "model": name, "final": final, "base": base}))
+        return pd.concat(out, ignore_index=True)[[ROW, key, "model", "capec_id", "final", "base"]]
+
+    rows = numbered(needed)
+    parts = map_blocks(rows, blocks, Catalogue, part, f"{ROW} long, {key} {key_type}, model string, capec_id string, final long, base long")
+    if wanted:
 
-    def partials(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
-        n, p = len(batch), len(cat.patterns)
-        total, steps = cat.partial(batch[vector], round_fields)
-        return pd.DataFrame({
-            key: np.repeat(batch[key].to_numpy(), p),
-            "capec_id": np.tile(np.asarray(cat.patterns, dtype=object), n),
-            "total": total.ravel(),
-            "n_fields": np.tile(cat.n_fields, n),
-            "steps": steps.ravel(),
-            "n_steps": np.tile(cat.n_steps, n),
-        })
+        def better(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
+            """How many of a block's patterns stand before each wanted one."""
+            found = {name: (final, base) for name, final, base in scored(batch, cat)}
+            out = []
+            for i, (number, asked) in enumerate(zip(batch[ROW], batch["_asked"])):
+                for a in asked:
+                    final, base = found[a["model"]][0][i], found[a["model"]][1][i]
+                    ahead = (final > a["final"]) | ((final == a["final"]) & (base > a["base"]))
+                    equal = (final == a["final"]) & (base == a["base"])
+                    n = int(ahead.sum()) + int(equal[: bisect_left(cat.order, pattern_key(a["capec_id"]))].sum())
+                    out.append((number, a["model"], a["capec_id"], n))
+            return pd.DataFrame(out, columns=[ROW, "model", "capec_id", "better"])
+
+        asked = parts.groupBy(ROW).agg(F.collect_list(F.struct("model", "capec_id", "final", "base")).alias("_asked"))
+        counted = map_blocks(rows.join(asked, ROW), blocks, Catalogue, better, f"{ROW} long, model string, capec_id string, better long")
+        ranks = counted.groupBy(ROW, "model", "capec_id").agg((F.sum("better") + 1).cast("int").alias("rank"))
+        ranked = parts.join(ranks, [ROW, "model", "capec_id"])
+    else:
+        number = F.regexp_extract("capec_id", r"(\d+)$", 1).try_cast("long").asc_nulls_last()
+        within = Window.partitionBy(ROW, "model").orderBy(F.desc("final"), F.desc("base"), number, "capec_id")
+        ranked = parts.withColumn("rank", F.row_number().over(within))
+    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
+    return ranked.select(key, "model", "capec_id", (F.col("final") / 1000).alias("final_score"), "rank")
 
-    rows, whole = map_with_catalogue(
-        needed, catalogue.select("capec_id", "kind", "slot", "vector"), Catalogue, fused,
-        f"{key} {key_type}, model string, capec_id string, final_score double, rank int",
-        vector_bytes(F.col("vector")), key, ["capec_id", "slot"], limit,
-        partials, f"{key} {key_type}, capec_id string, total double, n_fields long, steps double, n_steps long",
-    )
-    return rows if whole else _merge_partials(rows, needed, key, model, hits, top, wanted, flow_weight)
+
+def without_vector(queries: DataFrame, key: str = "cve_id", vector: str = "vector") -> DataFrame:
+    """(key, error) of the queries that can't be scored."""
+    return queries.filter(F.col(vector).isNull()).select(key, F.lit("no vector").alias("error"))
 
 
 def _hit_matrix(hits, patterns: list[str]) -> np.ndarray:
@@ -230,43 +275,23 @@ def _hit_matrix(hits, patterns: list[str]) -> np.ndarray:
     return matrix
 
 
-def _emit(batch, patterns, final, ranks, model, key, top, wanted) -> pd.DataFrame:
-    keep = np.ones(final.shape, dtype=bool) if top is None else ranks <= top
+def _emit(batch, patterns, ranks, top, wanted, columns: dict) -> pd.DataFrame:
+    """Kept cells as rows: by rank, by list, or all. Columns are per row, per cell or constant."""
+    keep = np.ones(ranks.shape, dtype=bool) if top is None else ranks <= top
     if wanted:
         place = {p: i for i, p in enumerate(patterns)}
-        listed = np.zeros(final.shape, dtype=bool)
+        listed = np.zeros(ranks.shape, dtype=bool)
         for row, ids in enumerate(batch[wanted]):
-            columns = [place[i] for i in (ids if ids is not None else ()) if i in place]
-            listed[row, columns] = True
+            listed[row, [place[i] for i in (ids if ids is not None else ()) if i in place]] = True
         keep &= listed
-    rows, columns = np.nonzero(keep)
-    return pd.DataFrame({
-        key: batch[key].to_numpy()[rows],
-        "model": model,
-        "capec_id": np.asarray(patterns, dtype=object)[columns],
-        "final_score": final[rows, columns] / 1000,
-        "rank": ranks[rows, columns].astype(np.int32),
-    })
-
-
-def _merge_partials(parts, queries, key, model, hits, top, wanted, flow_weight) -> DataFrame:
-    """The same result out of per-block sums; one query's group is one catalogue long."""
-    sums = parts.groupBy(key, "capec_id").agg(
-        *[F.sum(c).alias(c) for c in ("total", "n_fields", "steps", "n_steps")]
-    )
-    flow = F.when(F.col("n_steps") > 0, F.col("steps") / F.col("n_steps")).otherwise(0.0)
-    flow = F.round(flow, 3) if flow_weight > 1 else flow
-    weight = F.when(F.col("_flow") != 0, flow_weight).otherwise(0)
-    mean = (F.col("total") + F.col("_flow") * weight * 1000) / F.nullif(F.col("n_fields") + weight, F.lit(0))
-    scored = sums.withColumn("_flow", flow).withColumn("final_score", F.round(F.coalesce(mean, F.lit(0.0))) / 1000)
-    ranked = rank_patterns(scored.withColumn("model", F.lit(model)), [key, "model"]).select(key, "model", "capec_id", "final_score", "rank")
-    if hits:
-        scores = queries.select(key, F.explode(hits).alias("h")).select(key, "h.capec_id", F.col("h.score").alias("keyword_score"))
-        ranked = fuse_keyword(ranked, scores, [key], missing=-lexicon.KEYWORD_MALUS)
-    if wanted:
-        listed = queries.select(key, F.explode(wanted).alias("capec_id")).distinct()
-        ranked = ranked.join(listed, [key, "capec_id"], "left_semi").select(*ranked.columns)
-    return ranked if top is None else ranked.filter(F.col("rank") <= top)
+    rows, cells = np.nonzero(keep)
+    out = {"capec_id": np.asarray(patterns, dtype=object)[cells]}
+    for name, values in columns.items():
+        if isinstance(values, pd.Series):
+            out[name] = values.to_numpy()[rows]
+        else:
+            out[name] = values[rows, cells] if isinstance(values, np.ndarray) else values
+    return pd.DataFrame(out)
 
 
 def rank_patterns(scores: DataFrame, group: list[str], tie: str | None = None) -> DataFrame:
@@ -312,13 +337,11 @@ def field_scores(
             "score": scores.ravel(),
         })
 
-    out, _ = map_with_catalogue(
-        queries.select(key, vector).filter(F.col(vector).isNotNull()),
-        catalogue.filter(F.col("kind") == "field").select("capec_id", "kind", "slot", "vector"),
-        Catalogue, rows, f"{key} {key_type}, capec_id string, field string, score double",
-        vector_bytes(F.col("vector")), key, ["capec_id", "slot"], limit,
-    )
-    return out
+    fields = catalogue.filter((F.col("kind") == "field") & F.col("vector").isNotNull()).select("capec_id", "kind", "slot", "vector")
+    blocks = catalogue_blocks(fields, vector_bytes(F.col("vector")), "capec_id", limit)
+    asked = queries.select(key, vector).filter(F.col(vector).isNotNull())
+    asked = asked if len(blocks) == 1 else numbered(asked)
+    return map_blocks(asked, blocks, Catalogue, rows, f"{key} {key_type}, capec_id string, field string, score double")
 
 
 def flow_scores(step_scores: DataFrame, keys: list[str], step: str, score: str, parts: int = 2) -> DataFrame:

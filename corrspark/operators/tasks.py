@@ -47,8 +47,11 @@ def rank_matrix(ranked: DataFrame, patterns: DataFrame, models: list[str], cve_i
     if cve_id is not None:
         wide = rows.filter(F.col(key) == cve_id).groupBy("capec_id").agg(*ranks)
         return names.join(wide, "capec_id", "left")
+    # one row per query and active pattern; the active patterns are one small catalogue
+    listed = names.agg(F.array_sort(F.collect_list(F.struct("capec_id", "name")))).scalar()
+    pairs = rows.select(key).distinct().withColumn("_p", F.explode(listed)).select(key, "_p.capec_id", "_p.name")
     wide = rows.groupBy(key, "capec_id").agg(*ranks)
-    return wide.join(names, "capec_id")
+    return pairs.join(wide, [key, "capec_id"], "left")
 
 
 def completeness(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -21,9 +21,13 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """New rows replace old ones with the same key; the last new row wins.
 
-    ``order`` names columns of ``new`` and is not part of the result.
+    ``order`` names columns of ``new`` and is not part of the result. Columns that
+    only one side has stay: a new row has nothing in those of the old table.
     """
+    old_only = [f for f in old.schema.fields if f.name not in new.columns]
+    new = new.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in old_only])
     columns = [c for c in new.columns if c not in order]
+    old = old.select("*", *[F.lit(None).cast(new.schema[c].dataType).alias(c) for c in columns if c not in old.columns])
     rank = F.struct(*[F.col(c) for c in order]).alias("_rank")
     fresh = new.select(*columns, F.lit(1).alias("_new"), rank)
     kept = old.select(*columns, F.lit(0).alias("_new"), F.lit(None).cast(fresh.schema["_rank"].dataType).alias("_rank"))

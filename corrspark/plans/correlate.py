@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corrspark.operators import clean, keyword, links, similarity, tasks
 from corrspark.plans.encode import Encode
 from corrspark.session import materialise
-from corrspark.sources.writers import write_results
+from corrspark.sources.writers import write_errors, write_results
 
 
 def pattern_texts(patterns: DataFrame, steps: DataFrame | None = None, fields=similarity.FIELDS, compat: bool = False) -> DataFrame:
@@ -37,9 +37,10 @@ def correlate(
 ) -> tuple[DataFrame, DataFrame]:
     """(results, errors) of a task.
 
-    ``encoders`` maps a model name to an encoder (see plans.encode). Ids that cannot be cleaned are returned as errors and do not
-    stop the rest. Results are rows of task, id, model, pattern, score and rank,
-    for each model and its keyword variant.
+    ``encoders`` maps a model name to an encoder (see plans.encode). Ids that can't
+    be cleaned (model null) or that a model gives no vector are returned as errors
+    with their model and do not stop the rest. Results are rows of task, id, model,
+    pattern, score and rank, for each model and its keyword variant.
     """
     active = links.active_patterns(patterns)
     cleaned = clean.clean_requested(requests, cves, options)
@@ -48,12 +49,16 @@ def correlate(
     if len(encoders) > 1:  # every model reads the cleaned texts and their hits
         hits = materialise(hits, "hits")
     parts = pattern_texts(active, steps, fields, compat)
-    results = None
+    results = errors = None
     for model, encode in encoders.items():
         catalogue = encode(parts)  # first: an encoder that fits itself fits on the patterns
-        rows = similarity.score_patterns(encode(hits), catalogue, model=model, hits="hits", top=top, flow_weight=flow_weight)
+        vectors = encode(hits)
+        rows = similarity.score_patterns(vectors, catalogue, model=model, hits="hits", top=top, flow_weight=flow_weight)
         results = rows if results is None else results.unionByName(rows)
-    errors = cleaned.filter(F.col("error").isNotNull()).select("cve_id", "error")
+        missing = similarity.without_vector(vectors).withColumn("model", F.lit(model))
+        errors = missing if errors is None else errors.unionByName(missing)
+    uncleaned = cleaned.filter(F.col("error").isNotNull()).select("cve_id", "error", F.lit(None).cast("string").alias("model"))
+    errors = uncleaned if errors is None else uncleaned.unionByName(errors)
     return results.select(F.lit(task_id).alias("task_id"), "*"), errors.select(F.lit(task_id).alias("task_id"), "*")
 
 
@@ -65,15 +70,18 @@ def run_task(
     encoders: dict[str, Encode],
     **options,
 ) -> dict[str, str]:
-    """Correlate and append to the results, one job per model.
+    """Correlate and store the results and the errors, one job per model.
 
     A model whose job fails is reported by name and does not stop the others.
+    Errors are stored in the folder ``<path>_errors``; ids without a result have a
+    row there. A repeated task replaces its rows in both.
     """
     failed = {}
     for model, encode in encoders.items():
         try:
-            results, _ = correlate(requests, cves, patterns, {model: encode}, **options)
+            results, errors = correlate(requests, cves, patterns, {model: encode}, **options)
             write_results(results, path)
+            write_errors(errors.withColumn("model", F.lit(model)), f"{path.rstrip('/')}_errors")
         except Exception as error:  # whatever the encoder raised, the next model still runs
             failed[model] = str(error)
     return failed

@@ -26,7 +26,20 @@ def stored(vectors: DataFrame) -> Encode:
 
 
 def encode_with(load: Callable[[], Model], batch_size: int = 64) -> Encode:
-    """``load`` builds the model once per task; equal texts of a batch are encoded once."""
+    """``load`` builds the model once per task; equal texts of a batch are encoded once.
+
+    If the model fails on a group of texts, they are given to it one by one; a text
+    that it can't encode has no vector, which ``correlate`` reports. A model that
+    can't be loaded fails the job.
+    """
+
+    def encoded(model: Model, texts: list[str]) -> dict[str, np.ndarray]:
+        try:
+            return dict(zip(texts, np.asarray(model(texts), dtype=np.float32)))
+        except Exception:  # whatever the model raises: find out which text it can't take
+            if len(texts) == 1:
+                return {}
+            return {t: v for text in texts for t, v in encoded(model, [text]).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -34,8 +47,7 @@ def encode_with(load: Callable[[], Model], batch_size: int = 64) -> Encode:
             known = batch["text"].dropna().unique().tolist()
             vectors: dict[str, np.ndarray] = {}
             for start in range(0, len(known), batch_size):
-                part = known[start : start + batch_size]
-                vectors.update(zip(part, np.asarray(model(part), dtype=np.float32)))
+                vectors.update(encoded(model, known[start : start + batch_size]))
             yield batch.assign(vector=pd.Series([vectors.get(t) for t in batch["text"]], index=batch.index, dtype=object))
 
     def apply(rows: DataFrame) -> DataFrame:
@@ -57,11 +69,19 @@ def encode_once(encode: Encode) -> Encode:
     return apply
 
 
+def fit_hashed(texts: DataFrame, dim: int = 256) -> Encode:
+    """A hashed TF-IDF encoder whose document frequencies are those of ``texts``."""
+    encode = encode_hashed(dim)
+    encode(texts)
+    return encode
+
+
 def encode_hashed(dim: int = 256) -> Encode:
     """Hashed TF-IDF over the words of the rows, the same on every run.
 
-    Document frequencies are those of the first rows encoded, so that queries and
-    patterns share one weighting; fitting them is one aggregate of ``dim`` counts.
+    Document frequencies are those of the first rows encoded (``correlate`` encodes
+    the patterns first), so that queries and patterns share one weighting; fitting
+    them is one aggregate of ``dim`` counts. ``fit_hashed`` names the rows instead.
     """
     fitted: list = []
 

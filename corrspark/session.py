@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -61,10 +62,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names a folder every executor can reach; only a
-    session without one (tests) falls back to a local temporary folder.
+    ``spark.checkpoint.dir`` names a folder every executor can reach. Without it a
+    session in local mode (tests) takes a temporary folder, since all its tasks
+    run on this machine; on a cluster the missing setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     root = shared or tempfile.mkdtemp(prefix="corrspark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -39,9 +39,16 @@ def read_snapshot(spark: SparkSession, root: str, schema: str | None = None) ->
     return spark.read.schema(fields).parquet(pointer["path"]).select(*fields.names)
 
 
-def write_results(results: DataFrame, path: str, mode: str = "append") -> None:
-    """Long result rows, one partition folder per task."""
-    results.write.mode(mode).partitionBy("task_id").parquet(path)
+def write_results(results: DataFrame, path: str) -> None:
+    """Long result rows, one partition folder per task and model; a repeated task replaces its own rows."""
+    writer = results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("task_id", "model").parquet(path)
+
+
+def write_errors(errors: DataFrame, path: str) -> None:
+    """Rows of task, model, id and reason, beside the results."""
+    writer = errors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("task_id", "model").parquet(path)
 
 
 def similarity_document(ranked: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from corrspark.operators.upsert import last_per_key
-from corrspark.session import scratch_dir
+from corrspark.session import materialise, scratch_dir
 from corrspark.sources.writers import read_snapshot, write_snapshot
 
 
@@ -70,27 +70,44 @@ def request_stream(
     requests: DataFrame,
     run: Callable[[DataFrame], DataFrame],
     path: str,
-    time: str | None = None,
-    delay: str = "1 day",
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Queued requests to results, one result set per (task, id).
+    """Queued requests to results, one result set per (task, id), see ``answers``.
 
-    Repeats inside the delay are dropped by the stream's state; a batch is
-    written to a folder named by its id, so a replay overwrites itself.
+    What is asked again is found in the list of answered requests, not in state
+    that grows or forgets: late requests are answered, repeats are not, however
+    far apart. Answers and list are written to folders named by the run and the
+    batch, so another run on the same path adds to them and a replayed batch
+    overwrites itself.
     """
     keys = ["task_id", "cve_id"]
-    if time is None:
-        once = requests.dropDuplicates(keys)
-    else:
-        once = requests.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    mark = checkpoint or scratch_dir(requests.sparkSession, "requests")
+    name = hashlib.sha1(mark.encode()).hexdigest()[:12]
+    root = path.rstrip("/")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        run(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        own = f"run={name}/batch={batch_id}"
+        asked = batch.select(*keys).distinct()
+        try:
+            answered = batch.sparkSession.read.parquet(f"{root}/asked")
+        except AnalysisException:  # the first batch: no list yet
+            answered = None
+        if answered is not None:
+            earlier = answered.filter((F.col("run") != name) | (F.col("batch") != batch_id))
+            asked = asked.join(earlier.select(*keys), keys, "left_anti")
+        asked = materialise(asked, "asked")
+        first = batch.dropDuplicates(keys).join(asked, keys, "left_semi")
+        run(first).write.mode("overwrite").parquet(f"{root}/answers/{own}")
+        asked.write.mode("overwrite").parquet(f"{root}/asked/{own}")
 
     return (
-        once.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint or scratch_dir(requests.sparkSession, "requests"))
+        requests.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", mark)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """All answers of a request stream."""
+    return spark.read.option("basePath", f"{path.rstrip('/')}/answers").parquet(f"{path.rstrip('/')}/answers").drop("run", "batch")

@@ -38,7 +38,7 @@ metrics AS (
 @query("truth_ranks", f"WITH {TRUE_RANKS} SELECT * FROM ranks")
 def truth_ranks(spark, folder):
     """The same ranks by a join of stored results with a ground truth."""
-    return evaluate.truth_ranks(ranked(spark, folder), truth(spark, folder))
+    return evaluate.truth_ranks(ranked(spark, folder, true_only=True), truth(spark, folder))
 
 
 @query("rank_metrics", f"WITH {AT_K} SELECT * FROM metrics")
@@ -91,7 +91,7 @@ WITH {TRUE_RANKS} SELECT r.cve_id, r.model, count(t.capec_id)::DOUBLE / 3 AS pre
 FROM ranked r LEFT JOIN truth t ON t.cve_id = r.cve_id AND t.capec_id = r.capec_id WHERE rank <= 3 GROUP BY ALL
 """)
 def set_precision(spark, folder):
-    return evaluate.set_precision(ranked(spark, folder), truth(spark, folder), 3)
+    return evaluate.set_precision(ranked(spark, folder, top=3), truth(spark, folder), 3)
 
 
 @query("mean_set_precision", f"""
@@ -100,7 +100,7 @@ FROM ranked r LEFT JOIN truth t ON t.cve_id = r.cve_id AND t.capec_id = r.capec_
 SELECT model, round(avg(precision), 6) AS precision FROM p GROUP BY ALL
 """)
 def mean_set_precision(spark, folder):
-    out = evaluate.mean_set_precision(ranked(spark, folder), truth(spark, folder), 3)
+    out = evaluate.mean_set_precision(ranked(spark, folder, top=3), truth(spark, folder), 3)
     return out.select("model", F.round("precision", 6).alias("precision"))
 
 
@@ -122,7 +122,7 @@ def report_truth(spark, folder):
 
 
 def report(spark, folder):
-    return evaluate.rank_report(ranked(spark, folder), report_truth(spark, folder), patterns(spark, folder), MODELS)
+    return evaluate.rank_report(ranked(spark, folder, true_only=True), report_truth(spark, folder), patterns(spark, folder), MODELS)
 
 
 REPORT = TRUE_RANKS + """,

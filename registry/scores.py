@@ -120,6 +120,38 @@ def cosine_rank_blocks(spark, folder):
     return similarity.score_patterns(queries_of(spark, folder), catalogue(spark, folder), limit=16 << 10)
 
 
+_REPEATED = f"""
+WITH {SCORED} SELECT CASE WHEN e.label < 8 THEN e.label % 3 END AS cve_id, 'vector' AS model, 'CAPEC-' || b.label AS capec_id, milli / 1000.0 AS final_score, rank
+FROM base b JOIN embeddings e ON e.vec_id = b.cve_id WHERE rank <= 3
+"""
+
+
+def repeated(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Many query vectors per key, some without one: each is ranked by itself."""
+    key = F.when(F.col("label") < 8, F.col("label") % 3).alias("cve_id")
+    rows = table(spark, folder, "embeddings").select(key, F.col("embedding").alias("vector"))
+    return similarity.score_patterns(rows, catalogue(spark, folder), top=3, **options)
+
+
+@query("repeated_keys", _REPEATED)
+def repeated_keys(spark, folder):
+    return repeated(spark, folder)
+
+
+@query("repeated_keys_blocks", _REPEATED)
+def repeated_keys_blocks(spark, folder):
+    return repeated(spark, folder, limit=16 << 10)
+
+
+@query("wanted_blocks", f"""
+WITH {SCORED} SELECT b.cve_id, 'vector' AS model, 'CAPEC-' || b.label AS capec_id, milli / 1000.0 AS final_score, rank
+FROM base b JOIN embeddings e ON e.vec_id = b.cve_id AND e.label = b.label
+""")
+def wanted_blocks(spark, folder):
+    """Ranks of the true patterns; a block hands on how many patterns are better."""
+    return similarity.score_patterns(queries_of(spark, folder), catalogue(spark, folder), wanted="truth", limit=16 << 10)
+
+
 @query("hybrid_rank", f"WITH {RANKED} SELECT * FROM ranked")
 def hybrid_rank(spark, folder):
     return ranked(spark, folder)
@@ -285,7 +317,7 @@ def keyword_partial(spark, folder):
 
 @query("keyword_partial_blocks", PARTIAL)
 def keyword_partial_blocks(spark, folder):
-    return keyword.keyword_scores(texts(spark, folder), keywords(spark, folder), acronyms={}, lemma=None, stem=None, limit=8 << 10)
+    return keyword.keyword_scores(texts(spark, folder), keywords(spark, folder), acronyms={}, lemma=None, stem=None, limit=16 << 10)
 
 
 @query("keyword_cascade")

@@ -26,10 +26,11 @@ def stream_upsert(spark, folder):
 
 @query("stream_requests", "SELECT DISTINCT event_type AS task_id, user_id AS cve_id, c_name FROM events JOIN customer ON c_custkey = user_id")
 def stream_requests(spark, folder):
-    """Each (task, id) is answered once, from a static table."""
-    rows = stream(spark, folder, "events").select(F.col("event_type").alias("task_id"), F.col("user_id").alias("cve_id"), F.col("ts").cast("timestamp").alias("ts"))
+    """Each (task, id) is answered once, from a static table, also over two runs on one path."""
+    rows = stream(spark, folder, "events").select(F.col("event_type").alias("task_id"), F.col("user_id").alias("cve_id"))
     answers = table(spark, folder, "customer").select(F.col("c_custkey").alias("cve_id"), "c_name")
     path = scratch_dir(spark, "answers")
     run = lambda batch: batch.join(answers, "cve_id").select("task_id", "cve_id", "c_name")
-    jobs.request_stream(rows, run, path, time="ts", delay="3650 days").awaitTermination()
-    return spark.read.parquet(path).select("task_id", "cve_id", "c_name")
+    jobs.request_stream(rows.filter("cve_id % 3 > 0"), run, path).awaitTermination()
+    jobs.request_stream(rows, run, path).awaitTermination()
+    return jobs.answers(spark, path).select("task_id", "cve_id", "c_name")

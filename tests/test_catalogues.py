@@ -180,7 +180,7 @@ def test_whole_correlation(spark, feed_dir, capecs, tmp_path):
     assert best["letters_keyword"] == "CAPEC-1"
     by_model = {(r["model"], r["capec_id"]): r["final_score"] for r in got if r["cve_id"] == "CVE-2020-0001"}
     assert by_model["letters_keyword", "CAPEC-1"] == pytest.approx(by_model["letters", "CAPEC-1"] + 0.3)
-    assert [tuple(r) for r in errors.collect()] == [("t", "CVE-2000-1111", "not found")]
+    assert [tuple(r) for r in errors.collect()] == [("t", "CVE-2000-1111", "not found", None)]
     assert correlate.finish(asked, results).first()["status"] == "in_progress"
     assert correlate.finish(asked.filter("cve_id <> 'CVE-2000-1111'"), results).first()["status"] == "complete"
     out = str(tmp_path / "results")
@@ -194,6 +194,21 @@ def test_whole_correlation(spark, feed_dir, capecs, tmp_path):
     again = str(tmp_path / "again")
     failed = correlate.run_task(again, asked, cves, basic, {"bad": encode.encode_with(broken), "letters": encoders["letters"]}, steps=steps, task_id="t")
     assert list(failed) == ["bad"] and spark.read.parquet(again).count() == 2 * 3 * 2
+    assert [(r["cve_id"], r["model"]) for r in spark.read.parquet(again + "_errors").collect()] == [("CVE-2000-1111", "letters")]
+    correlate.run_task(again, asked, cves, basic, {"letters": encoders["letters"]}, steps=steps, task_id="t")
+    assert spark.read.parquet(again).count() == 2 * 3 * 2  # a repeated task replaces its rows
+
+    def picky():
+        def run(texts):
+            if any("sql" in t.lower() for t in texts):
+                raise ValueError("not this one")
+            return [[1.0, float(len(t))] for t in texts]
+
+        return run
+
+    df = spark.createDataFrame([("a", "one"), ("b", "sql here"), ("c", "two"), ("d", None)], "cve_id string, text string")
+    vectors = {r["cve_id"]: r["vector"] for r in encode.encode_with(picky)(df).collect()}
+    assert vectors == {"a": [1.0, 3.0], "b": None, "c": [1.0, 3.0], "d": None}
     writers.drop_task(str(tmp_path / "kept"), results, spark.createDataFrame([("t",)], "task_id string"))
     kept = writers.read_snapshot(spark, str(tmp_path / "kept"))
     assert kept.count() == 0 and kept.columns == results.columns

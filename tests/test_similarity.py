@@ -63,7 +63,7 @@ def frames(spark, queries, cat):
 
 
 @pytest.mark.parametrize("options", [{}, {"flow_weight": 2, "round_fields": False}])
-@pytest.mark.parametrize("limit", [1 << 27, 300])
+@pytest.mark.parametrize("limit", [1 << 27, 2000])
 def test_scores_and_ranks(spark, options, limit):
     queries, cat = data()
     got = similarity.score_patterns(*frames(spark, queries, cat), limit=limit, **options)
@@ -72,7 +72,7 @@ def test_scores_and_ranks(spark, options, limit):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [1 << 27, 300])
+@pytest.mark.parametrize("limit", [1 << 27, 2000])
 def test_hits_top_and_wanted(spark, limit):
     queries, cat = data(2)
     q, c = frames(spark, queries, cat)
@@ -97,7 +97,7 @@ def test_pieces_of_a_batch_agree(spark, monkeypatch):
     q, c = frames(spark, *data(4))
     whole = sorted(map(tuple, similarity.score_patterns(q, c).collect()))
     monkeypatch.setattr("corrspark.operators.blocks.CELLS", 50)
-    for limit in (1 << 27, 300):
+    for limit in (1 << 27, 2000):
         assert sorted(map(tuple, similarity.score_patterns(q, c, limit=limit).collect())) == whole
 
 
@@ -137,3 +137,26 @@ def test_wide_scores_and_models(spark):
     with pytest.raises(Exception, match="same length"):
         similarity.one_to_many(bad, "q", "n", "v", ["id"]).collect()
     assert similarity.model_list(["A", "B", "A"]) == ["A", "B", "A_keyword", "B_keyword"]
+
+
+@pytest.mark.parametrize("limit", [1 << 27, 2000])
+def test_equal_and_missing_keys_and_vectors(spark, limit):
+    queries, cat = data(6)
+    rows = [("same", v) for _, v in queries] + [(None, v) for _, v in queries[:2]] + [("none", None)]
+    cat = [*cat, ("CAPEC-5", "field", "zz", None), ("CAPEC-6", "flow", "zz", None)]
+    q, c = frames(spark, rows, cat)
+    hits = F.array(F.struct(F.lit("CAPEC-5").alias("capec_id"), F.lit(0.3).alias("score")))
+    got = similarity.score_patterns(q.withColumn("hits", hits), c, hits="hits", limit=limit).collect()
+    patterns = len({p for p, *_ in cat})
+    count = {}
+    for r in got:
+        count[r["cve_id"], r["model"], r["rank"]] = count.get((r["cve_id"], r["model"], r["rank"]), 0) + 1
+    for model in ("vector", "vector_keyword"):
+        assert [count["same", model, k] for k in range(1, patterns + 1)] == [len(queries)] * patterns
+        assert count[None, model, 1] == 2 and ("none", model, 1) not in count
+    assert similarity.without_vector(q).collect() == [("none", "no vector")]
+
+
+def test_a_key_larger_than_the_limit_is_an_error(spark):
+    with pytest.raises(ValueError, match="limit"):
+        similarity.score_patterns(*frames(spark, *data(1)), limit=10)

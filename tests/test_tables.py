@@ -136,7 +136,47 @@ def test_request_stream_answers_once(spark, tmp_path, rows):
         spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "task_id string, cve_id string").write.mode("append").parquet(source)
     stream = spark.readStream.schema("task_id string, cve_id string").option("maxFilesPerTrigger", 1).parquet(source)
     jobs.request_stream(stream, lambda b: b.withColumn("answer", F.upper("cve_id")), out).awaitTermination()
-    assert rows(spark.read.parquet(out), "task_id", "cve_id", "answer") == [("t", "a", "A"), ("t", "b", "B"), ("u", "a", "A")]
+    want = [("t", "a", "A"), ("t", "b", "B"), ("u", "a", "A")]
+    assert rows(jobs.answers(spark, out), "task_id", "cve_id", "answer") == want
+    spark.createDataFrame([("u", "b")], "task_id string, cve_id string").write.mode("append").parquet(source)
+    jobs.request_stream(stream, lambda b: b.withColumn("answer", F.lower("cve_id")), out).awaitTermination()  # a new run on the same path
+    assert rows(jobs.answers(spark, out), "task_id", "cve_id", "answer") == [*want, ("u", "b", "b")]
+
+
+def test_upsert_keeps_columns_of_both_sides(spark):
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "id int, x string, kept int")
+    new = spark.createDataFrame([(2, "c", True, 1)], "id int, x string, extra boolean, o int")
+    got = {r["id"]: (r["x"], r["kept"], r["extra"]) for r in upsert.upsert(old, new, ["id"], ["o"]).collect()}
+    assert got == {1: ("a", 5, None), 2: ("c", None, True)}
+
+
+def test_steps_without_position_or_pattern_stay(spark):
+    from corrspark.operators import links
+
+    rows = [("p", "1", 0), ("p", "1", None), (None, "1", 3), (None, "1", 4)]
+    got = links.number_steps(spark.createDataFrame(rows, "capec_id string, step string, pos long")).collect()
+    assert len(got) == 4 and sorted(r["step"] for r in got) == ["1", "1", "1b", "1b"]
+
+
+def test_rank_matrix_keeps_unranked_patterns(spark):
+    from corrspark.operators import tasks
+
+    ranked = spark.createDataFrame([("c1", "m", "P-1", 1), ("c2", "m", "P-2", 1)], "cve_id string, model string, capec_id string, rank int")
+    patterns = spark.createDataFrame([("P-1", "one", "Draft"), ("P-2", "two", None), ("P-3", "three", "Draft"), ("P-4", "gone", "Deprecated")], "id string, name string, status string")
+    got = {(r["cve_id"], r["capec_id"]): r["m_rank"] for r in tasks.rank_matrix(ranked, patterns, ["m"]).collect()}
+    assert got == {(c, p): {("c1", "P-1"): 1, ("c2", "P-2"): 1}.get((c, p)) for c in ("c1", "c2") for p in ("P-1", "P-2", "P-3")}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from corrspark.session import scratch_dir
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)), "x")
+    assert scratch_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]")), "x")
 
 
 # --- platform names --------------------------------------------------------

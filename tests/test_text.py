@@ -92,6 +92,21 @@ def test_versions_build_on_each_other(spark):
     }
 
 
+def test_lexicon_ways_agree_on_odd_tables(spark):
+    texts = spark.createDataFrame([(1, "foo bar e\u0301 t"), (1, "foo"), (None, "baz foo")], "id int, t string")
+    table = spark.createDataFrame([("foo", "f2"), ("foo", "f1"), ("bar", None), ("baz", "b"), (None, "x")], "token string, lemma string")
+    small, large = (clean.lemmatize_with_lexicon(texts, "id", "t", "o", table, **o) for o in ({}, {"limit": 0}))
+    key = lambda r: (r["t"], r["o"])
+    assert sorted(map(key, small.collect())) == sorted(map(key, large.collect()))
+    assert ("foo", "f1") in map(key, large.collect()) and small.columns == large.columns
+
+
+def test_version_starts_cover_all_phrases():
+    assert T.first_character(r"(\d+)x") == r"\d" and T.first_character("CVE") == "c"
+    with pytest.raises(ValueError):
+        T.first_character("v?x")
+
+
 def test_lexicon_table_both_ways(spark, rows):
     texts = spark.createDataFrame([(1, "mice ran, mice hid"), (2, ""), (3, None)], "id int, t string")
     table = spark.createDataFrame([("mice", "mouse"), ("ran", "run")], "token string, lemma string")
