@@ -34,6 +34,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return last_per_key(kept.unionByName(fresh), keys, ["_new", "_rank"]).select(*columns)
 
 
+def replace_children(old: DataFrame | None, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """Child rows (steps, edges, references) after a refresh of their parents.
+
+    A refreshed parent has just its new children; the others keep theirs.
+    """
+    if old is None:
+        return new
+    kept = old.join(parents.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True)
+
+
 def placeholders(table: DataFrame, key: str, mentions: DataFrame, mention: str) -> DataFrame:
     """The table plus an otherwise empty row for each mentioned but missing key."""
     missing = mentions.select(F.col(mention).alias(key)).distinct().join(table, key, "left_anti")

@@ -8,8 +8,22 @@ from corrspark.operators import clean, links, upsert
 from corrspark.sources import catalogues, cve
 
 
-def cve_tables(spark: SparkSession, path: str, old: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Records, references, weakness mentions and quarantined rows of the feed."""
+Tables = dict[str, DataFrame]
+
+
+def _latest(rows: DataFrame, old: DataFrame | None) -> DataFrame:
+    """Rows of a catalogue file by id, the last one of the file; rows of an older table that it lacks stay."""
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    if old is None:
+        return upsert.last_per_key(placed, ["id"], ["_place"]).drop("_place")
+    return upsert.upsert(old, placed, ["id"], ["_place"])
+
+
+def cve_tables(spark: SparkSession, path: str, old: DataFrame | None = None, old_references: DataFrame | None = None) -> Tables:
+    """Records, references, weakness mentions and quarantined rows of the feed.
+
+    References of earlier feeds stay; the last mention of a url wins.
+    """
     feed = cve.read_feed(spark, path)
     rows = cve.records(feed)
     good = cve.accepted(rows)
@@ -19,31 +33,41 @@ def cve_tables(spark: SparkSession, path: str, old: DataFrame | None = None) ->
     ref_order = [*order, "ref_pos"]
     return {
         "cve": table,
-        "cve_reference": upsert.last_per_key(refs, ["cve_id", "url"], ref_order).drop(*ref_order),
+        "cve_reference": upsert.last_per_key(refs, ["cve_id", "url"], ref_order).drop(*ref_order)
+        if old_references is None else upsert.upsert(old_references, refs, ["cve_id", "url"], ref_order),
         "weakness_mentions": cve.weakness_mentions(feed),
         "quarantine": cve.quarantined(rows),
         "version": cve.feed_version(feed),
     }
 
 
-def capec_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def capec_tables(spark: SparkSession, path: str, old: Tables | None = None) -> Tables:
+    """Patterns, steps, relations and text versions; ``old`` are the tables of the last refresh."""
+    old = old or {}
     raw = catalogues.read_capec(spark, path)
-    patterns = clean.aggregate_raw_patterns(catalogues.capec_records(raw))
-    steps = clean.aggregate_steps(links.number_steps(catalogues.capec_steps(raw)))
+    read = clean.aggregate_raw_patterns(catalogues.capec_records(raw))
+    patterns = _latest(read, old.get("capec"))
+    ids = read.select(F.col("id").alias("capec_id"), F.col("id").alias("source"))
+    steps = upsert.replace_children(old.get("attack_step"), clean.aggregate_steps(links.number_steps(catalogues.capec_steps(raw))), ids, "capec_id")
+    edges = links.related_patterns(catalogues.capec_relations(raw), patterns)
     return {
         "capec": patterns,
         "attack_step": steps,
-        "capec_related_pattern": links.related_patterns(catalogues.capec_relations(raw), patterns),
+        "capec_related_pattern": upsert.replace_children(old.get("capec_related_pattern"), edges, ids, "source"),
         "preprocessed_capec": clean.pattern_versions(patterns),
         "preprocessed_attack_step": clean.step_versions(steps),
         "version": catalogues.capec_header(spark, path),
     }
 
 
-def cwe_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def cwe_tables(spark: SparkSession, path: str, old: Tables | None = None) -> Tables:
+    """Weaknesses (with placeholders), relations and mentions; ``old`` are the tables of the last refresh."""
+    old = old or {}
     raw = catalogues.read_cwe(spark, path)
-    edges = links.related_weaknesses(catalogues.cwe_relations(raw))
-    table = upsert.placeholders(catalogues.cwe_records(raw), "id", edges, "target")
+    read = catalogues.cwe_records(raw)
+    ids = read.select(F.col("id").alias("source"))
+    edges = upsert.replace_children(old.get("cwe_related_weakness"), links.related_weaknesses(catalogues.cwe_relations(raw)), ids, "source")
+    table = upsert.placeholders(_latest(read, old.get("cwe")), "id", edges, "target")
     return {
         "cwe": table,
         "cwe_related_weakness": edges,

@@ -175,6 +175,18 @@ def upsert_snapshot(spark, folder):
     return upsert.upsert(old, new, ["o_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
 
 
+@query("replace_children", """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 3 <> 0
+UNION ALL SELECT l_orderkey, l_linenumber + 10, l_quantity * 2 FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber = 1
+""")
+def replace_children(spark, folder):
+    """Every third order comes with new lines; the others keep theirs."""
+    old = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    again = table(spark, folder, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    new = old.filter("l_orderkey % 3 = 0 and l_linenumber = 1").select("l_orderkey", (F.col("l_linenumber") + 10).alias("l_linenumber"), (F.col("l_quantity") * 2).alias("l_quantity"))
+    return upsert.replace_children(old, new, again, "l_orderkey")
+
+
 @query("placeholder_rows", """
 SELECT n_nationkey, n_name FROM nation
 UNION ALL SELECT DISTINCT c_custkey, NULL FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)

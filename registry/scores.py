@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrspark.functions.vectors import norm
-from corrspark.operators import keyword, similarity, tasks
+from corrspark.operators import clean, keyword, similarity, tasks
 from corrspark.plans import correlate, encode
+from corrspark.session import scratch_dir
+from corrspark.sources import writers
 from registry import sql_text as S
 from registry.base import documents, query, table
 
@@ -220,6 +224,12 @@ def flow_score(spark, folder):
     return similarity.score_patterns(queries_of(spark, folder), catalogue(spark, folder, flow=True))
 
 
+@query("flow_score_weighted", _flow_sql(2, f"({HALF_UP.format('1000 * flow')} / 1000.0)"))
+def flow_score_weighted(spark, folder):
+    """The flow, rounded, counts twice in the mean."""
+    return similarity.score_patterns(queries_of(spark, folder), catalogue(spark, folder, flow=True), flow_weight=2)
+
+
 @query("flow_score_blocks", _flow_sql(1, "flow"))
 def flow_score_blocks(spark, folder):
     return similarity.score_patterns(queries_of(spark, folder), catalogue(spark, folder, flow=True), limit=16 << 10)
@@ -343,6 +353,69 @@ def encode_hashed(spark, folder):
     return rows.select("cve_id", size.alias("slots"), F.round(norm(F.col("vector")), 4).alias("norm"))
 
 
+@query("field_texts", """
+WITH p AS (SELECT 'CAPEC-' || item_id AS capec_id, split_part(text, '.', 1) AS name, text AS description, CASE WHEN item_id % 2 = 0 THEN '' ELSE upper(text) END AS other FROM benchmark)
+SELECT capec_id, 'field' AS kind, slot, text FROM (
+  SELECT capec_id, 'name' AS slot, name AS text FROM p UNION ALL SELECT capec_id, 'description', description FROM p
+  UNION ALL SELECT capec_id, unnest(['prerequisites', 'extended_description']), other FROM p) WHERE text <> ''
+""")
+def field_texts(spark, folder):
+    """The texts that the extended field set compares; empty fields are left out."""
+    items = table(spark, folder, "benchmark")
+    other = F.when(F.col("item_id") % 2 == 0, "").otherwise(F.upper("text"))
+    filled = {"description": F.col("text"), "prerequisites": other, "extended_description": other}
+    aggregated = [filled.get(f, F.lit("")).alias(f"{f}_aggregated") for f in similarity.EXTENDED_FIELDS if f != "name"]
+    rows = items.select(F.concat(F.lit("CAPEC-"), "item_id").alias("id"), F.split_part("text", F.lit("."), F.lit(1)).alias("name"), *aggregated)
+    return similarity.field_texts(rows, similarity.EXTENDED_FIELDS)
+
+
+@query("model_list", "SELECT unnest(['hashed', 'vector', 'hashed_keyword', 'vector_keyword']) AS model, unnest([1, 2, 3, 4]) AS place, (SELECT count(*) FROM embeddings) AS queries")
+def model_list(spark, folder):
+    """Models of a task over all queries, each with its keyword variant, once."""
+    names = similarity.model_list(["hashed", "vector", "hashed"])
+    queries = table(spark, folder, "embeddings").agg(F.count(F.lit(1)).alias("queries"))
+    return queries.select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("_p", "model"), "queries").select("model", (F.col("_p") + 1).alias("place"), "queries")
+
+
+@query("stored_results", f"WITH {RANKED} SELECT 't1' AS task_id, * FROM ranked WHERE rank <= 2")
+def stored_results(spark, folder):
+    """Results written twice under one task: the second run replaces the first."""
+    path = scratch_dir(spark, "results")
+    rows = ranked(spark, folder, top=2).withColumn("task_id", F.lit("t1"))
+    for _ in range(2):
+        writers.write_results(rows, path)
+    return spark.read.parquet(path).select("task_id", "cve_id", "model", "capec_id", "final_score", "rank")
+
+
+def _hard_to_encode():
+    """A model that takes no text with three hash signs."""
+
+    def run(texts: list[str]):
+        if any("###" in t for t in texts):
+            raise ValueError("this text can't be encoded")
+        return [[1.0, float(len(t))] for t in texts]
+
+    return run
+
+
+@query("correlation_errors", """
+SELECT doc_id AS cve_id, 'no vector' AS error, 'picky' AS model FROM documents WHERE contains(text, '###')
+UNION ALL SELECT -doc_id - 1, 'not found', NULL FROM documents WHERE doc_id % 50 = 0
+""")
+def correlation_errors(spark, folder):
+    """Ids that are missing or that a model can't encode are reported; the rest goes on."""
+    cves = documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("description"))
+    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("cve_id"))
+    asked = ids.union(ids.filter("cve_id % 50 = 0").select(-F.col("cve_id") - 1))
+    rows = table(spark, folder, "benchmark").select(
+        F.concat(F.lit("CAPEC-"), "item_id").alias("id"), F.lit("a name").alias("name"), F.lit("Draft").alias("status"),
+        F.array().cast("array<string>").alias("alternate_terms"), F.lower("text").alias("description_aggregated"),
+        *[F.lit("").alias(f"{f}_aggregated") for f in similarity.FIELDS if f not in ("name", "description")],
+    )
+    _, errors = correlate.correlate(asked, cves, rows, {"picky": encode.encode_with(_hard_to_encode)}, options=clean.CleanOptions(**{f.name: False for f in dataclasses.fields(clean.CleanOptions)}), top=1)
+    return errors.drop("task_id")
+
+
 @query("text_correlation")
 def text_correlation(spark, folder):
     """The whole plan on texts: clean, keywords, vectors, fusion, ranks."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrspark.functions import text as T
+from corrspark.functions import words as W
 from corrspark.operators import clean
 from registry import sql_text as S
 from registry.base import documents, query, table
@@ -155,7 +156,15 @@ def clean_repeats(spark, folder):
     return docs(spark, folder).select("doc_id", clean.remove_consecutive_repeats(F.col("text")).alias("text"))
 
 
-@query("clean_lemmas")
+_irregular = " ".join(f"WHEN {S.quote(a)} THEN {S.quote(b)}" for a, b in W.IRREGULAR_NOUNS.items())
+_suffixes = " ".join(
+    f"WHEN ends_with(t, {S.quote(a)}) AND length(t) > {len(a) + 1} THEN left(t, length(t) - {len(a)}) || {S.quote(b)}" for a, b in W.NOUN_RULES)
+_lemma = f"""CASE t {_irregular} ELSE CASE
+  WHEN length(t) <= 3 OR ends_with(t, 'ss') OR ends_with(t, 'us') OR ends_with(t, 'is') THEN t {_suffixes}
+  WHEN ends_with(t, 's') THEN left(t, length(t) - 1) ELSE t END END"""
+
+
+@query("clean_lemmas", f"SELECT doc_id, array_to_string([{_lemma} FOR t IN regexp_extract_all(text, {S.quote(S.TOKEN)})], ' ') AS text FROM documents")
 def clean_lemmas(spark, folder):
     return docs(spark, folder).select("doc_id", clean.lemmatize_text(F.col("text")).alias("text"))
 

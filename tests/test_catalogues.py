@@ -130,6 +130,23 @@ def test_cwe(spark, cwes, rows):
     assert table["CWE-79"]["potential_mitigations"][0]["Description"] == "Encode all"
 
 
+def test_refresh_on_old_tables(spark, capecs, cwes, tmp_path, rows, feed_dir):
+    """A second file replaces what it holds and keeps the rest, with steps and edges."""
+    path = tmp_path / "again.xml"
+    path.write_text(CAPEC_XML)
+    again = refresh.capec_tables(spark, str(path), capecs)
+    assert again["capec"].count() == capecs["capec"].count()
+    assert sorted(map(str, again["attack_step"].collect())) == sorted(map(str, capecs["attack_step"].collect()))
+    extra = spark.createDataFrame([("CAPEC-900", "CAPEC-1", "ChildOf")], "source string, target string, nature string")
+    old = capecs | {"capec_related_pattern": capecs["capec_related_pattern"].union(extra)}
+    assert rows(refresh.capec_tables(spark, str(path), old)["capec_related_pattern"]) == [("CAPEC-1", "CAPEC-2", "PeerOf"), ("CAPEC-900", "CAPEC-1", "ChildOf")]
+    got = refresh.cve_tables(spark, feed_dir)
+    refs = got["cve_reference"]
+    gone = refs.limit(1).withColumn("cve_id", F.lit("CVE-1999-0001"))
+    kept = refresh.cve_tables(spark, feed_dir, got["cve"], refs.unionByName(gone))["cve_reference"]
+    assert kept.count() == refs.count() + 1
+
+
 def test_links(spark, feed_dir, capecs, cwes, rows):
     bridges = refresh.link_tables(refresh.cve_tables(spark, feed_dir), cwes, capecs)
     # both feed files link the repeated record, the quarantined one is no end
