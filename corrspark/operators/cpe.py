@@ -83,13 +83,16 @@ def product_of(uri: Column) -> Column:
 
 # --- matching --------------------------------------------------------------
 
+# compiled patterns that a worker keeps: a few megabytes
+CACHED_PATTERNS = 4_096
 
-@lru_cache(W.CACHE_WORDS)
+
+@lru_cache(CACHED_PATTERNS)
 def exact_pattern(term: str) -> re.Pattern:
     return re.compile(rf"\b{re.escape(term.lower())}\b", re.IGNORECASE)
 
 
-@lru_cache(W.CACHE_WORDS)
+@lru_cache(CACHED_PATTERNS)
 def partial_patterns(vendor: str, product: str) -> list[re.Pattern]:
     """Near spellings of a product name.
 
@@ -107,7 +110,7 @@ def partial_patterns(vendor: str, product: str) -> list[re.Pattern]:
     return [re.compile(s, re.IGNORECASE) for s in shapes]
 
 
-@lru_cache(W.CACHE_WORDS)
+@lru_cache(CACHED_PATTERNS)
 def spread_pattern(word: str) -> re.Pattern:
     """A word whose letters may be set apart by blanks."""
     return re.compile(r"\b" + r"\s*".join(map(re.escape, word)) + r"\b", re.IGNORECASE)
@@ -140,11 +143,15 @@ def _close(word: str, term: str, threshold: int) -> bool:
     return 200 * short > (threshold - 1) * (short + long) and W.ratio(word, term) > threshold
 
 
-def fuzzy_spans(term: str, text: str, threshold: int = 70) -> list[tuple[str, int, int]]:
-    """Runs of words that resemble the term, up to one word longer than it."""
+def fuzzy_spans(term: str, text: str, threshold: int = 70, extra_words: int | None = 1) -> list[tuple[str, int, int]]:
+    """Runs of words that resemble the term, up to ``extra_words`` longer than it.
+
+    Every longer run around a match matches as well, so without the bound (None) the
+    result grows with the square of the text and says nothing more.
+    """
     term = term.lower()
     found = list(re.finditer(r"\w+", text))
-    longest = len(term.split()) + 1
+    longest = len(found) if extra_words is None else len(term.split()) + extra_words
     out = []
     for i in range(len(found)):
         for j in range(i, min(i + longest, len(found))):
@@ -157,6 +164,79 @@ def fuzzy_spans(term: str, text: str, threshold: int = 70) -> list[tuple[str, in
 MATCH = "array<struct<matched: string, position: int, length: int>>"
 
 
+def quoted(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def column_spans(text: Column, pattern: Column) -> Column:
+    """All matches of a pattern column: matched text, position, length.
+
+    A match stands behind the pieces between the matches before it.
+    """
+
+    def placed(found: Column) -> Column:
+        ahead = lambda parts, n: F.aggregate(F.slice(found[parts], 1, n), F.lit(0), lambda total, part: total + F.length(part))
+        return F.transform(found["m"], lambda m, i: F.struct(
+            m.alias("matched"), (ahead("p", i + 1) + ahead("m", i)).alias("position"), F.length(m).alias("length")))
+
+    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    return F.transform(F.array(found), placed)[0].cast(MATCH)
+
+
+def exact_matches(text: Column, term: Column) -> Column:
+    """A term as a whole, case aside, in the lower-cased text."""
+    return column_spans(F.lower(text), F.concat(F.lit(r"(?iU)\b"), quoted(F.lower(term)), F.lit(r"\b")))
+
+
+def _join(patterns: Column, between: str) -> Column:
+    return F.array_join(patterns, between)
+
+
+def partial_shapes(vendor: Column, product: Column) -> Column:
+    """Near spellings of a product name as an array of patterns.
+
+    Without vendor: the product with one word left out. With vendor: its first
+    word before the product, and the vendor with up to two words in between.
+    """
+    # The three shapes.
+    gap, some_words = r"\s+", r"\b\s+(?:\w+\s+){0,2}"
+    start, end = F.lit(r"(?iU)\b"), F.lit(r"\b")
+    name = quoted(F.lower(product))
+    words_of = lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    head, whole = quoted(F.get(words_of(vendor), F.lit(0))), quoted(F.lower(vendor))
+    named = F.array(F.concat(start, head, end, F.lit(gap), name), F.concat(start, whole, F.lit(some_words), name))
+
+    def left_out(words: Column) -> Column:
+        each = F.sequence(F.lit(0), F.size(words) - 1)
+        kept = lambda i: F.filter(words, lambda _, k: k != i)
+        return F.when(F.size(words) > 1, F.transform(each, lambda i: F.concat(start, F.lit("(?:"), _join(F.transform(kept(i), quoted), gap), F.lit(")"), end)))
+
+    without = F.coalesce(F.transform(F.array(words_of(product)), left_out)[0], F.array().cast("array<string>"))
+    return F.when(F.coalesce(vendor, F.lit("")) != "", named).otherwise(without)
+
+
+def partial_matches(text: Column, vendor: Column, product: Column) -> Column:
+    """Matches of every shape, shape by shape."""
+    return F.flatten(F.transform(partial_shapes(vendor, product), lambda shape: column_spans(text, shape)))
+
+
+def replace_split_word(text: Column, word: Column, replacement: str) -> Column:
+    """Replace a word that blanks break into two or three parts."""
+    letters = _join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), quoted), r"\s*")
+    pattern = F.concat(F.lit(r"(?iU)\b"), letters, F.lit(r"\b"))
+
+    def put_together(found: Column) -> Column:
+        parts = lambda m: F.size(F.split(m, r"\s+"))
+        new = F.transform(found["m"], lambda m: F.when(parts(m).isin(2, 3), F.lit(replacement)).otherwise(m))
+        pairs = F.zip_with(found["p"], new, lambda piece, match: F.concat(piece, F.coalesce(match, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    rule = F.transform(F.array(found), put_together)[0]
+    return F.when((F.length(word) < 2) | F.contains(word, F.lit(" ")), text).otherwise(rule)
+
+
 def _match_column(finder, text: Column, *args: Column) -> Column:
     @F.pandas_udf(MATCH)
     def run(texts: pd.Series, *terms: pd.Series) -> pd.Series:
@@ -168,28 +248,12 @@ def _match_column(finder, text: Column, *args: Column) -> Column:
     return run(text, *args)
 
 
-def exact_matches(text: Column, term: Column) -> Column:
-    return _match_column(lambda t, w: spans(exact_pattern(w), t.lower()), text, term)
-
-
-def partial_matches(text: Column, vendor: Column, product: Column) -> Column:
-    return _match_column(lambda t, v, p: [s for x in partial_patterns(v or "", p) for s in spans(x, t)], text, vendor, product)
-
-
 def fuzzy_matches(text: Column, term: Column, threshold: int = 70) -> Column:
     return _match_column(lambda t, w: fuzzy_words(w, t, threshold), text, term)
 
 
-def fuzzy_span_matches(text: Column, term: Column, threshold: int = 70) -> Column:
-    return _match_column(lambda t, w: fuzzy_spans(w, t, threshold), text, term)
-
-
-def replace_split_word(text: Column, word: Column, replacement: str) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else replace_split(t, w, replacement) for t, w in zip(texts, wanted)], dtype=object)
-
-    return run(text, word)
+def fuzzy_span_matches(text: Column, term: Column, threshold: int = 70, extra_words: int | None = 1) -> Column:
+    return _match_column(lambda t, w: fuzzy_spans(w, t, threshold, extra_words), text, term)
 
 
 def fuzzy_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: int = 70, limit: int = BROADCAST_LIMIT) -> DataFrame:

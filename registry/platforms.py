@@ -60,14 +60,18 @@ def cpe_labels(spark, folder):
 
 
 @query("cpe_exact_matches", """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM documents)
-SELECT doc_id, len([w FOR w IN words IF w = words[1]]) AS n FROM t
+WITH t AS (SELECT doc_id, lower(text) AS text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS words FROM documents),
+w AS (SELECT *, string_split_regex(text, '[\\p{L}\\p{N}_]+') AS gaps FROM t),
+e AS (SELECT doc_id, unnest(words) AS matched, generate_subscripts(words, 1) AS i, words, gaps FROM w)
+SELECT doc_id, matched, CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(x) FOR x IN words[1:i - 1]]), 0) AS INTEGER) AS position,
+       CAST(length(matched) AS INTEGER) AS length
+FROM e WHERE matched = words[1]
 """)
 def cpe_exact_matches(spark, folder):
-    """Occurrences of each document's first word."""
+    """Every place of each document's first word."""
     word = F.get(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)), F.lit(0))
-    rows = documents(spark, folder).withColumn("word", word)
-    return rows.select("doc_id", F.size(cpe.exact_matches(F.col("text"), F.coalesce("word", F.lit("\x01")))).alias("n"))
+    rows = documents(spark, folder).withColumn("word", word).filter(F.col("word").isNotNull())
+    return rows.select("doc_id", F.explode(cpe.exact_matches(F.col("text"), F.col("word"))).alias("m")).select("doc_id", "m.*")
 
 
 _sentence = "'A flaw in ' || s_name || ' ' || split_part(p_name, ' ', 1) || ' ' || p_name || ' ' || l_linenumber || ' lets ' || p_type || ' users of ' || upper(p_name) || ' in'"
@@ -79,15 +83,41 @@ def sentences(spark, folder):
     return rows.select("l_orderkey", "l_linenumber", "s_name", "p_name", F.expr(_sentence).alias("text"), F.expr(_uri).alias("uri"))
 
 
-@query("cpe_partial_matches", """
-SELECT l_orderkey, l_linenumber, s_name || ' ' || split_part(p_name, ' ', 1) || ' ' || p_name AS matched, 10 AS position
-FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+_words = "split_part(p_name, ' ', 1) || ' ' || p_name"
+
+
+@query("cpe_partial_matches", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, s_name, p_name, {_sentence} AS text, s_name || ' ' || {_words} AS spread
+           FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
+SELECT l_orderkey, l_linenumber, 'vendor' AS shape, spread AS matched, CAST(strpos(text, spread) - 1 AS INTEGER) AS position, CAST(length(spread) AS INTEGER) AS length FROM r
+UNION ALL SELECT l_orderkey, l_linenumber, 'head', 'flaw in', 2, 7 FROM r
 """)
 def cpe_partial_matches(spark, folder):
-    """The supplier with one word before the product."""
+    """The supplier with one word before the product; a vendor's first word before its product."""
     rows = sentences(spark, folder)
-    found = F.explode(cpe.partial_matches(F.col("text"), F.col("s_name"), F.col("p_name")))
-    return rows.select("l_orderkey", "l_linenumber", found.alias("m")).select("l_orderkey", "l_linenumber", "m.matched", "m.position")
+    vendor = cpe.partial_matches(F.col("text"), F.col("s_name"), F.col("p_name"))
+    head = cpe.partial_matches(F.col("text"), F.lit("flaw maker"), F.lit("in"))
+    both = F.concat(F.transform(vendor, lambda m: F.struct(F.lit("vendor").alias("shape"), m.alias("m"))), F.transform(head, lambda m: F.struct(F.lit("head").alias("shape"), m.alias("m"))))
+    return rows.select("l_orderkey", "l_linenumber", F.explode(both).alias("x")).select("l_orderkey", "l_linenumber", "x.shape", "x.m.*")
+
+
+@query("cpe_left_out_matches", """
+WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part),
+s AS (SELECT p_partkey, ws, 'x ' || array_to_string(list_reverse(ws[2:]), ' ') || ' y ' || array_to_string(ws[2:], ' ') AS text FROM w WHERE len(ws) > 1),
+p AS (SELECT p_partkey, ws, text, unnest(range(1, len(ws) + 1)) AS i FROM s),
+q AS (SELECT p_partkey, text, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS pat FROM p),
+g AS (SELECT p_partkey, i, pat, string_split(' ' || text || ' ', ' ' || pat || ' ') AS gaps FROM q)
+SELECT p_partkey, pat AS matched, CAST(length(gaps[1]) AS INTEGER) AS position, CAST(length(pat) AS INTEGER) AS length FROM g WHERE len(gaps) = 2
+UNION ALL SELECT p_partkey, pat, CAST(length(gaps[1]) AS INTEGER), CAST(length(pat) AS INTEGER) FROM g WHERE len(gaps) = 3
+UNION ALL SELECT p_partkey, pat, CAST(length(gaps[1]) + length(gaps[2]) + length(pat) + 2 AS INTEGER), CAST(length(pat) AS INTEGER) FROM g WHERE len(gaps) = 3
+""")
+def cpe_left_out_matches(spark, folder):
+    """Product names with one word left out, in texts made of their other words."""
+    words = F.split("p_name", " ")
+    rest = F.slice(words, 2, F.size(words))
+    text = F.concat(F.lit("x "), F.array_join(F.reverse(rest), " "), F.lit(" y "), F.array_join(rest, " "))
+    rows = table(spark, folder, "part").filter(F.size(words) > 1).withColumn("text", text)
+    return rows.select("p_partkey", F.explode(cpe.partial_matches(F.col("text"), F.lit(""), F.col("p_name"))).alias("m")).select("p_partkey", "m.*")
 
 
 @query("cpe_fuzzy_terms")

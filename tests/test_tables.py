@@ -192,6 +192,28 @@ def test_cpe_parse(spark):
     assert escaped[r"cpe:2.3:a:b\:x:c:1:*:*:*:*:*:*:*"]["vendor"] == r"b\:x"
 
 
+def test_cpe_columns_agree_with_the_word_helpers(spark):
+    texts = ["The Apache Http  Server and apache big http server, Apache x y http server", "a.b c a.b", "", None, "h ttp ser ver http server h t t p", "été ÉTÉ \\E x"]
+    terms = [("apache", "http server"), ("", "http server pro"), ("apache soft", "x"), ("", "one"), ("été", "\\E x")]
+    rows = [(i, j, t, v, p) for i, t in enumerate(texts) for j, (v, p) in enumerate(terms)]
+    df = spark.createDataFrame(rows, "i int, j int, t string, v string, p string")
+    got = df.select("t", "v", "p", cpe.exact_matches(F.col("t"), F.col("p")).alias("exact"), cpe.partial_matches(F.col("t"), F.col("v"), F.col("p")).alias("near"),
+                    cpe.replace_split_word(F.col("t"), F.split_part("p", F.lit(" "), F.lit(1)), "#").alias("split")).collect()
+    for r in got:
+        if r["t"] is None:
+            assert r["exact"] is None and r["split"] is None
+            continue
+        assert [tuple(m) for m in r["exact"]] == cpe.spans(cpe.exact_pattern(r["p"]), r["t"].lower())
+        assert [tuple(m) for m in r["near"]] == [m for p in cpe.partial_patterns(r["v"], r["p"]) for m in cpe.spans(p, r["t"])]
+        assert r["split"] == cpe.replace_split(r["t"], r["p"].split()[0], "#")
+
+
+def test_fuzzy_spans_without_a_bound():
+    text = "an apache http server here"
+    short, full = cpe.fuzzy_spans("apache", text), cpe.fuzzy_spans("apache", text, extra_words=None)
+    assert set(short) < set(full) and max(len(m[0].split()) for m in full) == 5 and max(len(m[0].split()) for m in short) == 2
+
+
 def test_cpe_aggregate(spark):
     data = [(1, "cpe:2.3:a:v:p:2:*:*:*:*:win:*:*"), (2, "cpe:2.3:a:v:p:1:-:*:*:*:win:*:*"), (3, "cpe:2.3:a:v:p:2:*:*:*:*:mac"), (4, "cpe:/a:v:p"), (5, "cpe:2.3:a:v")]
     row = cpe.aggregate_uris(spark.createDataFrame(data, "i int, uri string"), "uri", pos="i").collect()
