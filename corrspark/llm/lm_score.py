@@ -78,13 +78,13 @@ class Lattice:
         self.find = ahocorasick.Automaton()
         for p, i in place.items():
             if not _is_byte(p):
-                self.find.add_word(p, (len(p), self.weights[i], i))
+                self.find.add_word(p, (len(p) - 1, self.weights[i], (i,)))
         self.find.make_automaton()
 
     def arcs(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
         """(start, end, log weight, pieces) in order of their ends."""
         text = "▁" + word
-        arcs = [(end + 1 - n, end + 1, w, (i,)) for end, (n, w, i) in self.find.iter(text)]
+        arcs = [(end - n, end + 1, w, i) for end, (n, w, i) in self.find.iter(text)]
         missing = [k for k, c in enumerate(text) if c not in self.single]
         if missing:
             for k in missing:
@@ -94,24 +94,40 @@ class Lattice:
         return arcs
 
     def forward(self, arcs: list, n: int) -> list[float]:
-        alpha = [-math.inf] * (n + 1)
+        nothing, exp, log1p = -math.inf, math.exp, math.log1p
+        alpha = [nothing] * (n + 1)
         alpha[0] = 0.0
         for start, end, weight, _ in arcs:
             new, old = alpha[start] + weight, alpha[end]
-            if old == -math.inf:
+            if old == nothing:
                 alpha[end] = new
             elif old > new:
-                alpha[end] = old + math.log1p(math.exp(new - old))
-            elif new > -math.inf:
-                alpha[end] = new + math.log1p(math.exp(old - new))
+                alpha[end] = old + log1p(exp(new - old))
+            else:
+                alpha[end] = new + log1p(exp(old - new))
         return alpha
 
     def log_probability(self, word: str) -> float:
         return self.forward(self.arcs(word), len(word) + 1)[-1]
 
-    def expect(self, word: str, count: float, out: np.ndarray) -> None:
+    def expect(self, word: str, count: float, out: list[float]) -> None:
         """Add ``count`` times the expected use of every piece in the word's segmentations."""
         arcs, n = self.arcs(word), len(word) + 1
+        # most words are short enough for plain products; the others go on in log space
+        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        exp = math.exp
+        steps = [(start, end, exp(weight), pieces) for start, end, weight, pieces in arcs]
+        for start, end, weight, _ in steps:
+            alpha[end] += alpha[start] * weight
+        if alpha[n] > 1e-200:
+            part = count / alpha[n]
+            for start, end, weight, pieces in reversed(steps):
+                rest = beta[end] * weight
+                posterior = alpha[start] * rest * part
+                for i in pieces:
+                    out[i] += posterior
+                beta[start] += rest
+            return
         alpha = self.forward(arcs, n)
         beta = [-math.inf] * n + [0.0]
         for start, end, weight, pieces in reversed(arcs):
@@ -159,12 +175,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expected(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared.value)
-        total = np.zeros(len(lattice.names))
+        total = [0.0] * len(lattice.names)
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lattice.expect(word.decode("utf-8", "replace"), c, total)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "expected"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.array(total)[used])], names=["piece", "expected"])
 
     return run
 

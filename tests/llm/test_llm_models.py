@@ -82,15 +82,22 @@ def test_lattice_sums_all_segmentations(word):
     every = list(segmentations("▁" + word, weights))
     total = sum(math.prod(weights[p] for p in s) for s in every)
     assert lattice.log_probability(word) == pytest.approx(math.log(total))
-    import numpy as np
-
-    use = np.zeros(len(lattice.names))
+    use = [0.0] * len(lattice.names)
     lattice.expect(word, 3.0, use)
     for i, name in enumerate(lattice.names):
         want = sum(math.prod(weights[p] for p in s) * s.count(name) for s in every) / total
         assert use[i] == pytest.approx(3 * want)
 
 
+def test_expectation_of_a_very_long_word_is_taken_in_log_space():
+    _, lattice = small_lattice()
+    short, long = ([0.0] * len(lattice.names) for _ in range(2))
+    lattice.expect("ab" * 50, 1.0, short)
+    lattice.expect("ab" * 3_000, 1.0, long)
+    letters = lambda use: sum(u * len(n.replace("▁", "")) for u, n in zip(use, lattice.names, strict=True) if not n.startswith("<"))
+    assert letters(short) == pytest.approx(100) and letters(long) == pytest.approx(6_000)
+
+
 def test_lattice_falls_back_to_bytes_and_takes_long_words():
     weights, lattice = small_lattice()
     assert lattice.log_probability("é") == pytest.approx(math.log(weights["▁"] * 0.09 * 0.09))
