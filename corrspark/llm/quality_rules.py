@@ -26,7 +26,7 @@ RULES = {
     "symbols": "10 * n_symbols > n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 15 * n_words",
-    "dup_lines": "100 * n_dup_lines > 30 * n_lines",
+    "dup_lines": "100 * n_dup_lines > 50 * n_lines",
     "few_letters": "100 * n_letters < 60 * word_chars",
     "shouting": "100 * n_upper > 50 * n_letters",
 }
