@@ -11,8 +11,8 @@ from corrspark.operators.cpe import product_of, vendor_of
 
 
 def _with_percent(counts: DataFrame, n: str = "n") -> DataFrame:
-    """Add the share of each row in the total of a small table."""
-    total = F.sum(n).over(Window.partitionBy())
+    """Add the share of each row in the total; the total is one number."""
+    total = counts.agg(F.sum(n)).scalar()
     percent = F.when(total > 0, F.col(n) / total * 100).otherwise(0.0)
     return counts.withColumn("percent", percent)
 
