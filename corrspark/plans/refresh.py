@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corrspark.operators import clean, links, upsert
+from corrspark.operators import clean, control, links, upsert
 from corrspark.sources import catalogues, cve
+from corrspark.sources.writers import write_snapshot
 
 
 Tables = dict[str, DataFrame]
@@ -76,6 +77,19 @@ def cwe_tables(spark: SparkSession, path: str, old: Tables | None = None) -> Tab
     }
 
 
+def rebuild(entity: str, tables: Tables, root: str) -> dict[str, str]:
+    """Drop an entity and build it again: every table of it is replaced, none is merged.
+
+    ``tables`` are freshly read (without old tables). Table to the folder of its new
+    version; nothing is switched before all tables have been found.
+    """
+    names = control.rebuild_targets(entity)
+    missing = [n for n in names if n not in tables]
+    if missing:
+        raise ValueError(f"tables to rebuild are missing: {missing}")
+    return {n: write_snapshot(tables[n], f"{root.rstrip('/')}/{n}") for n in names}
+
+
 def link_tables(cves: dict[str, DataFrame], cwes: dict[str, DataFrame], capecs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The bridges between the three catalogues."""
     return {

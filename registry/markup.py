@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrspark.operators import clean, links, upsert
+from corrspark.plans import refresh
 from corrspark.session import scratch_dir
 from corrspark.sources import catalogues
+from corrspark.sources.writers import read_snapshot, write_snapshot
 from registry.base import query, table
 
 
@@ -125,6 +127,24 @@ def cwe_xml_edges(spark, folder):
     return links.related_weaknesses(catalogues.cwe_relations(raw))
 
 
+@query("rebuild_entity", """
+SELECT 'CWE-' || c_custkey AS id, 'cwe' AS kind FROM customer
+UNION ALL SELECT DISTINCT 'CWE-' || (-c_nationkey), 'cwe' FROM customer WHERE c_custkey % 2 = 0 AND -c_nationkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'CWE-' || c_custkey, 'edge' FROM customer WHERE c_custkey % 2 = 0
+""")
+def rebuild_entity(spark, folder):
+    """Rows of an older version are gone once the weaknesses are built again."""
+    root = scratch_dir(spark, "rebuilt")
+    stale = spark.range(3).select(F.concat(F.lit("OLD-"), "id").alias("id"))
+    write_snapshot(stale, f"{root}/cwe")
+    raw = catalogues.read_cwe(spark, weakness_file(spark, folder))
+    edges = links.related_weaknesses(catalogues.cwe_relations(raw))
+    tables = {"cwe": upsert.placeholders(catalogues.cwe_records(raw), "id", edges, "target"), "cwe_related_weakness": edges}
+    refresh.rebuild("CWE", tables, root)
+    rows = read_snapshot(spark, f"{root}/cwe").select("id", F.lit("cwe").alias("kind"))
+    return rows.union(read_snapshot(spark, f"{root}/cwe_related_weakness").select("source", F.lit("edge")))
+
+
 @query("cwe_xml_patterns", "SELECT 'CWE-' || c_custkey AS cwe_id, 'CAPEC-' || (c_nationkey * 10) AS capec_id FROM customer")
 def cwe_xml_patterns(spark, folder):
     return catalogues.pattern_mentions(catalogues.read_cwe(spark, weakness_file(spark, folder)))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corrspark.operators import control, cpe, links, sample, tasks, upsert
+from corrspark.plans import refresh
 from corrspark.sources import writers
 from corrspark.streaming import jobs
 
@@ -46,6 +47,8 @@ def test_control(spark):
     assert control.rebuild_targets("CAPEC")[-1] == "preprocessed_attack_step"
     with pytest.raises(ValueError):
         control.rebuild_targets("X")
+    with pytest.raises(ValueError, match="missing"):
+        refresh.rebuild("CVE", {}, "nowhere")
 
 
 def test_snapshots(spark, tmp_path, rows):
