@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corrspark.session import ship_package, spread
 
@@ -37,6 +37,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def placed(page: DataFrame) -> DataFrame:
+    """The rows of a page with their place in its order (for the comparison with SQL)."""
+    kept = page.withColumn("_m", F.monotonically_increasing_id())
+    return kept.withColumn("place", F.row_number().over(Window.orderBy("_m"))).drop("_m")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The texts, on all cores: cleaning and matching them is the work."""
     return spread(table(spark, folder, "documents"), "doc_id")

@@ -8,7 +8,7 @@ from corrspark import schemas
 from corrspark.functions import records as R
 from corrspark.operators import control, links, sample, tasks, upsert
 from corrspark.sources import cve, inputs, writers
-from registry.base import query, table
+from registry.base import placed, query, table
 from registry.scores import RANKED, patterns, ranked
 
 # --- feed items out of the tables ------------------------------------------
@@ -320,10 +320,13 @@ def suggestions(spark, folder):
     return links.suggestions(table(spark, folder, "customer"), "c_name", "r#00000010", F.col("c_mktsegment"))
 
 
-@query("browse", "SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'ther') AND lang = 'en' AND source = 'src3'")
+@query("browse", """
+SELECT doc_id, lang, source, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) AS INTEGER) AS place
+FROM documents WHERE contains(lower(text), 'ther') AND lang = 'en' AND source = 'src3'
+""")
 def browse(spark, folder):
     rows = links.browse(table(spark, folder, "documents"), "THER", ("doc_id", "text"), {"lang": "en", "source": "src3"}, [F.desc("n_chars"), F.col("doc_id")])
-    return rows.select("doc_id", "lang", "source")
+    return placed(rows.select("doc_id", "lang", "source"))
 
 
 @query("facet_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
