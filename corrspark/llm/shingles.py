@@ -3,7 +3,7 @@
 Works on the bytes of an Arrow string column: words are found with a byte class
 table, hashed with a polynomial over running sums, and joined to shingles, in a
 fixed number of passes whatever the words are. Texts are taken in groups of about
-a megabyte, so memory stays bounded for any batch; one very long text is a group
+half a megabyte, so memory stays bounded for any batch; one very long text is a group
 of its own.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
