@@ -5,10 +5,13 @@ text. A text is parsed greedily into the longest phrases that occur there; a tex
 the language needs few, long phrases. Phrases are normalised by the length of the
 labelled text and of the parsed text to bits per byte, and the least wins.
 
-The automata are fitted on a bounded sample: per language, whole labelled texts in a
-seeded order (short ones first) up to ``SAMPLE_BYTES`` in all languages together,
-``MAX_LANGUAGES`` most frequent labels. Everything else covers all rows and whole
-texts; documents are mapped in place, without a shuffle.
+Every label is learned that has a row outside the held-out ones, each from a sample of
+at most ``SAMPLE_BYTES``: labelled texts in a seeded order, short ones first, the last
+one cut at the bound. Everything else covers all rows and whole texts. Automata of up to
+``BLOCK_BYTES`` are one block, and documents are mapped over it in place, without a
+shuffle. More languages make more blocks: the documents are written once, mapped over
+one block after the other, and every row keeps its least cost. The driver holds all
+samples, but the automata of one block only.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; equal
 costs go to the first language by name; without labelled texts all is ``und``; rows
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrspark.llm.common import fresh, seeded
+from corrspark.session import materialise
 
-SAMPLE_BYTES, MAX_LANGUAGES, DOCS_PER_LANGUAGE, SHORT_BYTES = 160_000, 32, 64, 3_000
+#: Bytes learned of each language; texts of up to so many bytes come first.
+SAMPLE_BYTES, SHORT_BYTES = 40_000, 3_000
+#: Transition tables that a task holds at a time.
+BLOCK_BYTES = 128 << 20
 #: Above so many bits per byte the labelled text does not help: the text is in no learned language.
 REJECT_BITS = 8.0
 
@@ -52,6 +60,7 @@ class Automaton(NamedTuple):
     name: str
     steps: array
     length: int
+    known: bytes  # symbols of the labelled text
 
 
 def suffix_automaton(data: bytes, symbols: int) -> array:
@@ -102,85 +111,158 @@ def phrases(data: bytes, steps: array) -> int:
     return n
 
 
+class Found(NamedTuple):
+    """The best language of a text: costs to choose by (least and second), and its own bits per byte."""
+
+    lang: str = "und"
+    cost: float = math.inf
+    second: float = math.inf
+    bits: float = math.inf
+
+
 class Model(NamedTuple):
     alphabet: bytes  # symbol of every byte; 0: not in the labelled text
     automata: list[Automaton]
+    longest: int  # bytes of the longest sample, also of other models of the same languages
 
-    def costs(self, text: str) -> list[float]:
-        """Bits per byte for every language."""
+    def costs(self, text: str) -> list[tuple[float, float]]:
+        """Bits per byte for every language, to choose by and to report."""
         data = normal(text).translate(self.alphabet)
-        return [phrases(data, a.steps) * math.log2(a.length + 1) / max(1, len(data)) for a in self.automata]
+        costs = [phrases(data, a.steps) * math.log2(a.length + 1) / max(1, len(data)) for a in self.automata]
+        return list(zip(costs, costs, strict=True))
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score (0 to 1, the lead over the second) and bits per byte."""
+    def best(self, text: str | None) -> Found:
         if not self.automata or not has_letter(text):
-            return "und", 0.0, math.inf
+            return Found()
         costs = self.costs(text)
-        best = min(range(len(costs)), key=costs.__getitem__)
-        second = min((c for i, c in enumerate(costs) if i != best), default=math.inf)
-        return self.automata[best].name, 1.0 - costs[best] / second, costs[best]
+        at = min(range(len(costs)), key=lambda i: costs[i][0])
+        second = min((c for i, (c, _) in enumerate(costs) if i != at), default=math.inf)
+        return Found(self.automata[at].name, costs[at][0], second, costs[at][1])
 
 
-def build(samples: dict[str, str]) -> Model:
-    """A model from one labelled text per language."""
-    data = {name: normal(text) for name, text in sorted(samples.items())}
+def build(samples: dict[str, str | bytes], longest: int = 0) -> Model:
+    """A model from one labelled text (or its normal form) per language."""
+    data = {name: text if isinstance(text, bytes) else normal(text) for name, text in sorted(samples.items())}
     used = sorted(set(b"".join(data.values())))
     alphabet = bytearray(256)
     for symbol, byte in enumerate(used, 1):
         alphabet[byte] = min(symbol, 255)
-    return Model(bytes(alphabet), [Automaton(n, suffix_automaton(d.translate(alphabet), len(used) + 1), len(d)) for n, d in data.items() if d])
+    coded = {n: d.translate(alphabet) for n, d in data.items() if d}
+    automata = [Automaton(n, suffix_automaton(d, len(used) + 1), len(d), bytes(set(d))) for n, d in coded.items()]
+    return Model(bytes(alphabet), automata, max([longest, *map(len, coded.values())]))
+
+
+class Samples(NamedTuple):
+    """Normal forms of the labelled texts, by language."""
+
+    texts: dict[str, bytes]
+    block_bytes: int
+
+    def blocks(self) -> list[list[str]]:
+        """Names of the languages of every block, by the most that their tables can take; one block at least."""
+        out: list[list[str]] = [[]]
+        used, size = set(), 0
+        for name, data in sorted(self.texts.items()):
+            wider, longer = used | set(data), size + len(data)
+            if out[-1] and 8 * longer * (len(wider) + 1) > self.block_bytes:  # two states a byte, four bytes a step
+                out.append([])
+                wider, longer = set(data), len(data)
+            out[-1].append(name)
+            used, size = wider, longer
+        return out
+
+    def model(self, names: list[str]) -> Model:
+        return build({n: self.texts[n] for n in names}, max(map(len, self.texts.values()), default=0))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, block_bytes: int = BLOCK_BYTES) -> Samples:
+    """A bounded sample of every language, from the labelled rows that are not held out."""
     learned = docs.where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.regexp_like(F.col("text"), F.lit(r"\p{L}"))
     )
-    names = [r["lang"] for r in learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    each = sample_bytes // max(1, len(names))
     size = F.octet_length("text")
-    order = Window.partitionBy("lang").orderBy(size > SHORT_BYTES, seeded("language", F.col("doc_id")), "doc_id")
+    short = F.when(size <= SHORT_BYTES, size)
+    # rows of a language that hold the bytes: twice as many short ones as their mean asks for, then long ones
+    rows = F.least(F.count(short), F.ceil(2 * sample_bytes / F.avg(short)))
+    most = learned.groupBy("lang").agg(F.coalesce(rows, F.lit(0)).alias("rows")).agg(F.max("rows")).first()[0]
+    limit = (most or 0) + sample_bytes // SHORT_BYTES + 1
+    order = Window.partitionBy("lang").orderBy(size > SHORT_BYTES, seeded("language", F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     rows = (
-        learned.where(F.col("lang").isin(names)).select("doc_id", "lang", F.row_number().over(order).alias("_at"))
-        .where(F.col("_at") <= DOCS_PER_LANGUAGE).select("doc_id", "lang", "_at")
+        learned.select("doc_id", "lang", F.row_number().over(order).alias("_at"), (F.sum(size).over(order) - size).alias("_before"))
+        .where(F.col("_at") <= limit).where(F.col("_before") < sample_bytes)
+        .groupBy("doc_id", "lang").agg(F.min("_at").alias("_at"))
+    )
+    texts = (
+        learned.select("doc_id", "lang", F.substring("text", 1, sample_bytes).alias("text"))
+        .join(F.broadcast(rows), ["doc_id", "lang"]).orderBy("lang", "_at", "text")
     )
-    texts = learned.select("doc_id", "lang", "text").join(F.broadcast(rows), ["doc_id", "lang"]).orderBy("lang", "_at", "text")
-    samples: dict[str, str] = {}
-    for row in texts.toLocalIterator():  # at most DOCS_PER_LANGUAGE texts of each language
-        have = samples.get(row["lang"], "")
-        if len(have.encode()) < each:
-            samples[row["lang"]] = f"{have} {row['text']}"
-    return build(samples)
+    samples: dict[str, bytes] = {}
+    for row in texts.toLocalIterator():
+        have = samples.get(row["lang"], b"")
+        if len(have) < sample_bytes:
+            samples[row["lang"]] = (have + b" " + normal(row["text"]))[:sample_bytes].strip()
+    return Samples(samples, block_bytes)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, bits_per_byte`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+_FOUND = "lang_pred string, cost double, second double, bits_per_byte double"
+
+
+def _best(rows: DataFrame, model: Model) -> DataFrame:
+    """Columns of ``rows`` but its last, the text, and what the model finds for it."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), _FOUND])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predict
+        best = shared.value.best
         for batch in batches:
-            found = [predict(t.as_py()) for t in batch.column(2)]
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            found = [best(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            columns = [pa.array([f[i] for f in found], pa.float64() if i else pa.string()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lang_pred", "cost", "second", "bits_per_byte"])
+
+    return rows.mapInArrow(run, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+
+def _best_of_blocks(rows: DataFrame, key: str, samples: Samples, blocks: list[list[str]]) -> DataFrame:
+    """As :func:`_best`, over one block after the other; ``key`` numbers the rows and is the first column."""
+    each = [materialise(_best(rows, samples.model(names)), "languages") for names in blocks]
+    others = rows.columns[1:-1]
+    costs = F.sort_array(F.flatten(F.collect_list(F.array("cost", "second"))))
+    least = reduce(DataFrame.union, each).groupBy(key).agg(
+        F.min(F.struct("cost", "lang_pred", "bits_per_byte", *others)).alias("_least"), costs[1].alias("second"))
+    return least.select(key, *(F.col(f"_least.{c}").alias(c) for c in (*others, "lang_pred", "cost")), "second", F.col("_least.bits_per_byte").alias("bits_per_byte"))
+
+
+def identify(docs: DataFrame, samples: Samples) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, bits_per_byte`` of every row."""
+    rows, blocks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text"), samples.blocks()
+    if len(blocks) == 1:
+        found = _best(rows, samples.model(blocks[0]))
+    else:
+        rows = materialise(rows.select(F.monotonically_increasing_id().alias("_row"), "*"), "numbered")
+        found = _best_of_blocks(rows, "_row", samples, blocks)
+    score = F.when(F.col("cost") == math.inf, 0.0).when(F.col("second") == math.inf, 1.0).otherwise(1 - F.col("cost") / F.col("second"))
+    return found.select("doc_id", "held_out", "lang_pred", score.alias("score"), "bits_per_byte")
 
 
-def keep_known(docs: DataFrame, model: Model, reject_bits: float = REJECT_BITS) -> DataFrame:
+def keep_known(docs: DataFrame, samples: Samples, reject_bits: float = REJECT_BITS) -> DataFrame:
     """Rows of ``docs`` whose text is in a learned language, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    blocks = samples.blocks()
+    if len(blocks) > 1:
+        row = fresh(docs, "_row")
+        rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        known = _best_of_blocks(rows.select(row, "text"), row, samples, blocks).where(F.col("bits_per_byte") < reject_bits).select(row)
+        return rows.join(known, row, "left_semi").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(samples.model(blocks[0]))
     text = fresh(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predict
+        best = shared.value.best
         for batch in batches:
-            keep = np.array([predict(t.as_py())[2] < reject_bits for t in batch.column(batch.num_columns - 1)], bool)
+            keep = np.array([best(t.as_py()).bits < reject_bits for t in batch.column(batch.num_columns - 1)], bool)
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
 
     return docs.withColumn(text, F.col("text")).mapInArrow(run, docs.schema)

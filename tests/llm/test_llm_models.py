@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 
 import pytest
@@ -62,6 +63,39 @@ def test_language_awkward(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def many_languages(n: int) -> list[tuple]:
+    """``n`` languages of made-up words, 12 texts each but 30 of the first; the last has its own script."""
+    rows = []
+    for k in range(n):
+        pick = random.Random(k)
+        letters = "абвгдежзиклмнопрстуф" if k == n - 1 else "abcdefghijklmnopqrstuvwxyz"
+        words = ["".join(pick.choice(letters) for _ in range(pick.randint(3, 7))) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(pick.choice(words) for _ in range(60)), f"l{k:02d}", "s", 1) for i in range(30 if k == 0 else 12)]
+    return rows
+
+
+@pytest.mark.parametrize("block_bytes", [language_id.BLOCK_BYTES, 2_000_000])
+def test_every_label_is_learned(spark, block_bytes):
+    docs = frame(spark, many_languages(36) + [(99_999, None, "l00", "s", 1)], clashes=True)
+    samples = language_id.fit(docs, block_bytes=block_bytes)
+    assert sorted(samples.texts) == [f"l{k:02d}" for k in range(36)]
+    assert (len(samples.blocks()) > 3) == (block_bytes < language_id.BLOCK_BYTES)
+    got = language_id.identify(docs, samples).collect()
+    assert len(got) == len(many_languages(36)) + 1
+    want = {r[0]: r[2] for r in many_languages(36)}
+    assert all((r["lang_pred"], r["score"]) == ("und", 0.0) if r["doc_id"] == 99_999 else r["lang_pred"] == want[r["doc_id"]] for r in got)
+    kept = language_id.keep_known(docs, samples)
+    assert kept.columns == docs.columns and kept.count() == len(many_languages(36))
+
+
+def test_samples_are_bounded_by_bytes_alone(spark):
+    docs = frame(spark, [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", "en", "s", 1) for i in range(600)] + [(9000 + i, prose(i, 2_000), "fr", "s", 1) for i in range(8)])
+    samples = language_id.fit(docs, sample_bytes=6_000)
+    learned = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(samples.texts["en"].split()) == len(learned)
+    assert 5_990 <= len(samples.texts["fr"]) <= 6_000
+
+
 def segmentations(text, pieces):
     if not text:
         yield ()
