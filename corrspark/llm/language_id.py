@@ -2,8 +2,11 @@
 
 A suffix automaton per language accepts every substring of that language's labelled
 text. A text is parsed greedily into the longest phrases that occur there; a text in
-the language needs few, long phrases. Phrases are normalised by the length of the
-labelled text and of the parsed text to bits per byte, and the least wins.
+the language needs few, long phrases. A phrase costs the bits of a place in a labelled
+text, a byte that the language lacks ``UNKNOWN_BITS`` more, and the least bits per byte
+of the parsed text win. To choose the language, the place is one in the longest sample
+of all, so that a language does not gain by a short sample; ``bits_per_byte`` and the
+rejection take a place in the sample of the chosen language itself.
 
 Every label is learned that has a row outside the held-out ones, each from a sample of
 at most ``SAMPLE_BYTES``: labelled texts in a seeded order, short ones first, the last
@@ -39,6 +42,8 @@ from corrspark.session import materialise
 SAMPLE_BYTES, SHORT_BYTES = 40_000, 3_000
 #: Transition tables that a task holds at a time.
 BLOCK_BYTES = 128 << 20
+#: A byte that a language lacks, written out.
+UNKNOWN_BITS = 8.0
 #: Above so many bits per byte the labelled text does not help: the text is in no learned language.
 REJECT_BITS = 8.0
 
@@ -90,8 +95,9 @@ def suffix_automaton(data: bytes, symbols: int) -> array:
                     at = link[at]
                 link[target] = link[state] = copy
         last = state
-    unknown = len(following)  # reached by symbol 0 from the root only, and left by no symbol: a phrase of its own
-    following[0][0] = unknown
+    unknown = len(following)  # reached by absent symbols from the root only, and left by no symbol: a phrase of its own
+    for c in range(symbols):
+        following[0].setdefault(c, unknown)
     following.append({})
     table = array("i", bytes(4 * symbols * len(following)))
     for state, steps in enumerate(following):
@@ -126,10 +132,13 @@ class Model(NamedTuple):
     longest: int  # bytes of the longest sample, also of other models of the same languages
 
     def costs(self, text: str) -> list[tuple[float, float]]:
-        """Bits per byte for every language, to choose by and to report."""
+        """For every language, bits per byte by the longest sample and by its own."""
         data = normal(text).translate(self.alphabet)
-        costs = [phrases(data, a.steps) * math.log2(a.length + 1) / max(1, len(data)) for a in self.automata]
-        return list(zip(costs, costs, strict=True))
+        size, common, out = max(1, len(data)), math.log2(self.longest + 1), []
+        for a in self.automata:
+            n, unknown = phrases(data, a.steps), UNKNOWN_BITS * len(data.translate(None, a.known))
+            out.append(((n * common + unknown) / size, (n * math.log2(a.length + 1) + unknown) / size))
+        return out
 
     def best(self, text: str | None) -> Found:
         if not self.automata or not has_letter(text):

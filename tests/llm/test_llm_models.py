@@ -88,6 +88,27 @@ def test_every_label_is_learned(spark, block_bytes):
     assert kept.columns == docs.columns and kept.count() == len(many_languages(36))
 
 
+def test_a_label_of_a_few_letters_takes_nothing(spark):
+    english = "the of and that with have which from this were been their would there could other about"
+    rows = []
+    for i in range(60):
+        pick = random.Random(i)
+        rows.append((i, " ".join(pick.choice(english.split()) for _ in range(80)), "en", "s", 1))
+    given = len(rows)
+    tiny = [(1000 + 4 * i + j, text, name, "s", 1) for i, (name, text) in enumerate([("aa", "ok"), ("ab", "hello"), ("ac", "the")]) for j in range(4)]
+    russian = [(5000, "съешь же ещё этих мягких французских булок", None, "s", 1)]
+    docs = frame(spark, rows + tiny + russian)
+    samples = language_id.fit(docs)
+    assert set(samples.texts) == {"en", "aa", "ab", "ac"}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, samples).collect()}
+    assert {got[i]["lang_pred"] for i in range(given)} == {"en"}
+    assert got[5000]["bits_per_byte"] > language_id.REJECT_BITS
+    kept = {r["doc_id"] for r in language_id.keep_known(docs, samples).collect()}
+    assert set(range(given)) <= kept and 5000 not in kept
+    only = language_id.fit(frame(spark, tiny))
+    assert {r["doc_id"] for r in language_id.keep_known(frame(spark, russian), only).collect()} == set()
+
+
 def test_samples_are_bounded_by_bytes_alone(spark):
     docs = frame(spark, [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)}", "en", "s", 1) for i in range(600)] + [(9000 + i, prose(i, 2_000), "fr", "s", 1) for i in range(8)])
     samples = language_id.fit(docs, sample_bytes=6_000)
