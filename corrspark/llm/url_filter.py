@@ -8,8 +8,10 @@ times its trust. A host without either is allowed.
 
 Host edges: every href of a page (relative ones stay on the host), and one edge each
 way between a host and its parent domain. Edges are summed per pair of hosts before
-they are used; ranks and edges are joined in Spark, and every round is written to
-the shared folder, so a lost executor costs one round.
+they are used; ranks and edges are joined in Spark, and every ``ROUNDS_WRITTEN``
+rounds are written to the shared folder, so a lost executor costs no more. Rounds end when none of them
+adds more than ``TOLERANCE`` of its rank to any host, so a host at any distance from
+the seeds has its rank; links of a host to itself are solved for, not iterated.
 
 Edge cases: a url that is null or has no ``://`` has an empty host and path and fits
 no rule; null html has no links; repeated pages count as often as they stand; an
@@ -33,7 +35,11 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 1.0
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-9, 1.0
+#: Rounds of one job.
+ROUNDS_WRITTEN = 8
+#: Rounds that the SQL writes out; it is not iterated to the tolerance.
+ROUNDS = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HREF = r"""(?i)\bhref\s*=\s*["']([^"']*)"""
 
@@ -80,20 +86,33 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(ties).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, trust, distrust`` from ``seeds`` (host, trust, distrust; each sums to 1 or 0).
 
-    Trust follows edges, distrust goes against them; both run in one pass per round.
+    Trust follows edges, distrust goes against them; both run in one pass per round. A
+    rank is the sum of what reaches its host over paths of every length. ``step`` is
+    what the last round brought, ``total`` all so far, both before the division by
+    ``stay``, which sums up the turns of a host's links to itself.
     """
     way = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    out = way.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    shares = materialise(way.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("weight") / F.col("out")).alias("share")), "shares")
-    start = materialise(seeds.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("trust", "distrust"))).alias("kind", "score")).where("score > 0"), "seeds")
-    ranks, back = start, start.select("kind", "host", (F.col("score") * (1 - damping)).alias("score"))
-    for _ in range(rounds):
-        moved = shares.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score"))
-        ranks = materialise(moved.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score")), "ranks")
+    own = F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0))
+    out = materialise(way.groupBy("kind", "src").agg(F.sum("weight").alias("out"), (1 - damping * own / F.sum("weight")).alias("stay")), "out")
+    shares = way.where("src <> dst").join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("weight") / F.col("out") / F.col("stay")).alias("share"))
+    start = seeds.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("trust", "distrust"))).alias("kind", "score")).where("score > 0")
+    step = F.col("score") * (1 - damping)
+    ranks = materialise(start.select("kind", "host", step.alias("step"), step.alias("total")), "seeds")
+    # a row without a share hands on the total of a host: a round reads the ranks once
+    hosts = way.select("kind", "src").union(way.select("kind", "dst")).union(ranks.select("kind", "host")).distinct()
+    ways = materialise(shares.unionByName(hosts.select("kind", "src", F.col("src").alias("dst")), allowMissingColumns=True), "shares")
+    moves = F.col("share").isNotNull()
+    while ranks.where(F.col("step") > tolerance * F.col("total")).limit(1).count():
+        for _ in range(ROUNDS_WRITTEN):
+            moved = ways.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), F.when(moves, F.col("share") * F.col("step")).otherwise(0.0).alias("step"), F.when(moves, 0.0).otherwise(F.col("total")).alias("total"))
+            ranks = moved.groupBy("kind", "host").agg(F.sum("step").alias("step"), (F.sum("total") + F.sum("step")).alias("total"))
+        ranks = materialise(ranks, "ranks")
+    ranks = ranks.join(out.select("kind", F.col("src").alias("host"), "stay"), ["kind", "host"], "left").withColumn("score", F.col("total") / F.coalesce("stay", F.lit(1.0)))
     return ranks.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
 
 

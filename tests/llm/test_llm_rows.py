@@ -205,3 +205,22 @@ def test_distrust_goes_against_links_and_trust_along(spark):
     edges = {(r["src"], r["dst"]): r["weight"] for r in url_filter.host_edges(url_filter.judged_pages(spark.createDataFrame(rows, PAGES))).collect()}
     assert edges["good.com", "friend.net"] == 5 and edges["farm.biz", "bad.com"] == 5 and edges["friend.net", "friend.net"] == 1
     assert edges["friend.net", "net"] == edges["net", "friend.net"] == 1
+
+
+def test_distrust_reaches_the_end_of_a_chain(spark):
+    hosts = [f"h{i:02d}" for i in range(15)]
+    rows = [(i, f"http://{h}/x", f'<a href="http://{hosts[i + 1] if i < 14 else "bad.com"}/">') for i, h in enumerate(hosts)]
+    rows += [(90, "http://bad.com/de/1", ""), (91, "http://good.com/fr/1", "")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {**{i: "block" for i in range(15)}, 90: "block", 91: "allow"}
+
+
+def test_ranks_solve_their_equation(spark):
+    edges = [("a", "a", 7), ("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("c", "d", 3), ("b", "b", 1), ("d", "e", 5), ("e", "d", 5)]
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("e", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r["host"]: r for r in url_filter.propagate(spark.createDataFrame(edges, "src string, dst string, weight long"), seeds).collect()}
+    for kind, ways, seed in (("trust", edges, "a"), ("distrust", [(b, a, w) for a, b, w in edges], "e")):
+        out = {h: sum(w for a, _, w in ways if a == h) for h in got}
+        for h in got:
+            want = 0.15 * (h == seed) + sum(0.85 * w / out[a] * got[a][kind] for a, b, w in ways if b == h)
+            assert abs(got[h][kind] - want) < 1e-8
