@@ -11,6 +11,7 @@ from corrspark.llm import (
     chat_format,
     decontaminate,
     language_id,
+    lexical_search,
     lm_score,
     mixing,
     near_dedup,
@@ -76,9 +77,15 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_quality_rules, op3_chat_format, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_mixing, op9_near_dedup, op10_decontaminate,
+        op13_lexical_search,
     )
 }
 ORACLES: dict[str, str] = {
@@ -87,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter.SQL,
     "op8_mixing": mixing.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }
