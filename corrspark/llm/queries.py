@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corrspark.llm import (
     chat_format,
+    collocations,
     decontaminate,
     language_id,
     lexical_search,
@@ -77,6 +78,11 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    ship_package(spark)
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -85,7 +91,7 @@ def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_quality_rules, op3_chat_format, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_mixing, op9_near_dedup, op10_decontaminate,
-        op13_lexical_search,
+        op11_collocations, op13_lexical_search,
     )
 }
 ORACLES: dict[str, str] = {
@@ -94,5 +100,6 @@ ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter.SQL,
     "op8_mixing": mixing.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_collocations": collocations.SQL,
     "op13_lexical_search": lexical_search.SQL,
 }
