@@ -16,6 +16,7 @@ from corrspark.llm import (
     lm_score,
     mixing,
     near_dedup,
+    pii,
     quality_rules,
     sharding,
     suffix_dedup,
@@ -83,6 +84,10 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, folder, "documents")))
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -91,7 +96,7 @@ def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_suffix_dedup, op2_quality_rules, op3_chat_format, op4_lm_score, op5_sharding, op6_url_filter, op7_language_id, op8_mixing, op9_near_dedup, op10_decontaminate,
-        op11_collocations, op13_lexical_search,
+        op11_collocations, op12_pii, op13_lexical_search,
     )
 }
 ORACLES: dict[str, str] = {
