@@ -1,20 +1,19 @@
 """Phrase collocations from depth-truncated suffix subtrees (operator 11).
 
 The suffixes of a text start at its words and end after ``DEPTH`` words or with
-their piece. Vertical partitioning cuts their tree: words are counted, and a prefix
-that more suffixes share than an eighth of the memory budget is extended by one word,
-and counted again, until none is too frequent or the depth is reached. The prefixes
-that are left are dealt into bins by a hash and the bins packed into groups that stay
-within the budget (longest first, to the emptiest group). Every map task then sorts
-the suffixes of a block of texts, adds up equal ones, and writes one run per group;
-the runs of a group build its subtrees independently of all others. A node's count
-is the sum of the leaf totals below it; prefixes above the groups' have theirs from
-the partitioning.
-
-What the driver holds and tasks get is bounded: ``BINS`` totals, and at most eight
-times as many extended prefixes per level as there are groups. ``BUDGET`` caps the
-suffixes of a group (``GROUPS`` small groups where there are few). A passage that is
-repeated everywhere is one entry per run.
+their piece. Vertical partitioning cuts their tree: the prefixes of one word are
+dealt into bins by a hash and the suffixes of each bin counted; a bin with more than
+an eighth of the memory budget has its prefixes extended by one word and counted
+anew, until none is too large or the depth is reached. The bins that are left are
+packed into groups that stay within the budget (largest first, to the emptiest
+group). Every map task then sorts the suffixes of a block of texts, adds up equal
+ones, and writes one run per group; the runs of a group build its subtrees
+independently of all others. A node's count is the sum of the leaf totals below it.
+A prefix that was extended is itself a leaf, at its own depth, of its bin's group.
+
+What the driver holds and tasks get is bounded: totals and marks of ``BINS`` bins
+per level. ``BUDGET`` caps the suffixes of a group (``GROUPS`` small groups where
+there are few). A passage that is repeated everywhere is one entry per run.
 
 Scores are whole numbers, computed with 38 digits. Phrases meet their parts by
 joins that are salted on the parts' side.
@@ -22,7 +21,8 @@ joins that are salted on the parts' side.
 Edge cases: null, empty and word-free texts add nothing; rows that repeat count
 each; a null language is ``und``, together with rows that say so; equal scores go by
 count, then by the phrase's bytes; an empty table gives no rows; other columns are
-not read. Words are never cut, whatever their length.
+not read. Words are never cut, whatever their length; hashes only deal out work,
+words are compared themselves.
 """
 
 from __future__ import annotations
@@ -37,13 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corrspark.llm.shingles import mix64
 from corrspark.llm.tokens import byte_class, runs, text_blocks
 from corrspark.session import materialise
 
 DEPTH, LEAST, PERCENT, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Most suffixes of a group, and how many groups are made even where fewer would do.
-BUDGET, GROUPS, BINS = 4_000_000, 256, 1 << 17
-BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 12 << 20
+BUDGET, GROUPS, BINS = 4_000_000, 128, 1 << 17
+BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 6 << 20
 #: Copies of a part that many phrases ask for.
 SALTS = 8
 
@@ -59,119 +60,148 @@ class Suffixes:
         found = runs(data, offsets, _WORD)
         n = len(found.start)
         text = np.searchsorted(offsets, found.start, "right") - 1
-        piece = np.concatenate((np.zeros(1, np.int64), np.cumsum(_BREAK[data])))[found.start]
+        piece = np.concatenate((np.zeros(1, np.int32), np.cumsum(_BREAK[data], dtype=np.int32)))[found.start]
         new = np.ones(n + 1, bool)
         new[1:n] = (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])
         cuts = np.flatnonzero(new)
         end = np.repeat(cuts[1:], np.diff(cuts)) if n else cuts[:0]
-        self.word = np.zeros((DEPTH, n), np.int64)
+        codes = found.codes.astype(np.int32) + 1
+        self.word = np.zeros((DEPTH, n), np.int32)
         for d in range(DEPTH):
             there = np.flatnonzero(np.arange(d, n + d) < end)
-            self.word[d, there] = found.codes[there + d] + 1
+            self.word[d, there] = codes[there + d]
         lang = pc.fill_null(batch.column(0), "und").cast(pa.large_string()).dictionary_encode()
-        self.langs = lang.dictionary.to_pylist()
-        self.lang = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+        self.langs = lang.dictionary
+        self.lang = lang.indices.to_numpy(zero_copy_only=False).astype(np.int32)[text]
         self.terms = found.terms
+        self._word_hash = np.array([0, *map(xxhash.xxh64_intdigest, self.terms.to_pylist())], np.uint64)
+        self._hash = np.array([xxhash.xxh64_intdigest(x) for x in self.langs.to_pylist()], np.uint64)[self.lang]
+        self._rows = np.arange(n)
 
-    def prefixes(self, rows: np.ndarray, depth: int) -> tuple[list[tuple[str, str]], np.ndarray]:
-        """The distinct prefixes (language, words) of some suffixes that reach the depth, and each one's number."""
-        number = self.lang[rows]
-        for d in range(depth):
-            _, number = np.unique(number * (len(self.terms) + 1) + self.word[d, rows], return_inverse=True)
-        _, first = np.unique(number, return_index=True)
-        at = rows[first]
-        words = [self.terms.take(pa.array(self.word[d, at] - 1)) for d in range(depth)]
-        joined = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())) if depth > 1 else words[0]
-        return list(zip((self.langs[k] for k in self.lang[at]), joined.to_pylist(), strict=True)), number
+    def bins(self, depth: int, rows: np.ndarray) -> np.ndarray:
+        """Bins of the prefixes of some suffixes; called for one depth after the other, on ever fewer rows."""
+        own = self._hash if len(rows) == len(self._hash) else self._hash[np.searchsorted(self._rows, rows)]
+        self._hash = mix64(own * np.uint64(0x9E3779B97F4A7C15) + self._word_hash[self.word[depth - 1, rows]])
+        self._rows = rows
+        return (self._hash % np.uint64(BINS)).astype(np.int64)
 
 
-def bin_of(lang: str, prefix: str) -> int:
-    return xxhash.xxh64_intdigest(f"{lang}\n{prefix}") % BINS
-
-
-_COUNTS = "lang string, prefix string, bin int, n long"
-
-
-def _count(depth: int, extended: set[tuple[str, str]]):
-    """Count the prefixes of a depth, beyond the first only those that extend a frequent one."""
+def _count(large: list[np.ndarray]):
+    """Suffixes per bin at the depth behind those whose large bins are known; at the first also per language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        per_lang: dict[str, int] = {}
+        total = np.zeros(BINS, np.int64)
         for batch, data, offsets in text_blocks(batches, 1, BLOCK_ROWS, BLOCK_BYTES):
             s = Suffixes(batch, data, offsets)
-            rows = np.flatnonzero(s.word[depth - 1] > 0)
-            if depth > 1 and len(rows):
-                above, number = s.prefixes(rows, depth - 1)
-                rows = rows[np.array([p in extended for p in above])[number]]
-            if not len(rows):
-                continue
-            names, number = s.prefixes(rows, depth)
-            langs, words = zip(*names, strict=True)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(langs), pa.array(words), pa.array([bin_of(*p) for p in names], pa.int32()), pa.array(np.bincount(number))], names=["lang", "prefix", "bin", "n"])
+            rows = np.arange(s.word.shape[1])
+            for depth, marks in enumerate(large, 1):
+                rows = rows[marks[s.bins(depth, rows)]]
+                rows = rows[s.word[depth, rows] > 0]
+            total += np.bincount(s.bins(len(large) + 1, rows), minlength=BINS)
+            if not large:
+                for lang, n in zip(s.langs.to_pylist(), np.bincount(s.lang, minlength=len(s.langs)).tolist(), strict=True):
+                    per_lang[lang] = per_lang.get(lang, 0) + n
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(some), pa.string()), pa.array(some, pa.int32()), pa.array(total[some])], names=["lang", "bin", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(per_lang), pa.string()), pa.nulls(len(per_lang), pa.int32()), pa.array(list(per_lang.values()), pa.int64())], names=["lang", "bin", "n"])
 
     return run
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+def _squeeze(columns: list[np.ndarray]) -> tuple[list[int], bytes]:
+    """Columns of whole numbers in their least widths, compressed as one."""
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    return [c.dtype.itemsize for c in narrow], pa.compress(b"".join(c.tobytes() for c in narrow), "zstd", asbytes=True)
+
+
+def _unsqueeze(widths: list[int], data: bytes, n: int) -> list[np.ndarray]:
+    raw = pa.decompress(data, n * sum(widths), "zstd", asbytes=True)
+    ends = np.cumsum([0, *widths]) * n
+    return [np.frombuffer(raw[a:b], f"u{w}").astype(np.int64) for a, b, w in zip(ends[:-1], ends[1:], widths, strict=True)]
 
 
-def _squeeze(values: np.ndarray) -> dict:
-    own = _narrow(values)
-    return {"width": own.dtype.itemsize, "data": pa.compress(own.tobytes(), "zstd", asbytes=True)}
+def _squeeze_words(words: pa.Array) -> tuple[int, int, bytes]:
+    """How many words, their bytes, and all lengths and bytes, compressed."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    text = words.buffers()[2].to_pybytes()[offsets[0]:offsets[-1]] if len(words) else b""
+    return len(words), len(text), pa.compress(np.diff(offsets).astype(np.uint32).tobytes() + text, "zstd", asbytes=True)
 
 
-def _unsqueeze(column: dict, n: int) -> np.ndarray:
-    width = column["width"]
-    return np.frombuffer(pa.decompress(column["data"], n * width, "zstd", asbytes=True), f"u{width}").astype(np.int64)
+def _unsqueeze_words(n: int, size: int, data: bytes) -> pa.Array:
+    raw = pa.decompress(data, 4 * n + size, "zstd", asbytes=True)
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.int64)))
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[4 * n:]))
 
 
-_PACKED = "array<struct<width: int, data: binary>>"
-_RUN = f"grp int, n int, langs array<string>, words array<string>, parts {_PACKED}"
-_RUN_ARROW = pa.schema([
-    ("grp", pa.int32()), ("n", pa.int32()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())),
-    ("parts", pa.list_(pa.struct([("width", pa.int32()), ("data", pa.binary())])))])
+_RUN = "grp int, n int, langs array<string>, n_words int, words_size int, words binary, widths array<int>, data binary"
 
 
-def _runs(extended: list[set[tuple[str, str]]], group_of_bin: np.ndarray):
+def _runs(large: list[np.ndarray], group_of_bin: np.ndarray):
     """Per block and group the sorted distinct suffixes with their counts and the depth of the group's prefix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in text_blocks(batches, 1, BLOCK_ROWS, BLOCK_BYTES):
             s = Suffixes(batch, data, offsets)
-            group = np.full(s.word.shape[1], -1, np.int32)
-            routed = np.zeros(s.word.shape[1], np.int64)
-            rows = np.flatnonzero(s.word[0] > 0)
-            for depth, frequent in enumerate([*extended, set()], 1):
-                if not len(rows):
-                    break
-                names, number = s.prefixes(rows, depth)
-                to = np.array([-1 if p in frequent else group_of_bin[bin_of(*p)] for p in names], np.int32)[number]
-                done = to >= 0
-                group[rows[done]], routed[rows[done]] = to[done], depth
-                rows = rows[~done]
-                rows = rows[s.word[min(depth, DEPTH - 1), rows] > 0]
-            rows = np.flatnonzero(group >= 0)
-            if not len(rows):
+            if not s.word.shape[1]:
                 continue
             base = len(s.terms) + 1
-            _, head = np.unique((group[rows].astype(np.int64) * len(s.langs) + s.lang[rows]) * base + s.word[0, rows], return_inverse=True)
-            head = head * base + s.word[1, rows]
-            tail = s.word[2, rows] * base + s.word[3, rows]
+            by_word = pc.sort_indices(s.terms)  # neighbours in a run are alike, and small
+            place = np.zeros(base, np.int32)
+            place[by_word.to_numpy().astype(np.int64) + 1] = np.arange(1, base)
+            sorted_terms = s.terms.take(by_word)
+            rows = np.arange(s.word.shape[1])
+            entries: list[tuple[np.ndarray, np.ndarray, int, int, np.ndarray]] = []  # rows, groups, depth of prefix, words, counts
+            for depth in range(1, len(large) + 2):
+                bins = s.bins(depth, rows)
+                to = group_of_bin[bins]
+                more = large[depth - 1][bins] if depth <= len(large) else np.zeros(len(rows), bool)
+                entries.append((rows[~more], to[~more], depth, DEPTH, np.ones(len(rows) - int(more.sum()), np.int64)))
+                rows, to = rows[more], to[more]
+                if not len(rows):
+                    break
+                number = s.lang[rows].astype(np.int64)
+                for d in range(depth):
+                    _, first, number = np.unique(number * base + s.word[d, rows], return_index=True, return_inverse=True)
+                entries.append((rows[first], to[first], depth, depth, np.bincount(number)))
+                rows = rows[s.word[depth, rows] > 0]
+            at = np.concatenate([e[0] for e in entries])
+            group = np.concatenate([e[1] for e in entries]).astype(np.int64)
+            routed = np.concatenate([np.full(len(e[0]), e[2]) for e in entries])
+            counts = np.concatenate([e[4] for e in entries])
+            word = place[s.word[:, at]].astype(np.int64)
+            reach = np.concatenate([np.full(len(e[0]), e[3]) for e in entries])
+            for d in range(1, DEPTH):
+                word[d, reach <= d] = 0
+            lang = s.lang[at].astype(np.int64)
+            _, head = np.unique((group * len(s.langs) + lang) * base + word[0], return_inverse=True)
+            head, tail = head * base + word[1], word[2] * base + word[3]
             order = np.lexsort((tail, head))
-            head, tail, rows = head[order], tail[order], rows[order]
+            head, tail = head[order], tail[order]
             new = np.flatnonzero(np.concatenate(([True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]))))
-            counts = np.diff(np.append(new, len(rows)))
-            rows = rows[new]
-            starts = np.flatnonzero(np.concatenate(([True], group[rows[1:]] != group[rows[:-1]])))
-            for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
-                own = rows[a:b]
-                used, local = np.unique(s.word[:, own], return_inverse=True)
-                local = local.reshape(DEPTH, b - a)
-                if used[0]:  # 0 is kept for "no word"
-                    used, local = np.concatenate((np.zeros(1, used.dtype), used)), local + 1
-                parts = [_squeeze(x) for x in (s.lang[own], *local, counts[a:b], routed[own])]
-                words = s.terms.take(pa.array(used[1:] - 1)).to_pylist()
-                yield pa.RecordBatch.from_pylist(
-                    [{"grp": int(group[own[0]]), "n": b - a, "langs": s.langs, "words": words, "parts": parts}], schema=_RUN_ARROW)
+            counts = np.add.reduceat(counts[order], new)
+            kept = order[new]
+            group, routed, word, lang = group[kept], routed[kept], word[:, kept], lang[kept]
+            starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            ends = np.append(starts[1:], len(group))
+            widths, packed, words = [], [], []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                own = word[:, a:b]
+                seen = np.zeros(base, bool)
+                seen[own] = True
+                seen[0] = False
+                used = np.flatnonzero(seen)
+                place[used] = np.arange(1, len(used) + 1)
+                w, d = _squeeze([lang[a:b], *place[own], counts[a:b], routed[a:b]])
+                widths.append(w)
+                packed.append(d)
+                words.append(_squeeze_words(sorted_terms.take(pa.array(used - 1))))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(group[starts], pa.int32()), pa.array(ends - starts, pa.int32()),
+                pa.array([s.langs.to_pylist()] * len(starts), pa.list_(pa.string())),
+                *(pa.array(c, t) for c, t in zip(zip(*words, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)),
+                pa.array(widths, pa.list_(pa.int32())), pa.array(packed, pa.binary()),
+            ], names=["grp", "n", "langs", "n_words", "words_size", "words", "widths", "data"])
 
     return run
 
@@ -183,16 +213,17 @@ def _subtrees(least: int):
     """The nodes of a group's subtrees with at least so many suffixes below them."""
     def run(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
-        listed = [pa.concat_arrays([c.flatten() for c in table[name].chunks]).dictionary_encode() for name in ("langs", "words")]
-        lengths = [pc.list_value_length(table[name]).to_numpy() for name in ("langs", "words")]
+        lists = [_unsqueeze_words(*w) for w in zip(*(table[name].to_pylist() for name in ("n_words", "words_size", "words")), strict=True)]
+        listed = [pa.concat_arrays([c.flatten() for c in table["langs"].chunks]).dictionary_encode(), pa.concat_arrays(lists).dictionary_encode()]
+        lengths = [pc.list_value_length(table["langs"]).to_pylist(), [len(x) for x in lists]]
         ids = [x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in listed]
         columns: list[list[np.ndarray]] = [[] for _ in range(DEPTH + 3)]
         at = [0, 0]
-        for n, n_langs, n_words, parts in zip(sizes, *lengths, table["parts"].to_pylist(), strict=True):
+        for n, n_langs, n_words, widths, data in zip(sizes, *lengths, table["widths"].to_pylist(), table["data"].to_pylist(), strict=True):
             lang_of = ids[0][at[0]:at[0] + n_langs]
             word_of = np.concatenate((np.zeros(1, np.int64), ids[1][at[1]:at[1] + n_words] + 1))
             at = [at[0] + n_langs, at[1] + n_words]
-            values = [_unsqueeze(p, n) for p in parts]
+            values = _unsqueeze(widths, data, n)
             for column, v in zip(columns, (lang_of[values[0]], *(word_of[w] for w in values[1:DEPTH + 1]), *values[DEPTH + 1:]), strict=True):
                 column.append(v)
         lang, *words, counts, routed = (np.concatenate(c) for c in columns)
@@ -207,8 +238,8 @@ def _subtrees(least: int):
             new = new.copy()
             new[1:] |= words[d][1:] != words[d][:-1]
             start = np.flatnonzero(new)
-            total = np.add.reduceat(counts, start)
-            keep = (total >= least) & (words[d][start] > 0) & (routed[start] <= d + 1)
+            total = np.add.reduceat(np.where(routed <= d + 1, counts, 0), start)  # those of longer prefixes are counted by their own
+            keep = (total >= least) & (words[d][start] > 0)
             at_node = start[keep]
             parts_of = [terms.take(pa.array(words[j][at_node] - 1)).cast(pa.string()) for j in range(d + 1)]
             phrase = pc.binary_join_element_wise(*parts_of, " ") if d else parts_of[0]
@@ -222,7 +253,7 @@ def _subtrees(least: int):
 
 def pack(totals: dict[int, int], groups: int) -> np.ndarray:
     """Bins to groups: the largest first, each to the group with the least so far."""
-    out = np.zeros(BINS, np.int32)
+    out = np.arange(BINS, dtype=np.int32) % groups
     heap = [(0, g) for g in range(groups)]
     for b, n in sorted(totals.items(), key=lambda x: (-x[1], x[0])):
         load, g = heapq.heappop(heap)
@@ -235,33 +266,30 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, gro
     """``lang, phrase, k, f`` of all phrases of up to ``DEPTH`` words found ``least`` times, and ``lang, n`` (all words)."""
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
-    def counted(depth: int, extended: set) -> DataFrame:
-        rows = texts.mapInArrow(_count(depth, extended), _COUNTS)
-        return materialise(rows.groupBy("lang", "prefix").agg(F.first("bin").alias("bin"), F.sum("n").alias("n")), f"prefixes{depth}")
-
-    levels = [counted(1, set())]
-    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    size = min(budget, -(-total // groups)) if total else 1
-    n_groups, limit = max(1, -(-total // size)), max(1, size // 8)
-    extended: list[set[tuple[str, str]]] = []
-    while len(levels) < DEPTH:  # at most total / limit prefixes of a level are frequent
-        frequent = {(r["lang"], r["prefix"]) for r in levels[-1].where(F.col("n") > limit).toLocalIterator()}
-        if not frequent:
-            break
-        extended.append(frequent)
-        levels.append(counted(len(levels) + 1, frequent))
+    def counted(large: list[np.ndarray]) -> DataFrame:
+        rows = texts.mapInArrow(_count(large), "lang string, bin int, n long")
+        return materialise(rows.groupBy("lang", "bin").agg(F.sum("n").alias("n")), "prefixes")
+
+    first = level = counted([])
+    total = first.where("bin is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = max(1, min(budget, -(-total // groups)))
+    limit = max(1, size // 8)
+    large: list[np.ndarray] = []
     totals: dict[int, int] = {}
-    last = len(levels)
-    for depth, level in enumerate(levels, 1):
-        ends = level if depth == last else level.where(F.col("n") <= limit)
-        for r in ends.groupBy("bin").agg(F.sum("n").alias("n")).toLocalIterator():
-            totals[r["bin"]] = totals.get(r["bin"], 0) + r["n"]
-    dealt = texts.mapInArrow(_runs(extended, pack(totals, n_groups)), _RUN)
+    while True:
+        of_bin = {r["bin"]: r["n"] for r in level.where("bin is not null").toLocalIterator()}  # at most BINS
+        over = [b for b, n in of_bin.items() if n > limit] if len(large) < DEPTH - 1 else []
+        for b in of_bin.keys() - set(over):
+            totals[b] = totals.get(b, 0) + of_bin[b]
+        if not over:
+            break
+        marks = np.zeros(BINS, bool)
+        marks[over] = True
+        large.append(marks)
+        level = counted(large)
+    dealt = texts.mapInArrow(_runs(large, pack(totals, max(1, -(-total // size)))), _RUN)
     nodes = dealt.groupBy("grp").applyInArrow(_subtrees(least), _NODES)
-    for depth, level in enumerate(levels[:-1], 1):
-        above = level.where((F.col("n") > limit) & (F.col("n") >= least))
-        nodes = nodes.union(above.select("lang", F.col("prefix").alias("phrase"), F.lit(depth).alias("k"), F.col("n").alias("f")))
-    return materialise(nodes, "nodes"), levels[0].groupBy("lang").agg(F.sum("n").alias("n"))
+    return materialise(nodes, "nodes"), first.where("bin is null").select("lang", "n")
 
 
 def _join(words, a, n):
