@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrspark import lexicon
 from corrspark.functions import words as W
 from corrspark.functions.text import strip
-from corrspark.operators.blocks import BROADCAST_LIMIT, catalogue_blocks, map_blocks, numbered, text_bytes
+from corrspark.session import materialise
 
 PREFIX = "cpe:2.3:"
 # The fields of a CPE 2.3 URI after its prefix, in order.
@@ -83,84 +84,6 @@ def product_of(uri: Column) -> Column:
 
 # --- matching --------------------------------------------------------------
 
-# compiled patterns that a worker keeps: a few megabytes
-CACHED_PATTERNS = 4_096
-
-
-@lru_cache(CACHED_PATTERNS)
-def exact_pattern(term: str) -> re.Pattern:
-    return re.compile(rf"\b{re.escape(term.lower())}\b", re.IGNORECASE)
-
-
-@lru_cache(CACHED_PATTERNS)
-def partial_patterns(vendor: str, product: str) -> list[re.Pattern]:
-    """Near spellings of a product name.
-
-    Without vendor: the product with one word left out. With vendor: its first
-    word before the product, and the vendor with up to two words in between.
-    """
-    gap = r"\s+"
-    if vendor:
-        name = re.escape(product.lower())
-        head, whole = re.escape(vendor.lower().split()[0]), re.escape(vendor.lower())
-        shapes = [rf"\b{head}\b{gap}{name}", rf"\b{whole}\b{gap}(?:\w+{gap}){{0,2}}{name}"]
-    else:
-        parts = [re.escape(w) for w in product.lower().split()]
-        shapes = [rf"\b(?:{gap.join(parts[:i] + parts[i + 1:])})\b" for i in range(len(parts))] if len(parts) > 1 else []
-    return [re.compile(s, re.IGNORECASE) for s in shapes]
-
-
-@lru_cache(CACHED_PATTERNS)
-def spread_pattern(word: str) -> re.Pattern:
-    """A word whose letters may be set apart by blanks."""
-    return re.compile(r"\b" + r"\s*".join(map(re.escape, word)) + r"\b", re.IGNORECASE)
-
-
-def replace_split(text: str, word: str, replacement: str) -> str:
-    """Replace a word that blanks break into two or three parts."""
-    if len(word) < 2 or " " in word:
-        return text
-    return spread_pattern(word).sub(lambda m: replacement if len(m.group().split()) in (2, 3) else m.group(), text)
-
-
-def spans(pattern: re.Pattern, text: str) -> list[tuple[str, int, int]]:
-    return [(m.group(), m.start(), len(m.group())) for m in pattern.finditer(text)]
-
-
-def fuzzy_words(term: str, text: str, threshold: int = 70) -> list[tuple[str, int, int]]:
-    """Words of a text that resemble the term: (word, position, length)."""
-    term = term.lower()
-    return [
-        (m.group(), m.start(), len(m.group()))
-        for m in re.finditer(r"\b\w+\b", text)
-        if _close(m.group().lower(), term, threshold)
-    ]
-
-
-def _close(word: str, term: str, threshold: int) -> bool:
-    # the ratio cannot exceed what the two lengths allow
-    short, long = sorted((len(word), len(term)))
-    return 200 * short > (threshold - 1) * (short + long) and W.ratio(word, term) > threshold
-
-
-def fuzzy_spans(term: str, text: str, threshold: int = 70, extra_words: int | None = 1) -> list[tuple[str, int, int]]:
-    """Runs of words that resemble the term, up to ``extra_words`` longer than it.
-
-    Every longer run around a match matches as well, so without the bound (None) the
-    result grows with the square of the text and says nothing more.
-    """
-    term = term.lower()
-    found = list(re.finditer(r"\w+", text))
-    longest = len(found) if extra_words is None else len(term.split()) + extra_words
-    out = []
-    for i in range(len(found)):
-        for j in range(i, min(i + longest, len(found))):
-            piece = text[found[i].start() : found[j].end()]
-            if W.partial_ratio(piece.lower(), term) > threshold:
-                out.append((piece, found[i].start(), len(piece)))
-    return out
-
-
 MATCH = "array<struct<matched: string, position: int, length: int>>"
 
 
@@ -169,16 +92,23 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def column_spans(text: Column, pattern: Column) -> Column:
-    """All matches of a pattern column: matched text, position, length.
+def column_spans(text: Column, pattern: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """The matches of a pattern column that are wanted: matched text, position, length.
 
-    A match stands behind the pieces between the matches before it.
+    One pass over the matches: a match stands behind all pieces and matches before it.
     """
 
     def placed(found: Column) -> Column:
-        ahead = lambda parts, n: F.aggregate(F.slice(found[parts], 1, n), F.lit(0), lambda total, part: total + F.length(part))
-        return F.transform(found["m"], lambda m, i: F.struct(
-            m.alias("matched"), (ahead("p", i + 1) + ahead("m", i)).alias("position"), F.length(m).alias("length")))
+        pairs = F.zip_with(found["m"], F.slice(found["p"], 1, F.size(found["m"])), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            at = state["at"] + F.length(x["p"])
+            match = F.array(F.struct(x["m"].alias("matched"), at.alias("position"), F.length(x["m"]).alias("length")))
+            keep = F.lit(True) if wanted is None else wanted(x["m"])
+            return F.struct((at + F.length(x["m"])).alias("at"), F.when(keep, F.concat(state["out"], match)).otherwise(state["out"]).alias("out"))
+
+        return F.aggregate(pairs, start, step, lambda state: state["out"])
 
     found = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     return F.transform(F.array(found), placed)[0].cast(MATCH)
@@ -221,14 +151,15 @@ def partial_matches(text: Column, vendor: Column, product: Column) -> Column:
     return F.flatten(F.transform(partial_shapes(vendor, product), lambda shape: column_spans(text, shape)))
 
 
-def replace_split_word(text: Column, word: Column, replacement: str) -> Column:
+def replace_split_word(text: Column, word: Column, replacement: Column | str) -> Column:
     """Replace a word that blanks break into two or three parts."""
     letters = _join(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), quoted), r"\s*")
     pattern = F.concat(F.lit(r"(?iU)\b"), letters, F.lit(r"\b"))
+    replacement = F.lit(replacement) if isinstance(replacement, str) else replacement
 
     def put_together(found: Column) -> Column:
         parts = lambda m: F.size(F.split(m, r"\s+"))
-        new = F.transform(found["m"], lambda m: F.when(parts(m).isin(2, 3), F.lit(replacement)).otherwise(m))
+        new = F.transform(found["m"], lambda m: F.when(parts(m).isin(2, 3), replacement).otherwise(m))
         pairs = F.zip_with(found["p"], new, lambda piece, match: F.concat(piece, F.coalesce(match, F.lit(""))))
         return F.array_join(pairs, "")
 
@@ -237,122 +168,325 @@ def replace_split_word(text: Column, word: Column, replacement: str) -> Column:
     return F.when((F.length(word) < 2) | F.contains(word, F.lit(" ")), text).otherwise(rule)
 
 
-def _match_column(finder, text: Column, *args: Column) -> Column:
-    @F.pandas_udf(MATCH)
-    def run(texts: pd.Series, *terms: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if t is None else [{"matched": w, "position": p, "length": n} for w, p, n in finder(t, *a)]
-            for t, *a in zip(texts, *terms)
-        ], dtype=object)
+# --- near spellings --------------------------------------------------------
 
-    return run(text, *args)
 
+def least_common(total: Column, threshold: int) -> Column:
+    """Letters in common that two words of ``total`` letters need to be more than ``threshold`` percent alike.
 
-def fuzzy_matches(text: Column, term: Column, threshold: int = 70) -> Column:
-    return _match_column(lambda t, w: fuzzy_words(w, t, threshold), text, term)
+    The ratio is rounded half to even, so an odd threshold takes the half itself.
+    """
+    share = (2 * threshold + 1) * total
+    return (F.floor(share / 400) + 1 if threshold % 2 == 0 else F.ceil(share / 400)).cast("int")
 
 
-def fuzzy_span_matches(text: Column, term: Column, threshold: int = 70, extra_words: int | None = 1) -> Column:
-    return _match_column(lambda t, w: fuzzy_spans(w, t, threshold, extra_words), text, term)
+# letters that one bit row holds
+ROW_BITS = 62
 
 
-def fuzzy_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: int = 70, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """(term, word, score, n): words of all texts that resemble a catalogue term.
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two words.
 
-    Each distinct word is compared once, however often it occurs.
+    One row of bits per letter of ``b`` while ``a`` has at most ``ROW_BITS`` letters,
+    else a row of lengths.
     """
-    word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
-    counted = texts.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    needles = terms.select(F.lower(term).alias("term")).filter(F.col("term") != "").distinct()
+    letters = lambda w: F.filter(F.split(w, ""), lambda c: c != "")
 
-    def compare(batch: pd.DataFrame, wanted: list[str]) -> pd.DataFrame:
-        hits = [
-            (t, w, W.ratio(w, t), n)
-            for w, n in zip(batch["word"], batch["n"])
-            for t in wanted
-            if _close(w, t, threshold)
-        ]
-        return pd.DataFrame(hits, columns=["term", "word", "score", "n"])
+    def by_bits(own: Column) -> Column:
+        places = F.transform(own, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", F.lit(1).cast("long"), i).alias("bit")))
+        full = (F.call_function("shiftleft", F.lit(1).cast("long"), F.size(own)) - 1).cast("long")
+        zero = F.lit(0).cast("long")
 
-    blocks = catalogue_blocks(needles, text_bytes(F.col("term")), "term", limit)
-    counted = counted if len(blocks) == 1 else numbered(counted)
-    return map_blocks(counted, blocks, lambda t: sorted(t["term"]), compare, "term string, word string, score int, n long")
+        def step(row: Column, c: Column) -> Column:
+            hit = row.bitwiseAND(F.aggregate(places, zero, lambda m, x: F.when(x["c"] == c, m + x["bit"]).otherwise(m)))
+            # the hit letters are bound once
+            return F.transform(F.array(hit), lambda h: (row + h).bitwiseOR(row - h).bitwiseAND(full))[0]
 
+        return F.size(own) - F.bit_count(F.aggregate(letters(b), full, step))
+
+    def by_lengths(own: Column) -> Column:
+        start = F.transform(F.concat(F.array(F.lit("")), own), lambda _: F.lit(0))
+
+        def step(row: Column, c: Column) -> Column:
+            def cell(done: Column, x: Column) -> Column:
+                return F.concat(done, F.array(F.when(x["c"] == c, x["diagonal"] + 1).otherwise(F.greatest(x["above"], F.element_at(done, -1)))))
+
+            cells = F.transform(own, lambda o, i: F.struct(o.alias("c"), F.get(row, i).alias("diagonal"), F.get(row, i + 1).alias("above")))
+            return F.aggregate(cells, F.array(F.lit(0)), cell)
+
+        return F.element_at(F.aggregate(letters(b), start, step), -1)
+
+    return F.transform(F.array(letters(a)), lambda own: F.when(F.size(own) <= ROW_BITS, by_bits(own)).otherwise(by_lengths(own)))[0]
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Indel similarity 0..100: twice the letters in common by all letters, rounded half to even."""
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 100).otherwise(F.bround(200.0 * common_length(a, b) / total, 0).cast("int"))
+
+
+def is_close(word: Column, term: Column, threshold: int = 70) -> Column:
+    """Whether two words are more than ``threshold`` percent alike.
+
+    Lengths and the edit distance decide nearly all pairs: with replaced letters
+    counted once, it is at most the indel distance and at least its half.
+    """
+    total = F.length(word) + F.length(term)
+    needed = least_common(total, threshold)
+    most = total - 2 * needed
+    edits = F.levenshtein(word, term)
+    return (
+        F.when(F.least(F.length(word), F.length(term)) < needed, False).when(edits > most, False).when(2 * edits <= most, True)
+        .otherwise(common_length(word, term) >= needed)
+    )
+
+
+WORD = r"(?U)\w+"
+
+
+def fuzzy_matches(text: Column, term: Column, threshold: int = 70) -> Column:
+    """Words of a text that resemble the term."""
+    return column_spans(text, F.lit(WORD), lambda m: is_close(F.lower(m), F.lower(term), threshold))
 
-# --- masking ---------------------------------------------------------------
 
+def fuzzy_runs(term: str, text: str, threshold: int = 70) -> list[tuple[str, int, int, bool]]:
+    """Runs of words that resemble the term: (run, position, length, open).
 
-def _replace_spans(text: str, found: list[tuple[str, int, int]], replacement: str) -> str:
-    for _, start, length in sorted(found, key=lambda s: -s[1]):
-        text = text[:start] + replacement + text[start + length :]
-    return text
-
-
-def _blocks(uris: list[str]) -> dict[tuple[str, str, str], dict[str, list[str]]]:
-    """The URIs of one text, aggregated in order of appearance."""
-    out: dict = {}
-    for uri in uris:
-        parts = uri.split(":")
-        if not uri.startswith(PREFIX) or len(parts) < 10:
-            continue
-        parts += ["*"] * (len(URI_FIELDS) + 2 - len(parts))
-        named = dict(zip(URI_FIELDS, parts[2:]))
-        entry = out.setdefault((named["part"], named["vendor"], named["product"]), {f: [] for f in DETAIL_FIELDS})
-        for f in DETAIL_FIELDS:
-            if named[f] not in ("*", "-", *entry[f]):
-                entry[f].append(named[f])
+    All windows as long as the term are compared at once, one row of bits each. A run
+    that holds a window above the threshold matches, and so does every longer run
+    from its start: of these the shortest is given, as ``open``. Runs shorter than
+    the term, which are compared with its windows, are given one by one. So the
+    result is whole, and linear in the text.
+    """
+    term, low = term.lower(), text.lower()
+    found = [m.span() for m in re.finditer(r"\w+", text)]
+    size = len(term)
+    if not found or not size or len(low) != len(text):
+        return _fuzzy_runs_plain(term, text, found, threshold) if found and size else []
+    good = np.flatnonzero(_window_ratios(low, term) > threshold)
+    ends = np.array([e for _, e in found])
+    out = []
+    for i, (start, _) in enumerate(found):
+        j = i
+        while j < len(found) and found[j][1] - start < size:
+            if W.partial_ratio(low[start:found[j][1]], term) > threshold:
+                out.append((text[start:found[j][1]], start, found[j][1] - start, False))
+            j += 1
+        at = np.searchsorted(good, start)
+        if at < len(good):
+            k = int(np.searchsorted(ends, good[at] + size))
+            if k < len(found):
+                out.append((text[start:found[k][1]], start, found[k][1] - start, True))
     return out
 
 
-def mask_text(text: str, uris: list[str]) -> str:
-    """Product names in one text become the label of their part."""
-    entries = _blocks(uris)
-    if not entries:
-        return text
-    text, label = text.lower().strip(), ""
-    for (part, vendor, product), details in entries.items():
-        label = lexicon.CPE_PARTS.get(part, part)
-        vendor, product = (x.replace("_", " ").strip().lower() for x in (vendor, product))
-        full = f"{vendor} {product}"
-        mask = lambda _, label=label: label
-        # plain containment first: most patterns need not be compiled at all
-        if full in text:
-            text = exact_pattern(full).sub(mask, text)
-        if product in text and (vendor.split() or [""])[0] in text:
-            for pattern in partial_patterns(vendor, product):
-                text = pattern.sub(mask, text)
-        text = _replace_spans(text, fuzzy_words(full, text), label)
-        if product in text:
-            text = exact_pattern(product).sub(mask, text)
-        text = _replace_spans(text, fuzzy_words(product, text), label)
-        names = product.split()
-        if sum(name in text for name in names) >= len(names) - 1:
-            for pattern in partial_patterns("", product):
-                text = pattern.sub(mask, text)
-        text = replace_split(text, vendor, "")
-        text = replace_split(text, product, label)
-        for target in details["target_sw"]:
-            text = text.replace(target.lower(), "software")
-        for field in DETAIL_FIELDS:
-            for value in details[field] if field != "target_sw" else ():
-                if value not in (vendor, product):
-                    text = text.replace(value.lower(), "")
-        if vendor in text and exact_pattern(vendor).search(text):
-            text = " ".join(exact_pattern(vendor).sub("", text).split())
-    text = " ".join(text.split())
-    repeat, before = re.compile(rf"(?i)(\b{re.escape(label)}\b)[\s,.;:]*\1+"), None
-    while label and before != text:
-        before, text = text, repeat.sub(r"\1", text)
-    return " ".join(text.split())
+def _fuzzy_runs_plain(term: str, text: str, found: list[tuple[int, int]], threshold: int) -> list[tuple[str, int, int, bool]]:
+    """The same, run by run, for texts whose length changes with the case."""
+    out = []
+    for i, (start, _) in enumerate(found):
+        for _, end in found[i:]:
+            run = text[start:end].lower()
+            if W.partial_ratio(run, term) > threshold:
+                out.append((text[start:end], start, end - start, len(run) >= len(term)))
+                if len(run) >= len(term):
+                    break
+    return out
 
 
-def mask_products(text: Column, uris: Column) -> Column:
-    """Mask the products of each text's own URI list; texts without one are unchanged."""
+def _window_ratios(text: str, term: str) -> np.ndarray:
+    """Ratio of the term and every window of its length, window by offset."""
+    size, n = len(term), len(text) - len(term) + 1
+    if n <= 0:
+        return np.zeros(0, int)
+    if size > ROW_BITS:
+        return np.array([W.ratio(text[o:o + size], term) for o in range(n)])
+    letters, place = np.unique(np.array(list(text)), return_inverse=True)
+    bits = {}
+    for i, c in enumerate(term):
+        bits[c] = bits.get(c, 0) | (1 << i)
+    hits = np.array([bits.get(str(c), 0) for c in letters], np.int64)[place]
+    row = np.full(n, (1 << size) - 1, np.int64)
+    for k in range(size):
+        hit = row & hits[k:k + n]
+        row = ((row + hit) | (row - hit)) & ((1 << size) - 1)
+    return np.rint(100 * (size - np.bitwise_count(row).astype(int)) / size).astype(int)
+
+
+RUN = "array<struct<matched: string, position: int, length: int, open: boolean>>"
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series, lists: pd.Series) -> pd.Series:
+
+def fuzzy_span_matches(text: Column, term: Column, threshold: int = 70) -> Column:
+    """Runs of words that resemble the term, without a bound on their length (see :func:`fuzzy_runs`)."""
+
+    @F.pandas_udf(RUN)
+    def run(texts: pd.Series, terms: pd.Series) -> pd.Series:
+        names = ("matched", "position", "length", "open")
         return pd.Series([
-            t if t is None or u is None or not len(u) else mask_text(t, list(u)) for t, u in zip(texts, lists)
+            None if t is None or w is None else [dict(zip(names, m)) for m in fuzzy_runs(w, t, threshold)] for t, w in zip(texts, terms)
         ], dtype=object)
 
-    return run(text, uris)
+    return run(text, term)
+
+
+def _least_pairs(total: Column, threshold: int, skip: int) -> Column:
+    """Pairs that words of ``total`` letters share at least.
+
+    Each step of their common letters that skips too much costs ``skip + 1`` others.
+    """
+    needed = least_common(total, threshold)
+    return needed - 1 - F.floor((total - 2 * needed) / (skip + 1))
+
+
+# from here on words of one letter are like no others, and one skipped letter is enough
+PAIRS_FROM = 70
+
+
+def _parts(rows: DataFrame, threshold: int) -> DataFrame:
+    """(word, part): numbered pairs of letters with at most one letter between, or the numbered letters."""
+    size = F.length("word")
+    at = lambda i: F.substring("word", i, 1)
+    if threshold < PAIRS_FROM:
+        listed = F.transform(F.sequence(F.lit(1), size), at)
+    else:
+        gaps = lambda i: F.array(*[F.when(i + gap <= size, F.concat(at(i), at(i + gap))) for gap in (1, 2)])
+        listed = F.when(size == 1, F.array("word")).otherwise(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(1), size), gaps))))
+    parts = rows.select("word", F.explode(listed).alias("part")).groupBy("word", "part").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    return parts.select("word", F.explode(F.transform(F.sequence(F.lit(1), "k"), lambda k: F.concat("part", F.lit(" "), k.cast("string")))).alias("part"))
+
+
+def fuzzy_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str, threshold: int = 70) -> DataFrame:
+    """(term, word, score, n): words of all texts that resemble a catalogue term.
+
+    A join of distinct words on what alike words must share: pairs of letters that
+    stand beside each other or with one between, numbered where they repeat (below
+    ``PAIRS_FROM`` percent the letters themselves). From its length follows how many
+    of its parts a term shares with any match, so it offers all but the most frequent
+    ones less one. Words and terms that meet there, and whose lengths allow it, are
+    compared. Work grows with these candidates, not with words times terms, and
+    none is lost.
+    """
+    word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    counted = materialise(texts.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    needles = terms.select(F.lower(term).alias("word")).filter(F.col("word") != "").distinct()
+    ours, theirs = _parts(counted.select("word"), threshold), _parts(needles, threshold)
+    size = F.length("word")
+
+    def shared_with(other: Column) -> Column:
+        total = size + other
+        needed = least_common(total, threshold)
+        least = needed if threshold < PAIRS_FROM else F.when(total > 2, _least_pairs(total, threshold, 1)).otherwise(1)
+        return F.when(F.least(size, other) >= needed, least)
+
+    # a match is at most three times as long from 50 percent on, below that up to 400 / threshold times
+    longest = F.ceil(size * (400 / max(threshold, 1))).cast("int") + 1
+    shared = F.greatest(F.lit(1), F.array_min(F.transform(F.sequence(F.lit(1), longest), shared_with)))
+    held = ours.groupBy("part").agg(F.count(F.lit(1)).alias("held"))
+    rare = Window.partitionBy("word").orderBy("held", "part")
+    ranked = theirs.join(held, "part", "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("_at", F.row_number().over(rare))
+    offered = ranked.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("word"))).filter((F.col("_at") <= F.col("_n") - shared + 1) & (F.col("held") > 0))
+    met = offered.select(F.col("word").alias("term"), "part").join(ours, "part").select("term", "word")
+    total = F.length("word") + F.length("term")
+    met = met.filter(F.least(F.length("word"), F.length("term")) >= least_common(total, threshold)).distinct()
+    close = met.filter(is_close(F.col("word"), F.col("term"), threshold))
+    return close.join(counted, "word").select("term", "word", ratio(F.col("word"), F.col("term")).alias("score"), "n")
+
+
+# --- masking ---------------------------------------------------------------
+
+# Fixed value: what may stand between repeats of a label.
+REPEAT_GAP = r"[\s,.;:]*"
+
+
+def _entries(uris: Column) -> Column:
+    """The URIs of one row as (part, vendor, product) with their details, in order of appearance."""
+    field = lambda p, name: F.coalesce(F.get(p, F.lit(URI_FIELDS.index(name) + 2)), F.lit("*"))
+    split = F.transform(F.filter(uris, lambda u: F.startswith(u, F.lit(PREFIX))), lambda u: F.split(u, ":"))
+    named = ("part", "vendor", "product", *DETAIL_FIELDS)
+    parsed = F.transform(F.filter(split, lambda p: F.size(p) >= 10), lambda p: F.struct(*[field(p, f).alias(f) for f in named]))
+
+    def gathered(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda r: F.struct(r["part"].alias("part"), r["vendor"].alias("vendor"), r["product"].alias("product"))))
+
+        def entry(k: Column) -> Column:
+            own = lambda f: F.array_distinct(F.filter(F.transform(
+                F.filter(rows, lambda r: (r["part"] == k["part"]) & (r["vendor"] == k["vendor"]) & (r["product"] == k["product"])),
+                lambda r: r[f]), lambda v: ~v.isin("*", "-")))
+            return F.struct(k["part"].alias("part"), k["vendor"].alias("vendor"), k["product"].alias("product"), *[own(f).alias(f) for f in DETAIL_FIELDS])
+
+        return F.transform(keys, entry)
+
+    return F.transform(F.array(parsed), gathered)[0]
+
+
+def _rules(entry: Column) -> Column:
+    """The steps of one product, in order: kind, needle that must be there, pattern or word, replacement."""
+    label = part_label(entry["part"])
+    plain = F.replace(F.replace(label, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    text = F.struct(normalise_name(entry["vendor"]).alias("vendor"), normalise_name(entry["product"]).alias("product"), label.alias("label"), plain.alias("plain"))
+
+    def steps(x: Column) -> Column:
+        vendor, product = x["vendor"], x["product"]
+        full = F.concat(vendor, F.lit(" "), product)
+        rule = lambda kind, needle, pattern, new: F.struct(F.lit(kind).alias("kind"), needle.alias("needle"), pattern.alias("pattern"), new.alias("new"))
+        whole = lambda t: F.concat(F.lit(r"(?iU)\b"), quoted(t), F.lit(r"\b"))
+        nothing = F.lit("")
+        head = F.coalesce(F.get(F.filter(F.split(product, r"\s+"), lambda w: w != ""), F.lit(0)), nothing)
+        near = F.when(vendor != "", F.transform(partial_shapes(vendor, product), lambda p: rule("pattern", product, p, x["plain"])))
+        left_out = F.transform(partial_shapes(nothing, product), lambda p: rule("pattern", nothing, p, x["plain"]))
+        targets = F.transform(entry["target_sw"], lambda v: rule("text", F.lower(v), nothing, F.lit("software")))
+        gone = F.flatten(F.array(*[F.transform(F.filter(entry[f], lambda v: (v != vendor) & (v != product)), lambda v: rule("text", F.lower(v), nothing, nothing))
+                                   for f in DETAIL_FIELDS if f != "target_sw"]))
+        none = F.array().cast("array<struct<kind: string, needle: string, pattern: string, new: string>>")
+        return F.concat(
+            F.array(rule("pattern", full, whole(full), x["plain"])), F.coalesce(near, none), F.array(rule("near", nothing, full, x["plain"])),
+            F.array(rule("pattern", product, whole(product), x["plain"]), rule("near", nothing, product, x["plain"])),
+            F.when(F.size(F.split(product, r"\s+")) > 1, left_out).otherwise(none),
+            F.array(rule("split", nothing, vendor, nothing), rule("split", nothing, product, x["label"])), targets, gone,
+            F.array(rule("vendor", vendor, whole(vendor), nothing)))
+
+    return F.transform(F.array(text), steps)[0]
+
+
+def _near_pattern(text: Column, term: Column, threshold: int = 70) -> Column:
+    """A pattern of the words of a text that resemble the term; null if there is none."""
+    close = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: is_close(w, term, threshold))
+    return F.transform(F.array(close), lambda c: F.when(F.size(c) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(c, "|"), F.lit(r")\b"))))[0]
+
+
+def _apply(text: Column, rule: Column) -> Column:
+    """One step on a text."""
+    kind, needle, pattern, new = rule["kind"], rule["needle"], rule["pattern"], rule["new"]
+    near = F.transform(F.array(_near_pattern(text, pattern)), lambda p: F.when(p.isNull(), text).otherwise(F.regexp_replace(text, p, new)))[0]
+    squeezed = F.regexp_replace(text, r"\s+", "")
+    return (
+        F.when((kind == "pattern") & F.contains(text, needle), F.regexp_replace(text, pattern, new))
+        .when((kind == "text") & (needle != ""), F.replace(text, needle, new))
+        .when(kind == "near", near)
+        .when((kind == "split") & (F.length(pattern) > 1) & ~F.contains(pattern, F.lit(" ")) & F.contains(squeezed, pattern), replace_split_word(text, pattern, new))
+        .when((kind == "vendor") & F.contains(text, needle) & F.rlike(text, pattern), words_joined(F.regexp_replace(text, pattern, "")))
+        .otherwise(text)
+    )
+
+
+def words_joined(text: Column) -> Column:
+    """Words with one space between them."""
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def mask_products(text: Column, uris: Column) -> Column:
+    """Product names in a text become the label of their part; texts without products are unchanged.
+
+    The rules of the row's own products run one after the other over the text, as
+    one fold of column expressions: the name, near spellings, single words, split
+    words, target software, details, the vendor. Runs of the last product's label
+    become one.
+    """
+
+    def masked(entries: Column) -> Column:
+        rules = F.flatten(F.transform(entries, _rules))
+        label = part_label(F.element_at(entries, -1)["part"])
+        done = words_joined(F.aggregate(rules, strip(F.lower(text)), _apply))
+        again = F.concat(F.lit(r"(?iU)(\b"), quoted(label), F.lit(r"\b)(?:" + REPEAT_GAP + r"\1)+"))
+        return F.when(F.size(entries) > 0, F.when(label == "", done).otherwise(words_joined(F.regexp_replace(done, again, "$1")))).otherwise(text)
+
+    return F.when(uris.isNull() | (F.size(uris) == 0), text).otherwise(F.transform(F.array(_entries(uris)), masked)[0])

@@ -80,7 +80,7 @@ _sentence = "'A flaw in ' || s_name || ' ' || split_part(p_name, ' ', 1) || ' '
 def sentences(spark, folder):
     rows = line_items(spark, folder).join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select("l_orderkey", "l_linenumber", "s_name", "p_name", F.expr(_sentence).alias("text"), F.expr(_uri).alias("uri"))
+    return rows.select("l_orderkey", "l_linenumber", "s_name", "p_name", "p_type", F.expr(_sentence).alias("text"), F.expr(_uri).alias("uri"))
 
 
 _words = "split_part(p_name, ' ', 1) || ' ' || p_name"
@@ -120,20 +120,68 @@ def cpe_left_out_matches(spark, folder):
     return rows.select("p_partkey", F.explode(cpe.partial_matches(F.col("text"), F.lit(""), F.col("p_name"))).alias("m")).select("p_partkey", "m.*")
 
 
-@query("cpe_fuzzy_terms")
+def sql_common(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two SQL strings of up to 62 letters: a row of bits per letter, reduced over a list."""
+    full = f"((1::BIGINT << length({a})) - 1)"
+    hits = f"[CAST(list_sum([CASE WHEN substring({a}, i, 1) = c THEN 1::BIGINT << (i - 1) ELSE 0 END FOR i IN range(1, length({a}) + 1)]) AS BIGINT) FOR c IN string_split({b}, '')]"
+    return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, {hits}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def sql_ratio(a: str, b: str) -> str:
+    """Indel similarity 0..100, rounded half to even; 0 where the lengths alone keep it from 71."""
+    total = f"(length({a}) + length({b}))"
+    return f"(CASE WHEN 200 * least(length({a}), length({b})) <= 70 * {total} THEN 0 ELSE CAST(round_even(200.0::DOUBLE * {sql_common(a, b)} / {total}, 0) AS INTEGER) END)"
+
+
+@query("cpe_fuzzy_terms", f"""
+WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM documents) GROUP BY word),
+t AS (SELECT DISTINCT lower(unnest(list_concat(string_split(p_name, ' '), [p_name, p_type]))) AS term FROM part),
+r AS (SELECT term, word, n, {sql_ratio("word", "term")} AS score FROM w, t WHERE 200 * least(length(word), length(term)) > 70 * (length(word) + length(term)))
+SELECT term, word, score, n FROM r WHERE score > 70
+""")
 def cpe_fuzzy_terms(spark, folder):
-    words = table(spark, folder, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    """Words of the documents like words, names and types of the products."""
+    words = table(spark, folder, "part").select(F.explode(F.concat(F.split("p_name", " "), F.array("p_name", "p_type"))).alias("word"))
     return cpe.fuzzy_terms(documents(spark, folder), "doc_id", "text", words, "word")
 
 
-@query("cpe_fuzzy_matches")
-def cpe_fuzzy_matches(spark, folder):
-    found = F.explode(cpe.fuzzy_matches(F.col("text"), F.split_part("p_name", F.lit(" "), F.lit(2))))
-    return sentences(spark, folder).select("l_orderkey", "l_linenumber", found.alias("m")).select("l_orderkey", "l_linenumber", "m.*")
+_terms = "list_distinct(list_concat(string_split(p_name, ' '), [p_name, s_name, p_type]))"
 
 
-@query("cpe_fuzzy_spans")
+@query("cpe_fuzzy_matches", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, {_terms} AS terms, {_sentence} AS text FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+w AS (SELECT *, regexp_extract_all(text, '\\w+') AS words, string_split_regex(text, '\\w+') AS gaps FROM r),
+x AS (SELECT l_orderkey, l_linenumber, terms, words, gaps, unnest(range(1, len(words) + 1)) AS i FROM w),
+e AS (SELECT l_orderkey, l_linenumber, words[i] AS matched, CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(y) FOR y IN words[1:i - 1]]), 0) AS INTEGER) AS position, unnest(terms) AS term FROM x),
+d AS (SELECT DISTINCT lower(matched) AS word, lower(term) AS term FROM e),
+c AS (SELECT word, term FROM d WHERE {sql_ratio("word", "term")} > 70)
+SELECT l_orderkey, l_linenumber, e.term, matched, position, CAST(length(matched) AS INTEGER) AS length FROM e JOIN c ON lower(e.matched) = c.word AND lower(e.term) = c.term
+""")
+def cpe_fuzzy_matches(spark, folder):
+    """Words like the supplier, the type, the product's name or any word of it."""
+    terms = F.explode(F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_name", "s_name", "p_type")))).alias("term")
+    rows = sentences(spark, folder).select("l_orderkey", "l_linenumber", "text", terms)
+    found = F.explode(cpe.fuzzy_matches(F.col("text"), F.col("term")))
+    return rows.select("l_orderkey", "l_linenumber", "term", found.alias("m")).select("l_orderkey", "l_linenumber", "term", "m.*")
+
+
+@query("cpe_fuzzy_spans", f"""
+WITH r AS (SELECT p_partkey, lower(p_name) AS term, p_type || ' ' || p_name || ' of ' || p_brand AS text FROM part),
+w AS (SELECT *, regexp_extract_all(text, '\\w+') AS words, string_split_regex(text, '\\w+') AS gaps FROM r),
+p AS (SELECT *, [CAST(list_sum([length(g) FOR g IN gaps[1:i]]) + coalesce(list_sum([length(y) FOR y IN words[1:i - 1]]), 0) AS INTEGER) FOR i IN range(1, len(words) + 1)] AS places FROM w),
+i AS (SELECT p_partkey, term, text, words, places, unnest(range(1, len(words) + 1)) AS i FROM p),
+s AS (SELECT p_partkey, term, text, places[i] AS position, unnest([places[j] + length(words[j]) - places[i] FOR j IN range(i, len(words) + 1)]) AS length FROM i),
+k AS (SELECT DISTINCT term, lower(substring(text, CAST(position + 1 AS BIGINT), CAST(length AS BIGINT))) AS run FROM s),
+v AS (SELECT term, run, CASE WHEN length(run) < length(term) THEN run ELSE term END AS short, CASE WHEN length(run) < length(term) THEN term ELSE run END AS long FROM k),
+o AS (SELECT term, run, short, unnest([substring(long, i, length(short)) FOR i IN range(1, length(long) - length(short) + 2)]) AS piece FROM v),
+q AS (SELECT short, piece, {sql_ratio("short", "piece")} AS score FROM (SELECT DISTINCT short, piece FROM o)),
+m AS (SELECT term, run FROM o JOIN q USING (short, piece) GROUP BY term, run HAVING max(score) > 70),
+f AS (SELECT DISTINCT s.p_partkey, s.term, s.text, s.position, s.length FROM s JOIN m ON m.term = s.term AND m.run = lower(substring(s.text, CAST(s.position + 1 AS BIGINT), CAST(s.length AS BIGINT)))),
+b AS (SELECT *, length >= length(term) AS open, row_number() OVER (PARTITION BY p_partkey, position, length >= length(term) ORDER BY length) AS n FROM f)
+SELECT p_partkey, substring(text, CAST(position + 1 AS BIGINT), CAST(length AS BIGINT)) AS matched, CAST(position AS INTEGER) AS position, CAST(length AS INTEGER) AS length, open FROM b WHERE NOT open OR n = 1
+""")
 def cpe_fuzzy_spans(spark, folder):
+    """Runs like the product's name in its description, whatever their length."""
     rows = table(spark, folder, "part").withColumn("text", F.concat("p_type", F.lit(" "), "p_name", F.lit(" of "), "p_brand"))
     found = F.explode(cpe.fuzzy_span_matches(F.col("text"), F.col("p_name")))
     return rows.select("p_partkey", found.alias("m")).select("p_partkey", "m.*")
@@ -149,7 +197,36 @@ def cpe_split_words(spark, folder):
     return rows.select("p_partkey", cpe.replace_split_word(broken, F.col("word"), "X").alias("text"))
 
 
-@query("cpe_mask_products")
+def _sql_sub(text: str, pattern: str, new: str) -> str:
+    return f"regexp_replace({text}, {pattern}, {new}, 'g')"
+
+
+def _sql_near(text: str, term: str) -> str:
+    """The words of a text that are like a term, replaced by the label."""
+    close = f"list_filter(list_distinct(regexp_extract_all({text}, '\\w+')), lambda w: {sql_ratio('w', term)} > 70)"
+    return f"(CASE WHEN len({close}) = 0 THEN {text} ELSE " + _sql_sub(text, f"'\\b(?:' || array_to_string({close}, '|') || ')\\b'", "label") + " END)"
+
+
+@query("cpe_mask_products", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, lower(trim({_sentence})) AS t, lower(trim(replace(s_name, '#', ' '))) AS v, lower(p_name) AS p, lower(p_type) AS target,
+    CASE l_returnflag WHEN 'A' THEN 'application' WHEN 'N' THEN 'hardware' WHEN 'R' THEN 'operating system' END AS label,
+    CAST(l_linenumber AS VARCHAR) AS version, CASE WHEN l_linestatus = 'F' THEN NULL ELSE 'sp' || l_linenumber END AS patch
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+a AS (SELECT * REPLACE ({_sql_sub("t", "'\\b' || v || ' ' || p || '\\b'", "label")} AS t) FROM r),
+b AS (SELECT * REPLACE ({_sql_sub("t", "'\\b' || split_part(v, ' ', 1) || '\\b\\s+' || p", "label")} AS t) FROM a),
+c AS (SELECT * REPLACE ({_sql_sub("t", "'\\b' || v || '\\b\\s+(?:\\w+\\s+){0,2}' || p", "label")} AS t) FROM b),
+d AS (SELECT * REPLACE ({_sql_near("t", "(v || ' ' || p)")} AS t) FROM c),
+e AS (SELECT * REPLACE ({_sql_sub("t", "'\\b' || p || '\\b'", "label")} AS t) FROM d),
+f AS (SELECT * REPLACE ({_sql_near("t", "p")} AS t) FROM e),
+g AS (SELECT *, string_split(p, ' ') AS ws FROM f),
+h AS (SELECT * REPLACE (CASE WHEN len(ws) = 1 THEN t ELSE list_reduce(
+    list_prepend(t, ['\\b(?:' || array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), '\\s+') || ')\\b' FOR i IN range(1, len(ws) + 1)]),
+    lambda x, y: regexp_replace(x, y, label, 'g')) END AS t) FROM g),
+k AS (SELECT * REPLACE (replace(replace(replace(t, target, 'software'), version, ''), coalesce(patch, '~'), '') AS t) FROM h),
+l AS (SELECT * REPLACE (CASE WHEN regexp_matches(t, '\\b' || v || '\\b') THEN {_sql_sub("t", "'\\b' || v || '\\b'", "''")} ELSE t END AS t) FROM k),
+m AS (SELECT * REPLACE (trim({_sql_sub("t", "'\\s+'", "' '")}) AS t) FROM l)
+SELECT l_orderkey, l_linenumber, trim({_sql_sub(_sql_sub("t", "'(\\b' || label || '\\b)(?:[\\s,.;:]*' || label || ')+'", "label"), "'\\s+'", "' '")}) AS text FROM m
+""")
 def cpe_mask_products(spark, folder):
     rows = sentences(spark, folder)
     return rows.select("l_orderkey", "l_linenumber", cpe.mask_products(F.col("text"), F.array("uri")).alias("text"))

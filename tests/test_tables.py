@@ -1,7 +1,9 @@
 """Upserts, control table, sinks, lookups, requests, streams."""
 
 import random
+import re
 
+import cpe_plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,15 +208,61 @@ def test_cpe_columns_agree_with_the_word_helpers(spark):
         if r["t"] is None:
             assert r["exact"] is None and r["split"] is None
             continue
-        assert [tuple(m) for m in r["exact"]] == cpe.spans(cpe.exact_pattern(r["p"]), r["t"].lower())
-        assert [tuple(m) for m in r["near"]] == [m for p in cpe.partial_patterns(r["v"], r["p"]) for m in cpe.spans(p, r["t"])]
-        assert r["split"] == cpe.replace_split(r["t"], r["p"].split()[0], "#")
+        assert [tuple(m) for m in r["exact"]] == cpe_plain.spans(cpe_plain.exact_pattern(r["p"]), r["t"].lower())
+        assert [tuple(m) for m in r["near"]] == [m for p in cpe_plain.partial_patterns(r["v"], r["p"]) for m in cpe_plain.spans(p, r["t"])]
+        assert r["split"] == cpe_plain.replace_split(r["t"], r["p"].split()[0], "#")
 
 
-def test_fuzzy_spans_without_a_bound():
-    text = "an apache http server here"
-    short, full = cpe.fuzzy_spans("apache", text), cpe.fuzzy_spans("apache", text, extra_words=None)
-    assert set(short) < set(full) and max(len(m[0].split()) for m in full) == 5 and max(len(m[0].split()) for m in short) == 2
+def _random_text(pick, words, n):
+    return "".join(pick.choice(words) + pick.choice([" ", " ", " ", "  ", ", ", ".", "-"]) for _ in range(n))
+
+
+NAMES = "apache apachee appache http server servre servers web kit webkit linux 1.3 win application hardware operating system née x ab a-b pro".split()
+
+
+def test_fuzzy_runs_stand_for_all_matching_runs():
+    pick = random.Random(4)
+    for _ in range(120):
+        text = _random_text(pick, NAMES, pick.randrange(0, 9))
+        term = " ".join(pick.choice(NAMES) for _ in range(pick.randrange(1, 4)))
+        want = {(p, n) for _, p, n in cpe_plain.fuzzy_spans(term, text, extra_words=None)}
+        ends = [m.end() for m in re.finditer(r"\w+", text)]
+        got, rows = set(), cpe.fuzzy_runs(term, text)
+        for run, position, length, open_ in rows:
+            assert text[position:position + length] == run
+            got |= {(position, e - position) for e in ends if e - position == length or (open_ and e - position > length)}
+        assert got == want
+        assert sum(r[3] for r in rows) <= len(ends)
+    assert cpe.fuzzy_runs("x" * 70, "a " + "x" * 70 + " b") == [("a " + "x" * 70, 0, 72, True), ("x" * 70, 2, 70, True)]
+    assert cpe.fuzzy_runs("", "a b") == [] and cpe.fuzzy_runs("a", "") == []
+
+
+def test_fuzzy_span_column(spark):
+    df = spark.createDataFrame([("http servers run", "http server"), (None, "a"), ("a", None)], "t string, w string")
+    got = [r["m"] for r in df.select(cpe.fuzzy_span_matches(F.col("t"), F.col("w")).alias("m")).collect()]
+    assert got[1] is None and got[2] is None
+    assert [tuple(m) for m in got[0]] == cpe.fuzzy_runs("http server", "http servers run")
+
+
+def test_close_words_equal_the_plain_ratio(spark):
+    from corrspark.functions.words import ratio
+
+    pick = random.Random(9)
+    words = ["".join(pick.choice("abcd") for _ in range(pick.randrange(1, 14))) for _ in range(160)] + ["x" * 80 + "y" * 9, "x" * 75 + "z" * 9, "é" * 5, "éé"]
+    pairs = [(a, b) for a in words[-40:] for b in words]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    for r in df.select("a", "b", cpe.ratio(a, b).alias("r"), *(cpe.is_close(a, b, t).alias(f"c{t}") for t in (50, 69, 70, 80))).collect():
+        assert r["r"] == ratio(r["a"], r["b"])
+        assert all(r[f"c{t}"] == (r["r"] > t) for t in (50, 69, 70, 80))
+
+
+def test_fuzzy_matches_equal_the_plain_words(spark):
+    pick = random.Random(12)
+    rows = [(_random_text(pick, NAMES, 30), pick.choice(NAMES)) for _ in range(60)] + [("", "a"), ("née NÉE", "née")]
+    df = spark.createDataFrame(rows, "t string, w string")
+    for r in df.select("t", "w", cpe.fuzzy_matches(F.col("t"), F.col("w")).alias("m")).collect():
+        assert [tuple(m) for m in r["m"]] == cpe_plain.fuzzy_words(r["w"], r["t"])
 
 
 def test_cpe_aggregate(spark):
@@ -225,18 +273,18 @@ def test_cpe_aggregate(spark):
 
 def test_cpe_matching():
     text = "the apache http server and apache big http server"
-    assert [m[0] for p in cpe.partial_patterns("apache", "http server") for m in cpe.spans(p, text)] == [
+    assert [m[0] for p in cpe_plain.partial_patterns("apache", "http server") for m in cpe_plain.spans(p, text)] == [
         "apache http server", "apache http server", "apache big http server"]
-    assert [m[0] for p in cpe.partial_patterns("", "http server pro") for m in cpe.spans(p, text)] == ["http server", "http server"]
-    assert cpe.fuzzy_words("apache", "an apachee server") == [("apachee", 3, 7)]
-    assert cpe.replace_split("web ki t or we b kit or webkit", "webkit", "X") == "X or X or webkit"
-    assert ("http servers", 0, 12) in cpe.fuzzy_spans("http server", "http servers run")
+    assert [m[0] for p in cpe_plain.partial_patterns("", "http server pro") for m in cpe_plain.spans(p, text)] == ["http server", "http server"]
+    assert cpe_plain.fuzzy_words("apache", "an apachee server") == [("apachee", 3, 7)]
+    assert cpe_plain.replace_split("web ki t or we b kit or webkit", "webkit", "X") == "X or X or webkit"
+    assert ("http servers", 0, 12) in cpe_plain.fuzzy_spans("http server", "http servers run")
 
 
 def test_cpe_masking():
     text = "mod_usertrack in Apache HTTP Server 1.3 for linux by apache lets http server users in"
-    assert cpe.mask_text(text, [URI]) == "mod_usertrack in application for software by application users in"
-    assert cpe.mask_text(text, ["broken"]) == text
+    assert cpe_plain.mask_text(text, [URI]) == "mod_usertrack in application for software by application users in"
+    assert cpe_plain.mask_text(text, ["broken"]) == text
 
 
 def test_mask_column(spark):
@@ -245,6 +293,19 @@ def test_mask_column(spark):
     assert got == ["application x", "same", None]
 
 
+def test_masks_equal_the_plain_rules(spark):
+    pick = random.Random(31)
+    products = ["http_server", "webkit", "pro", "a-b", "apache", "linux_kit_pro", "$1", "née"]
+    rows = []
+    for _ in range(150):
+        uris = [f"cpe:2.3:{pick.choice('ahox')}:{pick.choice(['apache', 'web_kit', 'née', ''])}:{pick.choice(products)}:{pick.choice(['1.3', '*', '-', 'pro'])}:*:*:en:*:{pick.choice(['linux', '*'])}"
+                + pick.choice(["", ":*:*"]) for _ in range(pick.randrange(0, 4))]
+        rows.append((_random_text(pick, [*NAMES, "h ttp", "web k it", "a pache", "Apache HTTP Server", "$1"], pick.randrange(0, 14)), uris + pick.choice([[], ["broken"]])))
+    df = spark.createDataFrame(rows, "t string, u array<string>")
+    for r in df.select("t", "u", cpe.mask_products(F.col("t"), F.col("u")).alias("m")).collect():
+        assert r["m"] == (cpe_plain.mask_text(r["t"], list(r["u"])) if r["u"] else r["t"]), (r["t"], r["u"])
+
+
 def test_fuzzy_terms_brute_force(spark):
     from corrspark.functions.words import ratio
 
@@ -252,7 +313,18 @@ def test_fuzzy_terms_brute_force(spark):
     texts = spark.createDataFrame([(1, " ".join(words)), (2, "apache bolt")], "id int, t string")
     terms = spark.createDataFrame([("apache",), ("server",), ("gadget",)], "term string")
     want = {(t, w, ratio(w, t)) for t in ("apache", "server", "gadget") for w in words if ratio(w, t) > 70}
-    for limit in (1 << 27, 200):
-        got = cpe.fuzzy_terms(texts, "id", "t", terms, "term", limit=limit).collect()
-        assert {(r["term"], r["word"], r["score"]) for r in got} == want
-        assert {r["n"] for r in got if r["word"] == "apache"} == {2}
+    got = cpe.fuzzy_terms(texts, "id", "t", terms, "term").collect()
+    assert {(r["term"], r["word"], r["score"]) for r in got} == want
+    assert {r["n"] for r in got if r["word"] == "apache"} == {2}
+
+
+@pytest.mark.parametrize("threshold", [40, 60, 69, 70, 71, 85, 99])
+def test_fuzzy_terms_at_the_edge(spark, threshold):
+    from corrspark.functions.words import ratio
+
+    pick = random.Random(threshold)
+    words = sorted({"".join(pick.choice("abc") for _ in range(pick.randrange(1, 12))) for _ in range(150)})
+    needles = sorted({"".join(pick.choice("abc") for _ in range(pick.randrange(1, 12))) for _ in range(40)} | set(words[:5]))
+    texts = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id int, t string")
+    got = cpe.fuzzy_terms(texts, "id", "t", spark.createDataFrame([(n,) for n in needles], "term string"), "term", threshold).collect()
+    assert sorted((r["term"], r["word"], r["score"]) for r in got) == sorted((n, w, ratio(w, n)) for n in needles for w in words if ratio(w, n) > threshold)
