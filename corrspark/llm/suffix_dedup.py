@@ -24,7 +24,7 @@ Runs are compared by two 64-bit fingerprints, surroundings by their bytes.
 
 Edge cases: null and short texts have nothing to remove; a null id comes before all
 ids; rows that share an id are documents of their own in the order of their text's
-hash, and rows equal in both are one document, all with its result; an empty table
+digest, and rows equal in both are one document, all with its result; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrspark.llm.shingles import _LETTER, _power_tables, groups, mix64
@@ -289,7 +289,7 @@ def deep_shallow_sort(strings: list[bytes], group: np.ndarray, shallow: int = SH
         open_ = np.bincount(segment)[segment] > 1
         at, segment = at[open_], segment[open_]
     cuts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1]))) if len(at) else at
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+    for a, b in zip(cuts.tolist(), np.append(cuts, len(at))[1:].tolist(), strict=True):  # none if all differ early
         members = order[at[a:b]]
         trie = BlindTrie(strings)
         for k in members.tolist():
@@ -425,16 +425,19 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc, copy, text``: a key without null, and which of several texts of an id it is."""
+    """``doc_id, doc, copy, text``: a number per document that follows the ids, and 0.
+
+    Where several texts share an id (or have none), every text gets a number of its
+    own, by id and then by digest: the place in a sort over all tasks.
+    """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), "text")
-    ids = rows.groupBy("doc").count().where("count > 1").select("doc")
-    if ids.isEmpty():
+    if rows.groupBy("doc").count().where("count > 1").isEmpty():
         return rows.select("doc_id", "doc", F.lit(0).alias("copy"), "text")
-    rows = rows.withColumn("_print", F.xxhash64("text"))
-    order = Window.partitionBy("doc").orderBy("_print")
-    copies = rows.join(ids, "doc", "left_semi").select("doc", "_print").distinct().withColumn("copy", F.row_number().over(order) - 1)
-    return rows.join(copies, ["doc", "_print"], "left").select("doc_id", "doc", F.coalesce("copy", F.lit(0)).alias("copy"), "text")
+    rows = rows.withColumn("_print", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    ranks = rows.select("doc", "_print").distinct().orderBy("doc", "_print").withColumn("_rank", F.monotonically_increasing_id())
+    ranks = materialise(ranks, "ranks")
+    return rows.join(ranks, ["doc", "_print"]).select("doc_id", F.col("_rank").alias("doc"), F.lit(0).alias("copy"), "text")
 
 
 def _copy_of(packed: Column) -> Column:

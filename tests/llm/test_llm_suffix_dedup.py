@@ -112,3 +112,40 @@ def test_blind_trie_sorts():
     for k in range(len(mixed)):
         trie.add(k)
     assert [mixed[k] for k in trie.order()] == strings
+
+
+def test_strings_that_all_differ_early():
+    order, prefix = sd.deep_shallow_sort([b"ab", b"cd"], np.array([0, 0]))
+    assert order.tolist() == [0, 1] and prefix.tolist() == [-1, 0]
+    pick = random.Random(3)
+    for n in (1, 2, 50):
+        strings = [bytes([i]) + pick.randbytes(60) for i in range(n)]
+        pick.shuffle(strings)
+        order, _ = sd.deep_shallow_sort(strings, np.zeros(n, np.int64))
+        assert [strings[k] for k in order] == sorted(strings)
+
+
+def test_small_tables_with_one_shared_passage(spark):
+    """Many tables of two texts at once: tables are kept apart by their letters."""
+    pick = random.Random(17)
+    rows = []
+    for t in range(200):
+        letters = "".join(chr(0x4E00 + 40 * t + k) for k in range(40))
+        say = lambda n: "".join(pick.choice(letters) for _ in range(n))  # noqa: B023, E731
+        passage = say(pick.randrange(34, 100))
+        rows += [(2 * t + k, say(pick.randrange(40)) + passage + say(pick.randrange(40))) for k in range(2)]
+    want = brute(rows)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == want
+    for k in range(0, 24, 2):
+        two = rows[k:k + 2]
+        assert found(spark.createDataFrame(two, "doc_id long, text string").coalesce(1)) == brute(two)
+
+
+def test_many_texts_without_id(spark):
+    pick = random.Random(23)
+    passage = "".join(pick.choice("abcdefgh") for _ in range(150))
+    rows = [(None, f"{i:06d} " + passage) for i in range(4_000)] + [(5, passage + "!"), (5, "? " + passage), (5, None)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    whole = [r for r in got if r["n_removed"] == 0 and r["n_bytes"] > 0]
+    assert len(got) == len(rows) and len(whole) == 1
+    assert all(r["n_removed"] >= 150 and r["n_spans"] == 1 for r in got if r["n_removed"])
