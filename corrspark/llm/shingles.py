@@ -1,21 +1,25 @@
 """Word shingles of whole texts as 64-bit hashes, for many texts at a time.
 
 Works on the bytes of an Arrow string column: words are found with a byte class
-table, hashed with a polynomial over running sums, and joined to shingles, in a
-fixed number of passes whatever the words are. Texts are taken in groups of about
-half a megabyte, so memory stays bounded for any batch; one very long text is a group
-of its own.
+table, each distinct word is hashed once by a keyed digest of its bytes, and
+neighbours are mixed to shingles, in a fixed number of passes whatever the words are.
+So no choice of words makes two different shingles meet but by the chance of 64 bits.
+Texts are taken in groups of about half a megabyte, so memory stays bounded for any
+batch; one very long text is a group of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corrspark.llm.tokens import runs
+
 GROUP_BYTES = 1 << 19
 
 
@@ -56,28 +60,19 @@ class Words(NamedTuple):
     starts: np.ndarray  # one more than there are texts
 
 
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8, key=b"words of shingles").digest(), "little")
+
+
 def hash_words(data: np.ndarray, offsets: np.ndarray, drop_punctuation: bool = False) -> Words:
     """Words of texts that lie one behind the other; A-Z are lower-cased."""
     if drop_punctuation:
         keep = ~_PUNCTUATION[data]
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
         data = data[keep]
-    n = len(data)
-    inner = offsets[offsets < n]
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    first[inner] = inside[inner]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    before = inner[inner > 0] - 1
-    last[before] = inside[before]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER[_LOWER[data]] * power[:n], out=sums[1:])
-    hashes = mix64((sums[end] - sums[start]) * inverse[start])
-    return Words(hashes, np.searchsorted(start, offsets))
+    found = runs(data, offsets, ~_SPACE)
+    hashes = np.fromiter(map(word_hash, found.terms.cast(pa.large_binary()).to_pylist()), np.uint64, len(found.terms))
+    return Words(hashes[found.codes], np.searchsorted(found.start, offsets))
 
 
 def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
@@ -88,7 +83,7 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
     w, starts = words
     rolled = np.zeros(max(0, len(w) - width + 1), np.uint64)
     for k in range(width):
-        rolled = (rolled + w[k:k + len(rolled)]) * np.uint64(_BASE)
+        rolled = mix64((rolled + w[k:k + len(rolled)]) * np.uint64(_BASE))
     rolled = mix64(rolled + np.uint64(width))
     sets = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -98,7 +93,7 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
         elif b > a:
             short = np.zeros(1, np.uint64)
             for k in range(a, b):
-                short = (short + w[k:k + 1]) * np.uint64(_BASE)
+                short = mix64((short + w[k:k + 1]) * np.uint64(_BASE))
             sets.append(mix64(short + np.uint64(b - a)))
         else:
             sets.append(np.empty(0, np.uint64))

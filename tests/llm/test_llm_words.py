@@ -181,3 +181,22 @@ def test_ablations_from_the_histogram(spark):
         assert got[name]["n_failed_alone"] == sum(f == bit for f in failed)
         assert got[name]["n_kept_without"] == sum(f & ~bit == 0 for f in failed)
     assert quality_rules.ablations(quality_rules.histogram(book), 0).count() == 0
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: 98, 98: 97})
+    return word
+
+
+def test_crafted_words_do_not_meet(spark):
+    """Two words that any polynomial modulo 2 ** 64 hashes alike share nothing."""
+    first = thue_morse(1024)
+    other = first.translate({97: 98, 98: 97})
+    rows = [(1, f"w x y {first}"), (2, f"w x y {other}"), (3, f"z w x y {first}"), (4, first), (5, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: (n, c) for i, (n, c) in brute_components(rows, 4).items()}
+    items = spark.createDataFrame([(1, f"v w x y {other}"), (2, f"z w x y {first}"), (3, other)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(df, items).collect()} == {(3, 2), (2, 3), (5, 3)}
