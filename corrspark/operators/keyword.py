@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from corrspark import lexicon
 from corrspark.functions import words as W
 from corrspark.functions.text import uniform_string
-from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, catalogue_blocks, map_block, map_blocks, numbered, text_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, catalogue_blocks, map_blocks, numbered, text_bytes
 
 try:
     import ahocorasick
@@ -233,7 +233,7 @@ def keyword_hits(
     schema = f"{key} {types[key]}{extra}, hits array<struct<capec_id: string, score: double>>"
     blocks = catalogue_blocks(right, text_bytes(F.col("uniform")), "capec_id", limit)
     if len(blocks) == 1:
-        return map_block(left, blocks[0], prepare, find, schema)
+        return map_blocks(left, blocks, prepare, find, schema)
     # every block gives one list per text; a text keeps its number, so equal keys stay apart
     rows = map_blocks(numbered(left), blocks, prepare, find, f"{key} {types[key]}{extra}, {ROW} long, hits array<struct<capec_id: string, score: double>>")
     first = [F.first(c).alias(c) for c in (key, *keep)]
@@ -260,7 +260,6 @@ def keyword_scores(texts: DataFrame, keywords: DataFrame, key: str = "cve_id", t
         })
 
     blocks = catalogue_blocks(patterns, text_bytes(F.col("capec_id")), "capec_id", limit)
-    hits = hits if len(blocks) == 1 else numbered(hits)
     return map_blocks(hits, blocks, lambda p: sorted(p["capec_id"]), spread, f"{key} {key_type}, capec_id string, keyword_score double")
 
 

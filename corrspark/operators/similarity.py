@@ -7,18 +7,21 @@ thousandths, and of the flow score: the mean over steps of the better of the
 step's two texts. Sums run over whole thousandths, so the result does not depend
 on the order in which rows arrive.
 
-With a catalogue below the broadcast limit the whole query is one map over the
-query table: products, means, keyword fusion and ranks, with no shuffle. A larger
-one is taken in blocks of whole patterns: with ``top`` a block hands on its first
-rows, with ``wanted`` the number of better patterns, so pairs are never shuffled
-unless the full ranking is asked for. Both ways rank every query row by itself and
-give the same rows, also for equal and missing keys. Queries and fields without a
-vector are left out (see ``without_vector``).
+The whole query is one map over the query table: products, means, keyword fusion
+and ranks, with no shuffle. A catalogue below the broadcast limit is held as a whole.
+Of a larger one a task reads one block of whole patterns after the other: with
+``top`` it keeps the best rows so far and skips a block for all queries that it can't
+help (centre and radius bound its products), with ``wanted`` it counts the better
+patterns. Only the full ranking of a large catalogue ranks pairs by a window. Both
+ways rank every query row by itself and give the same rows, also for equal and
+missing keys. Queries and fields without a vector are left out (see
+``without_vector``).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corrspark import lexicon
 from corrspark.functions.vectors import cosine
-from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, catalogue_blocks, map_block, map_blocks, numbered, vector_bytes
+from corrspark.operators.blocks import BROADCAST_LIMIT, CELLS, ROW, Loaded, catalogue_blocks, map_blocks, numbered, units_of as _units, vector_bytes
 
 # The pattern fields that are scored.
 FIELDS = ("name", "description", "prerequisites", "resources_required", "mitigations", "skills_required")
@@ -100,12 +103,6 @@ def pattern_order(ids) -> list[str]:
     return sorted(ids, key=pattern_key)
 
 
-def _units(vectors) -> np.ndarray:
-    matrix = np.asarray(list(vectors), dtype=np.float64)
-    size = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-
-
 class Catalogue:
     """A catalogue block laid out for matrix products (lives inside a task)."""
 
@@ -119,6 +116,8 @@ class Catalogue:
         flow = rows[rows["kind"] == "flow"].sort_values(["_p", "slot"])
         self.field_units = _units(self.fields["vector"]) if len(self.fields) else None
         self.n_fields = np.bincount(self.fields["_p"], minlength=len(self.patterns)) if len(self.fields) else np.zeros(len(self.patterns), int)
+        self.first_field = np.concatenate(([0], np.cumsum(self.n_fields)))
+        self.slots = self.fields["slot"].to_numpy()
         self.flow = None
         if len(flow):
             step = flow.groupby(["_p", "slot"], sort=True)
@@ -131,17 +130,18 @@ class Catalogue:
         self.n_steps = np.bincount(self.step_pattern, minlength=len(self.patterns)) if self.flow is not None else np.zeros(len(self.patterns), int)
 
     def partial(self, vectors, round_fields: bool = True):
-        """Per (query, pattern): field sum in thousandths, and step sum."""
+        """Per (query, pattern): field sum in thousandths, and step sum; per (query, field) its score in thousandths."""
         queries = _units(vectors)
         shape = (len(queries), len(self.patterns))
-        total, steps = np.zeros(shape), np.zeros(shape)
+        total, steps, scores = np.zeros(shape), np.zeros(shape), np.zeros((len(queries), 0))
         if self.field_units is not None:
             scores = queries @ self.field_units.T * 1000
-            self._spread(total, half_up(scores) if round_fields else scores, self.fields["_p"].to_numpy())
+            scores = half_up(scores) if round_fields else scores
+            self._spread(total, scores, self.fields["_p"].to_numpy())
         if self.flow is not None:
             best = np.maximum.reduceat(queries @ self.flow.T, self.step_start, axis=1)
             self._spread(steps, np.maximum(best, self.step_floor), self.step_pattern)
-        return total, steps
+        return total, steps, scores
 
     @staticmethod
     def _spread(out: np.ndarray, scores: np.ndarray, patterns: np.ndarray) -> None:
@@ -171,6 +171,150 @@ def rank_rows(thousandths: np.ndarray, tie: np.ndarray | None = None) -> np.ndar
     return ranks
 
 
+#: What ``scores`` adds to the rows.
+SCORES = "fields array<string>, field_scores array<double>, execution_flow_score double"
+
+
+class _Scorer:
+    """Scores of a batch against a block, as kept cells (lives inside a task)."""
+
+    def __init__(self, key: str, vector: str, model: str, hits: str | None, wanted: str | None, flow_weight: int, round_fields: bool, scores: bool):
+        self.key, self.vector, self.model, self.hits, self.wanted = key, vector, model, hits, wanted
+        self.flow_weight, self.round_fields, self.scores = flow_weight, round_fields, scores
+        self.models = [model, f"{model}_keyword"] if hits else [model]
+
+    def matrices(self, batch: pd.DataFrame, cat: Catalogue):
+        """Per model the scores in thousandths, the scores that break all ties, and what makes them up."""
+        total, steps, fields = cat.partial(batch[self.vector], self.round_fields)
+        base, flow = final_thousandths(total, cat.n_fields, steps, cat.n_steps, self.flow_weight)
+        finals = [base, base + _hit_matrix(batch[self.hits], cat.patterns)] if self.hits else [base]
+        return finals, base, fields, flow
+
+    def cells(self, batch: pd.DataFrame, cat: Catalogue, top: int | None) -> pd.DataFrame:
+        """Cells of a batch that may be in the result: the block's first ones per row, or those wanted."""
+        finals, base, fields, flow = self.matrices(batch, cat)
+        out, first = [], None
+        for name, final in zip(self.models, finals):
+            ranks = rank_rows(final, first)
+            first = ranks if first is None else first
+            keep = np.ones(ranks.shape, dtype=bool) if top is None else ranks <= top
+            if self.wanted:
+                keep = keep & self._listed(batch, cat)
+            row, cell = np.nonzero(keep)
+            part = {"_at": row, "model": name, "capec_id": np.asarray(cat.patterns, dtype=object)[cell], "final": final[row, cell], "base": base[row, cell], "rank": ranks[row, cell]}
+            if self.scores:
+                spans = list(zip(cat.first_field[cell], cat.first_field[cell + 1]))
+                flows = flow[row, cell]
+                part["fields"] = _objects(cat.slots[a:b] for a, b in spans)
+                part["field_scores"] = _objects(fields[r, a:b] / 1000 for r, (a, b) in zip(row, spans))
+                part["execution_flow_score"] = np.where(flows != 0, flows, np.nan)
+            out.append(pd.DataFrame(part))
+        return pd.concat(out, ignore_index=True)
+
+    def _listed(self, batch: pd.DataFrame, cat: Catalogue) -> np.ndarray:
+        place = {p: i for i, p in enumerate(cat.patterns)}
+        listed = np.zeros((len(batch), len(cat.patterns)), dtype=bool)
+        for row, ids in enumerate(batch[self.wanted]):
+            listed[row, [place[i] for i in (ids if ids is not None else ()) if i in place]] = True
+        return listed
+
+    def rows(self, batch: pd.DataFrame, cells: pd.DataFrame, columns: list[str]) -> pd.DataFrame:
+        out = cells.assign(**{c: batch[c].to_numpy()[cells["_at"].to_numpy()] for c in (self.key, ROW) if c in batch})
+        out["final_score"], out["rank"] = out["final"] / 1000, out["rank"].astype(np.int32)
+        if self.scores:
+            out["execution_flow_score"] = out["execution_flow_score"].astype(object).where(out["execution_flow_score"].notna(), None)
+        return out[columns]
+
+
+def _objects(items) -> np.ndarray:
+    items = list(items)
+    out = np.empty(len(items), dtype=object)
+    out[:] = items
+    return out
+
+
+def _first_per_row(cells: pd.DataFrame, top: int | None) -> pd.DataFrame:
+    """Cells of several blocks, ranked per row and model; the first ``top`` stay."""
+    number = [pattern_key(p) for p in cells["capec_id"]]
+    order = np.lexsort((
+        cells["capec_id"].to_numpy().astype(str), [n for _, n, _ in number], [k for k, _, _ in number],
+        -cells["base"].to_numpy(), -cells["final"].to_numpy(), cells["model"].to_numpy().astype(str), cells["_at"].to_numpy()))
+    cells = cells.iloc[order]
+    cells = cells.assign(rank=cells.groupby(["_at", "model"], sort=False).cumcount().to_numpy() + 1)
+    return cells if top is None else cells[cells["rank"] <= top]
+
+
+def best_over_blocks(batch: pd.DataFrame, loaded: Loaded, scorer: _Scorer, top: int, cells: int = CELLS) -> pd.DataFrame:
+    """The first ``top`` cells of every row and model over all blocks.
+
+    Blocks are taken from the most promising on. A row that has ``top`` cells better
+    than all that a block can hold is left out there, and a block that no row needs
+    is not read.
+    """
+    blocks, kept = loaded.blocks, None
+    most = np.ceil(1000 * np.maximum(blocks.bounds(_units(batch[scorer.vector])), 0)) + 1
+    extra = np.zeros(len(batch))
+    if scorer.hits:
+        extra = np.array([max([0.0, *(1000 * h["score"] for h in found)]) if found is not None else 0.0 for found in batch[scorer.hits]])
+    last = {name: np.full(len(batch), -np.inf) for name in scorer.models}
+    for i in np.argsort(-most.sum(axis=0), kind="stable").tolist():
+        open_ = np.zeros(len(batch), dtype=bool)
+        for name in scorer.models:
+            open_ |= most[:, i] + (extra if name != scorer.model else 0) >= last[name]
+        at = np.flatnonzero(open_)
+        if not len(at):
+            continue
+        cat = loaded.get(i)
+        step = max(1, cells // max(1, cat.width))
+        for a in range(0, len(at), step):
+            found = scorer.cells(batch.iloc[at[a:a + step]], cat, top)
+            found["_at"] = at[a:a + step][found["_at"].to_numpy()]
+            kept = found if kept is None else pd.concat([kept, found], ignore_index=True)
+        kept = _first_per_row(kept, top)
+        for name, of_model in kept[kept["rank"] == top].groupby("model"):
+            last[name][of_model["_at"].to_numpy()] = of_model["final"].to_numpy()
+    return kept
+
+
+def wanted_over_blocks(batch: pd.DataFrame, loaded: Loaded, scorer: _Scorer, top: int | None, cells: int = CELLS) -> pd.DataFrame:
+    """The wanted cells of every row with their ranks: one more than the better cells of all blocks."""
+    blocks, parts = loaded.blocks, []
+    order = list(range(len(blocks)))
+    for i in order:
+        cat = loaded.get(i)
+        step = max(1, cells // max(1, cat.width))
+        for a in range(0, len(batch), step):
+            found = scorer.cells(batch.iloc[a:a + step], cat, None)
+            found["_at"] += a
+            parts.append(found)
+    asked = pd.concat(parts, ignore_index=True)
+    asked["rank"] = 1
+    most = np.ceil(1000 * np.maximum(blocks.bounds(_units(batch[scorer.vector])), 0)) + 1
+    if scorer.hits:
+        most = most + np.array([max([0.0, *(1000 * h["score"] for h in found)]) if found is not None else 0.0 for found in batch[scorer.hits]])[:, None]
+    ranks, at_of = asked["rank"].to_numpy().copy(), asked["_at"].to_numpy()
+    names = asked["model"].to_numpy()
+    final_of, base_of, keys = asked["final"].to_numpy(), asked["base"].to_numpy(), [pattern_key(p) for p in asked["capec_id"]]
+    for i in reversed(order):
+        open_ = np.flatnonzero(most[at_of, i] >= final_of)
+        if not len(open_):
+            continue
+        cat = loaded.get(i)
+        rows = np.unique(at_of[open_])
+        step = max(1, cells // max(1, cat.width))
+        for a in range(0, len(rows), step):
+            finals, base, _, _ = scorer.matrices(batch.iloc[rows[a:a + step]], cat)
+            local = {r: k for k, r in enumerate(rows[a:a + step].tolist())}
+            for c in open_[np.isin(at_of[open_], rows[a:a + step])].tolist():
+                k = local[int(at_of[c])]
+                final = finals[scorer.models.index(names[c])][k]
+                equal = (final == final_of[c]) & (base[k] == base_of[c])
+                ahead = (final > final_of[c]) | ((final == final_of[c]) & (base[k] > base_of[c]))
+                ranks[c] += int(ahead.sum()) + int(equal[: bisect_left(cat.order, keys[c])].sum())
+    asked["rank"] = ranks
+    return asked if top is None else asked[asked["rank"] <= top]
+
+
 def score_patterns(
     queries: DataFrame,
     catalogue: DataFrame,
@@ -183,79 +327,46 @@ def score_patterns(
     flow_weight: int = 1,
     round_fields: bool = True,
     limit: int = BROADCAST_LIMIT,
+    scores: bool = False,
 ) -> DataFrame:
     """(key, model, capec_id, final_score, rank) of every query.
 
     ``hits`` names an array<struct<capec_id, score>> column of keyword scores;
     it adds the rows of ``<model>_keyword``. ``top`` keeps the first ranks,
     ``wanted`` names an array column and keeps the patterns listed in it; both
-    cut rows before they leave the task.
+    cut rows before they leave the task. ``scores`` adds what the final score is
+    the mean of: ``fields`` and ``field_scores`` side by side, and
+    ``execution_flow_score`` (null where it is none).
     """
     columns = [c for c in (key, vector, hits, wanted) if c]
     needed = queries.select(*columns).filter(F.col(vector).isNotNull())
     key_type = queries.schema[key].dataType.simpleString()
     entries = catalogue.select("capec_id", "kind", "slot", "vector")
-    blocks = catalogue_blocks(entries, vector_bytes(F.col("vector")), "capec_id", limit)
-
-    def scored(batch: pd.DataFrame, cat: Catalogue) -> list[tuple[str, np.ndarray, np.ndarray]]:
-        """Model, scores in thousandths, and the scores that break its ties."""
-        total, steps = cat.partial(batch[vector], round_fields)
-        final, _ = final_thousandths(total, cat.n_fields, steps, cat.n_steps, flow_weight)
-        out = [(model, final, final)]
-        if hits:
-            out.append((f"{model}_keyword", final + _hit_matrix(batch[hits], cat.patterns), final))
-        return out
+    blocks = catalogue_blocks(entries, vector_bytes(F.col("vector")), "capec_id", limit, "vector")
+    scorer = _Scorer(key, vector, model, hits, wanted, flow_weight, round_fields, scores)
+    more = f", {SCORES}" if scores else ""
+    names = [key, "model", "capec_id", "final_score", "rank", *(("fields", "field_scores", "execution_flow_score") if scores else ())]
+    schema = f"{key} {key_type}, model string, capec_id string, final_score double, rank int{more}"
 
     if len(blocks) == 1:
-
-        def fused(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
-            out, base = [], None
-            for name, final, _ in scored(batch, cat):
-                ranks = rank_rows(final, base)
-                base = ranks if base is None else base
-                out.append(_emit(batch, cat.patterns, ranks, top, wanted, {
-                    key: batch[key], "model": name, "final_score": final / 1000, "rank": ranks.astype(np.int32)}))
-            return pd.concat(out, ignore_index=True)[[key, "model", "capec_id", "final_score", "rank"]]
-
-        return map_block(needed, blocks[0], Catalogue, fused, f"{key} {key_type}, model string, capec_id string, final_score double, rank int")
-
-    def part(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
-        """A block's rows that may be in the result: its first ones, or those wanted."""
-        out, first = [], None
-        for name, final, base in scored(batch, cat):
-            ranks = rank_rows(final, first)
-            first = ranks if first is None else first
-            out.append(_emit(batch, cat.patterns, ranks, None if wanted else top, wanted, {
-                ROW: batch[ROW], key: batch[key], "model": name, "final": final, "base": base}))
-        return pd.concat(out, ignore_index=True)[[ROW, key, "model", "capec_id", "final", "base"]]
-
-    rows = numbered(needed)
-    parts = map_blocks(rows, blocks, Catalogue, part, f"{ROW} long, {key} {key_type}, model string, capec_id string, final long, base long")
-    if wanted:
-
-        def better(batch: pd.DataFrame, cat: Catalogue) -> pd.DataFrame:
-            """How many of a block's patterns stand before each wanted one."""
-            found = {name: (final, base) for name, final, base in scored(batch, cat)}
-            out = []
-            for i, (number, asked) in enumerate(zip(batch[ROW], batch["_asked"])):
-                for a in asked:
-                    final, base = found[a["model"]][0][i], found[a["model"]][1][i]
-                    ahead = (final > a["final"]) | ((final == a["final"]) & (base > a["base"]))
-                    equal = (final == a["final"]) & (base == a["base"])
-                    n = int(ahead.sum()) + int(equal[: bisect_left(cat.order, pattern_key(a["capec_id"]))].sum())
-                    out.append((number, a["model"], a["capec_id"], n))
-            return pd.DataFrame(out, columns=[ROW, "model", "capec_id", "better"])
-
-        asked = parts.groupBy(ROW).agg(F.collect_list(F.struct("model", "capec_id", "final", "base")).alias("_asked"))
-        counted = map_blocks(rows.join(asked, ROW), blocks, Catalogue, better, f"{ROW} long, model string, capec_id string, better long")
-        ranks = counted.groupBy(ROW, "model", "capec_id").agg((F.sum("better") + 1).cast("int").alias("rank"))
-        ranked = parts.join(ranks, [ROW, "model", "capec_id"])
-    else:
-        number = F.regexp_extract("capec_id", r"(\d+)$", 1).try_cast("long").asc_nulls_last()
-        within = Window.partitionBy(ROW, "model").orderBy(F.desc("final"), F.desc("base"), number, "capec_id")
-        ranked = parts.withColumn("rank", F.row_number().over(within))
-    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
-    return ranked.select(key, "model", "capec_id", (F.col("final") / 1000).alias("final_score"), "rank")
+        return map_blocks(needed, blocks, Catalogue, lambda batch, cat: scorer.rows(batch, scorer.cells(batch, cat, top), names), schema)
+    if top is not None or wanted:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            loaded = Loaded(blocks, Catalogue)
+            for batch in batches:
+                found = wanted_over_blocks(batch, loaded, scorer, top) if wanted else best_over_blocks(batch, loaded, scorer, top)
+                if found is not None and len(found):
+                    yield scorer.rows(batch, found, names)
+
+        return needed.mapInPandas(run, schema)
+    every = [ROW, key, "model", "capec_id", "final", "base", *names[5:]]
+    pairs = map_blocks(numbered(needed), blocks, Catalogue, lambda batch, cat: scorer.rows(batch, scorer.cells(batch, cat, None), every),
+                       f"{ROW} long, {key} {key_type}, model string, capec_id string, final long, base long{more}")
+    number = F.regexp_extract("capec_id", r"(\d+)$", 1).try_cast("long").asc_nulls_last()
+    within = Window.partitionBy(ROW, "model").orderBy(F.desc("final"), F.desc("base"), number, "capec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(within)).withColumn("final_score", F.col("final") / 1000)
+    return ranked.select(*names)
 
 
 def without_vector(queries: DataFrame, key: str = "cve_id", vector: str = "vector") -> DataFrame:
@@ -275,25 +386,6 @@ def _hit_matrix(hits, patterns: list[str]) -> np.ndarray:
     return matrix
 
 
-def _emit(batch, patterns, ranks, top, wanted, columns: dict) -> pd.DataFrame:
-    """Kept cells as rows: by rank, by list, or all. Columns are per row, per cell or constant."""
-    keep = np.ones(ranks.shape, dtype=bool) if top is None else ranks <= top
-    if wanted:
-        place = {p: i for i, p in enumerate(patterns)}
-        listed = np.zeros(ranks.shape, dtype=bool)
-        for row, ids in enumerate(batch[wanted]):
-            listed[row, [place[i] for i in (ids if ids is not None else ()) if i in place]] = True
-        keep &= listed
-    rows, cells = np.nonzero(keep)
-    out = {"capec_id": np.asarray(patterns, dtype=object)[cells]}
-    for name, values in columns.items():
-        if isinstance(values, pd.Series):
-            out[name] = values.to_numpy()[rows]
-        else:
-            out[name] = values[rows, cells] if isinstance(values, np.ndarray) else values
-    return pd.DataFrame(out)
-
-
 def rank_patterns(scores: DataFrame, group: list[str], tie: str | None = None) -> DataFrame:
     """``rank`` 1..n per group by final_score, ties by pattern number then id."""
     number = F.regexp_extract("capec_id", r"(\d+)$", 1).try_cast("long").asc_nulls_last()
@@ -340,7 +432,6 @@ def field_scores(
     fields = catalogue.filter((F.col("kind") == "field") & F.col("vector").isNotNull()).select("capec_id", "kind", "slot", "vector")
     blocks = catalogue_blocks(fields, vector_bytes(F.col("vector")), "capec_id", limit)
     asked = queries.select(key, vector).filter(F.col(vector).isNotNull())
-    asked = asked if len(blocks) == 1 else numbered(asked)
     return map_blocks(asked, blocks, Catalogue, rows, f"{key} {key_type}, capec_id string, field string, score double")
 
 

@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
@@ -39,27 +39,53 @@ def read_snapshot(spark: SparkSession, root: str, schema: str | None = None) ->
     return spark.read.schema(fields).parquet(pointer["path"]).select(*fields.names)
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Long result rows, one partition folder per task and model; a repeated task replaces its own rows."""
-    writer = results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("task_id", "model").parquet(path)
+def _replace_parts(rows: DataFrame, path: str, parts: list[tuple[str, str]]) -> None:
+    """Write rows of tasks and models over what earlier runs left; named parts without new rows are emptied.
+
+    New rows are in place before anything is removed, so a failed run changes nothing.
+    """
+    seen = Observation()
+    counts = [F.count(F.when((F.col("task_id") == t) & (F.col("model") == m), 1)).alias(f"n{i}") for i, (t, m) in enumerate(parts)]
+    observed = rows.observe(seen, F.count(F.lit(1)).alias("all"), *counts)
+    observed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_id", "model").parquet(path)
+    spark = rows.sparkSession
+    for i, (task, model) in enumerate(parts):
+        if seen.get[f"n{i}"] == 0:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/task_id={task}/model={model}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_results(results: DataFrame, path: str, parts: list[tuple[str, str]] = ()) -> None:
+    """Result rows, one partition folder per task and model; a repeated task replaces its own rows.
+
+    Score arrays are written as they are, so a reader of ranks does not read them.
+    Of ``parts`` (task and model) the old rows go even if the new run has none.
+    """
+    _replace_parts(results, path, list(parts))
 
 
-def write_errors(errors: DataFrame, path: str) -> None:
+def write_errors(errors: DataFrame, path: str, parts: list[tuple[str, str]] = ()) -> None:
     """Rows of task, model, id and reason, beside the results."""
-    writer = errors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("task_id", "model").parquet(path)
+    _replace_parts(errors, path, list(parts))
 
 
 def similarity_document(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Results in their nested form: model to the ordered list of patterns.
 
-    The list of one key and model is one catalogue long.
+    With score arrays every pattern has them by name, as ``scores``: each field's,
+    the flow's where there is one. The list of one key and model is one catalogue long.
     """
-    entry = F.struct("rank", "capec_id", "final_score")
-    lists = ranked.groupBy(*keys, "model").agg(F.array_sort(F.collect_list(entry)).alias("patterns"))
-    models = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "patterns"))))
-    return lists.groupBy(*keys).agg(models.alias("similarity_scores"))
+    entry = [F.col("rank"), F.col("capec_id"), F.col("final_score")]
+    if "field_scores" in ranked.columns:
+        fields = F.arrays_zip(F.transform("fields", lambda f: F.concat(f, F.lit("_score"))).alias("name"), F.col("field_scores").alias("score"))
+        flow = F.filter(F.array(F.struct(F.lit("execution_flow_score").alias("name"), F.col("execution_flow_score").alias("score"))), lambda s: s["score"].isNotNull())
+        entry.append(F.map_from_entries(F.concat(fields, flow)).alias("scores"))
+        # maps have no order of their own: the list is put in order by rank alone
+        listed = F.array_sort(F.collect_list(F.struct(*entry)), lambda a, b: a["rank"] - b["rank"])
+    else:
+        listed = F.array_sort(F.collect_list(F.struct(*entry)))
+    lists = ranked.groupBy(*keys, "model").agg(listed.alias("patterns"))
+    return lists.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("model", "patterns"))).alias("similarity_scores"))
 
 
 def write_report(report: DataFrame, path: str, by: tuple[str, ...] = ("host", "model"), fmt: str = "csv") -> None:

@@ -369,12 +369,60 @@ def field_texts(spark, folder):
     return similarity.field_texts(rows, similarity.EXTENDED_FIELDS)
 
 
-@query("model_list", "SELECT unnest(['hashed', 'vector', 'hashed_keyword', 'vector_keyword']) AS model, unnest([1, 2, 3, 4]) AS place, (SELECT count(*) FROM embeddings) AS queries")
+@query("model_list", f"""
+WITH {RANKED}, l AS (SELECT DISTINCT CASE WHEN cve_id % 2 = 0 THEN 'even' ELSE 'odd' END AS task_id, model FROM ranked WHERE model = 'vector' OR cve_id % 2 = 0)
+SELECT task_id, model FROM l
+""")
 def model_list(spark, folder):
-    """Models of a task over all queries, each with its keyword variant, once."""
-    names = similarity.model_list(["hashed", "vector", "hashed"])
-    queries = table(spark, folder, "embeddings").agg(F.count(F.lit(1)).alias("queries"))
-    return queries.select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("_p", "model"), "queries").select("model", (F.col("_p") + 1).alias("place"), "queries")
+    """Models of finished tasks, read from their stored results; one task has no keyword variant."""
+    rows = ranked(spark, folder, top=1).withColumn("task_id", F.when(F.col("cve_id") % 2 == 0, "even").otherwise("odd"))
+    path = scratch_dir(spark, "models")
+    writers.write_results(rows.filter((F.col("model") == "vector") | (F.col("task_id") == "even")), path)
+    return correlate.finished_models(spark.read.parquet(path))
+
+
+_DOCUMENT = f"""
+WITH {SCORED}, {_flow}, {HITS.lstrip()},
+mixed AS (
+  SELECT s.cve_id, s.label, {HALF_UP.format("((s + 1000 * flow) / (n + CASE WHEN flow <> 0 THEN 1 ELSE 0 END))")} AS milli
+  FROM sums s JOIN flows f ON s.cve_id = f.cve_id AND s.label = f.label),
+first AS (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY milli DESC, label) AS rank FROM mixed),
+fused AS (SELECT b.cve_id, b.label, b.milli + CASE WHEN h.label IS NULL THEN -10 ELSE 300 END AS milli, b.rank AS tie FROM first b LEFT JOIN hits h USING (cve_id, label)),
+whole AS (
+  SELECT cve_id, 'vector' AS model, label, milli, rank FROM first
+  UNION ALL SELECT cve_id, 'vector_keyword', label, milli, row_number() OVER (PARTITION BY cve_id ORDER BY milli DESC, tie) FROM fused),
+kept AS (SELECT * FROM whole WHERE rank <= 4),
+named AS (
+  SELECT cve_id, label, 'field_' || slot || '_score' AS name, milli / 1000.0::DOUBLE AS score FROM field_scores
+  UNION ALL SELECT cve_id, label, 'execution_flow_score', round(flow, 6) + 0.0 FROM flows WHERE flow <> 0)
+SELECT 't1' AS task_id, k.cve_id, model, rank, 'CAPEC-' || k.label AS capec_id, name, score FROM kept k JOIN named n ON n.cve_id = k.cve_id AND n.label = k.label
+UNION ALL SELECT 't1', cve_id, model, rank, 'CAPEC-' || label, 'final_score', milli / 1000.0::DOUBLE FROM kept
+"""
+
+
+def _document(spark, folder, **options):
+    """The stored document of every query, taken apart: each pattern's scores by name."""
+    rows = queries_of(spark, folder)
+    asked = texts(spark, folder).join(rows.select("cve_id"), "cve_id", "left_semi")
+    hits = keyword.keyword_hits(asked, keywords(spark, folder), stages=("exact",), acronyms={})
+    scored = similarity.score_patterns(rows.join(hits, "cve_id", "left"), catalogue(spark, folder, flow=True), hits="hits", top=4, scores=True, **options)
+    path = scratch_dir(spark, "document")
+    writers.write_results(scored.withColumn("task_id", F.lit("t1")), path)
+    document = writers.similarity_document(spark.read.schema(f"cve_id long, capec_id string, final_score double, rank int, {similarity.SCORES}, task_id string, model string").parquet(path), ["task_id", "cve_id"])
+    patterns = document.select("task_id", "cve_id", F.explode("similarity_scores").alias("model", "patterns")).select("task_id", "cve_id", "model", F.explode("patterns").alias("p"))
+    every = F.map_concat("p.scores", F.create_map(F.lit("final_score"), F.col("p.final_score")))
+    named = patterns.select("task_id", "cve_id", "model", "p.rank", "p.capec_id", F.explode(every).alias("name", "score"))
+    return named.withColumn("score", F.when(F.col("name") == "execution_flow_score", F.round("score", 6) + 0.0).otherwise(F.col("score")))
+
+
+@query("correlation_document", _DOCUMENT)
+def correlation_document(spark, folder):
+    return _document(spark, folder)
+
+
+@query("correlation_document_blocks", _DOCUMENT)
+def correlation_document_blocks(spark, folder):
+    return _document(spark, folder, limit=16 << 10)
 
 
 @query("stored_results", f"WITH {RANKED} SELECT 't1' AS task_id, * FROM ranked WHERE rank <= 2")

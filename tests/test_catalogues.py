@@ -213,7 +213,16 @@ def test_whole_correlation(spark, feed_dir, capecs, tmp_path):
     assert list(failed) == ["bad"] and spark.read.parquet(again).count() == 2 * 3 * 2
     assert [(r["cve_id"], r["model"]) for r in spark.read.parquet(again + "_errors").collect()] == [("CVE-2000-1111", "letters")]
     correlate.run_task(again, asked, cves, basic, {"letters": encoders["letters"]}, steps=steps, task_id="t")
-    assert spark.read.parquet(again).count() == 2 * 3 * 2  # a repeated task replaces its rows
+    stored = spark.read.parquet(again)
+    assert stored.count() == 2 * 3 * 2  # a repeated task replaces its rows
+    assert {"fields", "field_scores", "execution_flow_score"} <= set(stored.columns)
+    best = writers.similarity_document(stored, ["task_id", "cve_id"]).first()["similarity_scores"]["letters"][0]
+    assert "description_score" in best["scores"] and best["rank"] == 1
+    # a run without any rows leaves none of its task and model behind, but those of others
+    writers.write_results(stored.withColumn("task_id", F.lit("other")), again)
+    correlate.run_task(again, asked.filter("cve_id = 'CVE-2000-1111'"), cves, basic, {"letters": encoders["letters"]}, steps=steps, task_id="t")
+    assert {r["task_id"] for r in spark.read.parquet(again).collect()} == {"other"}
+    assert {(r["task_id"], r["model"]) for r in correlate.finished_models(spark.read.parquet(again)).collect()} == {("other", "letters"), ("other", "letters_keyword")}
 
     def picky():
         def run(texts):

@@ -4,11 +4,12 @@ import math
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corrspark.functions.vectors import cosine, unit
-from corrspark.operators import similarity
+from corrspark.operators import blocks, similarity
 
 DIM = 5
 
@@ -160,3 +161,58 @@ def test_equal_and_missing_keys_and_vectors(spark, limit):
 def test_a_key_larger_than_the_limit_is_an_error(spark):
     with pytest.raises(ValueError, match="limit"):
         similarity.score_patterns(*frames(spark, *data(1)), limit=10)
+
+
+def clustered(n_clusters, per_cluster, dim=8, seed=5):
+    """Patterns around a few directions that lie far apart."""
+    pick = random.Random(seed)
+    rows = []
+    for c in range(n_clusters):
+        for i in range(per_cluster):
+            vector = [pick.gauss(0, 0.02) + (1.0 if d == c else 0.0) for d in range(dim)]
+            rows += [(f"CAPEC-{c * per_cluster + i}", "field", f"f{k}", [x + pick.gauss(0, 0.01) for x in vector]) for k in range(2)]
+    return rows
+
+
+def test_blocks_that_no_row_needs_are_not_read(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    cat = clustered(8, 30)
+    queries = [(f"q{i}", [0.01 * k + (1.0 if k == i % 2 else 0.0) for k in range(8)]) for i in range(6)]
+    q, c = frames(spark, queries, cat)
+    whole = sorted(tuple(r) for r in similarity.score_patterns(q, c, top=5).collect())
+    # beyond the limit nothing of the catalogue is gathered as a table
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("the catalogue passed the driver"))
+    assert sorted(tuple(r) for r in similarity.score_patterns(q, c, top=5, limit=12_000).collect()) == whole
+    stored = blocks.catalogue_blocks(c, blocks.vector_bytes(F.col("vector")), "capec_id", 12_000, "vector")
+    assert len(stored) > 6 and stored.centres is not None
+    loaded = blocks.Loaded(stored, similarity.Catalogue)
+    scorer = similarity._Scorer("cve_id", "vector", "vector", None, None, 1, True, False)
+    batch = pd.DataFrame(queries, columns=["cve_id", "vector"])
+    best = similarity.best_over_blocks(batch, loaded, scorer, 5)
+    assert loaded.reads < len(stored) / 2
+    assert sorted((batch["cve_id"][r["_at"]], r["capec_id"], r["rank"]) for _, r in best.iterrows()) == sorted((r[0], r[2], r[4]) for r in whole)
+
+
+def test_bounds_hold(spark):
+    queries, cat = data(9)
+    q, c = frames(spark, queries, cat)
+    stored = blocks.catalogue_blocks(c.filter("kind = 'field'"), blocks.vector_bytes(F.col("vector")), "capec_id", 1500, "vector")
+    units = blocks.units_of([v for _, v in queries])
+    bounds = stored.bounds(units)
+    seen = set()
+    for i in range(len(stored)):
+        rows = stored.load(i)
+        seen |= set(rows["capec_id"])
+        assert ((units @ blocks.units_of(rows["vector"]).T).max(axis=1) <= bounds[:, i]).all()
+    assert seen == {p for p, kind, *_ in cat if kind == "field"}
+
+
+@pytest.mark.parametrize("limit", [1 << 27, 2000])
+def test_scores_make_up_the_final_score(spark, limit):
+    queries, cat = data(7)
+    for options in ({}, {"top": 3}):
+        for r in similarity.score_patterns(*frames(spark, queries, cat), limit=limit, scores=True, **options).collect():
+            parts = [*r["field_scores"], *([] if r["execution_flow_score"] is None else [r["execution_flow_score"]])]
+            assert len(r["fields"]) == len(r["field_scores"]) == len({s for p, k, s, _ in cat if p == r["capec_id"] and k == "field"})
+            assert r["final_score"] == pytest.approx(sum(parts) / len(parts) if parts else 0.0, abs=0.0005 + 1e-9)
