@@ -3,7 +3,7 @@
 The suffixes of a text start at its words and end after ``DEPTH`` words or with
 their piece. Vertical partitioning cuts their tree: the prefixes of one word are
 dealt into bins by a hash and the suffixes of each bin counted; a bin with more than
-an eighth of the memory budget has its prefixes extended by one word and counted
+a quarter of the memory budget has its prefixes extended by one word and counted
 anew, until none is too large or the depth is reached. The bins that are left are
 packed into groups that stay within the budget (largest first, to the emptiest
 group). Every map task then sorts the suffixes of a block of texts, adds up equal
@@ -44,7 +44,7 @@ from corrspark.session import materialise
 DEPTH, LEAST, PERCENT, TOP, SCALE = 4, 30, 80, 2000, 2_000_000
 #: Most suffixes of a group, and how many groups are made even where fewer would do.
 BUDGET, GROUPS, BINS = 4_000_000, 128, 1 << 17
-BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 6 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 4 << 20
 #: Copies of a part that many phrases ask for.
 SALTS = 8
 
@@ -273,7 +273,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, gro
     first = level = counted([])
     total = first.where("bin is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     size = max(1, min(budget, -(-total // groups)))
-    limit = max(1, size // 8)
+    limit = max(1, size // 4)
     large: list[np.ndarray] = []
     totals: dict[int, int] = {}
     while True:
@@ -287,7 +287,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET, gro
         marks[over] = True
         large.append(marks)
         level = counted(large)
-    dealt = texts.mapInArrow(_runs(large, pack(totals, max(1, -(-total // size)))), _RUN)
+    dealt = texts.mapInArrow(_runs(large, pack(totals, max(1, -(-total // max(1, size - limit))))), _RUN)
     nodes = dealt.groupBy("grp").applyInArrow(_subtrees(least), _NODES)
     return materialise(nodes, "nodes"), first.where("bin is null").select("lang", "n")
 
