@@ -32,6 +32,42 @@ def link(mentions: DataFrame, left: DataFrame, left_key: str, right: DataFrame,
     return pairs.join(right.select(F.col("id").alias(right_key)), right_key, "left_semi").select(left_key, right_key)
 
 
+def refresh_links(
+    old: DataFrame,
+    kept_mentions: DataFrame,
+    new_mentions: DataFrame,
+    left: DataFrame,
+    left_key: str,
+    right: DataFrame,
+    right_key: str,
+    left_added: DataFrame,
+    right_added: DataFrame,
+    left_removed: DataFrame | None = None,
+    right_removed: DataFrame | None = None,
+) -> DataFrame:
+    """The links after a refresh, from those before it and what changed.
+
+    ``new_mentions`` are those of refreshed records and replace theirs;
+    ``kept_mentions`` those of all others. Both ends of a new mention are looked up.
+    A kept one has a link already unless an end was missing, so it is looked at again
+    only where an end was added (``left_added``, ``right_added``: ids that the table
+    did not have). Links of refreshed and of removed ids go. So work grows with what
+    changed; the large tables are only filtered by small ones.
+    """
+    pair = [left_key, right_key]
+    named = lambda ids, key: ids.select(F.col("id").alias(key)).distinct()
+    refreshed = new_mentions.select(left_key).distinct()
+    stay = old.join(kept_mentions.select(*pair), pair, "left_semi").join(refreshed, left_key, "left_anti")
+    if left_removed is not None:
+        stay = stay.join(named(left_removed, left_key), left_key, "left_anti")
+    if right_removed is not None:
+        stay = stay.join(named(right_removed, right_key), right_key, "left_anti")
+    again = kept_mentions.select(*pair).join(named(left_added, left_key), left_key, "left_semi").unionByName(
+        kept_mentions.select(*pair).join(named(right_added, right_key), right_key, "left_semi"))
+    fresh = link(new_mentions.filter(F.col(right_key).isNotNull()).select(*pair).unionByName(again), left, left_key, right, right_key)
+    return stay.select(*pair).unionByName(fresh).distinct()
+
+
 def related_weaknesses(mentions: DataFrame, view: str = "1000") -> DataFrame:
     """Weakness edges of one view; see placeholders for targets that are missing."""
     return typed_edges(mentions, ["pos"], F.col("view_id") == view)

@@ -20,12 +20,20 @@ def _latest(rows: DataFrame, old: DataFrame | None) -> DataFrame:
     return upsert.upsert(old, placed, ["id"], ["_place"])
 
 
-def cve_tables(spark: SparkSession, path: str, old: DataFrame | None = None, old_references: DataFrame | None = None) -> Tables:
-    """Records, references, weakness mentions and quarantined rows of the feed.
+def cve_tables(
+    spark: SparkSession, path: str, old: DataFrame | None = None, old_references: DataFrame | None = None, old_mentions: DataFrame | None = None
+) -> Tables:
+    """The tables of a folder of feed files, see :func:`feed_tables`."""
+    return feed_tables(cve.read_feed(spark, path), old, old_references, old_mentions)
 
-    References of earlier feeds stay; the last mention of a url wins.
+
+def feed_tables(feed: DataFrame, old: DataFrame | None = None, old_references: DataFrame | None = None, old_mentions: DataFrame | None = None) -> Tables:
+    """Records, references, weakness mentions and quarantined rows of a feed.
+
+    References of earlier feeds stay; the last mention of a url wins. Weakness
+    mentions of records that the feed does not hold stay, too; a record that it
+    holds has just those of the feed.
     """
-    feed = cve.read_feed(spark, path)
     rows = cve.records(feed)
     good = cve.accepted(rows)
     order = ["file_year", "pos"]
@@ -36,7 +44,8 @@ def cve_tables(spark: SparkSession, path: str, old: DataFrame | None = None, old
         "cve": table,
         "cve_reference": upsert.last_per_key(refs, ["cve_id", "url"], ref_order).drop(*ref_order)
         if old_references is None else upsert.upsert(old_references, refs, ["cve_id", "url"], ref_order),
-        "weakness_mentions": cve.weakness_mentions(feed),
+        "weakness_mentions": upsert.replace_children(old_mentions, cve.weakness_mentions(feed), good.select(F.col("id").alias("cve_id")), "cve_id"),
+        "refreshed": good.select("id").distinct(),
         "quarantine": cve.quarantined(rows),
         "version": cve.feed_version(feed),
     }
@@ -72,7 +81,8 @@ def cwe_tables(spark: SparkSession, path: str, old: Tables | None = None) -> Tab
     return {
         "cwe": table,
         "cwe_related_weakness": edges,
-        "pattern_mentions": catalogues.pattern_mentions(raw),
+        "pattern_mentions": upsert.replace_children(old.get("pattern_mentions"), catalogues.pattern_mentions(raw), read.select(F.col("id").alias("cwe_id")), "cwe_id"),
+        "refreshed": read.select("id").distinct(),
         "version": catalogues.cwe_header(spark, path),
     }
 
@@ -90,9 +100,29 @@ def rebuild(entity: str, tables: Tables, root: str) -> dict[str, str]:
     return {n: write_snapshot(tables[n], f"{root.rstrip('/')}/{n}") for n in names}
 
 
-def link_tables(cves: dict[str, DataFrame], cwes: dict[str, DataFrame], capecs: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The bridges between the three catalogues."""
+def _bridge(old: DataFrame | None, mentions: DataFrame, left: Tables, name: str, left_key: str, right: DataFrame, right_key: str, before: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+    if old is None or before is None:
+        return links.link(mentions, left[name], left_key, right, right_key)
+    ids = left["refreshed"].select(F.col("id").alias(left_key))
+    fresh = ids.join(mentions, left_key, "left")  # a refreshed record without mentions loses its links
+    kept = mentions.join(ids, left_key, "left_anti")
+    changed = lambda a, b: a.select("id").join(b.select("id"), "id", "left_anti")
+    return links.refresh_links(
+        old, kept, fresh, left[name], left_key, right, right_key, changed(left[name], before[0]), changed(right, before[1]),
+        changed(before[0], left[name]), changed(before[1], right))
+
+
+def link_tables(
+    cves: Tables, cwes: Tables, capecs: Tables, old: Tables | None = None, before: Tables | None = None
+) -> Tables:
+    """The bridges between the three catalogues.
+
+    With the bridges of the last refresh (``old``) and the tables ``cve``, ``cwe`` and
+    ``capec`` of that time (``before``) only what changed is linked anew.
+    """
+    old, before = old or {}, before or {}
+    then = lambda a, b: (before[a], before[b]) if a in before and b in before else None
     return {
-        "cve_cwe": links.link(cves["weakness_mentions"], cves["cve"], "cve_id", cwes["cwe"], "cwe_id"),
-        "cwe_capec": links.link(cwes["pattern_mentions"], cwes["cwe"], "cwe_id", capecs["capec"], "capec_id"),
+        "cve_cwe": _bridge(old.get("cve_cwe"), cves["weakness_mentions"], cves, "cve", "cve_id", cwes["cwe"], "cwe_id", then("cve", "cwe")),
+        "cwe_capec": _bridge(old.get("cwe_capec"), cwes["pattern_mentions"], cwes, "cwe", "cwe_id", capecs["capec"], "capec_id", then("cwe", "capec")),
     }

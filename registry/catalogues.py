@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corrspark import schemas
 from corrspark.functions import records as R
 from corrspark.operators import control, links, sample, tasks, upsert
+from corrspark.plans import refresh
+from corrspark.session import materialise
 from corrspark.sources import cve, inputs, writers
 from registry.base import placed, query, table
 from registry.scores import RANKED, patterns, ranked
@@ -14,9 +16,9 @@ from registry.scores import RANKED, patterns, ranked
 # --- feed items out of the tables ------------------------------------------
 
 
-def feed(spark: SparkSession, folder: str) -> DataFrame:
+def feed(spark: SparkSession, folder: str, labels: DataFrame | None = None) -> DataFrame:
     """Each document as a feed file with one item, in the feed's own schema."""
-    rows = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    rows = table(spark, folder, "documents").join(table(spark, folder, "labels") if labels is None else labels, "doc_id", "left")
     json = F.to_json(F.struct(
         F.lit("2024-01-01T07:00Z").alias("CVE_data_timestamp"),
         F.lit("CVE").alias("CVE_data_type"),
@@ -44,6 +46,36 @@ def feed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.from_json(json, schemas.CVE_FEED).alias("f")).select("f.*")
 
 
+@query("refresh_links", """
+SELECT 'CVE-2024-' || doc_id AS cve_id, 'CWE-' || CASE WHEN doc_id % 3 = 0 THEN quality ELSE 1 - quality END AS cwe_id
+FROM documents JOIN labels USING (doc_id) WHERE lang = 'en' AND doc_id % 10 <> 0 AND quality IS NOT NULL
+""")
+def refresh_links(spark, folder):
+    """Links over two feeds: the second holds some records again with other mentions.
+
+    One weakness arrives with the second feed, some records are deleted with it; the
+    links of the first feed are carried on and only what changed is linked.
+    """
+    flipped = table(spark, folder, "labels").withColumn("quality", 1 - F.col("quality"))
+    number = F.regexp_extract(F.get("CVE_Items", F.lit(0))["cve"]["CVE_data_meta"]["ID"], r"(\d+)$", 1).cast("long") % 3
+    feeds = [feed(spark, folder).filter(number != 2), feed(spark, folder, flipped).filter(number != 0)]
+    weaknesses = [spark.range(n).select(F.concat(F.lit("CWE-"), "id").alias("id")) for n in (1, 2)]
+    done, before, tables = None, None, {}
+    for rows, known in zip(feeds, weaknesses):
+        tables = refresh.feed_tables(rows.withColumn("file_year", F.lit(2024)), tables.get("cve"), tables.get("cve_reference"), tables.get("weakness_mentions"))
+        if done is not None:
+            doomed = tables["cve"].filter(F.regexp_extract("id", r"(\d+)$", 1).cast("long") % 10 == 0)
+            tables["cve"] = upsert.delete_keys(tables["cve"], doomed, "id")
+        tables |= {n: materialise(tables[n], n) for n in ("cve", "weakness_mentions")}
+        bridges = refresh.link_tables(tables, {"cwe": known, "pattern_mentions": _no_mentions(spark), "refreshed": known}, {"capec": known}, done, before)
+        done, before = {"cve_cwe": materialise(bridges["cve_cwe"], "bridge")}, {"cve": tables["cve"], "cwe": known}
+    return done["cve_cwe"]
+
+
+def _no_mentions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "cwe_id string, capec_id string")
+
+
 @query("feed_records", """
 SELECT 'CVE-2024-' || doc_id AS id, source AS assigner, text AS description, 1706933100 AS published,
        CASE WHEN quality = 1 THEN 'cpe:2.3:a:v:' || source ELSE '' END AS vulnerable,

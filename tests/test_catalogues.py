@@ -1,6 +1,7 @@
 """Small feeds and catalogues, written by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,36 @@ def test_links(spark, feed_dir, capecs, cwes, rows):
     assert rows(bridges["cwe_capec"]) == [("CWE-79", "CAPEC-1")]
 
 
+def test_links_are_kept_over_refreshes(spark, rows):
+    """Three rounds of random changes: the carried-on links equal those built anew."""
+    pick = random.Random(6)
+    ids = lambda names: spark.createDataFrame([(n,) for n in sorted(names)] or [(None,)], "id string").filter("id is not null")
+    pairs = lambda xs: spark.createDataFrame(sorted(xs) or [(None, None)], "cve_id string, cwe_id string").filter("cve_id is not null")
+    left, right, mentions = set(), set(), {}
+    bridges = before = None
+    for _ in range(4):
+        feed = {f"V{pick.randrange(30)}" for _ in range(12)}
+        old_left, old_right = set(left), set(right)
+        left = (left | feed) - {f"V{pick.randrange(30)}" for _ in range(4)} - ({pick.choice(sorted(feed))} if bridges else set())
+        right = {f"W{k}" for k in range(8) if pick.random() < 0.6}
+        mentions |= {v: {f"W{pick.randrange(8)}" for _ in range(pick.randrange(3))} for v in feed}
+        said = {(v, w) for v, ws in mentions.items() for w in ws}
+        cves = {"cve": ids(left), "weakness_mentions": pairs(said), "refreshed": ids(feed)}
+        cwes = {"cwe": ids(right), "pattern_mentions": spark.createDataFrame([], "cwe_id string, capec_id string"), "refreshed": ids(right)}
+        got = refresh.link_tables(cves, cwes, {"capec": ids(right)}, bridges, before)["cve_cwe"]
+        assert rows(got) == sorted((v, w) for v, w in said if v in left and w in right)
+        bridges = {"cve_cwe": spark.createDataFrame(got.collect(), got.schema)}
+        before = {"cve": ids(left), "cwe": ids(right)}
+
+
+def test_mentions_of_earlier_feeds_stay(spark, feed_dir, capecs, cwes, rows, tmp_path):
+    first = refresh.cve_tables(spark, feed_dir)
+    again = refresh.cve_tables(spark, feed_dir, first["cve"], first["cve_reference"], first["weakness_mentions"].unionByName(
+        spark.createDataFrame([("CVE-1999-0001", "CWE-79"), ("CVE-2020-0001", "CWE-1000")], "cve_id string, cwe_id string")))
+    old = first["weakness_mentions"].distinct()
+    assert set(rows(again["weakness_mentions"].distinct())) - set(rows(old)) == {("CVE-1999-0001", "CWE-79")}
+
+
 def test_wrong_catalogue_is_an_error(spark, tmp_path):
     path = tmp_path / "x.xml"
     path.write_text(CAPEC_XML.replace('Name="CAPEC"', 'Name="Other"'))
