@@ -36,14 +36,14 @@ from corrspark.llm.tokens import byte_class, runs, text_blocks
 from corrspark.session import materialise
 
 #: Documents and bytes of text of one block of the grid.
-BLOCK_ROWS, BLOCK_BYTES = 4096, 12 << 20
+BLOCK_ROWS, BLOCK_BYTES = 3072, 8 << 20
 #: Results per item, ranges halved at a time, and most bytes of terms sent to the tasks at once.
 TOP, BATCH, ITEM_BYTES = 50, 96, 16 << 20
 #: Bytes of a term: letters and digits of ASCII, and all of other characters.
 INSIDE = byte_class([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ONES = np.array([bin(m).count("1") for m in range(16)], np.int64)
+_ONES = np.array([bin(m).count("1") for m in range(16)], np.uint8)
 
 
 def terms_of(text: Column) -> Column:
@@ -109,8 +109,10 @@ class Treap:
         if inner:
             self.mask[:inner] = unpack(masks, np.uint8, inner)
         ones = _ONES[self.mask]
-        self.first = np.concatenate((np.ones(1, np.int64), 1 + np.cumsum(ones)[:-1]))
-        self.top = np.zeros(every + 1, np.int64)
+        self.first = np.ones(every + 1, np.int32)
+        np.cumsum(ones[:-1], dtype=np.int32, out=self.first[1:])
+        self.first[1:] += 1
+        self.top = np.zeros(every + 1, np.int32)
         lacks = unpack(below, np.uint32, every)
         self.top[0] = lacks[0]
         a = 0
