@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrspark.operators import control, cpe, links, sample, tasks, upsert
 from corrspark.plans import refresh
-from corrspark.sources import writers
+from corrspark.sources import buckets, writers
 from corrspark.streaming import jobs
 
 
@@ -128,7 +128,7 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     assert rows(jobs.current(spark, root, keys, order)) == want
     # compacted, the table goes on from its snapshot
     fresh = str(tmp_path / "compacted")
-    jobs.compact(spark, root, fresh, keys, order)
+    jobs.compact_into(spark, root, fresh, keys, order)
     assert rows(jobs.current(spark, fresh, keys, order)) == want
     spark.createDataFrame([(3, 999, "new"), (4, -1, "late")], "k int, o int, v string").write.mode("append").parquet(source)
     jobs.upsert_stream(stream, fresh, keys, order, mark).awaitTermination()
@@ -186,6 +186,76 @@ def test_a_cluster_needs_a_shared_folder():
 
 # --- platform names --------------------------------------------------------
 
+def test_bucket_merge_rewrites_touched_buckets_only(spark, rows, tmp_path):
+    root, keys, order = str(tmp_path / "table"), ["k"], ["at"]
+    pick = random.Random(2)
+    want, schema = {}, "k int, at int, v string, deleted boolean"
+    changed = []
+    for round_ in range(6):
+        batch = [(pick.randrange(200), 10 * round_ + pick.randrange(15), f"v{round_}", pick.random() < 0.2) for _ in range(150 if round_ == 0 else 5)]
+        batch = list({(k, at): (k, at, v, d) for k, at, v, d in batch}.values())
+        batch = [b for b in batch if all(b[1] != t for t, *_ in [want.get(b[0], (-1,))])]
+        before = buckets.manifest(spark, root)
+        touched = buckets.merge(spark.createDataFrame(batch, schema), root, keys, order, 16)
+        for k, at, v, d in sorted(batch, key=lambda b: b[1]):
+            if k not in want or want[k][0] < at:
+                want[k] = (at, v, d)
+        assert rows(buckets.read(spark, root), "k", "at", "v") == sorted((k, at, v) for k, (at, v, d) in want.items() if not d)
+        after = buckets.manifest(spark, root)
+        if before:
+            changed.append({b for b in after.parts if after.parts[b] != before.parts.get(b)})
+            assert changed[-1] == {str(b) for b in touched} and len(touched) <= 5
+    assert any(c for c in changed)
+    # an earlier row does not bring a deleted key back; dropped tombstones are gone for good
+    doomed = spark.createDataFrame([(k, 10_000) for k in range(100)], "k int, at int")
+    buckets.delete(doomed, root, keys, order)
+    buckets.merge(spark.createDataFrame([(5, 9_999, "late")], "k int, at int, v string"), root, keys, order)
+    assert all(r["k"] >= 100 for r in buckets.read(spark, root).collect())
+    buckets.merge(spark.createDataFrame([(5, 10_001, "later", "new")], "k int, at int, v string, w string"), root, keys, order, drop=True)
+    assert [tuple(r) for r in buckets.read(spark, root).filter("k < 100").select("k", "v", "w").collect()] == [(5, "later", "new")]
+    with pytest.raises(ValueError, match="keyed"):
+        buckets.merge(doomed, root, ["at"], ["k"])
+    assert buckets.merge(doomed.limit(0), root, keys, order) == [] and buckets.read(spark, str(tmp_path / "none")) is None
+
+
+def test_a_log_is_folded_in_place(spark, rows, tmp_path):
+    src, root, keys, order = tmp_path / "src", str(tmp_path / "t"), ["k"], ["at"]
+    put = lambda name, data: spark.createDataFrame(data, "k int, at int, v string, deleted boolean").coalesce(1).write.mode("append").parquet(str(src / name))
+    mark = str(tmp_path / "mark")
+
+    def run():
+        stream = spark.readStream.schema("k int, at int, v string, deleted boolean").parquet(str(src) + "/*")
+        jobs.upsert_stream(stream, root, keys, order, mark).awaitTermination()
+
+    now = lambda: rows(jobs.current(spark, root, keys, order), "k", "at", "v")
+    put("a", [(1, 1, "x", False), (2, 1, "y", False), (3, 1, "z", None)])
+    run()
+    assert now() == [(1, 1, "x"), (2, 1, "y"), (3, 1, "z")]
+    jobs.compact(spark, root, keys, order, 4)
+    assert now() == rows(buckets.read(spark, root), "k", "at", "v") == [(1, 1, "x"), (2, 1, "y"), (3, 1, "z")]
+    assert jobs.compact(spark, root, keys, order) == []  # all batches are in
+    put("b", [(2, 2, None, True), (4, 2, "new", False), (1, 0, "late", False)])
+    run()
+    assert now() == [(1, 1, "x"), (3, 1, "z"), (4, 2, "new")]
+    parts = buckets.manifest(spark, root).parts
+    touched = jobs.compact(spark, root, keys, order)
+    assert now() == [(1, 1, "x"), (3, 1, "z"), (4, 2, "new")]
+    assert {b for b, p in buckets.manifest(spark, root).parts.items() if p != parts.get(b)} <= {str(b) for b in touched}
+
+
+def test_a_batch_reads_its_own_buckets_of_answered_requests(spark, tmp_path):
+    data = spark.range(500).select(F.lit("t").alias("task_id"), F.col("id").cast("string").alias("cve_id"))
+    data.write.parquet(str(tmp_path / "src"))
+    out = str(tmp_path / "out")
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "src"))
+    jobs.request_stream(stream, lambda b: b, out).awaitTermination()
+    asked = data.limit(1).withColumn("bucket", buckets.bucket_of(["task_id", "cve_id"], jobs.REQUEST_BUCKETS))
+    found = jobs.answered_requests(spark, out, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert 0 < found.count() < 60
+
+
 URI = "cpe:2.3:a:apache:http_server:1.3:*:*:en:pro:linux:*:*"
 
 
