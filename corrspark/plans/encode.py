@@ -11,11 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from corrspark.session import materialise
+from corrspark.sources import buckets
+
 Encode = Callable[[DataFrame], DataFrame]
 Model = Callable[[list[str]], np.ndarray]
 
@@ -69,6 +72,34 @@ def encode_once(encode: Encode) -> Encode:
     return apply
 
 
+def digest_of(model: str, text: Column) -> Column:
+    """The 128-bit key of a text's vector under a model."""
+    return F.md5(F.concat(F.lit(model + "\n"), text).cast("binary"))
+
+
+def encode_incremental(encode: Encode, root: str, model: str) -> Encode:
+    """Encode only texts whose vectors are not in a store, and add these to it.
+
+    The store is a table in buckets keyed by a digest of model and text, so a run
+    joins on 16 bytes, reads and rewrites only what it touches, and encodes each
+    distinct text once, whichever run or table it came with. A text that the model
+    can't take has no vector and is tried again by the next run.
+    """
+
+    def apply(rows: DataFrame) -> DataFrame:
+        spark = rows.sparkSession
+        keyed = rows.withColumn("_digest", digest_of(model, F.col("text")))
+        asked = keyed.filter(F.col("text").isNotNull()).groupBy("_digest").agg(F.first("text").alias("text"))
+        known = buckets.read(spark, root)
+        fresh = asked if known is None else asked.join(known.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
+        encoded = materialise(encode(fresh).filter(F.col("vector").isNotNull()).select(F.col("_digest").alias("digest"), "vector", F.lit(0).alias("at")), "vectors")
+        buckets.merge(encoded, root, ["digest"], ["at"])
+        vectors = buckets.read(spark, root).select(F.col("digest").alias("_digest"), "vector")
+        return keyed.join(vectors, "_digest", "left").drop("_digest")
+
+    return apply
+
+
 def fit_hashed(texts: DataFrame, dim: int = 256) -> Encode:
     """A hashed TF-IDF encoder whose document frequencies are those of ``texts``."""
     encode = encode_hashed(dim)
@@ -79,6 +110,7 @@ def fit_hashed(texts: DataFrame, dim: int = 256) -> Encode:
 def encode_hashed(dim: int = 256) -> Encode:
     """Hashed TF-IDF over the words of the rows, the same on every run.
 
+    A word's slot is the first 32 bits of its md5 digest modulo ``dim``.
     Document frequencies are those of the first rows encoded (``correlate`` encodes
     the patterns first), so that queries and patterns share one weighting; fitting
     them is one aggregate of ``dim`` counts. ``fit_hashed`` names the rows instead.
@@ -87,7 +119,9 @@ def encode_hashed(dim: int = 256) -> Encode:
 
     def apply(rows: DataFrame) -> DataFrame:
         words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-        counts = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(rows.withColumn("_words", words))
+        slots = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("string"))
+        counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_words", outputCol="_tf")
+        counts = counter.transform(rows.withColumn("_words", slots))
         if not fitted:
             fitted.append(IDF(inputCol="_tf", outputCol="_tfidf").fit(counts))
         weighted = fitted[0].transform(counts)

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corrspark import schemas
 from corrspark.functions import records as R
-from corrspark.operators import control, links, sample, tasks, upsert
+from corrspark.operators import control, grams, links, sample, tasks, upsert
 from corrspark.plans import refresh
 from corrspark.session import materialise
 from corrspark.sources import cve, inputs, writers
-from registry.base import placed, query, table
+from registry.base import documents, placed, query, table
 from registry.scores import RANKED, patterns, ranked
 
 # --- feed items out of the tables ------------------------------------------
@@ -361,6 +361,22 @@ def browse(spark, folder):
     return placed(rows.select("doc_id", "lang", "source"))
 
 
+@query("indexed_search", """
+SELECT 'documents' AS found_in, CAST(doc_id AS VARCHAR) AS id FROM documents WHERE contains(lower(text), 'ther th') OR contains(lower(source), 'ther th')
+UNION ALL SELECT 'short', CAST(doc_id AS VARCHAR) FROM documents WHERE contains(lower(source), 'c3')
+UNION ALL SELECT 'suggested', id FROM (SELECT c_name AS id FROM customer WHERE contains(upper(c_name), 'R#00000010') ORDER BY id LIMIT 10)
+""")
+def indexed_search(spark, folder):
+    """Substrings by a posting index over all texts; a query too short for the index; suggestions."""
+    docs, people = documents(spark, folder), table(spark, folder, "customer")
+    found = lambda name, rows: rows.select(F.lit(name).alias("found_in"), F.col("id").cast("string").alias("id"))
+    path = grams.build(docs, "doc_id", ("text", "source"))
+    hits = grams.search(docs, "doc_id", ("text", "source"), "Ther TH", path).withColumnRenamed("doc_id", "id")
+    short = grams.search(docs, "doc_id", ("source",), "C3", path).withColumnRenamed("doc_id", "id")
+    names = grams.suggestions(people, "c_name", "r#00000010", grams.build(people, "c_name", ("c_name",)), F.col("c_mktsegment"))
+    return found("documents", hits).union(found("short", short)).union(found("suggested", names))
+
+
 @query("facet_counts", "SELECT source, count(*) AS n FROM documents GROUP BY source")
 def facet_counts(spark, folder):
     return links.facet_counts(table(spark, folder, "documents"), "source")

@@ -345,7 +345,14 @@ def fuzzy_title(spark, folder):
     return scored.select("conv_id", "turn", F.round("score", 6).alias("score"))
 
 
-@query("encode_hashed")
+@query("encode_hashed", """
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+t AS (SELECT doc_id, CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 128 AS slot, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT slot, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM t GROUP BY slot),
+v AS (SELECT doc_id, CAST(tf * idf AS FLOAT)::DOUBLE AS x FROM t JOIN d USING (slot))
+SELECT d.doc_id AS cve_id, CAST(count(x) FILTER (x <> 0) AS INTEGER) AS slots, coalesce(round(sqrt(sum(x * x)), 4), 0) AS norm
+FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id
+""")
 def encode_hashed(spark, folder):
     """Non-zero slots and norm of each text's hashed vector."""
     rows = encode.encode_hashed(128)(texts(spark, folder))
@@ -353,6 +360,25 @@ def encode_hashed(spark, folder):
     return rows.select("cve_id", size.alias("slots"), F.round(norm(F.col("vector")), 4).alias("norm"))
 
 
+def _counting(run: int):
+    """A model that says which run encoded a text."""
+    return lambda: lambda texts: [[float(len(t)), float(t.count(" ")), float(run)] for t in texts]
+
+
+@query("encode_incremental", """
+SELECT doc_id AS cve_id, CAST(length(text) AS INTEGER) AS letters, CAST(length(text) - length(replace(text, ' ', '')) AS INTEGER) AS blanks,
+       CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN 1 ELSE 2 END AS run
+FROM documents
+""")
+def encode_incremental(spark, folder):
+    """Two runs on one store of vectors: the second encodes only texts that the first has not seen."""
+    root, rows = scratch_dir(spark, "vectors"), texts(spark, folder)
+    encode.encode_incremental(encode.encode_with(_counting(1)), root, "counts")(rows.filter("cve_id % 2 = 0"))
+    out = encode.encode_incremental(encode.encode_with(_counting(2)), root, "counts")(rows)
+    part = lambda i: F.get("vector", F.lit(i)).cast("int")
+    return out.select("cve_id", part(0).alias("letters"), part(1).alias("blanks"), part(2).alias("run"))
+
+
 @query("field_texts", """
 WITH p AS (SELECT 'CAPEC-' || item_id AS capec_id, split_part(text, '.', 1) AS name, text AS description, CASE WHEN item_id % 2 = 0 THEN '' ELSE upper(text) END AS other FROM benchmark)
 SELECT capec_id, 'field' AS kind, slot, text FROM (

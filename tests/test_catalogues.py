@@ -275,3 +275,22 @@ def test_whole_correlation(spark, feed_dir, capecs, tmp_path):
     assert wide["host"] == "Generic" and wide["Rank_1"] is not None
     with pytest.raises(ValueError):
         tasks.top_patterns(asked, results, 2, [])
+
+
+def test_a_second_run_encodes_nothing(spark, tmp_path):
+    root = str(tmp_path / "vectors")
+    lengths = encode.encode_with(lambda: lambda texts: [[float(len(t))] for t in texts])
+
+    def never():
+        raise RuntimeError("nothing is left to encode")
+
+    df = spark.createDataFrame([(1, "one"), (2, "three"), (3, "one"), (4, None)], "id int, text string")
+    first = encode.encode_incremental(lengths, root, "m")(df)
+    want = [(1, [3.0]), (2, [5.0]), (3, [3.0]), (4, None)]
+    assert sorted((r["id"], r["vector"]) for r in first.collect()) == want
+    silent = encode.encode_with(lambda: lambda texts: never())
+    again = encode.encode_incremental(silent, root, "m")(df)
+    assert sorted((r["id"], r["vector"]) for r in again.collect()) == want
+    # another model has vectors of its own; a text that can't be encoded has none
+    other = encode.encode_incremental(silent, root, "other")(df)
+    assert [r["vector"] for r in other.collect()] == [None] * 4

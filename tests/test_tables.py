@@ -7,7 +7,7 @@ import cpe_plain
 import pytest
 from pyspark.sql import functions as F
 
-from corrspark.operators import control, cpe, links, sample, tasks, upsert
+from corrspark.operators import control, cpe, grams, links, sample, tasks, upsert
 from corrspark.plans import refresh
 from corrspark.sources import buckets, writers
 from corrspark.streaming import jobs
@@ -256,6 +256,20 @@ def test_a_batch_reads_its_own_buckets_of_answered_requests(spark, tmp_path):
     assert 0 < found.count() < 60
 
 
+def test_indexed_search_is_a_scan(spark, tmp_path):
+    pick = random.Random(14)
+    texts = ["".join(pick.choice("abÉé ") for _ in range(pick.randrange(0, 30))) for _ in range(120)] + [None, "", "ab"]
+    df = spark.createDataFrame([(i, t, f"s{i % 7}") for i, t in enumerate(texts)], "id int, t string, s string")
+    path = grams.build(df, "id", ("t", "s"), str(tmp_path / "grams"))
+    for query in ["ab", "aba", "ba é", "éÉa", "b" * 9, "zzz", "s3", "S1"]:
+        want = sorted(i for i, t in enumerate(texts) if query.lower() in (t or "").lower() or query.lower() in f"s{i % 7}")
+        assert sorted(r["id"] for r in grams.search(df, "id", ("t", "s"), query, path).collect()) == want, query
+    plan = grams.postings(spark, path, "aba")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") or "PartitionFilters: [" in plan and "bucket" in plan
+    assert "PushedFilters: [" in plan and "piece" in plan.split("PushedFilters")[1]
+    assert grams.postings(spark, path, "ab") is None
+
+
 URI = "cpe:2.3:a:apache:http_server:1.3:*:*:en:pro:linux:*:*"
 
 
