@@ -224,3 +224,39 @@ def test_ranks_solve_their_equation(spark):
         for h in got:
             want = 0.15 * (h == seed) + sum(0.85 * w / out[a] * got[a][kind] for a, b, w in ways if b == h)
             assert abs(got[h][kind] - want) < 1e-8
+
+
+def brute_interleave(rows, shards, seed="interleave-1"):
+    """Fractional ranks of the seeded order of each source, sorted and cut."""
+    import hashlib
+    import zlib
+
+    facts = []
+    for i, text, source in rows:
+        data = (text or "").encode()
+        draw = int(hashlib.md5(f"{seed}:{'-' if i is None else i}".encode()).hexdigest()[:15], 16)
+        facts.append(("n" if source is None else "s" + source, (draw, i is not None, i or 0, zlib.crc32(data), len(data) + 8), i))
+    by_source = {}
+    for f in facts:
+        by_source.setdefault(f[0], []).append(f)
+    order = []
+    for source, own in by_source.items():
+        own.sort(key=lambda f: f[1])
+        order += [((2 * k + 1) / (2 * len(own)), source, f[1], f[2]) for k, f in enumerate(own)]
+    order.sort(key=lambda f: f[:3])
+    n = len(order)
+    out = []
+    for place, (_, _, (_, _, _, crc, size), i) in enumerate(order):
+        shard = place * shards // n
+        out.append((i, size, crc, "rows", shard, place - -(-shard * n // shards), None))
+    return out
+
+
+def test_interleaving_equals_brute_force(spark):
+    from corrspark.llm import sharding
+
+    mixed = [(i, "x" * (i % 50), "en", f"s{i % 3 * (i % 2)}", 1) for i in range(700)]
+    for rows in (awkward(), awkward()[:5], mixed):
+        got = sharding.interleave(frame(spark, rows)).collect()
+        key = lambda r: (r[0] is None, r[0] or 0, *r[1:6])
+        assert sorted(map(tuple, got), key=key) == sorted(brute_interleave([(r[0], r[1], r[3]) for r in rows], 24), key=key)
