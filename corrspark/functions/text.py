@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -48,6 +49,17 @@ def words(col: Column) -> Column:
     return F.filter(F.split(strip(col), r"(?U)\s+"), lambda w: w != "")
 
 
+def replace_each(col: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """Every match of a pattern replaced by what a function of it gives."""
+
+    def put_together(found: Column) -> Column:
+        pairs = F.zip_with(found["p"], F.transform(found["m"], new), lambda piece, match: F.concat(piece, F.coalesce(match, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    found = F.struct(F.regexp_extract_all(col, F.lit("(?U)" + pattern), F.lit(0)).alias("m"), F.split(col, "(?U)" + pattern, -1).alias("p"))
+    return F.transform(F.array(found), put_together)[0]
+
+
 # --- general steps ---------------------------------------------------------
 
 

@@ -15,7 +15,7 @@ from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, measured_size, numb
 
 # Word repeats and file paths (patterns of the Python regex engine).
 REPEATS = re.compile(r"(?i)\b(\w+)\b[\s,.;:]*\1+")
-ANY_PATH = re.compile(r"(?:[A-Za-z]:)?[\\/][\w.-]+(?:[\\/][\w.-]+)*")
+ANY_PATH = r"(?:[A-Za-z]:)?[\\/][\w.-]+(?:[\\/][\w.-]+)*"
 
 
 @dataclass(frozen=True)
@@ -73,10 +73,6 @@ def _rewrite(col: Column, rule) -> Column:
     return run(col)
 
 
-def _squeeze(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
-
-
 def remove_consecutive_repeats(col: Column) -> Column:
     """Collapse repeated words until nothing changes (needs a loop per text)."""
 
@@ -92,11 +88,10 @@ def remove_consecutive_repeats(col: Column) -> Column:
 def replace_file_paths(col: Column) -> Column:
     """A path becomes "<extension> file", or "file" when it has none."""
 
-    def name(match: re.Match) -> str:
-        path = match.group(0)
-        return path.rsplit(".", 1)[-1] + " file" if "." in path else "file"
+    def name(path: Column) -> Column:
+        return F.when(F.contains(path, F.lit(".")), F.concat(F.substring_index(path, ".", -1), F.lit(" file"))).otherwise("file")
 
-    return _rewrite(col, lambda text: _squeeze(ANY_PATH.sub(name, text)))
+    return T.collapse_all(T.replace_each(col, ANY_PATH, name))
 
 
 def lemmatize_text(col: Column, lemma=W.noun_lemma) -> Column:

@@ -8,14 +8,21 @@ from corrspark.functions.records import cve_sort_key, cve_year, is_active
 from corrspark.sources.inputs import GENERIC_HOST
 
 
+#: Parts that the hosts of one id are spread over.
+HOST_PARTS = 16
+
+
 def invert_hosts(requests: DataFrame) -> DataFrame:
     """(cve_id, host, n_hosts): the hosts of each id, as rows.
 
-    Kept long: an id that most hosts share is never gathered into one value.
+    Kept long: an id that most hosts share is never gathered into one value, and its
+    rows meet their count in ``HOST_PARTS`` parts by a hash of the host.
     """
-    pairs = requests.select("cve_id", "host").distinct()
-    sizes = pairs.groupBy("cve_id").agg(F.count(F.lit(1)).alias("n_hosts"))
-    return pairs.join(sizes, "cve_id")
+    part = F.pmod(F.xxhash64("host"), F.lit(HOST_PARTS)).cast("int")
+    pairs = requests.select("cve_id", "host").distinct().withColumn("_part", part)
+    sizes = pairs.groupBy("cve_id", "_part").agg(F.count(F.lit(1)).alias("n")).groupBy("cve_id").agg(F.sum("n").alias("n_hosts"))
+    copies = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    return pairs.join(copies, ["cve_id", "_part"]).select("cve_id", "host", "n_hosts")
 
 
 def hosts_of(requests: DataFrame, cve_id: str) -> DataFrame:

@@ -32,21 +32,17 @@ def read_id_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_host_sheets(spark: SparkSession, path: str) -> DataFrame:
     """(host, cve_id) from a folder with one CSV per host; each first row is a header.
 
-    One sheet is one spreadsheet page, so a file fits one row. A folder with a
-    single sheet belongs to the generic host.
+    Sheets are read line by line by the CSV reader, with its quotes; the widest line
+    gives the number of columns. A folder with a single sheet belongs to the generic
+    host.
     """
-    sheets = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(
-        "value", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "").alias("name")
-    )
-    host = F.when(sheets.agg(F.count(F.lit(1))).scalar() > 1, F.col("name")).otherwise(GENERIC_HOST)
-    lines = F.split("value", r"\r?\n")
-    body = F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1)))
-    cells = F.flatten(F.transform(body, lambda line: F.split(F.translate(line, '"', ""), ",")))
-    return (
-        sheets.select(host.alias("host"), F.explode(cells).alias("cve_id"))
-        .filter(is_cve_id(F.col("cve_id")))
-        .distinct()
-    )
+    lines = spark.read.text(path, pathGlobFilter="*.csv")
+    facts = lines.agg(F.coalesce(F.max(F.size(F.split("value", ","))), F.lit(1)).alias("width"), F.count_distinct("_metadata.file_path").alias("sheets")).first()
+    columns = [f"c{i}" for i in range(facts["width"])]
+    cells = spark.read.schema(", ".join(f"{c} string" for c in columns)).csv(path, header=True, pathGlobFilter="*.csv")
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
+    host = name if facts["sheets"] > 1 else F.lit(GENERIC_HOST)
+    return ids_from_cells(cells.select(host.alias("host"), *columns), ("host",))
 
 
 def requests(ids: DataFrame, task_id: str, host: str = GENERIC_HOST) -> DataFrame:
