@@ -123,6 +123,11 @@ def _join(patterns: Column, between: str) -> Column:
     return F.array_join(patterns, between)
 
 
+def blank_parts(text: Column) -> Column:
+    """The parts of a text between blanks (a split by one character compiles no pattern)."""
+    return F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
+
+
 def partial_shapes(vendor: Column, product: Column) -> Column:
     """Near spellings of a product name as an array of patterns.
 
@@ -133,8 +138,7 @@ def partial_shapes(vendor: Column, product: Column) -> Column:
     gap, some_words = r"\s+", r"\b\s+(?:\w+\s+){0,2}"
     start, end = F.lit(r"(?iU)\b"), F.lit(r"\b")
     name = quoted(F.lower(product))
-    words_of = lambda text: F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    head, whole = quoted(F.get(words_of(vendor), F.lit(0))), quoted(F.lower(vendor))
+    head, whole = quoted(F.get(blank_parts(F.lower(vendor)), F.lit(0))), quoted(F.lower(vendor))
     named = F.array(F.concat(start, head, end, F.lit(gap), name), F.concat(start, whole, F.lit(some_words), name))
 
     def left_out(words: Column) -> Column:
@@ -142,7 +146,7 @@ def partial_shapes(vendor: Column, product: Column) -> Column:
         kept = lambda i: F.filter(words, lambda _, k: k != i)
         return F.when(F.size(words) > 1, F.transform(each, lambda i: F.concat(start, F.lit("(?:"), _join(F.transform(kept(i), quoted), gap), F.lit(")"), end)))
 
-    without = F.coalesce(F.transform(F.array(words_of(product)), left_out)[0], F.array().cast("array<string>"))
+    without = F.coalesce(F.transform(F.array(blank_parts(F.lower(product))), left_out)[0], F.array().cast("array<string>"))
     return F.when(F.coalesce(vendor, F.lit("")) != "", named).otherwise(without)
 
 
@@ -408,10 +412,13 @@ def _entries(uris: Column) -> Column:
         keys = F.array_distinct(F.transform(rows, lambda r: F.struct(r["part"].alias("part"), r["vendor"].alias("vendor"), r["product"].alias("product"))))
 
         def entry(k: Column) -> Column:
-            own = lambda f: F.array_distinct(F.filter(F.transform(
-                F.filter(rows, lambda r: (r["part"] == k["part"]) & (r["vendor"] == k["vendor"]) & (r["product"] == k["product"])),
-                lambda r: r[f]), lambda v: ~v.isin("*", "-")))
-            return F.struct(k["part"].alias("part"), k["vendor"].alias("vendor"), k["product"].alias("product"), *[own(f).alias(f) for f in DETAIL_FIELDS])
+            same = F.filter(rows, lambda r: (r["part"] == k["part"]) & (r["vendor"] == k["vendor"]) & (r["product"] == k["product"]))
+
+            def detailed(own: Column) -> Column:
+                values = lambda f: F.array_distinct(F.filter(own[f], lambda v: ~v.isin("*", "-")))
+                return F.struct(k["part"].alias("part"), k["vendor"].alias("vendor"), k["product"].alias("product"), *[values(f).alias(f) for f in DETAIL_FIELDS])
+
+            return F.transform(F.array(same), detailed)[0]
 
         return F.transform(keys, entry)
 
@@ -430,7 +437,6 @@ def _rules(entry: Column) -> Column:
         rule = lambda kind, needle, pattern, new: F.struct(F.lit(kind).alias("kind"), needle.alias("needle"), pattern.alias("pattern"), new.alias("new"))
         whole = lambda t: F.concat(F.lit(r"(?iU)\b"), quoted(t), F.lit(r"\b"))
         nothing = F.lit("")
-        head = F.coalesce(F.get(F.filter(F.split(product, r"\s+"), lambda w: w != ""), F.lit(0)), nothing)
         near = F.when(vendor != "", F.transform(partial_shapes(vendor, product), lambda p: rule("pattern", product, p, x["plain"])))
         left_out = F.transform(partial_shapes(nothing, product), lambda p: rule("pattern", nothing, p, x["plain"]))
         targets = F.transform(entry["target_sw"], lambda v: rule("text", F.lower(v), nothing, F.lit("software")))
@@ -440,7 +446,7 @@ def _rules(entry: Column) -> Column:
         return F.concat(
             F.array(rule("pattern", full, whole(full), x["plain"])), F.coalesce(near, none), F.array(rule("near", nothing, full, x["plain"])),
             F.array(rule("pattern", product, whole(product), x["plain"]), rule("near", nothing, product, x["plain"])),
-            F.when(F.size(F.split(product, r"\s+")) > 1, left_out).otherwise(none),
+            F.when(F.size(blank_parts(product)) > 1, left_out).otherwise(none),
             F.array(rule("split", nothing, vendor, nothing), rule("split", nothing, product, x["label"])), targets, gone,
             F.array(rule("vendor", vendor, whole(vendor), nothing)))
 
