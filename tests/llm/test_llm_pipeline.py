@@ -12,7 +12,8 @@ from corrspark.session import materialise
 
 FOLDER = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-ROWS = {"op3_chat_format": None, "op6_url_filter": "pages", "op10_decontaminate": None}
+#: The table that a query has a row for each row of; phrases, ranks, pairs and turns have none.
+ROWS = {"op3_chat_format": None, "op6_url_filter": "pages", "op10_decontaminate": None, "op11_collocations": None, "op13_lexical_search": None}
 
 
 @tables
@@ -32,7 +33,7 @@ def test_query(spark, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op6_url_filter", "op8_mixing"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op6_url_filter", "op8_mixing", "op12_pii"])
 def test_native_plans_have_no_python(spark, name):
     plan = queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoop"))
