@@ -6,7 +6,8 @@ mix takes the blocks between two house sizes, so it has an integer quota of ever
 source (the method never takes a seat back as the house grows). Inside a source,
 documents stand in a seeded order; its words in that order are cut into blocks, and
 a quota of q takes blocks 0 to q - 1, going round again behind the last word.
-DataFrame functions only.
+Block ``first_block`` to ``first_block + n_blocks - 1`` of a source are in the shard
+whose quota they are, so every word of the mix has its shard. DataFrame functions only.
 
 Edge cases: null texts and texts without words have size 0 and are never taken;
 the null source is a source, ordered last; repeated rows are rows of their own; one
@@ -90,33 +91,44 @@ def quotas(aims: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS) -> D
 
 
 def mix(docs: DataFrame, seed: str = SEED, block: int = BLOCK_WORDS, shards: int = SHARDS, most: int = MOST) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row, and ``copies``.
+    """``doc_id, size, source_size, target, taken`` of every row, ``copies`` and ``shards``.
 
     ``taken`` counts the words of the document inside taken blocks, repeats
     included. ``copies`` is how often the document itself goes into the mix: once
-    for every pass in which its first word is taken.
+    for every pass in which its first word is taken. ``shards`` says how many of the
+    taken words each shard holds, as ``shard:words`` by shard, comma-joined.
     """
     rows = docs.select(F.col("doc_id"), word_count(F.col("text")).alias("_size"), group_key(F.col("source")).alias("_source"))
     placed = _placed(rows, seed, block, shards, most)
-    return placed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), _taken().alias("taken"), _copies().alias("copies"))
+    return placed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), _taken().alias("taken"), _copies().alias("copies"), _dealt(most).alias("shards"))
 
 
-def apply(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix as rows of ``docs``: every row once per copy, with its own columns."""
+def apply(docs: DataFrame, seed: str = SEED, shard: str | None = None) -> DataFrame:
+    """The mix as rows of ``docs``: every row once per copy, with its own columns.
+
+    ``shard`` names a further column for the shard that a copy's first word is in.
+    """
     own = [c for c in docs.columns]
     kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("_row"), F.col("doc_id"), word_count(F.col("text")).alias("_size"), group_key(F.col("source")).alias("_source"))
     placed = _placed(kept, seed, BLOCK_WORDS, SHARDS, MOST).where(_copies() > 0)
-    return placed.select("_row", F.explode(F.sequence(F.lit(1), _copies()))).select("_row.*")
+    copied = placed.select("_row", "_bounds", "_start", "_source_size", F.explode(F.sequence(F.lit(0).cast("long"), _copies() - 1)).alias("_pass"))
+    if shard is None:
+        return copied.select("_row.*")
+    first = F.col("_pass") * F.col("_source_size") + F.col("_start")
+    return copied.withColumn("_shard", F.size(F.filter("_bounds", lambda b: b <= first))).select("_row.*", F.col("_shard").alias(shard))
 
 
 def _placed(rows: DataFrame, seed: str, block: int, shards: int, most: int) -> DataFrame:
     """Rows with their place among the words of their source, its quota and target."""
     aims = targets(rows.groupBy("_source").agg(F.sum("_size").alias("source_size")), most=most)
-    allotted = quotas(aims, block, shards).groupBy("_source").agg((F.sum("n_blocks") * block).alias("_quota"))
-    plan = aims.join(allotted, "_source", "left").withColumn("_quota", F.least(F.coalesce("_quota", F.lit(0)), F.col("source_size") * most))
+    # the last word of every shard's blocks, in the order of the source's words
+    ends = F.sort_array(F.collect_list(F.struct("shard", ((F.col("first_block") + F.col("n_blocks")) * block).alias("end"))))
+    allotted = quotas(aims, block, shards).groupBy("_source").agg(ends.alias("_ends"))
+    bounds = F.transform(F.coalesce("_ends.end", F.array().cast("array<long>")), lambda end: F.least(end, F.col("source_size") * most))
+    plan = aims.join(allotted, "_source", "left").withColumn("_bounds", bounds).withColumn("_quota", F.coalesce(F.array_max("_bounds"), F.lit(0)))
     turns = F.when(F.col("source_size") > 0, F.expr("_quota div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.expr("_quota % source_size")).otherwise(F.lit(0))
-    facts = plan.select("_source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), turns.alias("_turns"), rest.alias("_rest"))
+    facts = plan.select("_source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), turns.alias("_turns"), rest.alias("_rest"), "_bounds")
     drawn = rows.withColumn("_draw", seeded(seed, F.col("doc_id")))
     order = [F.col("_draw"), F.col("doc_id"), F.col("_size")]
     return running(drawn, "_source", F.col("_draw") / DRAWS, order, F.col("_size"), "_start", "_words", facts=facts)
@@ -126,6 +138,19 @@ def _taken() -> Column:
     return (F.col("_turns") * F.col("_size") + F.least(F.col("_size"), F.greatest(F.lit(0), F.col("_rest") - F.col("_start")))).cast("long")
 
 
+def _dealt(most: int) -> Column:
+    def words(end: Column, shard: Column) -> Column:
+        before = F.coalesce(F.get("_bounds", shard - 1), F.lit(0))
+        inside = []
+        for turn in range(most):
+            begin = F.col("_source_size") * turn + F.col("_start")
+            inside.append(F.greatest(F.lit(0), F.least(end, begin + F.col("_size")) - F.greatest(before, begin)))
+        return sum(inside[1:], inside[0])
+
+    held = F.transform("_bounds", lambda end, shard: F.struct(shard.alias("shard"), words(end, shard).alias("words")))
+    return F.array_join(F.transform(F.filter(held, lambda x: x["words"] > 0), lambda x: F.concat_ws(":", x["shard"], x["words"])), ",")
+
+
 def _copies() -> Column:
     again = ((F.col("_start") < F.col("_rest")) & (F.col("_size") > 0)).cast("long")
     return F.when(F.col("_size") > 0, F.col("_turns") + again).otherwise(F.lit(0)).cast("long")
@@ -149,12 +174,19 @@ aim AS (SELECT src, source_size, CASE WHEN filled THEN CAST(source_size * {MOST}
           ELSE CAST(lv.rest * weight AS DOUBLE) / CAST(lv.open * 100 AS DOUBLE) END AS target FROM s6 LEFT JOIN lv ON true),
 k AS (SELECT CAST(round(sum(target) / {BLOCK_WORDS}) AS BIGINT) AS blocks, count(*) AS n, sum(target) AS total FROM aim),
 q AS (SELECT src, unnest(range(0, CAST(ceil(target / {BLOCK_WORDS}) AS BIGINT) + 3 + 2 * n)) AS j, target FROM aim, k WHERE target > 0),
-seats AS (SELECT src, count(*) AS quota FROM (SELECT src, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, src, j) AS r FROM q), k WHERE r <= blocks GROUP BY src),
-plan AS (SELECT aim.*, least(coalesce(quota, 0) * {BLOCK_WORDS}, source_size * {MOST}) AS quota FROM aim LEFT JOIN seats USING (src)),
-p AS (SELECT d.doc_id, d.size, source_size, target, quota, CAST(coalesce(sum(d.size) OVER w, 0) AS BIGINT) AS start
+won AS (SELECT src, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, src, j) AS r FROM q),
+seats AS (SELECT src, m, count(*) FILTER (r <= blocks * (m + 1) // {SHARDS}) AS upto FROM won, k, range({SHARDS}) AS h(m) GROUP BY src, m),
+house AS (SELECT src, m, least(upto * {BLOCK_WORDS}, source_size * {MOST}) AS hi,
+            coalesce(lag(least(upto * {BLOCK_WORDS}, source_size * {MOST})) OVER (PARTITION BY src ORDER BY m), 0) AS lo FROM seats JOIN aim USING (src)),
+plan AS (SELECT aim.*, coalesce(quota, 0) AS quota FROM aim LEFT JOIN (SELECT src, max(hi) AS quota FROM house GROUP BY src) USING (src)),
+p AS (SELECT row_number() OVER () AS rid, src, d.doc_id, d.size, source_size, target, quota, CAST(coalesce(sum(d.size) OVER w, 0) AS BIGINT) AS start
       FROM d JOIN plan USING (src) WINDOW w AS (PARTITION BY src ORDER BY draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS turns,
-             CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END AS rest FROM p)
+             CASE WHEN source_size > 0 THEN quota % source_size ELSE 0 END AS rest FROM p),
+held AS (SELECT rid, m, sum(greatest(0, least(hi, g * source_size + start + size) - greatest(lo, g * source_size + start))) AS n
+         FROM r JOIN house USING (src), range({MOST}) AS t(g) GROUP BY rid, m),
+dealt AS (SELECT rid, string_agg(m || ':' || CAST(n AS BIGINT), ',' ORDER BY m) AS shards FROM held WHERE n > 0 GROUP BY rid)
 SELECT doc_id, size, source_size, target, CAST(turns * size + least(size, greatest(0, rest - start)) AS BIGINT) AS taken,
-       CAST(CASE WHEN size > 0 THEN turns + CASE WHEN start < rest THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies FROM r
+       CAST(CASE WHEN size > 0 THEN turns + CASE WHEN start < rest THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies,
+       coalesce(shards, '') AS shards FROM r LEFT JOIN dealt USING (rid)
 """
