@@ -2,9 +2,9 @@
 
 Items are short, documents may be very long, so signatures of documents are of no
 use: the minima of a long text are hardly ever those of a short passage. Instead
-the items are partitioned by size, and every size class has its own sketch length:
-the smallest hashes of an item, one more than a passage of the required containment
-can lack. A document with the containment must then hold a sketch hash, so the
+the items are partitioned by the size of their sets, a class up to every power of two.
+Each class has an index of its own, with the sketch length of its sizes: the smallest
+hashes of an item, one more than a passage of the required containment can lack. A document with the containment must then hold a sketch hash, so the
 search loses nothing. Candidates are verified by exact containment of the item's
 shingles in the whole document.
 
@@ -21,6 +21,7 @@ columns are kept by :func:`flag` and not read otherwise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,11 @@ WIDTH, PERCENT = 5, 80
 BLOCK_SHINGLES = 4_000_000
 
 
+def class_of(n: int) -> int:
+    """The largest size of the class that a set of ``n`` shingles is in."""
+    return 1 << (n - 1).bit_length()
+
+
 def _item_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,41 +56,56 @@ def _item_sets(width: int):
     return run
 
 
+class SizeClass(NamedTuple):
+    """Items of one size class: their sketch hashes in order, and whose they are."""
+
+    width: int
+    largest: int
+    sketch: int
+    hashes: np.ndarray
+    owners: np.ndarray
+
+    def candidates(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(text, item) where a text holds a sketch hash of the item."""
+        flat = np.concatenate(sets)
+        text_of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        low, high = np.searchsorted(self.hashes, flat, "left"), np.searchsorted(self.hashes, flat, "right")
+        return sorted({(int(text_of[k]), int(i)) for k in np.flatnonzero(high > low) for i in self.owners[low[k]:high[k]]})
+
+
 class Index:
-    """Items of one block: full sets, and the sketch hashes that lead to them."""
+    """Items of one block: full sets, and the size classes whose sketches lead to them."""
 
     def __init__(self, rows: list[tuple[int, int, np.ndarray]], percent: int) -> None:
         self.ids = [r[0] for r in rows]
         self.sets = [np.sort(r[2]) for r in rows]
         self.percent = percent
-        self.by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width in sorted({r[1] for r in rows}):
-            hashes, owners = [], []
-            for i, r in enumerate(rows):
-                if r[1] == width:
-                    own = self.sets[i][:self.sketch_length(len(self.sets[i]))]
-                    hashes.append(own)
-                    owners.append(np.full(len(own), i))
-            flat = np.concatenate(hashes)
-            order = np.argsort(flat, kind="stable")
-            self.by_width[width] = flat[order], np.concatenate(owners)[order]
+        members: dict[tuple[int, int], list[int]] = {}
+        for i, (_, width, own) in enumerate(rows):
+            members.setdefault((width, class_of(len(own))), []).append(i)
+        self.classes = [self._build(width, largest, members[width, largest]) for width, largest in sorted(members)]
+
+    def _build(self, width: int, largest: int, items: list[int]) -> SizeClass:
+        sketch = self.sketch_length(largest)
+        sketches = [self.sets[i][:sketch] for i in items]
+        flat = np.concatenate(sketches)
+        order = np.argsort(flat, kind="stable")
+        return SizeClass(width, largest, sketch, flat[order], np.repeat(items, [len(s) for s in sketches])[order])
 
     def sketch_length(self, n: int) -> int:
-        """One more than the most shingles that a match may lack, for the largest size of the class."""
-        largest = 1 << (n - 1).bit_length()
+        """One more than the most shingles that a match may lack, for the largest size of the class of ``n``."""
+        largest = class_of(n)
         return largest - -(-largest * self.percent // 100) + 1
 
     def matches(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
         """(text, item id, item shingles, shared shingles) of a group of texts."""
-        for width, (hashes, owners) in self.by_width.items():
-            sets = [s if b - a >= width else s[:0] for s, a, b in zip(shingle_sets(words, width), words.starts[:-1], words.starts[1:], strict=True)]
-            flat = np.concatenate(sets)
-            text_of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            low, high = np.searchsorted(hashes, flat, "left"), np.searchsorted(hashes, flat, "right")
-            asked = {(int(text_of[k]), int(i)) for k in np.flatnonzero(high > low) for i in owners[low[k]:high[k]]}
-            for text, i in sorted(asked):
-                item = self.sets[i]
-                own = sets[text]
+        width, sets = 0, []
+        for part in self.classes:  # in order of width, so sets are made once for each
+            if part.width != width:
+                width = part.width
+                sets = [s if b - a >= width else s[:0] for s, a, b in zip(shingle_sets(words, width), words.starts[:-1], words.starts[1:], strict=True)]
+            for text, i in part.candidates(sets):
+                item, own = self.sets[i], sets[text]
                 at = np.minimum(np.searchsorted(own, item), len(own) - 1)
                 shared = int((own[at] == item).sum())
                 if 100 * shared >= self.percent * len(item):
