@@ -2,7 +2,8 @@
 
 Every rule is evaluated once per text. The ledger keeps the measurements and one
 bit per failed rule; a policy is a named mask over the bits, so a new policy, a
-re-run of an old one or an ablation never reads a text again.
+re-run of an old one or an ablation never reads a text again. :func:`judge` stores
+the ledger in the shared folder; verdicts and ablations both come from what is stored.
 
 Edge cases: a null or empty text has no words and fails ``few_words`` alone;
 repeated rows are judged one by one; an empty table gives an empty ledger; columns
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrspark.llm.common import SPACE, words_of
+from corrspark.session import materialise
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -122,17 +124,33 @@ def ablations(counts: DataFrame, policy: int) -> DataFrame:
     return counts.agg(F.array(*each).alias("each")).select(F.inline("each"))
 
 
-def judge(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The ledger with ``base_failed`` and the verdict ``kept`` of a policy."""
-    return ledger(docs).select(
+def verdicts(book: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """A ledger with ``base_failed``, the verdict ``kept`` of a policy, and its ablation.
+
+    ``decided_by`` is the rule without which the policy would keep the text (null:
+    kept, or several rules fail), ``n_decided`` how many texts that rule alone fails.
+    """
+    inside = POLICIES[policy] | POLICIES["base"]
+    alone = F.col("failed").bitwiseAND(F.lit(inside))
+    effect = ablations(histogram(book), inside).select(F.col("rule").alias("decided_by"), F.col("n_failed_alone").alias("n_decided"))
+    judged = book.select(
         "doc_id", *MEASURES, "failed",
         (~passes(POLICIES["base"])).alias("base_failed"),
-        passes(POLICIES[policy] | POLICIES["base"]).alias("kept"),
+        passes(inside).alias("kept"),
+        F.coalesce(*(F.when(alone == bit, F.lit(name)) for name, bit in BIT.items() if inside & bit)).alias("decided_by"),
     )
+    return judged.join(F.broadcast(effect), "decided_by", "left")  # one row per rule
+
+
+def judge(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The stored ledger of all texts under a policy, see :func:`verdicts`."""
+    return verdicts(materialise(ledger(docs), "ledger"), policy)
 
 
 # "10 * n_symbols > n_words" and the other thresholds are in RULES; the same text serves SQL.
 _FAILED = " + ".join(f"CASE WHEN {condition} THEN {BIT[name]} ELSE 0 END" for name, condition in RULES.items())
+_INSIDE = POLICIES[CURRENT] | POLICIES["base"]
+_ALONE = " ".join(f"WHEN {bit} THEN '{name}'" for name, bit in BIT.items() if _INSIDE & bit)
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
@@ -149,6 +167,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS BIGINT) AS n_letters,
              CAST(length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS BIGINT) AS n_upper
       FROM w LEFT JOIN cov USING (doc_id)),
-b AS (SELECT *, CAST({_FAILED} AS BIGINT) AS failed FROM m)
-SELECT *, (failed & {POLICIES["base"]}) <> 0 AS base_failed, (failed & {POLICIES[CURRENT] | POLICIES["base"]}) = 0 AS kept FROM b
+b AS (SELECT *, CAST({_FAILED} AS BIGINT) AS failed FROM m),
+a AS (SELECT *, CASE failed & {_INSIDE} {_ALONE} END AS decided_by FROM b)
+SELECT *, CASE WHEN decided_by IS NOT NULL THEN count(*) OVER (PARTITION BY decided_by) END AS n_decided, (failed & {POLICIES["base"]}) <> 0 AS base_failed, (failed & {POLICIES[CURRENT] | POLICIES["base"]}) = 0 AS kept FROM a
 """
