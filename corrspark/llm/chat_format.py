@@ -1,11 +1,13 @@
 """Chat formatting by prefix-target expansion (operator 3).
 
 Every assistant turn is an example of its own: all preceding turns of the
-conversation are its context, and only its reply is trainable. Written out, the
-examples of one conversation grow with the square of its length. They all begin
-with the same text, so the operator stores that text once, one row per turn:
-an example is the rows of its conversation up to and with its target, and the
-row of the target holds its loss span. :func:`written_out` gives full texts.
+conversation are its context, and only its reply is trainable. :func:`expand` makes
+the examples as rows of turns, so an example is never held as one text: a turn goes
+into the example of its own reply and into all later ones, and only the target's row
+has a loss span. Examples of one conversation grow with the square of its length;
+they are dealt out by example, so that a long conversation is spread over all tasks.
+:func:`read_examples` reads every example back as a stream, :func:`digest` sums the
+readings up per conversation, and :func:`written_out` gives full texts.
 
 Template of a turn: ``<|im_start|>`` role, newline, text, ``<|im_end|>``, newline.
 Inside roles and texts one backslash is put behind the ``<`` of every
@@ -96,66 +98,113 @@ def read_turn(segment: str) -> tuple[str, str]:
     return unescape_role(found[1]), unescape(found[2])
 
 
-class _Digest:
-    """Running digests of one conversation; holds no text."""
+def expand(turns: DataFrame) -> DataFrame:
+    """Examples as rows of turns: ``conv_id, example, place, segment, loss_start, loss_end``.
+
+    Examples of a conversation count from 0 by their targets. Turns behind the last
+    reply give one more example, of the whole conversation and without a loss span;
+    it is there so that all turns can be read back.
+    """
+    whole, order = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy(*_ORDER)
+    target = F.col("loss_start").isNotNull()
+    before = F.coalesce(F.sum(target.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.col("_first") == F.col("example")
+    return (
+        turns.select("conv_id", "segment", "loss_start", "loss_end", F.row_number().over(order).alias("place"), before.alias("_first"))
+        .withColumn("_last", F.max("_first").over(whole))
+        .withColumn("example", F.explode(F.sequence("_first", "_last")))
+        .select("conv_id", "example", "place", "segment", *(F.when(own, F.col(c)).alias(c) for c in ("loss_start", "loss_end")))
+    )
+
+
+class _Example:
+    """Reading of one example; holds no text but the reply."""
 
     def __init__(self) -> None:
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.n_examples = self.loss_chars = self.stored = self.formatted = 0
+        self.turns, self.n_turns, self.chars, self.reply = hashlib.sha256(), 0, 0, None
 
     def add(self, segment: str, start: int | None, end: int | None) -> None:
         role, text = read_turn(segment)
         self.turns.update(f"{role}\n{text}\n".encode())
         self.n_turns += 1
-        self.stored += len(segment)
+        self.chars += len(segment)
         if start is not None:
-            reply = unescape(segment[start:end])
+            self.reply = unescape(segment[start:end])
+
+    def row(self) -> tuple:
+        return self.n_turns, self.turns.hexdigest(), self.chars, self.reply
+
+
+class _Conversation:
+    """Sums over the readings of one conversation, in the order of its examples."""
+
+    def __init__(self) -> None:
+        self.loss, self.loss_chars, self.formatted, self.n_examples = hashlib.sha256(), 0, 0, 0
+
+    def add(self, n_turns: int, turns_sha256: str, chars: int, reply: str | None) -> None:
+        self.n_turns, self.turns_sha256, self.stored = n_turns, turns_sha256, chars  # the last example has all turns
+        if reply is not None:
             self.loss.update(reply.encode())
             self.loss_chars += len(reply)
+            self.formatted += chars
             self.n_examples += 1
-            self.formatted += self.stored
 
     def row(self) -> tuple:
-        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted, self.n_examples, self.stored
+        return self.n_turns, self.turns_sha256, self.loss_chars, self.loss.hexdigest(), self.formatted, self.n_examples, self.stored
 
 
+_READING = "conv_id long, example int, n_turns long, turns_sha256 string, chars long, reply string"
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, stored_chars long"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+#: Rows and characters of replies after which a batch is handed on.
+_BATCH_ROWS, _BATCH_CHARS = 4096, 1 << 22
+
+
+def _grouped(keys: int, reader: type, schema: str):
+    """Map over sorted rows: the first ``keys`` columns are a group's key, the others go to its reader."""
+    columns = [part.split() for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, rows, held = None, None, [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or row[:keys] != current:
+                    if state is not None:
+                        rows.append((*current, *state.row()))
+                        held += len(rows[-1][-1] or "") if columns[-1][1] == "string" else 0
+                    current, state = row[:keys], reader()
+                state.add(*row[keys:])
+                if len(rows) >= _BATCH_ROWS or held >= _BATCH_CHARS:
+                    yield _batch(rows, columns)
+                    rows, held = [], 0
+        if state is not None:
+            rows.append((*current, *state.row()))
+        if rows:
+            yield _batch(rows, columns)
+
+    return run
 
 
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, state, rows = None, None, []
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(4)]
-        for conv, segment, start, end in zip(*columns, strict=True):
-            if state is None or conv != current:
-                if state is not None:
-                    rows.append((current, *state.row()))
-                current, state = conv, _Digest()
-            state.add(segment, start, end)
-        if len(rows) >= 4096:
-            yield _batch(rows)
-            rows = []
-    if state is not None:
-        rows.append((current, *state.row()))
-    if rows:
-        yield _batch(rows)
+def _batch(rows: list[tuple], columns: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), columns, strict=True)], names=[name for name, _ in columns])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [part.split()[0] for part in _DIGEST.split(", ")]
-    kinds = [pa.string() if part.endswith("string") else pa.int64() for part in _DIGEST.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def read_examples(examples: DataFrame) -> DataFrame:
+    """One row per example, read back turn by turn: counts, hash of its turns, and the reply under its loss span."""
+    ordered = examples.repartition("conv_id", "example").sortWithinPartitions("conv_id", "example", "place")
+    return ordered.select("conv_id", "example", "segment", "loss_start", "loss_end").mapInArrow(_grouped(2, _Example, _READING), _READING)
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """Read the formatted turns back: counts and hashes per conversation.
+    """Expand the formatted turns, read all examples back: counts and hashes per conversation.
 
-    Rows of a conversation pass one task in order, as a running hash needs, but
-    are never held together. ``formatted_chars`` is the length of all its
-    examples written out; ``stored_chars`` that of the shared text.
+    Readings of a conversation pass one task in order, as a running hash of its
+    replies needs, but are never held together. ``formatted_chars`` is the length of
+    all its examples; ``stored_chars`` that of the conversation.
     """
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", *_ORDER)
-    return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(_digest_rows, _DIGEST)
+    readings = read_examples(expand(turns)).repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return readings.select("conv_id", "n_turns", "turns_sha256", "chars", "reply").mapInArrow(_grouped(1, _Conversation, _DIGEST), _DIGEST)
 
 
 SQL = r"""
