@@ -64,6 +64,29 @@ def test_examples_have_their_context_and_one_trainable_reply(spark):
     assert {e["conv_id"] for e in only.collect()} == {2}
 
 
+def test_every_example_is_read_back(spark):
+    rows = conversations()
+    turns = chat_format.format_turns(spark.createDataFrame(rows, TURNS).repartition(5))
+    got = {(r["conv_id"], r["example"]): r for r in chat_format.read_examples(chat_format.expand(turns)).collect()}
+    want = {}
+    for conv, said in wanted(rows).items():
+        targets = [i for i, (role, _) in enumerate(said) if role == "assistant"]
+        ends = targets + ([len(said) - 1] if targets[-1:] != [len(said) - 1] else [])
+        for example, end in enumerate(ends):
+            context = "".join(f"{role}\n{text}\n" for role, text in said[:end + 1])
+            want[conv, example] = (end + 1, sha(context), said[end][1] if end in targets else None)
+    assert {k: (r["n_turns"], r["turns_sha256"], r["reply"]) for k, r in got.items()} == want
+    full = {(e["conv_id"], len(e["example"])) for e in chat_format.written_out(turns).collect()}
+    assert full == {(k[0], r["chars"]) for k, r in got.items() if r["reply"] is not None}
+
+
+def test_a_very_long_turn_and_a_long_conversation(spark):
+    rows = [(1, t, ("user", "assistant")[t % 2], ("<|" * 200_000 if t == 4 else f"t{t}")) for t in range(120)]
+    got = chat_format.digest(chat_format.format_turns(spark.createDataFrame(rows, TURNS))).first()
+    assert got["n_examples"] == 60 and got["turns_sha256"] == sha("".join(f"{r[2]}\n{r[3]}\n" for r in rows))
+    assert got["loss_sha256"] == sha("".join(r[3] for r in rows if r[2] == "assistant"))
+
+
 def test_no_conversations(spark):
     assert chat_format.digest(chat_format.format_turns(spark.createDataFrame([], TURNS))).count() == 0
 
@@ -155,6 +178,32 @@ def test_mix_takes_its_targets(spark):
     assert Counter(r["doc_id"] for r in mixing.apply(frame(spark, rows)).collect()) == +copies
 
 
+@pytest.mark.parametrize("seed", [0, 3])
+def test_every_shard_holds_its_quota(spark, seed):
+    """Words are laid out one by one and dealt to shards by the quotas."""
+    rows = mixture(seed)
+    source = {r[0]: "n" if r[3] is None else "s" + r[3] for r in rows}
+    size = {r[0]: len(r[1].split()) for r in rows}
+    sizes = Counter()
+    for i, s in source.items():
+        sizes[s] += size[i]
+    aims = mixing.targets(spark.createDataFrame(list(sizes.items()), "_source string, source_size long"))
+    want = defaultdict(Counter)
+    first_words = Counter()
+    for s in sizes:
+        order = sorted((int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:15], 16), i) for i in source if source[i] == s)
+        stream = [(i, k == 0) for _, i in order for k in range(size[i])] * 2
+        for q in mixing.quotas(aims).where(f"_source = '{s}'").collect():
+            for i, first in stream[q["first_block"] * 64:(q["first_block"] + q["n_blocks"]) * 64]:
+                want[i][q["shard"]] += 1
+                first_words[i, q["shard"]] += first
+    for r in mixing.mix(frame(spark, rows)).collect():
+        assert r["shards"] == ",".join(f"{m}:{n}" for m, n in sorted(want[r["doc_id"]].items())), r
+        assert r["taken"] == want[r["doc_id"]].total()
+    out = mixing.apply(frame(spark, rows), shard="part")
+    assert Counter((r["doc_id"], r["part"]) for r in out.collect()) == +first_words
+
+
 def test_mixing_awkward(spark):
     docs = frame(spark, awkward(), clashes=True)
     got = mixing.mix(docs).collect()

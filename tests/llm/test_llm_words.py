@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from llm_cases import awkward, frame, prose
 
@@ -148,6 +149,18 @@ def test_sketch_length_leaves_no_gap():
         assert index.sketch_length(n) > lacking
 
 
+def test_items_are_searched_by_size_class(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 5, np.unique(rng.integers(0, 2**63, n, np.uint64))) for i, n in enumerate((1, 2, 3, 4, 5, 8, 9, 64, 65, 700))]
+    index = decontaminate.Index(rows + [(99, 2, np.array([7], np.uint64))], 80)
+    assert [(c.width, c.largest) for c in index.classes] == [(2, 1), (5, 1), (5, 2), (5, 4), (5, 8), (5, 16), (5, 64), (5, 128), (5, 1024)]
+    for c in index.classes:
+        assert all(c.largest // 2 < len(index.sets[i]) <= c.largest for i in set(c.owners.tolist()))
+        assert all((c.owners == i).sum() == min(c.sketch, len(index.sets[i])) for i in set(c.owners.tolist()))
+    long = np.unique(np.concatenate([rows[9][2], rows[4][2], rng.integers(0, 2**63, 5000, np.uint64)]))
+    assert [c.candidates([long[:0], long]) for c in index.classes if c.largest in (8, 1024)] == [[(1, 4)], [(1, 9)]]
+
+
 def brute_quality(text):
     t = text or ""
     w = WORD.findall(t)
@@ -183,6 +196,16 @@ def test_ablations_from_the_histogram(spark):
     assert quality_rules.ablations(quality_rules.histogram(book), 0).count() == 0
 
 
+def test_verdicts_name_the_rule_that_decides(spark):
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["few words", "word " * 60, prose(2, 80), prose(3, 80).upper(), "few other words"])]
+    got = {r["doc_id"]: r for r in quality_rules.judge(frame(spark, rows, clashes=True)).collect()}
+    inside = quality_rules.POLICIES[quality_rules.CURRENT]
+    alone = {i: next((n for n, b in quality_rules.BIT.items() if r["failed"] & inside == b), None) for i, r in got.items()}
+    assert {i: r["decided_by"] for i, r in got.items()} == alone and alone[0] == "few_words" and alone[3] == "shouting"
+    n = Counter(alone.values())
+    assert all(r["n_decided"] == (n[alone[i]] if alone[i] else None) for i, r in got.items())
+
+
 def thue_morse(n):
     word = "a"
     while len(word) < n:
