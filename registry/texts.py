@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corrspark.functions import text as T
 from corrspark.functions import words as W
-from corrspark.operators import clean
+from corrspark.operators import clean, dictionary
+from corrspark.session import scratch_dir
+from corrspark.sources import buckets
 from registry import sql_text as S
+from registry import stem_sql as ST
 from registry.base import documents, query, table
 
 
@@ -169,11 +172,52 @@ def clean_lemmas(spark, folder):
     return docs(spark, folder).select("doc_id", clean.lemmatize_text(F.col("text")).alias("text"))
 
 
-@query("clean_stems")
+def _rewritten(texts: str, name: str, form: str) -> str:
+    """CTE ``name(id, text)``: the tokens of a text table replaced by a form from ``stems``."""
+    return f"""{name} AS (SELECT x.id, coalesce(y.text, '') AS text FROM {texts} x LEFT JOIN (
+  SELECT id, string_agg({form}, ' ' ORDER BY i) AS text FROM {texts}_t JOIN stems USING (t) GROUP BY id) y USING (id))"""
+
+
+def _tokens(texts: str) -> str:
+    return f"""{texts}_t AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i
+  FROM (SELECT id, regexp_extract_all(text, {S.quote(S.TOKEN)}) AS ts FROM {texts}))"""
+
+
+@query("clean_stems", f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+{_tokens('d')},
+{ST.stems('d_t')},
+{_rewritten('d', 'r', 'stem')}
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN r.text END AS text FROM d JOIN r USING (id)
+""")
 def clean_stems(spark, folder):
     return docs(spark, folder).select("doc_id", clean.stem_text(F.col("text")).alias("text"))
 
 
+_WORDS = f"""
+WITH d AS (SELECT unnest(regexp_extract_all(text, {S.quote(S.TOKEN)})) AS t FROM documents),
+n AS (SELECT t, count(*) AS n, {_lemma} AS lemma FROM d GROUP BY t),
+l AS (SELECT lemma AS t FROM n),
+{ST.stems('l')}
+SELECT n.t AS token, n, lemma, stem FROM n JOIN stems ON stems.t = lemma
+"""
+
+
+@query("word_dictionary", _WORDS)
+def word_dictionary(spark, folder):
+    return dictionary.with_forms(dictionary.count_tokens(docs(spark, folder)))
+
+
+@query("word_dictionary_batches", _WORDS)
+def word_dictionary_batches(spark, folder):
+    """The same table kept over two batches, the second of them given twice."""
+    root, texts = scratch_dir(spark, "dictionary"), docs(spark, folder)
+    dictionary.update(texts.filter("doc_id % 2 = 0"), root, 0)
+    for _ in range(2):
+        dictionary.update(texts.filter("doc_id % 2 <> 0"), root, 1)
+    return buckets.read(spark, root).select("token", "n", "lemma", "stem")
+
+
 _plural = "CASE WHEN length(t) > 3 AND right(t, 1) = 's' THEN left(t, length(t) - 1) ELSE t END"
 
 
@@ -194,7 +238,18 @@ def _versioned(spark, folder, **lexicons):
     return clean.cumulative_versions(basic, ("text",), **lexicons)
 
 
-@query("text_versions")
+@query("text_versions", f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {S.aggregation('text')} AS basic FROM documents),
+k AS (SELECT id, {S.stop_words('basic')} AS text FROM d),
+l AS (SELECT id, array_to_string([{_lemma} FOR t IN regexp_extract_all(text, {S.quote(S.TOKEN)})], ' ') AS text FROM k),
+{_tokens('l')},
+{ST.stems('l_t')},
+{_rewritten('l', 'r', 'stem')}
+SELECT doc_id, 'Basic' AS preprocessed_version, basic AS text FROM d
+UNION ALL SELECT doc_id, 'Stopwords', k.text FROM d JOIN k USING (id)
+UNION ALL SELECT doc_id, 'Lemmatization', l.text FROM d JOIN l USING (id)
+UNION ALL SELECT doc_id, 'Stemming', r.text FROM d JOIN r USING (id)
+""")
 def text_versions(spark, folder):
     return _versioned(spark, folder)
 
