@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrspark import lexicon
 from corrspark.functions import words as W
+from corrspark.functions.pieces import pieces
 from corrspark.functions.text import strip
 from corrspark.session import materialise
 
@@ -85,6 +88,7 @@ def product_of(uri: Column) -> Column:
 # --- matching --------------------------------------------------------------
 
 MATCH = "array<struct<matched: string, position: int, length: int>>"
+TERM_MATCH = "array<struct<term: string, matched: string, position: int, length: int>>"
 
 
 def quoted(text: Column) -> Column:
@@ -233,24 +237,122 @@ def is_close(word: Column, term: Column, threshold: int = 70) -> Column:
     """Whether two words are more than ``threshold`` percent alike.
 
     Lengths and the edit distance decide nearly all pairs: with replaced letters
-    counted once, it is at most the indel distance and at least its half.
+    counted once, it is at most the indel distance and at least its half. It is
+    worked out only as far as that, and of the rest the letters that the other word
+    has at all bound what they have in common.
     """
     total = F.length(word) + F.length(term)
     needed = least_common(total, threshold)
-    most = total - 2 * needed
-    edits = F.levenshtein(word, term)
+    most = F.greatest(total - 2 * needed, F.lit(0))
+    edits = F.call_function("levenshtein", word, term, most)  # -1: more than that
+    own = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
     return (
-        F.when(F.least(F.length(word), F.length(term)) < needed, False).when(edits > most, False).when(2 * edits <= most, True)
-        .otherwise(common_length(word, term) >= needed)
+        F.when(F.least(F.length(word), F.length(term)) < needed, False).when(edits < 0, False).when(2 * edits <= most, True)
+        .when(F.least(own(word, term), own(term, word)) < needed, False).otherwise(common_length(word, term) >= needed)
     )
 
 
 WORD = r"(?U)\w+"
 
 
+class _Close(dict):
+    """Whether words are like one term, each worked out once."""
+
+    def __init__(self, term: str, threshold: int):
+        super().__init__()
+        self.term, self.threshold = term, threshold
+
+    def fits(self, size: int) -> bool:
+        """Whether the lengths allow it."""
+        return min(size, len(self.term)) >= self.needed(size)
+
+    def needed(self, size: int) -> int:
+        """:func:`least_common` of a word of ``size`` letters."""
+        share = (2 * self.threshold + 1) * (size + len(self.term))
+        return share // 400 + 1 if self.threshold % 2 == 0 else -(-share // 400)
+
+    def __missing__(self, word: str) -> bool:
+        self[word] = out = self.fits(len(word)) and W.common_length(word, self.term) >= self.needed(len(word))
+        return out
+
+
+#: Words that a task remembers as compared, at most (but for those of one piece).
+KNOWN_WORDS = 1 << 18
+
+
+def _close_places(words: list[str], asked: list[str | None], known: dict[str, _Close], threshold: int) -> Iterator[tuple[int, int]]:
+    """(term, word) numbers of the words of one text that are like a term."""
+    longest = max(map(len, words), default=0)
+    for k, term in enumerate(asked):
+        if term is None:
+            continue
+        close = known.get(term)
+        if close is None:
+            close = known[term] = _Close(term, threshold)
+        if longest < len(term) and not close.fits(longest):
+            continue  # nor do the lengths of the other words
+        yield from ((k, i) for i, w in enumerate(words) if close[w])
+
+
+def _starts(words: pa.Array, gaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all words in their texts, and per row where its first one stands in that list."""
+    size = lambda xs: np.nan_to_num(pc.list_value_length(xs).to_numpy(zero_copy_only=False)).astype(np.int64)
+    letters = lambda xs: pc.utf8_length(xs.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    n, lengths = size(words), letters(words)
+    first, first_gap = np.cumsum(n) - n, np.cumsum(size(gaps)) - size(gaps)
+    row = np.repeat(np.arange(len(n)), n)
+    before = letters(gaps)[np.arange(len(lengths)) - first[row] + first_gap[row]]  # the piece before each word
+    ends = np.cumsum(before + lengths)
+    base = np.concatenate([[0], ends])[first]
+    return ends - lengths - base[row], first
+
+
+PLACES = pa.struct([("term", pa.int32()), ("word", pa.int32()), ("position", pa.int32())])
+
+
+def fuzzy_matches_each(text: Column, terms: Column, threshold: int = 70) -> Column:
+    """Words of a text that resemble the terms of a list: term, matched text, position, length.
+
+    Words, the pieces between them and terms come from column expressions; tasks
+    compare each distinct pair once, as far as they remember it. Null terms are like
+    nothing.
+    """
+
+    @F.arrow_udf("array<struct<term: int, word: int, position: int>>")
+    def close(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        known: dict[str, _Close] = {}
+        for batch in batches:
+            for start, size in pieces(batch[0]):
+                if len(known) + sum(map(len, known.values())) > KNOWN_WORDS:
+                    known.clear()
+                words, low, gaps, asked = (c.slice(start, size) for c in batch)
+                places, first = _starts(words, gaps)
+                found, ends = [], [0]
+                for row, (own, wanted) in enumerate(zip(low.to_pylist(), asked.to_pylist())):
+                    if own is not None and wanted is not None:
+                        found += [(k, i, first[row] + i) for k, i in _close_places(own, wanted, known, threshold)]
+                    ends.append(len(found))
+                k, i, at = np.array(found, np.int64).reshape(-1, 3).T
+                match = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (k, i, places[at])], fields=list(PLACES))
+                none = pc.or_(pc.is_null(low), pc.is_null(asked))
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), match, mask=none)
+
+    low = lambda xs: F.transform(xs, lambda x: F.lower(x))
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+    def named(x: Column) -> Column:
+        word = lambda m: F.get(x["words"], m["word"])
+        return F.transform(x["found"], lambda m: F.struct(
+            F.get(terms, m["term"]).alias("term"), word(m).alias("matched"), m["position"].alias("position"), F.length(word(m)).alias("length")))
+
+    found = close(words, low(words), F.split(text, WORD, -1), low(terms))
+    return F.transform(F.array(F.struct(found.alias("found"), words.alias("words"))), named)[0].cast(TERM_MATCH)
+
+
 def fuzzy_matches(text: Column, term: Column, threshold: int = 70) -> Column:
     """Words of a text that resemble the term."""
-    return column_spans(text, F.lit(WORD), lambda m: is_close(F.lower(m), F.lower(term), threshold))
+    found = fuzzy_matches_each(text, F.array(term), threshold)
+    return F.transform(found, lambda m: F.struct(m["matched"].alias("matched"), m["position"].alias("position"), m["length"].alias("length"))).cast(MATCH)
 
 
 def fuzzy_runs(term: str, text: str, threshold: int = 70) -> list[tuple[str, int, int, bool]]:

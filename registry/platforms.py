@@ -159,10 +159,10 @@ SELECT l_orderkey, l_linenumber, e.term, matched, position, CAST(length(matched)
 """)
 def cpe_fuzzy_matches(spark, folder):
     """Words like the supplier, the type, the product's name or any word of it."""
-    terms = F.explode(F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_name", "s_name", "p_type")))).alias("term")
-    rows = sentences(spark, folder).select("l_orderkey", "l_linenumber", "text", terms)
-    found = F.explode(cpe.fuzzy_matches(F.col("text"), F.col("term")))
-    return rows.select("l_orderkey", "l_linenumber", "term", found.alias("m")).select("l_orderkey", "l_linenumber", "term", "m.*")
+    terms = F.array_distinct(F.concat(F.split("p_name", " "), F.array("p_name", "s_name", "p_type")))
+    rows = sentences(spark, folder).select("l_orderkey", "l_linenumber", "text", terms.alias("terms"))
+    found = F.explode(cpe.fuzzy_matches_each(F.col("text"), F.col("terms")))
+    return rows.select("l_orderkey", "l_linenumber", found.alias("m")).select("l_orderkey", "l_linenumber", "m.*")
 
 
 @query("cpe_fuzzy_spans", f"""

@@ -349,6 +349,33 @@ def test_fuzzy_matches_equal_the_plain_words(spark):
         assert [tuple(m) for m in r["m"]] == cpe_plain.fuzzy_words(r["w"], r["t"])
 
 
+def test_fuzzy_matches_of_many_terms_in_pieces(spark, monkeypatch):
+    """A list of terms finds what they find one by one, whatever the pieces of a batch; places are those of the text as it stands."""
+    rows = [("Der Server, servre İİ Server", ["server", "İİ", None, "der"]), (None, ["a"]), ("", ["a"]), ("  x server", []), ("servers", None), ("lone server", ["SERVER"])]
+    df = spark.createDataFrame(rows, "t string, ws array<string>").repartition(1)
+    got = {r["t"]: r["m"] for r in df.select("t", cpe.fuzzy_matches_each(F.col("t"), F.col("ws")).alias("m")).collect()}
+    one = df.select("t", F.explode("ws").alias("w")).select("t", "w", cpe.fuzzy_matches(F.col("t"), F.col("w")).alias("m")).collect()
+    for t, ws in rows:
+        if t is None or ws is None:
+            assert got[t] is None
+            continue
+        want = [(r["w"], *m) for r in one if r["t"] == t for m in r["m"]]
+        assert sorted(map(tuple, got[t])) == sorted(want)
+        assert all(t[m["position"]:m["position"] + m["length"]] == m["matched"] for m in got[t])
+    assert [m["position"] for m in got["Der Server, servre İİ Server"] if m["term"] == "server"] == [4, 12, 22]
+
+
+def test_pieces_of_a_batch_are_bounded():
+    import pyarrow as pa
+
+    from corrspark.functions.pieces import pieces
+
+    texts = pa.array(["a" * 10, None, "b" * 500, "", "c"])
+    assert list(pieces(texts, 100)) == [(0, 2), (2, 1), (3, 2)]
+    assert list(pieces(pa.array([["a"] * 30, None, [], ["b"]]), 80)) == [(0, 3), (3, 1)]
+    assert list(pieces(pa.array([], pa.string()))) == []
+
+
 def test_cpe_aggregate(spark):
     data = [(1, "cpe:2.3:a:v:p:2:*:*:*:*:win:*:*"), (2, "cpe:2.3:a:v:p:1:-:*:*:*:win:*:*"), (3, "cpe:2.3:a:v:p:2:*:*:*:*:mac"), (4, "cpe:/a:v:p"), (5, "cpe:2.3:a:v")]
     row = cpe.aggregate_uris(spark.createDataFrame(data, "i int, uri string"), "uri", pos="i").collect()
