@@ -26,3 +26,11 @@ def pieces(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
         stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield start, stop - start
         start = stop
+
+
+def map_pieces(column: pa.Array, rule, out: pa.DataType) -> pa.Array:
+    """A function of every value that is not null."""
+    done = [
+        pa.array([None if x is None else rule(x) for x in column.slice(start, size).to_pylist()], out) for start, size in pieces(column)
+    ]
+    return pa.concat_arrays(done) if done else pa.array([], out)

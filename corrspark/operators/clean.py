@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, fields, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corrspark import lexicon
 from corrspark.functions import text as T
 from corrspark.functions import words as W
+from corrspark.functions.pieces import map_pieces
 from corrspark.operators.blocks import BROADCAST_LIMIT, ROW, measured_size, numbered, text_bytes
 
 # Word repeats and file paths (patterns of the Python regex engine).
@@ -64,11 +65,11 @@ def service_options(flags: dict[str, bool] | None = None) -> CleanOptions:
 
 
 def _rewrite(col: Column, rule) -> Column:
-    """Apply a string rule inside Arrow batches; null stays null."""
+    """Apply a string rule inside Arrow batches, piece by piece; null stays null."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(rule, na_action="ignore")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return map_pieces(texts, rule, pa.string())
 
     return run(col)
 
@@ -119,10 +120,10 @@ def lemmatize_with_lexicon(
         pairs = listed.toArrow().to_pydict()
         shared = df.sparkSession.sparkContext.broadcast(dict(zip(pairs["token"], pairs["lemma"])))
 
-        @F.pandas_udf("string")
-        def lookup(tokens: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def lookup(tokens: pa.Array) -> pa.Array:
             lemma = shared.value
-            return tokens.map(lambda words: None if words is None else " ".join(lemma.get(w, w) for w in words))
+            return map_pieces(tokens, lambda words: " ".join(lemma.get(w, w) for w in words), pa.string())
 
         return df.withColumn(out, lookup(token))
     rows = numbered(df.withColumn("_tokens", token))
@@ -208,9 +209,9 @@ LIST_FIELDS = (
 
 
 def _list_rule(col: Column, rule) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda items: None if items is None else [rule(x) for x in items])
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return map_pieces(lists, lambda items: [rule(x) for x in items], pa.list_(pa.string()))
 
     return run(col)
 

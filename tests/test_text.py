@@ -126,3 +126,18 @@ def test_steps_are_idempotent(spark, text):
     twice = once.select(*[s(F.col(f"c{i}")).alias(f"c{i}") for i, s in enumerate(steps)])
     assert once.first() == twice.first()
     assert not re.search(r"\d", once.first()["c1"])
+
+
+def test_text_rules_in_pieces(spark, monkeypatch):
+    """Rules see every text of a batch, whatever its pieces; null stays null, empty stays empty."""
+    monkeypatch.setattr("corrspark.functions.pieces.PIECE_BYTES", 20)
+    texts = ["two cats", None, "", "boxes " * 40, "dogs"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    got = {r["i"]: (r["l"], r["s"]) for r in df.select("i", clean.lemmatize_text(F.col("t")).alias("l"), clean.stem_text(F.col("t")).alias("s")).collect()}
+    assert got == {0: ("two cat", "two cat"), 1: (None, None), 2: ("", ""), 3: (" ".join(["box"] * 40),) * 2, 4: ("dog", "dog")}
+
+
+def test_words_remembered_per_worker_are_few():
+    from corrspark.functions import words as W
+
+    assert all(f.cache_info().maxsize <= 1 << 16 for f in (W.stem, W.noun_lemma, W.ratio))
