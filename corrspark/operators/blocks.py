@@ -15,9 +15,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.dataset
 import pyarrow.fs
 from pyspark import Broadcast, StorageLevel
@@ -28,6 +30,8 @@ from corrspark.session import materialise, scratch_dir
 BROADCAST_LIMIT = 128 << 20
 # result cells worked out at a time: bounds the memory of a task, whatever the catalogue
 CELLS = 1 << 22
+# the same where a cell may be a hit of a text
+ARROW_CELLS = 1 << 18
 
 
 def measured_size(catalogue: DataFrame, row_bytes: Column) -> int:
@@ -45,16 +49,19 @@ def text_bytes(*texts: Column) -> Column:
     return total
 
 
-Apply = Callable[[pd.DataFrame, object], pd.DataFrame]
+Batch = TypeVar("Batch", pd.DataFrame, pa.RecordBatch)
+Apply = Callable[[Batch, object], Batch]
 
 
-def _in_pieces(batch: pd.DataFrame, prepared: object, apply: Apply, cells: int) -> Iterator[pd.DataFrame]:
+def _in_pieces(batch: Batch, prepared: object, apply: Apply, cells: int) -> Iterator[Batch]:
     """Results of a batch, taken in pieces whose rows times the catalogue's width fit."""
     width = prepared.width if hasattr(prepared, "width") else len(prepared)
     step = max(1, cells // max(1, width))
-    for start in range(0, len(batch), step):
-        out = apply(batch.iloc[start : start + step], prepared)
-        if len(out):
+    rows = batch.num_rows if isinstance(batch, pa.RecordBatch) else len(batch)
+    for start in range(0, rows, step):
+        piece = batch.slice(start, step) if isinstance(batch, pa.RecordBatch) else batch.iloc[start : start + step]
+        out = apply(piece, prepared)
+        if out.num_rows if isinstance(out, pa.RecordBatch) else len(out):
             yield out
 
 
@@ -203,15 +210,16 @@ class Loaded:
         return self.prepared
 
 
-def map_blocks(large: DataFrame, blocks: Blocks, prepare: Callable[[pd.DataFrame], object], apply: Apply, schema: str) -> DataFrame:
+def map_blocks(large: DataFrame, blocks: Blocks, prepare: Callable[[pd.DataFrame], object], apply: Apply, schema: str, arrow: bool = False) -> DataFrame:
     """Rows of ``apply(batch, prepare(block))`` of every batch and block.
 
     What ``prepare`` gives has a ``width`` (or a length): the result cells per row
-    of the large table.
+    of the large table. With ``arrow`` batches are Arrow's own, so that lists and
+    texts become Python objects only where ``apply`` looks at them.
     """
-    cells = CELLS
+    cells = min(CELLS, ARROW_CELLS) if arrow else CELLS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         loaded = Loaded(blocks, prepare)
         order = list(range(len(blocks)))
         for batch in batches:
@@ -219,4 +227,4 @@ def map_blocks(large: DataFrame, blocks: Blocks, prepare: Callable[[pd.DataFrame
                 yield from _in_pieces(batch, loaded.get(i), apply, cells)
             order.reverse()  # the block that is held comes first
 
-    return large.mapInPandas(run, schema)
+    return large.mapInArrow(run, schema) if arrow else large.mapInPandas(run, schema)

@@ -25,7 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corrspark import lexicon
 from corrspark.functions.vectors import cosine
@@ -348,6 +351,14 @@ def score_patterns(
     names = [key, "model", "capec_id", "final_score", "rank", *(("fields", "field_scores", "execution_flow_score") if scores else ())]
     schema = f"{key} {key_type}, model string, capec_id string, final_score double, rank int{more}"
 
+    if len(blocks) == 1 and hits:  # hits become objects for a piece of a batch only
+        shape = to_arrow_schema(StructType.fromDDL(schema))
+
+        def scored(batch: pa.RecordBatch, cat: Catalogue) -> pa.RecordBatch:
+            rows = batch.to_pandas()
+            return pa.RecordBatch.from_pandas(scorer.rows(rows, scorer.cells(rows, cat, top), names), shape, preserve_index=False)
+
+        return map_blocks(needed, blocks, Catalogue, scored, schema, arrow=True)
     if len(blocks) == 1:
         return map_blocks(needed, blocks, Catalogue, lambda batch, cat: scorer.rows(batch, scorer.cells(batch, cat, top), names), schema)
     if top is not None or wanted:

@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from corrspark.functions.pieces import pieces
 from corrspark.session import materialise
 from corrspark.sources import buckets
 
@@ -29,7 +31,8 @@ def stored(vectors: DataFrame) -> Encode:
 
 
 def encode_with(load: Callable[[], Model], batch_size: int = 64) -> Encode:
-    """``load`` builds the model once per task; equal texts of a batch are encoded once.
+    """``load`` builds the model once per task; equal texts of a piece of a batch are encoded once; other
+    columns pass by as they are.
 
     If the model fails on a group of texts, they are given to it one by one; a text
     that it can't encode has no vector, which ``correlate`` reports. A model that
@@ -44,17 +47,23 @@ def encode_with(load: Callable[[], Model], batch_size: int = 64) -> Encode:
                 return {}
             return {t: v for text in texts for t, v in encoded(model, [text]).items()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors_of(model: Model, column: pa.Array) -> pa.Array:
+        known = pc.drop_null(column.unique()).to_pylist()
+        vectors: dict[str, np.ndarray] = {}
+        for start in range(0, len(known), batch_size):
+            vectors.update(encoded(model, known[start : start + batch_size]))
+        return pa.array([vectors.get(t) for t in column.to_pylist()], pa.list_(pa.float32()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for batch in batches:
-            known = batch["text"].dropna().unique().tolist()
-            vectors: dict[str, np.ndarray] = {}
-            for start in range(0, len(known), batch_size):
-                vectors.update(encoded(model, known[start : start + batch_size]))
-            yield batch.assign(vector=pd.Series([vectors.get(t) for t in batch["text"]], index=batch.index, dtype=object))
+            texts = batch.column("text")
+            for start, size in pieces(texts):
+                piece = batch.slice(start, size)
+                yield pa.RecordBatch.from_arrays([*piece.columns, vectors_of(model, piece.column("text"))], names=[*batch.schema.names, "vector"])
 
     def apply(rows: DataFrame) -> DataFrame:
-        return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))]))
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("vector", ArrayType(FloatType()))]))
 
     return apply
 

@@ -120,3 +120,16 @@ def test_title_score():
     assert keyword.fuzzy_title_score("SQL injection", "a sql injection") == 0.3
     assert keyword.fuzzy_title_score("alpha beta", "alpha gamma") == pytest.approx(0.15 + 0.1)
     assert keyword.fuzzy_title_score("server one two three", "servre one") == pytest.approx(0.3 / 4 + 0.15 / 4 + 0.05)
+
+
+def test_hits_in_pieces_and_blocks_agree(spark, monkeypatch):
+    """Batches cut into pieces, one block or many, null texts and repeated keys: the same scores."""
+    texts, keywords = corpus(3)
+    texts = [*texts, texts[0], (None, "sql injection"), ("t77", None), ("t78", "")]
+    df = spark.createDataFrame(texts, "cve_id string, text string").repartition(1)
+    kw = spark.createDataFrame(keywords, "capec_id string, keyword string")
+    collect = lambda limit: sorted((str(r[0]), r[1], r[2]) for r in keyword.keyword_scores(df, kw, limit=limit).collect())
+    whole = collect(1 << 27)
+    assert len(whole) == len(texts) * len({p for p, _ in keywords})
+    monkeypatch.setattr("corrspark.operators.blocks.ARROW_CELLS", 7)
+    assert collect(1 << 27) == whole and collect(1 << 10) == whole
