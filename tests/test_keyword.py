@@ -133,3 +133,21 @@ def test_hits_in_pieces_and_blocks_agree(spark, monkeypatch):
     assert len(whole) == len(texts) * len({p for p, _ in keywords})
     monkeypatch.setattr("corrspark.operators.blocks.ARROW_CELLS", 7)
     assert collect(1 << 27) == whole and collect(1 << 10) == whole
+
+
+def test_fuzzy_title_compares_words_of_fitting_length_only(monkeypatch):
+    """The score is that of all comparisons, and lengths rule most of them out."""
+    draw, asked, plain = random.Random(5), [], W.ratio
+    word = lambda: "".join(draw.choices("abc", k=draw.randint(1, 12)))
+    monkeypatch.setattr(W, "ratio", lambda a, b: asked.append((a, b)) or plain(a, b))
+    for _ in range(200):
+        title, text = (" ".join(word() for _ in range(k)) for k in (4, 12))
+        got = keyword.fuzzy_title_score(title, text, stem=str)
+        names, pool = title.split(), set(text.split())
+        if title in text:
+            continue
+        hit = sum(n in pool for n in names)
+        near = sum(n not in pool and max(plain(n, b) for b in pool) > 80 for n in names)
+        share = hit / 4
+        assert got == pytest.approx(hit * 0.3 / 4 + near * 0.15 / 4 + (0.1 if 0.5 <= share < 0.75 else 0.05 if 0.25 <= share < 0.5 else 0.0))
+    assert asked and all(round(200 * min(len(a), len(b)) / (len(a) + len(b))) > 80 for a, b in asked)
