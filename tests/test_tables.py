@@ -270,6 +270,38 @@ def test_indexed_search_is_a_scan(spark, tmp_path):
     assert grams.postings(spark, path, "ab") is None
 
 
+def test_index_holds_lists_of_keys(spark, tmp_path):
+    data = [(i // 2, "ab\U0001f600cd" if i % 2 else "abé") for i in range(400)] + [(None, "abé"), (7, "cdabé")]
+    df = spark.createDataFrame(data, "id long, t string").coalesce(1)
+    path = grams.build(df, "id", ("t",), str(tmp_path / "grams"))
+    # a piece has a list per run of texts, not a row per text
+    assert spark.read.parquet(f"{path}/postings").count() == 3 + 3
+    found = lambda query: sorted(r["id"] for r in grams.search(df, "id", ("t",), query, path).collect())
+    assert found("B\U0001f600C") == list(range(200)) and found("dabÉ") == [7] and found("abé") == sorted([*range(200), 7])
+
+
+def test_pieces_of_many_letters_are_taken_in_halves():
+    import pyarrow as pa
+
+    texts = ["".join(map(chr, range(300 + 7 * i, 300 + 7 * i + 40))) for i in range(9)] + ["", "ab"]
+    def holders(columns):
+        out = {}
+        for names, ends, rows in grams._holders(columns):
+            for name, a, b in zip(names, ends, ends[1:]):
+                out.setdefault(name, set()).update(rows[a:b].tolist())
+        return out
+
+    want = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 2):
+            want.setdefault(t[k:k + 3], set()).add(i)
+    assert holders([pa.array(texts)]) == want
+    assert holders([pa.array(texts), pa.array(["abc"] * len(texts))]) == want | {"abc": set(range(len(texts)))}
+    # every letter of the code, so that pieces and rows pass one number
+    wide = pa.array(["".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)])), "abc", "xabc", "abc", "", "abc", "abc", "abc", "abc"])
+    assert holders([wide])["abc"] == {0, 1, 2, 3, 5, 6, 7, 8}
+
+
 URI = "cpe:2.3:a:apache:http_server:1.3:*:*:en:pro:linux:*:*"
 
 
