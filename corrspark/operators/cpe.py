@@ -364,25 +364,41 @@ def fuzzy_runs(term: str, text: str, threshold: int = 70) -> list[tuple[str, int
     the term, which are compared with its windows, are given one by one. So the
     result is whole, and linear in the text.
     """
-    term, low = term.lower(), text.lower()
-    found = [m.span() for m in re.finditer(r"\w+", text)]
-    size = len(term)
-    if not found or not size or len(low) != len(text):
-        return _fuzzy_runs_plain(term, text, found, threshold) if found and size else []
-    good = np.flatnonzero(_window_ratios(low, term) > threshold)
-    ends = np.array([e for _, e in found])
-    out = []
-    for i, (start, _) in enumerate(found):
-        j = i
-        while j < len(found) and found[j][1] - start < size:
-            if W.partial_ratio(low[start:found[j][1]], term) > threshold:
-                out.append((text[start:found[j][1]], start, found[j][1] - start, False))
-            j += 1
-        at = np.searchsorted(good, start)
-        if at < len(good):
-            k = int(np.searchsorted(ends, good[at] + size))
+    return _fuzzy_runs_each([term], [text], threshold)[0]
+
+
+def _fuzzy_runs_each(terms: list[str], texts: list[str], threshold: int) -> list[list[tuple[str, int, int, bool]]]:
+    """:func:`fuzzy_runs` of every term and text: the windows of all of them are compared together."""
+    out: list[list] = [[] for _ in terms]
+    asked, pairs = [], []  # per text its words and runs; what is to be compared
+    for row, (term, text) in enumerate(zip(terms, texts)):
+        term, low = term.lower(), text.lower()
+        found = [m.span() for m in re.finditer(r"\w+", text)]
+        size = len(term)
+        if not found or not size:
+            continue
+        if len(low) != len(text):
+            out[row] = _fuzzy_runs_plain(term, text, found, threshold)
+            continue
+        short = []
+        for i, (start, _) in enumerate(found):
+            for _, end in found[i:]:
+                if end - start >= size:
+                    break
+                short.append((start, end))
+        asked.append((row, size, found, short, len(pairs)))
+        pairs += [(term, low), *((low[start:end], term) for start, end in short)]
+    good = _close_windows(pairs, threshold)
+    for row, size, found, short, at in asked:
+        text, ends = texts[row], np.array([e for _, e in found])
+        done = [(text[start:end], start, end - start, False) for (start, end), near in zip(short, good[at + 1:at + 1 + len(short)]) if len(near)]
+        starts = np.array([s for s, _ in found])
+        # the first window from each word on, and the first word that ends behind it
+        window = np.append(good[at], len(text) + size)[np.searchsorted(good[at], starts)]
+        for start, k in zip(starts.tolist(), np.searchsorted(ends, window + size).tolist()):
             if k < len(found):
-                out.append((text[start:found[k][1]], start, found[k][1] - start, True))
+                done.append((text[start:found[k][1]], start, found[k][1] - start, True))
+        out[row] = sorted(done, key=lambda m: m[1:3])
     return out
 
 
@@ -399,37 +415,83 @@ def _fuzzy_runs_plain(term: str, text: str, found: list[tuple[int, int]], thresh
     return out
 
 
-def _window_ratios(text: str, term: str) -> np.ndarray:
-    """Ratio of the term and every window of its length, window by offset."""
-    size, n = len(term), len(text) - len(term) + 1
-    if n <= 0:
-        return np.zeros(0, int)
-    if size > ROW_BITS:
-        return np.array([W.ratio(text[o:o + size], term) for o in range(n)])
-    letters, place = np.unique(np.array(list(text)), return_inverse=True)
-    bits = {}
-    for i, c in enumerate(term):
-        bits[c] = bits.get(c, 0) | (1 << i)
-    hits = np.array([bits.get(str(c), 0) for c in letters], np.int64)[place]
-    row = np.full(n, (1 << size) - 1, np.int64)
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+#: Windows that are compared at a time, at most (but for those of one text).
+WINDOWS = 1 << 18
+
+
+def _close_windows(pairs: list[tuple[str, str]], threshold: int) -> list[np.ndarray]:
+    """Per (pattern, text): where the windows as long as the pattern start that are more alike than the threshold.
+
+    Pairs with patterns of one length are compared together, one row of bits per window.
+    """
+    out = [np.zeros(0, np.int64)] * len(pairs)
+    by_size: dict[int, list[int]] = {}
+    for i, (pattern, text) in enumerate(pairs):
+        if len(pattern) > ROW_BITS:
+            windows = range(len(text) - len(pattern) + 1)
+            out[i] = np.array([o for o in windows if W.ratio(text[o:o + len(pattern)], pattern) > threshold], np.int64)
+        elif 0 < len(pattern) <= len(text):
+            by_size.setdefault(len(pattern), []).append(i)
+    for size, own in by_size.items():
+        ends = np.cumsum([len(pairs[i][1]) for i in own])
+        start = 0
+        while start < len(own):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + WINDOWS, "right")))
+            some = own[start:stop]
+            pair, offset = _close_of_size([pairs[i][0] for i in some], [pairs[i][1] for i in some], size, threshold)
+            first = np.searchsorted(pair, np.arange(len(some) + 1))
+            for k in np.unique(pair).tolist():
+                out[some[k]] = offset[first[k]:first[k + 1]]
+            start = stop
+    return out
+
+
+def _close_of_size(patterns: list[str], texts: list[str], size: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, offset) of the windows that are alike, for patterns of one size."""
+    lengths = np.array([len(t) for t in texts])
+    row, letters, spelled = np.repeat(np.arange(len(texts)), lengths), _codes(texts), _codes(patterns).reshape(-1, size)
+    hits = np.zeros(len(letters), np.int64)
+    for i in range(size):
+        hits |= (spelled[row, i] == letters).astype(np.int64) << i
+    offset = np.arange(len(letters)) - (np.cumsum(lengths) - lengths)[row]
+    at = np.flatnonzero(offset <= lengths[row] - size)
+    full = (1 << size) - 1
+    state = np.full(len(at), full, np.int64)
     for k in range(size):
-        hit = row & hits[k:k + n]
-        row = ((row + hit) | (row - hit)) & ((1 << size) - 1)
-    return np.rint(100 * (size - np.bitwise_count(row).astype(int)) / size).astype(int)
+        hit = state & hits[at + k]
+        state = ((state + hit) | (state - hit)) & full
+    alike = np.rint(100 * (size - np.bitwise_count(state).astype(int)) / size) > threshold
+    return row[at[alike]], offset[at[alike]]
 
 
 RUN = "array<struct<matched: string, position: int, length: int, open: boolean>>"
+RUNS = pa.struct([("matched", pa.string()), ("position", pa.int32()), ("length", pa.int32()), ("open", pa.bool_())])
+#: Bytes of text whose runs are Python objects at a time.
+RUN_BYTES = 1 << 18
 
 
 def fuzzy_span_matches(text: Column, term: Column, threshold: int = 70) -> Column:
     """Runs of words that resemble the term, without a bound on their length (see :func:`fuzzy_runs`)."""
 
-    @F.pandas_udf(RUN)
-    def run(texts: pd.Series, terms: pd.Series) -> pd.Series:
-        names = ("matched", "position", "length", "open")
-        return pd.Series([
-            None if t is None or w is None else [dict(zip(names, m)) for m in fuzzy_runs(w, t, threshold)] for t, w in zip(texts, terms)
-        ], dtype=object)
+    @F.arrow_udf(RUN)
+    def run(texts: pa.Array, terms: pa.Array) -> pa.Array:
+        done = []
+        for start, size in pieces(texts, RUN_BYTES):
+            own, asked = texts.slice(start, size).to_pylist(), terms.slice(start, size).to_pylist()
+            known = [i for i, (t, w) in enumerate(zip(own, asked)) if t is not None and w is not None]
+            found: list[list | None] = [None] * size
+            for i, runs in zip(known, _fuzzy_runs_each([asked[i] for i in known], [own[i] for i in known], threshold)):
+                found[i] = runs
+            flat = list(zip(*(m for runs in found if runs for m in runs))) or [()] * 4
+            ends = np.cumsum([0, *(len(runs or ()) for runs in found)])
+            match = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, RUNS)], fields=list(RUNS))
+            done.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), match, mask=pa.array([runs is None for runs in found])))
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(RUNS))
 
     return run(text, term)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corrspark.operators import cpe
+from corrspark.session import spread
 from registry.base import documents, line_items, query, table
 
 _part = "CASE l_returnflag WHEN 'A' THEN 'a' WHEN 'N' THEN 'h' WHEN 'R' THEN 'o' END"
@@ -182,7 +183,8 @@ SELECT p_partkey, substring(text, CAST(position + 1 AS BIGINT), CAST(length AS B
 """)
 def cpe_fuzzy_spans(spark, folder):
     """Runs like the product's name in its description, whatever their length."""
-    rows = table(spark, folder, "part").withColumn("text", F.concat("p_type", F.lit(" "), "p_name", F.lit(" of "), "p_brand"))
+    parts = spread(table(spark, folder, "part"), "p_partkey")
+    rows = parts.withColumn("text", F.concat("p_type", F.lit(" "), "p_name", F.lit(" of "), "p_brand"))
     found = F.explode(cpe.fuzzy_span_matches(F.col("text"), F.col("p_name")))
     return rows.select("p_partkey", found.alias("m")).select("p_partkey", "m.*")
 
