@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corrspark.functions.records import cve_sort_key, cve_year, is_active
+from corrspark.session import dealt
 from corrspark.sources.inputs import GENERIC_HOST
 
 
@@ -66,12 +67,12 @@ def completeness(requests: DataFrame, results: DataFrame) -> DataFrame:
 
     Complete: as many complete results as requested ids, none for another id.
     """
-    asked = requests.select("task_id", "cve_id").distinct()
+    asked = requests.select("task_id", "cve_id")
     done = results.filter(F.col("status") == "complete").select("task_id", "cve_id")
     marks = asked.select("task_id", "cve_id", F.lit(1).alias("asked"), F.lit(0).alias("done")).unionByName(
         done.select("task_id", "cve_id", F.lit(0).alias("asked"), F.lit(1).alias("done"))
     )
-    per_id = marks.groupBy("task_id", "cve_id").agg(F.max("asked").alias("asked"), F.sum("done").alias("done"))
+    per_id = dealt(marks, "task_id", "cve_id").groupBy("task_id", "cve_id").agg(F.max("asked").alias("asked"), F.sum("done").alias("done"))
     totals = per_id.groupBy("task_id").agg(
         F.sum("asked").alias("requested"),
         F.sum("done").alias("complete"),

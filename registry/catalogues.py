@@ -8,7 +8,7 @@ from corrspark import schemas
 from corrspark.functions import records as R
 from corrspark.operators import control, grams, links, sample, tasks, upsert
 from corrspark.plans import refresh
-from corrspark.session import materialise
+from corrspark.session import dealt, materialise
 from corrspark.sources import cve, inputs, writers
 from registry.base import documents, placed, query, table
 from registry.scores import RANKED, patterns, ranked
@@ -509,9 +509,10 @@ SELECT task_id, requested, complete, complete - inside AS foreign, requested = c
   FROM (SELECT task_id, cve_id AS x, cve_id FROM asked) a FULL JOIN (SELECT task_id, cve_id AS x, cve_id FROM done) d USING (task_id, x) GROUP BY task_id)
 """)
 def completeness(spark, folder):
-    orders = table(spark, folder, "orders")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     asked = orders.select(F.col("o_orderstatus").alias("task_id"), F.col("o_orderkey").alias("cve_id"))
-    done = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    items = dealt(table(spark, folder, "lineitem").select("l_orderkey"), "l_orderkey")
+    done = items.join(dealt(orders, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     moved = F.when(F.col("l_orderkey") % 3 == 0, "P").otherwise(F.col("o_orderstatus"))
     done = done.select(moved.alias("task_id"), F.col("l_orderkey").alias("cve_id")).distinct().withColumn("status", F.lit("complete"))
     return tasks.completeness(asked, done)

@@ -90,6 +90,15 @@ def test_search_and_lookups(spark, rows):
     assert rows(links.browse(df, "SHORT", ("id", "description")), "id") == [("CVE-12",)]
 
 
+def test_completeness_keeps_its_parts(spark):
+    asked = spark.createDataFrame([("t", 1), ("t", 1), ("t", 2), ("t", None), ("u", 3)], "task_id string, cve_id int")
+    done = spark.createDataFrame([("t", 1, "complete"), ("t", None, "complete"), ("t", 2, "failed"), ("u", 3, "complete"), ("u", 4, "complete")], "task_id string, cve_id int, status string")
+    state = tasks.completeness(asked, done)
+    assert sorted(tuple(r) for r in state.collect()) == [("t", 3, 2, 0, False), ("u", 1, 2, 1, False)]
+    # parts of a given number are not merged by their packed bytes
+    assert "REPARTITION_BY_NUM" in state._jdf.queryExecution().executedPlan().toString()
+
+
 def test_requests(spark, rows):
     asked = spark.createDataFrame([("t", "a", "h2"), ("t", "a", "h1"), ("t", "b", "h2")], "task_id string, cve_id string, host string")
     assert rows(tasks.invert_hosts(asked), "cve_id", "host", "n_hosts") == [("a", "h1", 2), ("a", "h2", 2), ("b", "h2", 1)]
@@ -329,6 +338,14 @@ def test_cpe_columns_agree_with_the_word_helpers(spark):
         assert r["split"] == cpe_plain.replace_split(r["t"], r["p"].split()[0], "#")
 
 
+def test_short_words_are_left_out_without_a_division(spark):
+    df = spark.createDataFrame([(a * "x", b * "x") for a in range(12) for b in range(12)], "a string, b string")
+    for threshold in (50, 70, 71, 80, 99):
+        close, same = cpe.is_close(F.col("a"), F.col("b"), threshold), cpe.ratio(F.col("a"), F.col("b")) > threshold
+        assert df.filter((F.length("a") + F.length("b") > 0) & (close != same)).count() == 0
+        assert "/" not in str(close).split(" THEN ")[0]
+
+
 def _random_text(pick, words, n):
     return "".join(pick.choice(words) + pick.choice([" ", " ", " ", "  ", ", ", ".", "-"]) for _ in range(n))
 
