@@ -1,5 +1,6 @@
 """The indexed keyword pass against a pair-by-pair brute force."""
 
+import re
 import random
 
 import pytest
@@ -151,3 +152,27 @@ def test_fuzzy_title_compares_words_of_fitting_length_only(monkeypatch):
         share = hit / 4
         assert got == pytest.approx(hit * 0.3 / 4 + near * 0.15 / 4 + (0.1 if 0.5 <= share < 0.75 else 0.05 if 0.25 <= share < 0.5 else 0.0))
     assert asked and all(round(200 * min(len(a), len(b)) / (len(a) + len(b))) > 80 for a, b in asked)
+
+
+def test_a_word_is_brought_to_its_stem_once():
+    import pickle
+
+    asked = []
+    normalise = keyword.Normaliser(["the"], {}, None, lambda t: asked.append(t) or t.lower() + "_")
+    want = ("The a.b-c x, a.b-c the x,".lower(), ["a.b-c_", "x_", ",_", "a.b-c_", "x_", ",_"])
+    assert normalise("The a.b-c x, a.b-c the x,") == want and normalise("The a.b-c x, a.b-c the x,") == want
+    assert asked == ["a.b-c", "x", ","]
+    whole = keyword.Normaliser(["the"], {}, None, None)
+    whole("some words")
+    assert not pickle.loads(pickle.dumps(whole)).known
+
+
+def test_acronyms_inside_of_words_are_not_looked_up():
+    rule = keyword.Acronyms({"SOC": ["Security Center"], "C+": ["C Plus"]})
+    for text in ("a social soc", "social", "soc", "xsoc soc_ soc1", "security center socx", "security center soc", "sociAL \u017foc", "soc\u00e9", "\u00e9 soc"):
+        want = text
+        for acronym, full in (("SOC", "Security Center"),):
+            want = re.sub(rf"(?i)\b{acronym}\b", full, re.sub(rf"(?i)\b{full}\s+{acronym}\b", full, want)) if acronym.lower() in want.lower() else want
+            want = re.sub(rf"(?i)\b{full}\b", acronym, want) if full.lower() in want.lower() else want
+        assert rule(text) == want, text
+    assert not rule._may_stand("soc", "social soc_") and rule._may_stand("soc", "social soc")
