@@ -41,7 +41,8 @@ def collapse_runs(col: Column) -> Column:
 
 def collapse_all(col: Column) -> Column:
     """Any run of blanks becomes one space; ends are stripped."""
-    return strip(sub(col, r"\s+", " "))
+    # a single space is left as it is
+    return strip(sub(col, r"\s{2,}|[\s&&[^ ]]", " "))
 
 
 def words(col: Column) -> Column:
@@ -68,17 +69,17 @@ def lowercase(col: Column) -> Column:
 
 
 def remove_puncts(col: Column) -> Column:
-    bare = F.translate(col, ";,", "")
+    bare = F.replace(F.replace(col, F.lit(";"), F.lit("")), F.lit(","), F.lit(""))
     # the dot comes first in dot patterns: what surrounds it is only looked at there
     return collapse_all(sub(bare, r"\.(?<=\w\.)(?=\s+[A-Z])"))
 
 
 def remove_space_newline(col: Column) -> Column:
-    return collapse_runs(F.translate(col, "\n\t\r", "   "))
+    return strip(sub(col, r"\s{2,}|[\n\t\r]", " "))
 
 
 def remove_links(col: Column) -> Column:
-    return collapse_runs(sub(col, r"(?<!\w)(https?://\S+|www\.\S+)"))
+    return collapse_runs(sub(col, r"(?=[hw])(?<!\w)(?:https?://\S+|www\.\S+)"))
 
 
 def remove_digits(col: Column) -> Column:
@@ -120,8 +121,9 @@ def expand_contractions(col: Column) -> Column:
 
 
 def genitive(col: Column) -> Column:
-    col = sub(col, r"\b(\w+)'s\s+(\w+)\b", "$2 of $1")
-    col = sub(col, r"\b(\w+)'\s+(\w+)\b", "$2 of $1")
+    # no quote stands within a word, nor a blank: nothing is to be tried again with less
+    col = sub(col, r"\b(\w++)'s\s++(\w++)\b", "$2 of $1")
+    col = sub(col, r"\b(\w++)'\s++(\w++)\b", "$2 of $1")
     return collapse_runs(col)
 
 
@@ -177,13 +179,13 @@ def remove_stop_words(col: Column, stopwords=lexicon.STOPWORDS) -> Column:
 
 def sentence_tokenization(col: Column) -> Column:
     """Sentences joined by one space: only the gaps between them change."""
-    return collapse_runs(sub(col, r"(?<=[.!?])\s+", " "))
+    return collapse_runs(sub(col, r"(?=\s)(?<=[.!?])\s+", " "))
 
 
 def advanced_tokenization(col: Column) -> Column:
     """Word tokens joined by one space; punctuation tokens are left out."""
-    tokens = F.regexp_extract_all(col, F.lit(r"(?U)\w+(?:[.'\-]\w+)*"), F.lit(0))
-    return F.array_join(tokens, " ")
+    # a token is \w+(?:[.'\-]\w+)*, so between tokens is all but letters and what joins two of them
+    return F.trim(sub(col, r"(?:[^\w.'\-]|[.'\-](?:(?!\w)|(?<!\w[.'\-])))+", " "))
 
 
 # --- aggregation cleaner and field aggregates ------------------------------

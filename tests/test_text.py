@@ -141,3 +141,21 @@ def test_words_remembered_per_worker_are_few():
     from corrspark.functions import words as W
 
     assert all(f.cache_info().maxsize <= 1 << 16 for f in (W.stem, W.noun_lemma))
+
+
+def test_tokens_and_blanks_without_lists(spark):
+    import random
+    import re
+
+    pick = random.Random(5)
+    texts = ["".join(pick.choice("aé1_.'- \n\t\u00a0;,!") for _ in range(pick.randrange(0, 25))) for _ in range(400)] + ["", None, "a.b.-c", " .a'b. "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.advanced_tokenization(F.col("t")).alias("w"), T.collapse_all(F.col("t")).alias("c"), T.remove_space_newline(F.col("t")).alias("n")).collect()
+    for r in got:
+        if r["t"] is None:
+            assert r["w"] is None and r["c"] is None and r["n"] is None
+            continue
+        assert r["w"] == " ".join(re.findall(r"\w+(?:[.'\-]\w+)*", r["t"]))
+        assert r["c"] == re.sub(r"\s+", " ", r["t"]).strip()
+        assert r["n"] == re.sub(r"\s{2,}", " ", re.sub(r"[\n\t\r]", " ", r["t"])).strip()
+    assert "regexp_extract_all" not in str(T.advanced_tokenization(F.col("t")))
