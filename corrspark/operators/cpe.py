@@ -246,8 +246,11 @@ def is_close(word: Column, term: Column, threshold: int = 70) -> Column:
     most = F.greatest(total - 2 * needed, F.lit(0))
     edits = F.call_function("levenshtein", word, term, most)  # -1: more than that
     own = lambda a, b: F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+    # whether the shorter word has fewer letters than needed, without a division
+    shorter, share = 400 * F.least(F.length(word), F.length(term)).cast("long"), (2 * threshold + 1) * total.cast("long")
+    too_short = shorter <= share if threshold % 2 == 0 else shorter < share
     return (
-        F.when(F.least(F.length(word), F.length(term)) < needed, False).when(edits < 0, False).when(2 * edits <= most, True)
+        F.when(too_short, False).when(edits < 0, False).when(2 * edits <= most, True)
         .when(F.least(own(word, term), own(term, word)) < needed, False).otherwise(common_length(word, term) >= needed)
     )
 
