@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -49,21 +51,30 @@ def aggregate_uris(df: DataFrame, uri: str, keys: tuple[str, ...] = (), pos: str
     one product cost one row per task. ``*`` and ``-`` are no values; missing
     trailing fields count as ``*``.
     """
-    parts = uri_parts(F.col(uri))
-    rows = df.filter(F.startswith(F.col(uri), F.lit(PREFIX))).withColumn("_p", parts).filter(F.size("_p") >= 10)
-    field = lambda name: F.coalesce(F.get("_p", F.lit(URI_FIELDS.index(name) + 2)), F.lit("*"))
+    at = lambda name: F.get("_p", F.lit(URI_FIELDS.index(name) + 2))
     order = F.col(pos).cast("long") if pos else F.lit(0).cast("long")
-    group = [*keys, "part", "vendor", "product"]
-    details = F.array(*[F.struct(F.lit(f).alias("f"), field(f).alias("v")) for f in DETAIL_FIELDS])
-    details = F.filter(details, lambda d: ~d["v"].isin("*", "-"))
-    long_rows = rows.select(
-        *keys, *[field(f).alias(f) for f in ("part", "vendor", "product")], order.alias("_o"), F.explode_outer(details).alias("d")
-    )
-    first = long_rows.groupBy(*group, F.col("d.f").alias("f"), F.col("d.v").alias("v")).agg(F.min("_o").alias("_o"))
-    entries = F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "_o", "v")))).alias("_e")
-    gathered = first.groupBy(*group).agg(F.min("_o").alias("first_pos"), entries)
-    of_field = lambda f: F.transform(F.filter("_e", lambda e: e["f"] == f), lambda e: e["v"])
-    return gathered.select(*group, "first_pos", *[of_field(f).alias(f"{f}s") for f in DETAIL_FIELDS])
+    # up to the product, one string; rows are filtered after the explode only, since a
+    # filter here would move below and make the URI again for every test
+    name = F.substring_index(uri, ":", URI_FIELDS.index("product") + 3).alias("_n")
+    rows = df.select(*keys, order.alias("_o"), name, uri_parts(F.col(uri)).alias("_p"))
+    scheme, version, _ = PREFIX.split(":")
+    good = (F.size("_p") >= 10) & (F.get("_p", F.lit(0)) == scheme) & (F.get("_p", F.lit(1)) == version)
+    rows = rows.withColumn("_p", F.when(good, F.col("_p")))
+    is_value = lambda f: ~at(f).isin("*", "-")
+    details = [F.when(is_value(f), F.struct(F.lit(i).alias("f"), at(f).alias("v"))) for i, f in enumerate(DETAIL_FIELDS)]
+    bare = F.col("_p").isNotNull() & reduce(and_, [~F.coalesce(is_value(f), F.lit(False)) for f in DETAIL_FIELDS])
+    details.append(F.when(bare, F.struct(F.lit(None).cast("int").alias("f"), F.lit(None).cast("string").alias("v"))))
+    long_rows = rows.select(*keys, "_n", "_o", F.explode_outer(F.array(*details)).alias("d")).filter(F.col("d").isNotNull())
+    first = long_rows.groupBy(*keys, "_n", F.col("d.f").alias("f"), F.col("d.v").alias("v")).agg(F.min("_o").alias("_o"))
+    # distinct values meet by product before they become lists; the hash leads the keys,
+    # so that sorting by them seldom compares names
+    group = [*keys, "_n"]
+    entries = F.sort_array(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "_o", "v")))).alias("_e")
+    gathered = first.repartition(*group).groupBy(F.xxhash64(*group).alias("_h"), *group).agg(F.min("_o").alias("first_pos"), entries)
+    named = gathered.withColumn("_p", uri_parts(F.col("_n")))
+    of_field = lambda i: F.transform(F.filter("_e", lambda e: e["f"] == i), lambda e: e["v"])
+    lists = [of_field(i).alias(f"{f}s") for i, f in enumerate(DETAIL_FIELDS)]
+    return named.select(*keys, *[at(f).alias(f) for f in ("part", "vendor", "product")], "first_pos", *lists)
 
 
 def part_label(part: Column) -> Column:

@@ -431,6 +431,36 @@ def test_cpe_aggregate(spark):
     assert len(row) == 1 and (row[0]["versions"], row[0]["updates"], row[0]["target_sws"]) == (["2", "1"], [], ["win", "mac"])
 
 
+def test_cpe_aggregate_equals_the_plain_lists(spark):
+    """Every list of every product, by request, from URIs that lack fields, repeat or are none."""
+    pick = random.Random(16)
+    data = []
+    for i in range(400):
+        fields = [pick.choice(["*", "-", "", "1", "2", "é"]) for _ in range(pick.randrange(0, 10))]
+        head = pick.choice(["cpe:2.3:"] * 6 + ["cpe:2.3", "cpe:/", "xcpe:2.3:", "cpe:2.30:"]) + f"{pick.choice('ah')}:{pick.choice(['v', ''])}:{pick.choice('pq')}"
+        data.append((pick.choice(["x", "y", None]), i, pick.choice([":".join([head, *fields])] * 9 + [None])))
+    data += [("x", 400, "cpe:2.3:o:v:bare:*:-:*:*:*"), ("x", 401, "cpe:2.3:o:v:bare:*:-:*:*:*:*:*:*")]
+    df = spark.createDataFrame(data, "k string, i int, uri string").repartition(5)
+    got = {(r["k"], r["part"], r["vendor"], r["product"]): {f: list(r[f"{f}s"]) for f in cpe.DETAIL_FIELDS} for r in cpe.aggregate_uris(df, "uri", ("k",), "i").collect()}
+    want = {}
+    for key in ("x", "y", None):
+        for name, lists in cpe_plain._blocks([u for k, _, u in data if k == key and u]).items():
+            want[key, *name] = lists
+    assert got == want and got["x", "o", "v", "bare"] == {f: [] for f in cpe.DETAIL_FIELDS}
+    one = {(r["part"], r["product"]): r["versions"] for r in cpe.aggregate_uris(df, "uri").collect()}
+    assert all(v == sorted(v) for v in one.values())  # without positions, by value
+
+
+def test_cpe_aggregate_makes_the_uri_once(spark, tmp_path):
+    """A URI made by an expression is not made again for each test of it, and products are gathered by a hash of their names."""
+    spark.createDataFrame([("a:v:p:2:*:*:*:*:win:*:*",)], "rest string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t")).select(F.concat(F.lit("cpe:2.3:"), F.upper("rest")).alias("uri"))
+    out = cpe.aggregate_uris(df, "uri")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("upper(") == 1 and "xxhash64(" in plan
+    assert [(r["vendor"], r["versions"], r["target_sws"]) for r in out.collect()] == [("V", ["2"], ["WIN"])]
+
+
 def test_cpe_matching():
     text = "the apache http server and apache big http server"
     assert [m[0] for p in cpe_plain.partial_patterns("apache", "http server") for m in cpe_plain.spans(p, text)] == [
