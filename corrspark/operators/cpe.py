@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corrspark import lexicon
 from corrspark.functions import words as W
 from corrspark.functions.pieces import pieces
-from corrspark.functions.text import strip
+from corrspark.functions.text import collapse_all, strip
 from corrspark.session import materialise
 
 PREFIX = "cpe:2.3:"
@@ -85,7 +85,7 @@ def part_label(part: Column) -> Column:
 
 
 def normalise_name(col: Column) -> Column:
-    return F.lower(strip(F.translate(col, "_", " ")))
+    return F.lower(strip(F.replace(col, F.lit("_"), F.lit(" "))))
 
 
 def vendor_of(uri: Column) -> Column:
@@ -138,9 +138,42 @@ def _join(patterns: Column, between: str) -> Column:
     return F.array_join(patterns, between)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def blank_parts(text: Column) -> Column:
     """The parts of a text between blanks (a split by one character compiles no pattern)."""
-    return F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), "")
+
+
+# how a pattern starts that finds a name whatever its case
+ANY_CASE = r"(?iU)\b"
+GAP = r"\s+"
+
+
+def _whole(start: Column, name: Column) -> Column:
+    return F.concat(start, quoted(name), F.lit(r"\b"))
+
+
+def _head_shape(start: Column, vendor: Column, product: Column) -> Column:
+    """The first word of the vendor before the product."""
+    return F.concat(start, quoted(F.get(blank_parts(vendor), F.lit(0))), F.lit(r"\b" + GAP), quoted(product))
+
+
+def _vendor_shape(start: Column, vendor: Column, product: Column) -> Column:
+    """The vendor before the product, with up to two words in between."""
+    return F.concat(start, quoted(vendor), F.lit(r"\b\s+(?:\w+\s+){0,2}"), quoted(product))
+
+
+def _all_but(words: Column, i: Column) -> Column:
+    return F.filter(words, lambda _, k: k != i)
+
+
+def _words_shape(start: Column, words: Column) -> Column:
+    """Words in their order."""
+    return F.concat(start, F.lit("(?:"), _join(F.transform(words, quoted), GAP), F.lit(r")\b"))
 
 
 def partial_shapes(vendor: Column, product: Column) -> Column:
@@ -149,19 +182,14 @@ def partial_shapes(vendor: Column, product: Column) -> Column:
     Without vendor: the product with one word left out. With vendor: its first
     word before the product, and the vendor with up to two words in between.
     """
-    # The three shapes.
-    gap, some_words = r"\s+", r"\b\s+(?:\w+\s+){0,2}"
-    start, end = F.lit(r"(?iU)\b"), F.lit(r"\b")
-    name = quoted(F.lower(product))
-    head, whole = quoted(F.get(blank_parts(F.lower(vendor)), F.lit(0))), quoted(F.lower(vendor))
-    named = F.array(F.concat(start, head, end, F.lit(gap), name), F.concat(start, whole, F.lit(some_words), name))
+    start, who, name = F.lit(ANY_CASE), F.lower(vendor), F.lower(product)
+    named = F.array(_head_shape(start, who, name), _vendor_shape(start, who, name))
 
     def left_out(words: Column) -> Column:
         each = F.sequence(F.lit(0), F.size(words) - 1)
-        kept = lambda i: F.filter(words, lambda _, k: k != i)
-        return F.when(F.size(words) > 1, F.transform(each, lambda i: F.concat(start, F.lit("(?:"), _join(F.transform(kept(i), quoted), gap), F.lit(")"), end)))
+        return F.when(F.size(words) > 1, F.transform(each, lambda i: _words_shape(start, _all_but(words, i))))
 
-    without = F.coalesce(F.transform(F.array(blank_parts(F.lower(product))), left_out)[0], F.array().cast("array<string>"))
+    without = F.coalesce(_let(blank_parts(name), left_out), F.array().cast("array<string>"))
     return F.when(F.coalesce(vendor, F.lit("")) != "", named).otherwise(without)
 
 
@@ -579,82 +607,151 @@ def fuzzy_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, term: s
 REPEAT_GAP = r"[\s,.;:]*"
 
 
-def _entries(uris: Column) -> Column:
-    """The URIs of one row as (part, vendor, product) with their details, in order of appearance."""
-    field = lambda p, name: F.coalesce(F.get(p, F.lit(URI_FIELDS.index(name) + 2)), F.lit("*"))
-    split = F.transform(F.filter(uris, lambda u: F.startswith(u, F.lit(PREFIX))), lambda u: F.split(u, ":"))
-    named = ("part", "vendor", "product", *DETAIL_FIELDS)
-    parsed = F.transform(F.filter(split, lambda p: F.size(p) >= 10), lambda p: F.struct(*[field(p, f).alias(f) for f in named]))
+# a printable ASCII text without capitals whose only blank is the space: case and alphabet make no difference in it
+PLAIN = r"\A[ -@\[-~]*\z"
+
+
+def _products(uris: Column) -> Column:
+    """The URIs of one row in parts, those of one (part, vendor, product) together, in order of appearance."""
+    scheme, version, _ = PREFIX.split(":")
 
     def gathered(rows: Column) -> Column:
-        keys = F.array_distinct(F.transform(rows, lambda r: F.struct(r["part"].alias("part"), r["vendor"].alias("vendor"), r["product"].alias("product"))))
+        name = lambda p: F.array_join(F.slice(p, 3, 3), ":")
+        groups = F.transform(F.array_distinct(F.transform(rows, name)), lambda k: F.filter(rows, lambda p: name(p) == k))
+        return F.when(F.size(rows) == 1, F.array(rows)).otherwise(groups)
+
+    good = lambda p: (F.size(p) >= 10) & (p[0] == scheme) & (p[1] == version)
+    return _let(F.filter(F.transform(uris, lambda u: F.split(u, ":")), good), gathered)
+
 
-        def entry(k: Column) -> Column:
-            same = F.filter(rows, lambda r: (r["part"] == k["part"]) & (r["vendor"] == k["vendor"]) & (r["product"] == k["product"]))
+def _details(own: Column, *runs: tuple[str, str]) -> Column:
+    """The distinct values of each field, field by field, from the URIs of one product; fields are given as runs from one to another."""
+    places = [(URI_FIELDS.index(first) + 2, URI_FIELDS.index(last) + 2) for first, last in runs]
+    one = F.concat(*[F.slice(own[0], first + 1, last - first + 1) for first, last in places])
+    each = F.array(*[F.lit(i) for first, last in places for i in range(first, last + 1)])
+    values = lambda i: F.array_compact(F.array_distinct(F.transform(own, lambda p: F.get(p, i))))
+    return F.array_remove(F.array_remove(F.when(F.size(own) == 1, one).otherwise(F.flatten(F.transform(each, values))), "*"), "-")
 
-            def detailed(own: Column) -> Column:
-                values = lambda f: F.array_distinct(F.filter(own[f], lambda v: ~v.isin("*", "-")))
-                return F.struct(k["part"].alias("part"), k["vendor"].alias("vendor"), k["product"].alias("product"), *[values(f).alias(f) for f in DETAIL_FIELDS])
 
-            return F.transform(F.array(same), detailed)[0]
+def _long_words(text: Column, least: Column) -> Column:
+    """The words of a text, of which short ones may be left out that have fewer letters than wanted."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    for size in (4, 6, 9, 16):  # a pattern for each size would have to be made for each text
+        words = F.when(least >= size, F.regexp_extract_all(text, F.lit(rf"(?U)\w{{{size},}}"), F.lit(0))).otherwise(words)
+    return words
+
+
+def _near_pattern(text: Column, term: Column, threshold: int = 70) -> Column:
+    """A pattern of the words of a text that resemble the term; null if there is none."""
+    share = (2 * threshold + 1) / 400
+    # what the lengths rule out, and most of what the edits rule out, in few steps (see is_close)
+    length = F.length(term)
+    bounds = F.struct(length.alias("length"), F.ceil(length * (share / (1 - share)) - 1e-6).alias("least"), F.floor(length * ((1 - share) / share) + 1e-6).alias("most"))
+
+    def pattern(size: Column) -> Column:
+        edits = lambda w: F.call_function("levenshtein", w, term, ((F.length(w) + size["length"]) * (1 - 2 * share)).cast("int"))
+        may = lambda w: (F.length(w) >= size["least"]) & (F.length(w) <= size["most"]) & (edits(w) >= 0)
+        words = F.array_distinct(F.filter(_long_words(text, size["least"]), may))
+        return _let(F.filter(words, lambda w: is_close(w, term, threshold)),
+                    lambda c: F.when(F.size(c) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(c, "|"), F.lit(r")\b"))))
 
-        return F.transform(keys, entry)
+    return _let(bounds, pattern)
 
-    return F.transform(F.array(parsed), gathered)[0]
 
+def _masked(text: Column, own: Column) -> Column:
+    """The steps of one product on a text, one after the other, from its URIs in parts.
 
-def _rules(entry: Column) -> Column:
-    """The steps of one product, in order: kind, needle that must be there, pattern or word, replacement."""
-    label = part_label(entry["part"])
-    plain = F.replace(F.replace(label, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    text = F.struct(normalise_name(entry["vendor"]).alias("vendor"), normalise_name(entry["product"]).alias("product"), label.alias("label"), plain.alias("plain"))
+    A pattern is made and searched only where its words are in the text. Only plain
+    texts and names can be asked that way, others are searched whatever they hold.
+    """
+    label = part_label(own[0][2])
+    names = F.struct(normalise_name(own[0][3]).alias("vendor"), normalise_name(own[0][4]).alias("product"), label.alias("label"))
 
-    def steps(x: Column) -> Column:
+    def of_product(x: Column) -> Column:
         vendor, product = x["vendor"], x["product"]
-        full = F.concat(vendor, F.lit(" "), product)
-        rule = lambda kind, needle, pattern, new: F.struct(F.lit(kind).alias("kind"), needle.alias("needle"), pattern.alias("pattern"), new.alias("new"))
-        whole = lambda t: F.concat(F.lit(r"(?iU)\b"), quoted(t), F.lit(r"\b"))
-        nothing = F.lit("")
-        near = F.when(vendor != "", F.transform(partial_shapes(vendor, product), lambda p: rule("pattern", product, p, x["plain"])))
-        left_out = F.transform(partial_shapes(nothing, product), lambda p: rule("pattern", nothing, p, x["plain"]))
-        targets = F.transform(entry["target_sw"], lambda v: rule("text", F.lower(v), nothing, F.lit("software")))
-        gone = F.flatten(F.array(*[F.transform(F.filter(entry[f], lambda v: (v != vendor) & (v != product)), lambda v: rule("text", F.lower(v), nothing, nothing))
-                                   for f in DETAIL_FIELDS if f != "target_sw"]))
-        none = F.array().cast("array<struct<kind: string, needle: string, pattern: string, new: string>>")
-        return F.concat(
-            F.array(rule("pattern", full, whole(full), x["plain"])), F.coalesce(near, none), F.array(rule("near", nothing, full, x["plain"])),
-            F.array(rule("pattern", product, whole(product), x["plain"]), rule("near", nothing, product, x["plain"])),
-            F.when(F.size(blank_parts(product)) > 1, left_out).otherwise(none),
-            F.array(rule("split", nothing, vendor, nothing), rule("split", nothing, product, x["label"])), targets, gone,
-            F.array(rule("vendor", vendor, whole(vendor), nothing)))
-
-    return F.transform(F.array(text), steps)[0]
+        new = F.replace(F.replace(x["label"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        marks = F.struct(new.alias("new"), F.concat(F.substring_index(vendor, " ", 1), F.lit(" ")).alias("ahead"), F.concat(F.lit(" "), product).alias("behind"),
+                         F.rlike(F.concat(text, vendor, product, x["label"]), F.lit(PLAIN)).alias("plain"))
+        return _let(marks, lambda m: steps(vendor, product, x["label"], m["new"], m["ahead"], m["behind"], m["plain"]))
 
+    def steps(vendor: Column, product: Column, label: Column, new: Column, ahead: Column, behind: Column, plain: Column) -> Column:
+        full = F.concat(vendor, behind)
+        start = F.when(plain, r"\b").otherwise(ANY_CASE)
+        sub = lambda t, pattern, when: F.when(when, F.regexp_replace(t, pattern, new)).otherwise(t)
 
-def _near_pattern(text: Column, term: Column, threshold: int = 70) -> Column:
-    """A pattern of the words of a text that resemble the term; null if there is none."""
-    close = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: is_close(w, term, threshold))
-    return F.transform(F.array(close), lambda c: F.when(F.size(c) > 0, F.concat(F.lit(r"(?U)\b(?:"), F.array_join(c, "|"), F.lit(r")\b"))))[0]
+        def exact(name: Column) -> Callable[[Column], Column]:
+            return lambda t: sub(t, _whole(start, name), F.contains(t, name))
 
+        def after(shape: Callable[[Column, Column, Column], Column]) -> Callable[[Column], Column]:
+            return lambda t: sub(t, shape(start, vendor, product), (vendor != "") & F.contains(t, product))
 
-def _apply(text: Column, rule: Column) -> Column:
-    """One step on a text."""
-    kind, needle, pattern, new = rule["kind"], rule["needle"], rule["pattern"], rule["new"]
-    near = F.transform(F.array(_near_pattern(text, pattern)), lambda p: F.when(p.isNull(), text).otherwise(F.regexp_replace(text, p, new)))[0]
-    squeezed = F.regexp_replace(text, r"\s+", "")
-    return (
-        F.when((kind == "pattern") & F.contains(text, needle), F.regexp_replace(text, pattern, new))
-        .when((kind == "text") & (needle != ""), F.replace(text, needle, new))
-        .when(kind == "near", near)
-        .when((kind == "split") & (F.length(pattern) > 1) & ~F.contains(pattern, F.lit(" ")) & F.contains(squeezed, pattern), replace_split_word(text, pattern, new))
-        .when((kind == "vendor") & F.contains(text, needle) & F.rlike(text, pattern), words_joined(F.regexp_replace(text, pattern, "")))
-        .otherwise(text)
-    )
+        def named(t: Column) -> Column:
+            return F.when(~plain | (F.contains(t, ahead) & F.contains(t, behind)), _in_turn(t, exact(full), after(_head_shape), after(_vendor_shape))).otherwise(t)
+
+        def near(term: Column) -> Callable[[Column], Column]:
+            return lambda t: _let(_near_pattern(t, term), lambda p: sub(t, p, p.isNotNull()))
+
+        def left_out(t: Column) -> Column:
+            def each(words: Column) -> Column:
+                def one(done: Column, i: Column) -> Column:
+                    held = F.forall(_all_but(words, i), lambda w: F.contains(done, w))
+                    return sub(done, _words_shape(start, _all_but(words, i)), ~plain | held)
+
+                # a text without two of the words has none of the shapes
+                may = (F.size(words) > 1) & (~plain | (F.size(F.filter(words, lambda w: ~F.contains(t, w))) < 2))
+                return F.when(may, F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), t, one)).otherwise(t)
+
+            return _let(F.when(plain, F.array_remove(F.split(product, " "), "")).otherwise(blank_parts(product)), each)
+
+        def split(t: Column) -> Column:
+            can_break = lambda word: (F.length(word) > 1) & ~F.contains(word, F.lit(" "))
+
+            def step(word: Column, label: Column) -> Callable[[Column], Column]:
+                squeezed = lambda t: F.when(plain, F.replace(t, F.lit(" "), F.lit(""))).otherwise(F.regexp_replace(t, r"\s+", ""))
+                return lambda t: F.when(can_break(word) & F.contains(squeezed(t), word), replace_split_word(t, word, label)).otherwise(t)
+
+            return F.when(can_break(vendor) | can_break(product), _in_turn(t, step(vendor, F.lit("")), step(product, label))).otherwise(t)
+
+        def details(t: Column) -> Column:
+            gone = lambda done, v: F.when((v == vendor) | (v == product), done).otherwise(F.replace(done, F.lower(v), F.lit("")))
+            done = F.aggregate(_details(own, ("target_sw", "target_sw")), t, lambda done, v: F.replace(done, F.lower(v), F.lit("software")))
+            return F.aggregate(_details(own, ("version", "sw_edition"), ("target_hw", "target_hw")), done, gone)
+
+        def without_vendor(t: Column) -> Column:
+            pattern = _whole(start, vendor)
+            return F.when(F.contains(t, vendor) & F.rlike(t, pattern), words_joined(F.regexp_replace(t, pattern, F.lit("")))).otherwise(t)
+
+        return _in_turn(text, named, near(full), exact(product), near(product), left_out, split, details, without_vendor)
+
+    return _let(names, of_product)
+
+
+def _in_turn(text: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Steps one after the other on a text: a fold, since steps within steps are too deep for the analyser."""
+
+    def chosen(k: Column, values: list[Column], first: int) -> Column:
+        half = len(values) // 2
+        return F.when(k < first + half, chosen(k, values[:half], first)).otherwise(chosen(k, values[half:], first + half)) if half else values[0]
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), text, lambda t, k: chosen(k, [step(t) for step in steps], 0))
 
 
 def words_joined(text: Column) -> Column:
     """Words with one space between them."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return collapse_all(text)
+
+
+def _label_once(text: Column, label: Column) -> Column:
+    """Runs of a label become one, in a text whose words are joined."""
+
+    def once(name: Column) -> Column:
+        name = quoted(name)
+        return F.regexp_replace(text, F.concat(F.lit("(?iU)("), name, F.lit(r"(?<=\b"), name, F.lit(r")\b)(?:" + REPEAT_GAP + r"\1)+")), F.lit("$1"))
+
+    out = once(label)
+    for name in lexicon.CPE_PARTS.values():  # a fixed pattern is made once
+        out = F.when(label == name, once(F.lit(name))).otherwise(out)
+    return out
 
 
 def mask_products(text: Column, uris: Column) -> Column:
@@ -666,11 +763,10 @@ def mask_products(text: Column, uris: Column) -> Column:
     become one.
     """
 
-    def masked(entries: Column) -> Column:
-        rules = F.flatten(F.transform(entries, _rules))
-        label = part_label(F.element_at(entries, -1)["part"])
-        done = words_joined(F.aggregate(rules, strip(F.lower(text)), _apply))
-        again = F.concat(F.lit(r"(?iU)(\b"), quoted(label), F.lit(r"\b)(?:" + REPEAT_GAP + r"\1)+"))
-        return F.when(F.size(entries) > 0, F.when(label == "", done).otherwise(words_joined(F.regexp_replace(done, again, "$1")))).otherwise(text)
+    def masked(products: Column) -> Column:
+        label = part_label(F.element_at(products, -1)[0][2])
+        done = words_joined(F.aggregate(products, strip(F.lower(text)), _masked))
+        once = _let(F.struct(done.alias("t"), label.alias("label")), lambda x: F.when(x["label"] == "", x["t"]).otherwise(_label_once(x["t"], x["label"])))
+        return F.when(F.size(products) > 0, once).otherwise(text)
 
-    return F.when(uris.isNull() | (F.size(uris) == 0), text).otherwise(F.transform(F.array(_entries(uris)), masked)[0])
+    return F.when(uris.isNull() | (F.size(uris) == 0), text).otherwise(_let(_products(uris), masked))

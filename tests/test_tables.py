@@ -496,6 +496,33 @@ def test_masks_equal_the_plain_rules(spark):
         assert r["m"] == (cpe_plain.mask_text(r["t"], list(r["u"])) if r["u"] else r["t"]), (r["t"], r["u"])
 
 
+def test_masks_of_plain_and_other_texts_are_alike(spark):
+    """Plain texts are asked for words before patterns are made, others are searched: letters outside ASCII, capitals of a label, other blanks change nothing."""
+    texts = ["apache http server 1.3 web", "apache\thttp\tserver on web kit", "the serverſ runs http", "apachee web big kit, x", "x y z", "kit web x", "a  b . c", "http apache linux kit"]
+    uris = [f"cpe:2.3:{part}:{vendor}:{product}:1.3:*:*:en:*:linux" for part in ("a", "X", "née", "$1") for vendor in ("apache", "big_web", "x")
+            for product in ("http_server", "x_y", "web_kit_pro", "kit", "http__server")]
+    rows = [(t + end, [u, *more]) for t in texts for u in uris for end in ("", " é") for more in ([], [uris[7], u.replace("1.3", "2")])]
+    df = spark.createDataFrame(rows, "t string, u array<string>")
+    for r in df.select("t", "u", cpe.mask_products(F.col("t"), F.col("u")).alias("m")).collect():
+        assert r["m"] == cpe_plain.mask_text(r["t"], list(r["u"])), (r["t"], r["u"])
+
+
+def test_masks_make_no_patterns_of_words_that_are_not_there(spark):
+    """A product of many words, none of them in the text, costs a search for each word, not a pattern for each word left out."""
+    import time
+
+    def seconds(words: int) -> float:
+        uri = "cpe:2.3:a:v:" + "_".join(f"w{i}q" for i in range(words)) + ":*:*:*:*:*:*"
+        df = spark.range(40, numPartitions=1).select(F.concat(F.lit("some plain text "), F.col("id").cast("string")).alias("t"), F.array(F.lit(uri)).alias("u"))
+        masked = df.select(cpe.mask_products(F.col("t"), F.col("u")).alias("m"))
+        start = time.time()
+        assert masked.filter(F.col("m") == F.concat(F.lit("some plain text "), F.lit("0"))).count() == 1
+        return time.time() - start
+
+    seconds(2)  # the first run makes the session ready
+    assert seconds(1000) < 5 * seconds(2) + 5
+
+
 def test_fuzzy_terms_brute_force(spark):
     from corrspark.functions.words import ratio
 
